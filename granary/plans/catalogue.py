@@ -1,0 +1,4 @@
+"""Queries of the store's operators and SQL that must give the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
