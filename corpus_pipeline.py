@@ -1,8 +1,66 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline, from raw documents to shards.
 
+Each stage calls one operator on all that its predecessor kept, and its decisions
+take effect: documents that a stage rejects are gone. All stages but the last return
+the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from granary.llm import decontaminate, langid, mixing, neardup, sharding
+from granary.llm.common import cut, table
+
+#: A prediction of less than this posterior is no language that the corpus knows.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those whose language is in doubt."""
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    known = langid.identify(docs, model).where((f"lang_pred <> '{langid.UNKNOWN}' AND score >= {LEAST_SCORE}"))
+    return known.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (5-word shingles, 0.8)."""
+    return neardup.keep_one(docs, width=5, threshold=80).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), min_items=1)
+    return marked.where("NOT contaminated").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and thins documents so that domains reach their shares of tokens."""
+    out = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")))
+    return mixing.materialise(out, docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals the rows to 16 shards of nearly equal bytes."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("mixed", mixed),
+    ("sharded", sharded),
+]
+
+#: Code lengths, hashes and fitted rates are beyond SQL; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each result is written before the next stage reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

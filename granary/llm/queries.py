@@ -3,7 +3,7 @@ for those that SQL can express."""
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, neardup, sharding
+from granary.llm import chat, decontaminate, htmlextract, langid, licenses, mixing, neardup, quality, sharding, toxicity
 from granary.llm.common import table
 
 
@@ -12,17 +12,54 @@ def op1_shard(spark, sf_dir):
     return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), carry=["doc_id"])
+
+
 def op3_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_chat(spark, sf_dir):
+    return chat.chat(table(spark, sf_dir, "conversations"))
+
+
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.assess(docs, carry=["doc_id"]).select("doc_id", *quality.BASE, "kept", "perplexity")
+
+
+def op6_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", *langid.RESULTS)
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.assess(docs, model).select("doc_id", *toxicity.RESULTS)
+
+
+def op7_html(spark, sf_dir):
+    return htmlextract.extract_articles(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
 def op9_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op3_decontaminate, op9_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_shard, op2_mix, op3_decontaminate, op4_chat, op5_quality, op6_language, op7_html, op8_licenses, op9_near_duplicates, op10_toxicity)
+}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_decontaminate"] = r"""
