@@ -20,14 +20,14 @@ WINDOW, GRAM = 8, 4
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Filter bits for each fingerprint, and the most bits that a filter ever has. A
 #: full filter lets more candidates through to the exact join; it drops none.
-BITS_EACH, MOST_BITS = 16, 1 << 21
+BITS_EACH, MOST_BITS = 256, 1 << 21
 #: Rows of the result (one for each contaminated text) that are broadcast; more are shuffled.
 MOST_BROADCAST = 200_000
 W, T1, T2, AT, GRAM_TEXT, LENGTH = "__gr_words", "__gr_t1", "__gr_t2", "__gr_at", "__gr_gram", "__gr_length"
 
 
 def _gram(ws: Column, at: Column, n: int) -> Column:
-    return F.concat_ws(" ", F.slice(ws, at + 1, n))
+    return F.concat_ws(" ", *[F.get(ws, at + j) for j in range(n)])
 
 
 def _hash(ws: Column, at: Column, n: int) -> Column:
@@ -41,7 +41,8 @@ def _starts(ws: Column, n: int) -> Column:
 
 def _fingerprints(grams: Column, at: Column) -> Column:
     """The least gram hash in the window that starts at `at`."""
-    return F.array_min(F.slice(grams, at + 1, WINDOW - GRAM + 1))
+    # Not array_min(slice(...)): slice copies the whole array each time.
+    return F.least(*[F.get(grams, at + j) for j in range(WINDOW - GRAM + 1)])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -104,6 +105,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     sets = _filter(windows, bits)
     keyed = replacing(docs, *RESULTS).withColumn(T1, F.xxhash64("text")).withColumn(T2, F.xxhash64(F.lit(1), "text"))
 
+    def short_windows(ws, length):
+        return F.transform(
+            F.filter(_starts(ws, length), lambda i: _in(sets, bits, _hash(ws, i, length))),
+            lambda i: F.struct(i.alias(AT), F.lit(length).alias(LENGTH), _gram(ws, i, length).alias(GRAM_TEXT)),
+        )
+
     def windows_of(ws):
         def long_(grams):
             return F.transform(
@@ -113,12 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
 
         found = [let(F.transform(_starts(ws, GRAM), lambda i: _hash(ws, i, GRAM)), long_)]
         for length in sorted(short):
-            found.append(
-                F.transform(
-                    F.filter(_starts(ws, length), lambda i, k=length: _in(sets, bits, _hash(ws, i, k))),
-                    lambda i, k=length: F.struct(i.alias(AT), F.lit(k).alias(LENGTH), _gram(ws, i, k).alias(GRAM_TEXT)),
-                )
-            )
+            found.append(short_windows(ws, length))
         return F.concat(*found)
 
     found = let(words(ascii_lower(F.col("text")), NOT_WORD), windows_of)
