@@ -9,7 +9,8 @@ sketch of the union gives, and then the exact Jaccard measure of the full sets.
 
 Pairs are never expanded within a group of copies: equal texts form one class,
 each inverted list first compares its members with its least one only, and
-after that only members that are still in different components meet.
+after that only members that are still in different components meet, inside a join
+whose condition is the estimate.
 
 Bounds. Sets that fit into the sketch (K shingles) share a run for certain. For
 larger ones at a similarity of exactly 0.8, the chance that none of the runs of R
@@ -19,13 +20,17 @@ estimate lies six standard deviations below the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import WHITE_SPACE, ascii_lower, cut, let, words
 from granary.llm.components import components
 
 K, R = 96, 4
+#: Values of a wider sketch for members that meet after the first round.
+WIDE = 256
+#: Words of 64 parities for the same.
+PARITY_WORDS = 16
 THRESHOLD = 80
 #: Ids whose texts are read a second time: that many are broadcast, more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
@@ -70,27 +75,63 @@ def _runs(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(keys).alias("key"), "rep")
 
 
+def _possible(sa: Column, na: Column, sb: Column, nb: Column, k: int, threshold: int) -> Column:
+    """Whether the sketches (sets of the k least values, whole if they are smaller)
+    leave it possible that the sets reach the threshold; exact for whole sets.
+
+    The values up to the lesser of the two greatest retained ones are a sample,
+    without replacement, of the union. At the threshold the union has
+    (na + nb) / (1 + p) values, which gives the standard deviation of the share of
+    common ones; six of them are allowed."""
+    p = threshold / 100
+    common = F.array_intersect(sa, sb)
+    sized = F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold
+    whole = F.size(common) * (100 + threshold) >= threshold * (na + nb)
+
+    def sampled() -> Column:
+        top = F.lit((1 << 63) - 1).cast("bigint")
+        t = F.least(F.when(F.size(sa) < na, F.element_at(sa, -1)).otherwise(top), F.when(F.size(sb) < nb, F.element_at(sb, -1)).otherwise(top))
+
+        def share(x: Column) -> Column:
+            upto = lambda v: F.size(F.filter(v, lambda e: e <= F.get(x, 0)))
+            i = upto(common)
+            u = upto(sa) + upto(sb) - i
+            left = F.greatest(F.lit(0.0), 1 - u / ((na + nb) / (1 + p)))
+            return i / u >= F.lit(p) - 6 * F.sqrt(F.lit(p * (1 - p)) * (left + F.lit(0.02)) / u)
+
+        return let(F.array(t), share)
+
+    return sized & F.when((F.size(sa) == na) & (F.size(sb) == nb), whole).otherwise(sampled())
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """Pairs whose sketches do not rule the threshold out."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").where("na IS NOT NULL").join(side("b"), "b")
-    sized = both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold))
-    top = lambda x: F.when(F.size(f"s{x}") >= k, F.element_at(f"s{x}", -1)).otherwise(F.lit((1 << 63) - 1).cast("bigint"))
-    bounded = sized.withColumn("t", F.least(top("a"), top("b")))
-    upto = lambda x: F.filter(x, lambda v: v <= F.col("t"))
-    counted = bounded.select("a", "b", F.size(upto(F.col("sa"))).alias("ka"), F.size(upto(F.col("sb"))).alias("kb"), F.size(upto(F.array_intersect("sa", "sb"))).alias("i"))
-    union = F.col("ka") + F.col("kb") - F.col("i")
-    p = threshold / 100
-    return counted.where(F.col("i") / union >= F.lit(p) - 6 * F.sqrt(F.lit(p * (1 - p)) / union)).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(_possible(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), k, threshold)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the full shingle sets of the documents in ids (doc_id, distinct)."""
+    ids = cut(ids)
     few = ids.count() <= MOST_BROADCAST
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = cut(_shingled(wanted, width).select("doc_id", F.col("__gr_x.s").alias("s")))
+    return cut(_shingled(wanted, width).select("doc_id", F.col("__gr_x.s").alias("s")))
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """(rep, p0 ...): for each of 64 * PARITY_WORDS classes of hashes whether a set has
+    an odd number of them. Two sets differ in at least as many values as in classes,
+    so this rules pairs out for certain, at the cost of a few machine words."""
+    v = F.col("v")
+    bit = F.expr("shiftleft(1L, cast(v & 63 as int))")
+    word = F.shiftrightunsigned(v, 6).bitwiseAND(F.lit(PARITY_WORDS - 1).cast("bigint"))
+    each = [F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"p{j}") for j in range(PARITY_WORDS)]
+    return sets.select(F.col("doc_id").alias("rep"), F.explode("s").alias("v")).groupBy("rep").agg(*each)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
@@ -114,17 +155,30 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
     lists = runs.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     multi = cut(runs.join(lists, "key"))
 
-    stars = multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = cut(_verified(_estimated(stars, classes, k, threshold), docs, width, threshold))
+    # Each list's members against its least one.
+    stars = cut(_estimated(multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), classes, k, threshold))
+    ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    edges = cut(_verified(stars, _sets(ends, docs, width), threshold))
     found = cut(components(edges))
 
-    placed = multi.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")).distinct()
-    per = placed.groupBy("key", "comp").count()
-    main = per.groupBy("key").agg(F.max_by("comp", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    rest = cut(placed.join(main, "key"))
-    other = rest.where("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("xc"))
-    met = other.join(rest.select("key", "rep", "comp"), "key").where("xc <> comp").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    more = _verified(_estimated(met, classes, k, threshold), docs, width, threshold)
+    # Lists of one least member are one, so that a pair meets once. Where all members
+    # are of one component, nothing is left to find.
+    placed = multi.select("lead", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("component", "rep").alias("comp"))
+    per = placed.groupBy("lead", "comp").count()
+    main = per.groupBy("lead").agg(F.max_by("comp", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("lead", "main")
+    rest = cut(placed.join(main, "lead"))
+    sets = _sets(rest.select(F.col("rep").alias("doc_id")).distinct(), docs, width)
+    wide = sets.select(F.col("doc_id").alias("rep"), F.size("s").cast("bigint").alias("n"), F.slice(F.sort_array("s"), 1, WIDE).alias("sk"))
+    right = cut(rest.join(wide, "rep").join(_parities(sets), "rep"))
+    left = right.where("comp <> main").select("lead", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("sk").alias("xs"), *[F.col(f"p{j}").alias(f"x{j}") for j in range(PARITY_WORDS)])
+    # The test is part of the join, so pairs that fail it are never rows. A member of
+    # the main component meets the others; two others meet once.
+    apart = (F.col("xc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("rep")))
+    differ = sum((F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"x{j}"))) for j in range(1, PARITY_WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("x0"))))
+    few = differ * (100 + threshold) <= (F.col("xn") + F.col("n")) * (100 - threshold)
+    test = apart & few & _possible(F.col("xs"), F.col("xn"), F.col("sk"), F.col("n"), WIDE, threshold)
+    met = cut(left.alias("l").join(right.alias("r"), (F.col("l.lead") == F.col("r.lead")) & test).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
+    more = _verified(met, sets, threshold)
     final = cut(components(edges.union(more).union(member.where("doc_id <> rep").toDF("u", "v"))))
 
     none = F.col("doc_id").isNull()
