@@ -1,4 +1,701 @@
-"""Queries of the store's operators and SQL that must give the same rows."""
+"""Queries of the store's operators and, where it can be said in SQL, the SQL that must
+give the same rows. Relations are those of granary.plans.relations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.config import CONTAINER_PAYLOAD, PRESETS, StoreConfig
+from granary.functions import scalar
+from granary.functions.compression import zstd_compress, zstd_decompress
+from granary.operators import chunking, dedup, layout, ordering, restore, retention, rewriting, segmenting, simulation, stats, upgrade
+from granary.plans import relations as rel
+from granary.plans.sql import base
+from granary.sources.files import trace_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+RATIO, KEEP_FROM, FEATURES = 16, 2, 4
+#: Chunks of a container where whole containers are to expire.
+SMALL = 16
+CAP_BUFFER, CAP_LEVEL = 64, 1
+CFL_THRESHOLD, HAR_THRESHOLD, HAR_LIMIT = 0.01, 0.5, 0.4
+CACHE, WINDOW = 4, 64
+CDC = StoreConfig(chunk_avg_size=1024, chunk_min_size=256, chunk_max_size=8192)
+
+
+def query(sql: str | None = None, size: int = 256, entries: int = 1169):
+    """Registers a query; sql goes on after the shared relations."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = base(size, entries) + sql
+        return f
+
+    return add
+
+
+# --- chunks and fingerprints ------------------------------------------------------
+
+
+@query("SELECT file_id, chunk_no, CAST(size AS INTEGER) AS size, fp FROM chunk", size=1024)
+def chunk_fixed(spark, sf):
+    return chunking.fixed_chunks(rel.stream(spark, sf), 1024).select("file_id", "chunk_no", "size", scalar.sha1_fp(F.col("data")).alias("fp"))
+
+
+@query("SELECT file_id, chunk_no, CAST(size AS INTEGER) AS size, fp FROM chunk", size=CONTAINER_PAYLOAD)
+def chunk_file_level(spark, sf):
+    return chunking.file_chunks(rel.stream(spark, sf)).select("file_id", "chunk_no", "size", scalar.sha1_fp(F.col("data")).alias("fp"))
+
+
+def _cdc(name, algorithm):
+    def run(spark, sf):
+        from dataclasses import replace
+
+        return chunking.content_chunks(rel.stream(spark, sf), replace(CDC, chunk_algorithm=algorithm))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+for _name, _algorithm in (("chunk_rabin", "rabin"), ("chunk_normalized", "normalized rabin"), ("chunk_tttd", "tttd"), ("chunk_ae", "ae")):
+    _cdc(_name, _algorithm)
+
+
+@query("SELECT file_id, upper(sha1(unhex(h))) AS fp FROM stream")
+def fingerprint_sha1(spark, sf):
+    return rel.stream(spark, sf).select("file_id", scalar.sha1_fp(F.col("data")).alias("fp"))
+
+
+@query("SELECT file_id, upper(sha256(unhex(h))) AS fp FROM stream")
+def fingerprint_sha256(spark, sf):
+    return rel.stream(spark, sf).select("file_id", scalar.sha256_fp(F.col("data")).alias("fp"))
+
+
+@query("SELECT file_id, h AS hex, true AS same FROM stream")
+def hex_roundtrip(spark, sf):
+    h = scalar.to_hex(F.col("data"))
+    return rel.stream(spark, sf).select("file_id", h.alias("hex"), (scalar.from_hex(F.lower(h)) == F.col("data")).alias("same"))
+
+
+@query("SELECT seq, ('0x' || substr(fp, 39, 2) || substr(fp, 37, 2) || substr(fp, 35, 2) || substr(fp, 33, 2))::UBIGINT % 128 = 0 AS hit FROM chunk")
+def sampling_residue(spark, sf):
+    return rel.chunks(spark, sf).select("seq", (scalar.residue(F.col("fp"), 128) == 0).alias("hit"))
+
+
+@query("SELECT seq, regexp_full_match(x, '(00)+') AS is_zero FROM chunk")
+def zero_chunks(spark, sf):
+    return rel.chunks(spark, sf, data=True).select("seq", scalar.is_zero_chunk(F.col("data")).alias("is_zero"))
+
+
+@query("SELECT substr(fp, 1, 4) AS key, count(DISTINCT fp) AS fps FROM chunk GROUP BY 1 HAVING count(DISTINCT fp) > 1")
+def truncated_keys(spark, sf):
+    return rel.chunks(spark, sf).groupBy(scalar.truncated_key(F.col("fp"), 2).alias("key")).agg(F.count_distinct("fp").alias("fps")).where("fps > 1")
+
+
+@query("SELECT file_id, (version << 48) | (length(h) // 2 << 16) | 7 AS key, CAST(version AS INTEGER) AS v, CAST(length(h) // 2 AS BIGINT) AS off, 7 AS n FROM stream")
+def segment_key_pack(spark, sf):
+    s = rel.stream(spark, sf).select("file_id", scalar.segment_key(F.col("version"), F.length("data"), F.lit(7)).alias("key")).withColumn("p", scalar.segment_parts(F.col("key")))
+    return s.select("file_id", "key", F.col("p.version").alias("v"), F.col("p.offset").alias("off"), F.col("p.size").alias("n"))
+
+
+@query("SELECT file_id, CAST(length(h) // 2 AS INTEGER) AS size, true AS same FROM stream")
+def compress_roundtrip(spark, sf):
+    packed = rel.stream(spark, sf).withColumn("z", zstd_compress("data"))
+    return packed.select("file_id", F.length("data").alias("size"), (zstd_decompress("z", F.length("data")) == F.col("data")).alias("same"))
+
+
+# --- exact deduplication ----------------------------------------------------------
+
+
+@query("SELECT seq, fp, row_number() OVER (PARTITION BY fp ORDER BY seq) > 1 AS is_dup FROM chunk")
+def dedup_exact(spark, sf):
+    return dedup.mark_duplicates(rel.chunks(spark, sf)).select("seq", "fp", "is_dup")
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT fp) AS unique_chunks, CAST(sum(size) AS BIGINT) AS bytes, CAST((SELECT sum(size) FROM stored) AS BIGINT) AS unique_bytes, round((sum(size) - (SELECT sum(size) FROM stored)) / CAST(sum(size) AS DOUBLE), 6) AS dedup_ratio FROM chunk", size=1024)
+def dedup_ratio(spark, sf):
+    chunks = chunking.fixed_chunks(rel.stream(spark, sf), 1024).select("size", scalar.sha1_fp(F.col("data")).alias("fp"))
+    return dedup.totals(chunks)
+
+
+@query("SELECT fp, seq, size FROM stored")
+def first_occurrence(spark, sf):
+    return dedup.stored_chunks(rel.chunks(spark, sf)).select("fp", "seq", F.col("size").cast("bigint").alias("size"))
+
+
+@query("SELECT c.version, count(*) AS chunks, count(*) FILTER (s.v < c.version) AS known, CAST(sum(CASE WHEN s.v < c.version THEN size ELSE 0 END) AS BIGINT) AS known_bytes FROM chunk c JOIN (SELECT fp, min(version) AS v FROM chunk GROUP BY fp) s USING (fp) GROUP BY c.version")
+def dedup_cross_version(spark, sf):
+    chunks = rel.chunks(spark, sf)
+    first = chunks.groupBy("fp").agg(F.min("version").alias("v"))
+    old = F.col("v") < F.col("version")
+    return chunks.join(first, "fp").groupBy("version").agg(F.count("*").alias("chunks"), F.count_if(old).alias("known"), F.sum(F.when(old, F.col("size")).otherwise(0)).alias("known_bytes"))
+
+
+@query("SELECT c.seq, c.fp, c.seq > f.s OR k.fp IS NOT NULL AS is_dup FROM (SELECT * FROM chunk WHERE version = 2) c JOIN (SELECT fp, min(seq) AS s FROM chunk WHERE version = 2 GROUP BY fp) f USING (fp) LEFT JOIN (SELECT DISTINCT fp FROM chunk WHERE version < 2) k USING (fp)")
+def dedup_against_index(spark, sf):
+    chunks = rel.chunks(spark, sf)
+    return dedup.mark_known(chunks.where("version = 2"), chunks.where("version < 2")).select("seq", "fp", "is_dup")
+
+
+@query("SELECT count(*) AS files, count(DISTINCT h) AS distinct_files FROM stream")
+def file_level_dedup(spark, sf):
+    return rel.stream(spark, sf).agg(F.count("*").alias("files"), F.count_distinct("data").alias("distinct_files"))
+
+
+@query("SELECT seq, segment_id, min(seq) OVER (PARTITION BY segment_id, fp) AS first_seq FROM seg")
+def segment_self_references(spark, sf):
+    return dedup.self_references(segmenting.fixed_segments(rel.chunks(spark, sf), rel.SEGMENT)).select("seq", "segment_id", "first_seq")
+
+
+# --- segments and features --------------------------------------------------------
+
+
+@query("SELECT seq, segment_id FROM seg")
+def segment_fixed(spark, sf):
+    return segmenting.fixed_segments(rel.chunks(spark, sf), rel.SEGMENT).select("seq", "segment_id")
+
+
+@query("SELECT seq, file_id AS segment_id FROM chunk")
+def segment_file(spark, sf):
+    return segmenting.file_segments(rel.chunks(spark, sf)).select("seq", "segment_id")
+
+
+@query()
+def segment_content_defined(spark, sf):
+    return segmenting.content_segments(rel.chunks(spark, sf), 64, 16, 256).select("version", "seq", "segment_no")
+
+
+def _segments(spark, sf):
+    return segmenting.fixed_segments(rel.chunks(spark, sf), rel.SEGMENT)
+
+
+@query(f"SELECT DISTINCT segment_id, fp AS feature FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY seq) - 1 AS k FROM seg) WHERE k % {RATIO} = 0")
+def sample_uniform(spark, sf):
+    return segmenting.sample_uniform(_segments(spark, sf), RATIO)
+
+
+_HIT = "('0x' || substr(fp, 39, 2) || substr(fp, 37, 2) || substr(fp, 35, 2) || substr(fp, 33, 2))::UBIGINT"
+
+
+@query(f"SELECT DISTINCT segment_id, fp AS feature FROM seg WHERE {_HIT} % 128 = 0 UNION ALL SELECT segment_id, repeat('0', 40) FROM seg GROUP BY 1 HAVING count(*) FILTER ({_HIT} % 128 = 0) = 0")
+def sample_random(spark, sf):
+    return segmenting.sample_random(_segments(spark, sf), 128)
+
+
+_RANKED = "(SELECT *, count(*) OVER (PARTITION BY segment_id) AS c, row_number() OVER (PARTITION BY segment_id ORDER BY fp, seq) AS r, coalesce(lag(fp, 8) OVER (PARTITION BY segment_id ORDER BY seq), first_value(fp) OVER (PARTITION BY segment_id ORDER BY seq)) AS before FROM seg)"
+_MANY = "greatest(1, c // 32 + CASE WHEN c % 32 > 16 THEN 1 ELSE 0 END)"
+
+
+@query(f"SELECT DISTINCT segment_id, fp AS feature FROM {_RANKED} WHERE r <= {_MANY}")
+def sample_min(spark, sf):
+    return segmenting.sample_min(_segments(spark, sf), 32)
+
+
+@query(f"SELECT DISTINCT segment_id, before AS feature FROM {_RANKED} WHERE r <= {_MANY}")
+def sample_optmin(spark, sf):
+    return segmenting.sample_optimized_min(_segments(spark, sf), 32)
+
+
+# --- index and similarity ---------------------------------------------------------
+
+_SMALL = "(SELECT DISTINCT segment_id, fp AS feature FROM (SELECT segment_id, fp, count(*) OVER (PARTITION BY segment_id) AS c, row_number() OVER (PARTITION BY segment_id ORDER BY fp, seq) AS r FROM seg16) WHERE r <= greatest(1, c // 4 + CASE WHEN c % 4 > 2 THEN 1 ELSE 0 END))"
+_SEG16 = ", seg16 AS (SELECT *, seq // 16 AS segment_id FROM chunk), feat AS (SELECT * FROM " + _SMALL + ")"
+_PAIRS = _SEG16 + f""", pairs AS (SELECT a.segment_id, b.segment_id AS candidate, a.feature FROM
+  (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY segment_id) AS k FROM feat) a JOIN
+  (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY segment_id) AS k FROM feat) b
+  ON a.feature = b.feature AND b.k < a.k AND b.k >= a.k - {FEATURES}),
+cand AS (SELECT segment_id, candidate, count(*) AS shared FROM pairs GROUP BY 1, 2),
+best AS (SELECT segment_id, candidate, shared FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY shared DESC, candidate DESC) AS r FROM cand) WHERE r = 1)
+"""
+
+
+def _small(spark, sf):
+    """Chunks in segments of 16, and 4 features of each."""
+    chunks = segmenting.fixed_segments(rel.chunks(spark, sf), 16)
+    return chunks, segmenting.sample_min(chunks, 4)
+
+
+@query(_SEG16 + f"SELECT feature, array_to_string(list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}], ',') AS ids FROM feat GROUP BY feature")
+def feature_index_last_n(spark, sf):
+    return retention.feature_queue(_small(spark, sf)[1], FEATURES).select("feature", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(_PAIRS + "SELECT segment_id, candidate, shared FROM cand")
+def similar_segments(spark, sf):
+    return dedup.similar_segments(_small(spark, sf)[1], FEATURES)
+
+
+@query(_PAIRS + "SELECT segment_id, candidate, shared FROM best")
+def similar_segments_top1(spark, sf):
+    return dedup.top_segment(dedup.similar_segments(_small(spark, sf)[1], FEATURES))
+
+
+@query()
+def similar_segments_topk(spark, sf):
+    return dedup.top_k_segments(_small(spark, sf)[1], FEATURES, 3)
+
+
+_NEAR = """, near AS (SELECT c.seq, c.segment_id, c.size, c.seq > min(c.seq) OVER (PARTITION BY c.segment_id, c.fp) OR h.fp IS NOT NULL AS is_dup FROM seg16 c
+  LEFT JOIN (SELECT DISTINCT best.segment_id, seg16.fp FROM best JOIN seg16 ON seg16.segment_id = best.candidate) h ON h.segment_id = c.segment_id AND h.fp = c.fp)
+"""
+
+
+@query(_PAIRS + _NEAR + "SELECT seq, segment_id, is_dup FROM near")
+def near_exact_dedup_top1(spark, sf):
+    chunks, features = _small(spark, sf)
+    chosen = dedup.top_segment(dedup.similar_segments(features, FEATURES))
+    return dedup.near_exact(chunks, chosen).select("seq", "segment_id", "is_dup")
+
+
+_SAMPLED = """, con AS (SELECT cid, fp, seq, urank % 1169 AS pos FROM stored),
+hooked AS (SELECT DISTINCT seg.segment_id, con.cid FROM seg JOIN con USING (fp) WHERE con.pos % 16 = 0 AND con.seq < seg.seq),
+known AS (SELECT segment_id, fp, min(con.seq) AS s FROM hooked JOIN con USING (cid) GROUP BY 1, 2)
+SELECT seg.seq, seg.segment_id, seg.seq > min(seg.seq) OVER (PARTITION BY seg.segment_id, seg.fp) OR coalesce(known.s < seg.seq, false) AS is_dup
+FROM seg LEFT JOIN known ON known.segment_id = seg.segment_id AND known.fp = seg.fp
+"""
+
+
+@query(_SAMPLED)
+def sampled_index_dedup(spark, sf):
+    rows, stored = rel.placed(spark, sf)
+    held = stored.withColumn("pos", F.col("urank") % rel.OLD_ENTRIES)
+    return dedup.sampled_index(segmenting.fixed_segments(rows, rel.SEGMENT), held, RATIO).select("seq", "segment_id", "is_dup")
+
+
+@query()
+def index_presets(spark, sf):
+    """What each index design finds on the same stream: (preset, chunks, unique_chunks)."""
+    rows, stored = rel.placed(spark, sf)
+    out = None
+    for name, settings in PRESETS.items():
+        c = StoreConfig(index_preset=name).resolved()
+        if c.index_category == "exact":
+            marked = dedup.mark_duplicates(rows)
+        elif c.index_locality == "physical":
+            held = stored.withColumn("pos", F.col("urank") % rel.OLD_ENTRIES)
+            marked = dedup.sampled_index(segmenting.fixed_segments(rows, rel.SEGMENT), held, 16)
+        else:
+            if settings["segment_algorithm"] == "content-defined":
+                cut = segmenting.content_segments(rows, 64, 16, 256).withColumn("segment_id", F.col("version") * (1 << 40) + F.col("segment_no"))
+            elif settings["segment_algorithm"] == "file-defined":
+                cut = segmenting.file_segments(rows).withColumn("segment_id", F.col("version") * (1 << 40) + F.col("file_id"))
+            else:
+                cut = segmenting.fixed_segments(rows, 16)
+            features = segmenting.sample_random(cut, 8) if settings["sampling_method"] == "random" else segmenting.sample_min(cut, settings["sampling_ratio"])
+            chosen = dedup.similar_segments(features, FEATURES)
+            if settings["segment_top_k" if "segment_top_k" in settings else "segment_selection"] in (1, "top"):
+                chosen = dedup.top_segment(chosen)
+            marked = dedup.near_exact(cut, chosen)
+        one = marked.agg(F.count("*").alias("chunks"), F.count_if(~F.col("is_dup")).alias("unique_chunks")).select(F.lit(name).alias("preset"), "chunks", "unique_chunks")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT count(*) AS entries, count(*) * (20 + 8 * 4 + 4) AS bytes FROM stored")
+def index_footprint(spark, sf):
+    return retention.index_footprint(dedup.stored_chunks(rel.chunks(spark, sf)), 20, FEATURES)
+
+
+@query(_SEG16 + f"SELECT feature, array_to_string(list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}], ',') AS ids FROM feat GROUP BY feature")
+def index_upsert(spark, sf):
+    features = _small(spark, sf)[1]
+    half = features.agg(F.max("segment_id") / 2).first()[0]
+    old = retention.feature_queue(features.where(F.col("segment_id") < half), FEATURES)
+    return retention.upsert(old, features.where(F.col("segment_id") >= half), FEATURES).select("feature", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(_SEG16 + f"SELECT feature, array_to_string(list_filter(list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}], lambda x: x % 2 = 1), ',') AS ids FROM feat GROUP BY feature HAVING len(list_filter(list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}], lambda x: x % 2 = 1)) > 0")
+def index_delete_id(spark, sf):
+    features = _small(spark, sf)[1]
+    gone = features.where("segment_id % 2 = 0").select("segment_id")
+    return retention.delete_id(retention.feature_queue(features, FEATURES), gone).select("feature", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(", f AS (SELECT fp FROM seg WHERE seq % 7 = 0 UNION SELECT fp FROM stored WHERE urank % 5 = 0) SELECT fp FROM f")
+def index_update_union(spark, sf):
+    """Features, unique and rewritten fingerprints together, once each."""
+    rows, stored = rel.placed(spark, sf)
+    return rows.where("seq % 7 = 0").select("fp").unionByName(stored.where("urank % 5 = 0").select("fp")).distinct()
+
+
+# --- containers and recipes -------------------------------------------------------
+
+
+@query("SELECT fp, urank, cid FROM stored")
+def pack_containers(spark, sf):
+    return rel.placed(spark, sf)[1].select("fp", "urank", "cid")
+
+
+@query("SELECT cid, count(*) AS chunk_num, CAST(sum(size) AS BIGINT) AS data_size FROM stored GROUP BY cid")
+def container_meta(spark, sf):
+    return layout.containers(rel.placed(spark, sf)[1])
+
+
+@query("SELECT fp, urank // 1169 AS cid, CAST(urank % 1169 AS INTEGER) AS pos FROM stored")
+def pack_next_fit(spark, sf):
+    """The packing scan, where the entry limit is all that binds."""
+    ranked = layout.rank_uniques(rel.chunks(spark, sf))
+    return layout.pack_next_fit(ranked, rel.OLD_ENTRIES).select("fp", "cid", "pos")
+
+
+@query()
+def pack_variable_chunks(spark, sf):
+    chunks = chunking.content_chunks(rel.stream(spark, sf), CDC)
+    numbered = ordering.dense_index(chunks, ["version", "file_id", "chunk_no"], "seq")
+    return layout.pack_next_fit(dedup.stored_chunks(numbered), rel.OLD_ENTRIES, 65536).select("fp", "size", "cid", "pos")
+
+
+@query("SELECT version, file_id, chunk_no, seq, fp, cid, CAST(size AS INTEGER) AS size FROM recipe")
+def chunk_recipe(spark, sf):
+    return rel.recipe(spark, sf)[0].select("version", "file_id", "chunk_no", "seq", "fp", "cid", "size")
+
+
+@query("SELECT version, file_id, count(*) AS chunk_num, CAST(sum(size) AS BIGINT) AS file_size FROM recipe GROUP BY 1, 2")
+def file_recipe(spark, sf):
+    return layout.file_recipes(rel.recipe(spark, sf)[0])
+
+
+@query("SELECT version, file_id, chunk_no, cid FROM recipe WHERE version = 1 AND pos BETWEEN 100 AND 299")
+def recipe_slice(spark, sf):
+    return rel.recipe(spark, sf)[0].where("version = 1 AND pos BETWEEN 100 AND 299").select("version", "file_id", "chunk_no", "cid")
+
+
+@query("SELECT cid, fp, CAST(size AS INTEGER) AS size FROM stored WHERE cid IN (0, 2)")
+def container_point_read(spark, sf):
+    return rel.placed(spark, sf)[1].where(F.col("cid").isin(0, 2)).select("cid", "fp", "size")
+
+
+@query("SELECT segment_id, fp, min(size) AS size FROM seg WHERE segment_id BETWEEN 3 AND 5 GROUP BY 1, 2")
+def segment_prefetch(spark, sf):
+    """A segment's recipe and those of the two that follow."""
+    return _segments(spark, sf).where("segment_id BETWEEN 3 AND 5").groupBy("segment_id", "fp").agg(F.min("size").cast("bigint").alias("size"))
+
+
+@query("SELECT version, seq, cid FROM (SELECT *, lag(cid) OVER (PARTITION BY version ORDER BY seq) AS l FROM recipe) WHERE cid IS DISTINCT FROM l")
+def access_records(spark, sf):
+    return layout.access_records(rel.recipe(spark, sf)[0])
+
+
+@query("SELECT version, cid, CAST(sum(size) AS BIGINT) AS size FROM recipe GROUP BY 1, 2")
+def container_utilization(spark, sf):
+    return layout.container_utilization(rel.recipe(spark, sf)[0])
+
+
+@query()
+def trace_text(spark, sf):
+    """The text trace of the documents."""
+    c = rel.chunks(spark, sf, 1024).withColumn("file_name", F.concat(F.lit("/doc"), F.col("file_id").cast("string")))
+    return trace_lines(c.select("file_id", "file_name", "chunk_no", "fp", "size"))
+
+
+# --- rewriting --------------------------------------------------------------------
+
+_CAP = f""", w AS (SELECT *, pos // {CAP_BUFFER} AS win FROM recipe),
+top AS (SELECT version, win, cid FROM (SELECT version, win, cid, row_number() OVER (PARTITION BY version, win ORDER BY sum(size) DESC, cid) AS r FROM w WHERE is_dup GROUP BY 1, 2, 3) WHERE r <= {CAP_LEVEL}),
+cap AS (SELECT w.version, w.seq, w.fp, w.cid, w.size, w.is_dup, w.is_dup AND top.cid IS NULL AS out_of_order FROM w LEFT JOIN top ON w.version = top.version AND w.win = top.win AND w.cid = top.cid)
+"""
+
+
+def _capped(spark, sf):
+    return rewriting.capping(rel.recipe(spark, sf)[0], CAP_BUFFER, CAP_LEVEL)
+
+
+@query(_CAP + "SELECT version, seq, out_of_order FROM cap")
+def capping_rewrite(spark, sf):
+    return _capped(spark, sf).select("version", "seq", "out_of_order")
+
+
+@query(f""", m AS (SELECT *, CASE WHEN is_dup THEN cid ELSE -1 END AS c FROM recipe),
+n AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER (PARTITION BY version ORDER BY seq) THEN 1 ELSE 0 END AS b FROM m),
+r AS (SELECT *, sum(b) OVER (PARTITION BY version ORDER BY seq) AS run FROM n)
+SELECT version, seq, is_dup AND sum(size) OVER (PARTITION BY version, run) < {CFL_THRESHOLD * 1169 * 256} AS out_of_order FROM r""")
+def cfl_rewrite(spark, sf):
+    return rewriting.cfl_selective(rel.recipe(spark, sf)[0], CFL_THRESHOLD, rel.PAYLOAD).select("version", "seq", "out_of_order")
+
+
+_HAR = f""", u AS (SELECT version, cid, sum(size) AS size FROM recipe GROUP BY 1, 2),
+sparse AS (SELECT version, cid, CAST(size AS BIGINT) AS size FROM (SELECT u.*, sum(size) OVER (PARTITION BY version ORDER BY size, cid) AS upto FROM u WHERE size / {1169 * 256}.0 < {HAR_THRESHOLD}) x
+  JOIN (SELECT version, sum(size) AS total FROM u GROUP BY 1) t USING (version) WHERE CAST(upto AS DOUBLE) / CAST(total AS DOUBLE) <= {HAR_LIMIT})
+"""
+
+
+def _sparse(recipe):
+    return rewriting.har_sparse(layout.container_utilization(recipe), HAR_THRESHOLD, HAR_LIMIT, rel.PAYLOAD)
+
+
+@query(_HAR + "SELECT version, cid, size FROM sparse")
+def har_sparse(spark, sf):
+    return _sparse(rel.recipe(spark, sf)[0])
+
+
+@query(_HAR + "SELECT r.version, r.seq, r.is_dup AND s.cid IS NOT NULL AS is_sparse FROM recipe r LEFT JOIN sparse s ON s.version + 1 = r.version AND s.cid = r.cid")
+def har_mark(spark, sf):
+    recipe = rel.recipe(spark, sf)[0]
+    return rewriting.har_mark(recipe, _sparse(recipe)).select("version", "seq", "is_sparse")
+
+
+@query(_HAR + "SELECT a.version, count(*) AS inherited FROM sparse a JOIN sparse b ON a.version = b.version + 1 AND a.cid = b.cid GROUP BY 1")
+def har_inherited(spark, sf):
+    return rewriting.inherited_sparse(_sparse(rel.recipe(spark, sf)[0]))
+
+
+_DECIDED = _CAP + """, den AS (SELECT cap.*, coalesce(seq > f, false) AS denied FROM cap LEFT JOIN (SELECT fp, min(seq) AS f FROM cap WHERE out_of_order GROUP BY fp) USING (fp)),
+decided AS (SELECT *, NOT is_dup OR (NOT denied AND out_of_order) AS written FROM den)
+"""
+
+
+def _decided(spark, sf):
+    denied = rewriting.deny_repeats(_capped(spark, sf))
+    no = F.lit(False)
+    return denied.withColumn("written", rewriting.write_decision(F.col("is_dup"), F.col("denied"), no, F.col("out_of_order"), no, F.lit(True)))
+
+
+@query(_DECIDED + "SELECT version, seq, denied, written FROM decided")
+def write_decision(spark, sf):
+    return _decided(spark, sf).select("version", "seq", "denied", "written")
+
+
+@query()
+def cbr_rewrite(spark, sf):
+    return rewriting.cbr(rel.recipe(spark, sf)[0], CAP_BUFFER, 0.7, 0.05, rel.PAYLOAD)
+
+
+@query()
+def cfl_switch(spark, sf):
+    return rewriting.cfl_switch(rel.recipe(spark, sf)[0], 0.6, CACHE, rel.PAYLOAD)
+
+
+# --- restore ----------------------------------------------------------------------
+
+
+@query("SELECT r.version, r.file_id, r.chunk_no, s.x AS data FROM recipe r JOIN stored s ON r.cid = s.cid AND r.fp = s.fp")
+def restore_join(spark, sf):
+    recipe = rel.recipe(spark, sf)[0]
+    return restore.restore_chunks(recipe, rel.entries(spark, sf)).select("version", "file_id", "chunk_no", F.hex("data").alias("data"))
+
+
+@query("SELECT version, file_id, upper(sha256(unhex(h))) AS digest FROM stream WHERE length(h) > 0")
+def restore_files(spark, sf):
+    whole = restore.restore_files(rel.recipe(spark, sf)[0], rel.entries(spark, sf))
+    return whole.select("version", "file_id", scalar.sha256_fp(F.col("data")).alias("digest"))
+
+
+@query("SELECT 'lost' AS side, CAST(0 AS BIGINT) AS files WHERE false")
+def restore_roundtrip_diff(spark, sf):
+    whole = restore.restore_files(rel.recipe(spark, sf)[0], rel.entries(spark, sf))
+    return restore.round_trip_difference(rel.stream(spark, sf).where(F.length("data") > 0), whole)
+
+
+def _restore(name, policy):
+    def run(spark, sf):
+        return simulation.restore_cost(rel.recipe(spark, sf)[0], policy, CACHE, WINDOW, rel.PAYLOAD)
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+for _name, _policy in (("restore_lru", "lru"), ("restore_opt", "opt"), ("restore_asm", "asm")):
+    _restore(_name, _policy)
+
+
+@query()
+def cfl_monitor(spark, sf):
+    return simulation.cfl(rel.recipe(spark, sf)[0], CACHE, rel.PAYLOAD)
+
+
+# --- upgrade ----------------------------------------------------------------------
+
+_MAP = ", fp_map AS (SELECT cid AS old_cid, fp AS old_fp, upper(sha256(unhex(x))) AS new_fp, new_cid FROM stored)"
+_UPGRADED = _MAP + " SELECT r.version, r.file_id, r.chunk_no, m.new_fp, m.new_cid FROM recipe r JOIN fp_map m ON m.old_cid = r.cid AND m.old_fp = r.fp"
+
+
+def _map(spark, sf):
+    return upgrade.fingerprint_map(rel.entries(spark, sf), rel.NEW_ENTRIES)
+
+
+@query(_MAP + " SELECT old_cid, old_fp, new_fp, new_cid FROM fp_map")
+def fp_map(spark, sf):
+    return _map(spark, sf)
+
+
+@query(_UPGRADED)
+def upgrade_pfu(spark, sf):
+    return upgrade.upgrade_by_fingerprint(rel.recipe(spark, sf)[0], _map(spark, sf)).select("version", "file_id", "chunk_no", "new_fp", "new_cid")
+
+
+@query(_UPGRADED)
+def upgrade_conpfu(spark, sf):
+    return upgrade.upgrade_by_container(rel.recipe(spark, sf)[0], _map(spark, sf)).select("version", "file_id", "chunk_no", "new_fp", "new_cid")
+
+
+@query(_UPGRADED)
+def upgrade_lfu(spark, sf):
+    """Every logical chunk is fetched, hashed anew and deduplicated again."""
+    recipe, _ = rel.recipe(spark, sf)
+    data = restore.restore_chunks(recipe, rel.entries(spark, sf)).withColumn("new_fp", scalar.sha256_fp(F.col("data"))).drop("data")
+    again = data.select("version", "file_id", "chunk_no", "seq", "size", F.col("new_fp").alias("fp"))
+    where = layout.pack_by_rank(layout.rank_uniques(again), rel.NEW_ENTRIES, "new_cid").select("fp", "new_cid")
+    return again.join(where, "fp").select("version", "file_id", "chunk_no", F.col("fp").alias("new_fp"), "new_cid")
+
+
+_COPIES = _DECIDED + """, copy AS (SELECT fp, 0 AS n, seq FROM stored UNION ALL SELECT fp, 1, seq FROM decided WHERE is_dup AND written),
+cc AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1169 AS c2, (row_number() OVER (ORDER BY seq) - 1) // 818 AS n2 FROM copy),
+last AS (SELECT fp, max(c2) AS c2 FROM cc GROUP BY fp)
+SELECT old.fp AS old_fp, old.c2 AS old_cid, old.n2 AS by_container, l.n2 AS by_fingerprint FROM cc old JOIN cc l ON l.fp = old.fp JOIN last ON last.fp = l.fp AND last.c2 = l.c2
+"""
+
+
+@query(_COPIES)
+def upgrade_modes_differ(spark, sf):
+    """With rewriting, a chunk lies in two containers: the map keyed by container tells
+    its copies apart, the one keyed by fingerprint does not."""
+    decided = _decided(spark, sf)
+    copies = decided.where("written").select("fp", "seq")
+    ranked = ordering.dense_index(copies, ["seq"], "rank")
+    held = ranked.select("fp", F.floor(F.col("rank") / rel.OLD_ENTRIES).cast("bigint").alias("old_cid"), F.floor(F.col("rank") / rel.NEW_ENTRIES).cast("bigint").alias("by_container"))
+    last = held.groupBy("fp").agg(F.max("old_cid").alias("c"))
+    latest = held.join(last, "fp").where("old_cid = c").select("fp", F.col("by_container").alias("by_fingerprint"))
+    return held.join(latest, "fp").select(F.col("fp").alias("old_fp"), "old_cid", "by_container", "by_fingerprint")
+
+
+
+
+def _lanes_sql() -> str:
+    lanes = " UNION ALL ".join(
+        f"SELECT file_id, {k} AS k, min(((CAST(cid AS HUGEINT) * {a}) % 18446744073709551616 + {b}) % 18446744073709551616) AS feature FROM recipe GROUP BY file_id"
+        for k, (a, b) in enumerate(scalar.lane_constants())
+    )
+    return f", feature AS ({lanes})"
+
+
+_FEATURE = _lanes_sql()
+
+
+def _recipe_features(spark, sf):
+    return upgrade.recipe_features(rel.recipe(spark, sf)[0])
+
+
+@query(_FEATURE + " SELECT file_id, k, CAST(feature AS VARCHAR) AS feature FROM feature")
+def recipe_minhash(spark, sf):
+    return _recipe_features(spark, sf).select("file_id", "k", F.col("feature").cast("string").alias("feature"))
+
+
+@query(_FEATURE + " SELECT a, file_id AS b, count(*) AS shared FROM feature JOIN (SELECT k, feature, min(file_id) AS a FROM feature GROUP BY 1, 2) USING (k, feature) WHERE file_id > a GROUP BY 1, 2")
+def recipe_similarity_pairs(spark, sf):
+    return upgrade.similar_recipes(_recipe_features(spark, sf))
+
+
+@query(_FEATURE + " SELECT k, CAST(feature AS VARCHAR) AS feature, count(*) AS recipes FROM feature GROUP BY 1, 2")
+def recipe_feature_table(spark, sf):
+    return upgrade.inverted_features(_recipe_features(spark, sf)).select("k", F.col("feature").cast("string").alias("feature"), "recipes")
+
+
+@query("SELECT file_id, count(DISTINCT cid) AS containers FROM recipe GROUP BY 1")
+def unique_containers_per_recipe(spark, sf):
+    return upgrade.unique_containers(rel.recipe(spark, sf)[0])
+
+
+@query()
+def recipe_cdc(spark, sf):
+    return upgrade.split_recipe(rel.recipe(spark, sf)[0], 2, 4, 6)
+
+
+@query()
+def sim_order(spark, sf):
+    return upgrade.similarity_order(_recipe_features(spark, sf))
+
+
+@query("SELECT 'lfu' AS mode, count(*) AS hashed FROM recipe UNION ALL SELECT m, (SELECT count(*) FROM stored) FROM (VALUES ('pfu'), ('con-pfu'), ('sim-pfu')) t(m)")
+def upgrade_hash_counts(spark, sf):
+    recipe, stored = rel.recipe(spark, sf)
+    return upgrade.upgrade_counters(recipe, stored)
+
+
+@query()
+def upgrade_cache_lookups(spark, sf):
+    """External lookups at equal cache: by fingerprint, by container, and by container
+    in similarity order."""
+    recipe, stored = rel.recipe(spark, sf)
+    sizes = layout.containers(stored)
+    cache = 4 * rel.OLD_ENTRIES * 60
+    plain = recipe.select(F.col("seq").alias("pos"), "cid", "fp")
+    order = upgrade.similarity_order(_recipe_features(spark, sf))
+    ranked = recipe.join(order.withColumnRenamed("pos", "rank"), "file_id").select((F.col("rank") * (1 << 24) + F.col("chunk_no")).alias("pos"), "cid", "fp")
+    out = simulation.upgrade_lookups(plain, sizes, cache, "fp").withColumn("mode", F.lit("pfu"))
+    out = out.unionByName(simulation.upgrade_lookups(plain, sizes, cache, "cid").withColumn("mode", F.lit("con-pfu")))
+    return out.unionByName(simulation.upgrade_lookups(ranked, sizes, cache, "cid").withColumn("mode", F.lit("sim-pfu")))
+
+
+# --- retention --------------------------------------------------------------------
+
+
+@query("SELECT cid, max(version) AS last_version FROM recipe GROUP BY cid", entries=SMALL)
+def manifest(spark, sf):
+    return retention.manifest(rel.recipe(spark, sf, SMALL)[0])
+
+
+@query(f"SELECT cid, max(version) AS last_version FROM recipe GROUP BY cid HAVING max(version) < {KEEP_FROM}", entries=SMALL)
+def gc_reclaim(spark, sf):
+    return retention.reclaimed(retention.manifest(rel.recipe(spark, sf, SMALL)[0]), KEEP_FROM)
+
+
+@query(f"SELECT count(*) AS containers FROM (SELECT cid FROM recipe GROUP BY cid HAVING max(version) >= {KEEP_FROM})", entries=SMALL)
+def live_containers(spark, sf):
+    return retention.live(retention.manifest(rel.recipe(spark, sf, SMALL)[0]), KEEP_FROM).agg(F.count("*").alias("containers"))
+
+
+@query(f"SELECT fp, cid FROM stored WHERE cid NOT IN (SELECT cid FROM recipe GROUP BY cid HAVING max(version) < {KEEP_FROM})", entries=SMALL)
+def index_after_gc(spark, sf):
+    recipe, stored = rel.recipe(spark, sf, SMALL)
+    gone = retention.reclaimed(retention.manifest(recipe), KEEP_FROM)
+    return retention.index_after(stored.select("fp", "cid"), gone)
+
+
+# --- counters ---------------------------------------------------------------------
+
+_COUNTERS = _DECIDED + """, counters AS (SELECT c.version, count(DISTINCT c.file_id) AS files, count(*) AS chunks, CAST(sum(c.size) AS BIGINT) AS bytes,
+  count(*) FILTER (NOT is_dup) AS unique_chunks, CAST(coalesce(sum(c.size) FILTER (NOT is_dup), 0) AS BIGINT) AS unique_bytes,
+  count(*) FILTER (is_dup AND written) AS rewritten_chunks, CAST(coalesce(sum(c.size) FILTER (is_dup AND written), 0) AS BIGINT) AS rewritten_bytes,
+  count(*) FILTER (regexp_full_match(x, '(00)+')) AS zero_chunks FROM chunk c JOIN decided d ON d.seq = c.seq GROUP BY c.version)
+"""
+
+
+def _counters(spark, sf):
+    zero = rel.chunks(spark, sf, data=True).select("seq", scalar.is_zero_chunk(F.col("data")).alias("is_zero"))
+    return stats.job_counters(_decided(spark, sf).withColumn("rewritten", F.col("is_dup") & F.col("written")).join(zero, "seq"))
+
+
+@query(_COUNTERS + "SELECT * FROM counters")
+def job_counters(spark, sf):
+    return _counters(spark, sf)
+
+
+@query(_COUNTERS + "SELECT version, round((bytes - unique_bytes - rewritten_bytes) / CAST(bytes AS DOUBLE), 6) AS dedup_ratio, round(bytes / CAST(unique_bytes + rewritten_bytes AS DOUBLE), 6) AS dedup_factor, round(rewritten_bytes / CAST(bytes AS DOUBLE), 6) AS rewrite_ratio FROM counters")
+def job_ratios(spark, sf):
+    return stats.ratios(_counters(spark, sf))
+
+
+@query(_COUNTERS + "SELECT version, CAST(sum(bytes) OVER (ORDER BY version) AS BIGINT) AS total_bytes, CAST(sum(unique_bytes) OVER (ORDER BY version) AS BIGINT) AS stored_bytes, CAST(sum(chunks) OVER (ORDER BY version) AS BIGINT) AS total_chunks FROM counters")
+def cumulative_totals(spark, sf):
+    return stats.cumulative(_counters(spark, sf))
+
+
+@query("SELECT count(*) AS segments, CAST(sum(n) AS BIGINT) AS chunks, round(avg(n), 6) AS mean_chunks FROM (SELECT count(*) AS n FROM seg GROUP BY segment_id)")
+def segment_stats(spark, sf):
+    return stats.segment_stats(_segments(spark, sf))
+
+
+@query("SELECT cid, round(sum(size) / 299264.0, 6) AS utilization FROM stored GROUP BY cid")
+def utilization(spark, sf):
+    used = layout.containers(rel.placed(spark, sf)[1])
+    return used.select("cid", F.round(scalar.utilization(F.col("data_size"), rel.PAYLOAD), 6).alias("utilization"))
+
+
+@query("SELECT r AS ratio, CAST(floor(s * 0.0025 * r / 100) AS BIGINT) AS cache_bytes FROM (SELECT sum(size) AS s FROM stored), (VALUES (10), (20), (40), (50), (60), (80), (100), (200)) t(r)")
+def evaluation_cache_sizes(spark, sf):
+    total = rel.placed(spark, sf)[1].agg(F.sum("size").alias("s"))
+    ratios = F.explode(F.array(*[F.lit(r) for r in (10, 20, 40, 50, 60, 80, 100, 200)]))
+    return total.select("s", ratios.alias("ratio")).select("ratio", F.floor(F.col("s") * 0.0025 * F.col("ratio") / 100).alias("cache_bytes"))
