@@ -106,9 +106,10 @@ def train(texts: dict[str, list[str]]) -> Model:
         offsets = np.cumsum([0, *map(len, raw)])
         padded, starts = _padded(np.frombuffer(b"".join(raw), np.uint8), offsets)
         counted[lang] = {n: np.unique(_grams(padded, starts, n), return_counts=True) for n in (1, 2, 3, 4)}
-    byte, two = np.arange(256, dtype=np.uint32), np.arange(1 << 16, dtype=np.uint32)
+    two = np.arange(1 << 16, dtype=np.uint32)
     union = lambda n: np.unique(np.concatenate([counted[x][n][0] for x in languages] + [np.empty(0, np.uint32)]))
-    g3, g4 = union(3), union(4)
+    g4 = union(4)
+    g3 = np.union1d(union(3), np.unique(g4 >> np.uint32(8)))  # with the pads, which no text has as a gram
     weight = np.zeros(len(g3), np.int64)
     for lang in languages:
         keys, counts = counted[lang][4]
@@ -135,7 +136,6 @@ def train(texts: dict[str, list[str]]) -> Model:
         b2.append(order1), b3.append(order2), b4.append(order3)
         e2.append(_escapes(two, *c[3])), e3.append(_escapes(g3, *c[4]))
     pack = lambda x: np.stack(x, 1).astype(np.float32)
-    del byte
     return Model(languages, g3, pack(b3), pack(e3), row4 * 256 + (g4 & 255), pack(b4), kept, pack(b2), pack(e2))
 
 
