@@ -82,10 +82,15 @@ def features_of(text: str) -> np.ndarray:
     return np.empty(0, np.int64)
 
 
-def _swaps(terms) -> dict[int, int]:
-    """Feature of an identity term's word -> that of the next term of its group."""
-    word = lambda t: int(_word_features(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t.encode())]))[0, 0])
-    return {word(a): word(b) for group in terms for a, b in zip(group, (*group[1:], group[0]), strict=True)}
+def _swaps(terms) -> dict[int, tuple[list[int], list[int]]]:
+    """Feature of an identity term's word -> all features of the term (of its word and
+    beginnings), and those of the next term of its group."""
+
+    def of(t: str) -> list[int]:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return [int(f) for f in _word_features(raw, np.array([0]), np.array([len(raw)]))[0] if f >= 0]
+
+    return {of(a)[0]: (of(a), of(b)) for group in terms for a, b in zip(group, (*group[1:], group[0]), strict=True)}
 
 
 def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridge: float = 0.02, fairness: float = 1.0, most: int = 4096, steps: int = 400) -> Model:
@@ -108,7 +113,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridg
     share = n1 / (n1 + n0)
     z = (df1 - share * seen) / np.sqrt(np.maximum(share * (1 - share) * seen, 1e-9))
     swap = _swaps(terms)
-    identity = np.array(sorted({*swap, *swap.values()}), np.int64)
+    identity = np.array(sorted({f for pair in swap.values() for side in pair for f in side}), np.int64)
     good = np.flatnonzero((seen >= 3) & (z >= 3.5))
     good = good[np.argsort(-z[good], kind="stable")[:most]]
     features = np.union1d(good, identity[seen[identity] > 0])
@@ -116,12 +121,15 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridg
     where[features] = np.arange(len(features))
     held = where[flat] >= 0
     r, c = rows[held], where[flat[held]]
-    # Changes by swapping: the term's column goes, the other's comes (if it is a feature).
-    partner = np.full(1 << BITS, -1, np.int64)
-    partner[list(swap)] = list(swap.values())
-    named = held & (partner[flat] >= 0)
-    sr, minus, to = rows[named], where[flat[named]], partner[flat[named]]
-    plus = where[to]
+    # Changes by swapping: (text, feature, -1 or 1) for what goes and what comes.
+    changes = [
+        (row, int(where[f]), sign)
+        for row, word in zip(rows[np.isin(flat, list(swap))], flat[np.isin(flat, list(swap))], strict=True)
+        for sign, side in zip((-1, 1), swap[int(word)], strict=True)
+        for f in side
+        if where[f] >= 0
+    ]
+    sr, sf, sign = (np.array(x) for x in zip(*changes, strict=True)) if changes else (np.empty(0, np.int64),) * 3
     m = len(features)
     n_swapped = max(1, len(np.unique(sr)))
     n = len(texts)
@@ -133,8 +141,8 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridg
         err = (p - toxic) / n
         grad = np.append(np.bincount(c, err[r], m) + ridge / n * w[:m], err.sum())
         if len(sr):
-            change = np.bincount(sr, np.where(plus >= 0, w[plus], 0) - w[minus], n) * 2 * fairness / n_swapped
-            grad[:m] += np.bincount(plus[plus >= 0], change[sr][plus >= 0], m) - np.bincount(minus, change[sr], m)
+            change = np.bincount(sr, sign * w[sf], n) * 2 * fairness / n_swapped
+            grad[:m] += np.bincount(sf, sign * change[sr], m)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         rate = 0.2 * (1 - (step - 1) / steps)
@@ -154,7 +162,7 @@ def score(model: Model, column) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out + model.bias, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_bytes: int = 1 << 15, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, sample_bytes: int = 1 << 15, **options) -> Model:
     """A model from the labelled documents that are not held out: about `sample_rows`
     distinct texts, of up to `sample_bytes` bytes each. A doc_id with several labels
     counts as toxic if one of them says so; null labels are left out."""
