@@ -97,3 +97,32 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+ORACLES["op4_chat"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
+d AS (SELECT ts, len(ts) AS n, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY ts),
+longest AS (SELECT * FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.ts[1] = a.ts[1] AND b.n > a.n AND b.ts[1:a.n] = a.ts)),
+held AS (SELECT a.conv_id, sum(b.copies) - 1 AS n_collapsed FROM longest a JOIN d b ON a.ts[1] = b.ts[1] AND b.n <= a.n AND a.ts[1:b.n] = b.ts GROUP BY a.conv_id)
+SELECT conv_id, CAST(n AS INTEGER) AS n_turns, CAST(n_collapsed AS BIGINT) AS n_collapsed,
+  array_to_string(list_transform(ts, lambda x: '<|im_start|>' || x.role || chr(10) || replace(replace(x.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10)), '') AS text
+FROM longest JOIN held USING (conv_id)
+"""
+
+
+def _license_sql() -> str:
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licenses.TEMPLATES)
+    split = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+    cut = "unnest(range(1, greatest(len(w) - 3, 2))) AS i"
+    return f"""
+WITH tw AS (SELECT template_id, license, {split} FROM (VALUES {quoted}) v(template_id, license, text)),
+dw AS (SELECT doc_id, {split} FROM documents),
+ts AS (SELECT DISTINCT template_id, license, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT template_id, license, w, {cut} FROM tw WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, {cut} FROM dw WHERE len(w) > 0)),
+n AS (SELECT template_id, count(*) AS n_template FROM ts GROUP BY 1),
+m AS (SELECT doc_id, template_id, license, count(*) AS n_shared FROM ds JOIN ts USING (g) GROUP BY ALL)
+SELECT doc_id, template_id, license, n_shared, n_template FROM m JOIN n USING (template_id) WHERE 100 * n_shared >= 80 * n_template
+"""
+
+
+ORACLES["op8_licenses"] = _license_sql()
