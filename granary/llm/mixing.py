@@ -2,7 +2,8 @@
 
 A naive Bayes classifier, fitted on the labelled table, gives each document a
 posterior over domains. Rates r >= 0 are then fitted to the documents by projected
-gradient steps on the least squares of
+gradient steps (the sum of steps is kept and projected when it is used) on the least
+squares of
 
     sum over documents of r * tokens * posterior[d]  -  target[d]
 
@@ -30,7 +31,9 @@ WORD_SPACE, MOST_WORDS = 1 << 24, 512
 #: Bins of each plain statistic.
 BINS = 12
 #: Passes over the data at most, and the miss (as a share of all target tokens) that ends them.
-PASSES, PRECISION = 25, 1e-9
+PASSES, PRECISION = 40, 1e-9
+#: Weight of staying near even rates, as a share of all tokens.
+NEARNESS = 1e-9
 RESULTS = ("n_tokens", "domain", "rate", "copies")
 
 
@@ -71,8 +74,8 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """Log-probabilities for each domain: of the prior, of the bins of each statistic,
-    and of informative words being present."""
+    """Log-probabilities for each domain: of the prior and all informative words being
+    absent, of the bins of each statistic, and the log-odds of a word's presence."""
 
     def __init__(self, domains: list[str], prior: list[float], stats: list[list[list[float]]], found: dict[int, list[float]]):
         self.domains, self.prior, self.stats, self.found = domains, prior, stats, found
@@ -103,9 +106,10 @@ class Classifier:
             score = F.greatest(score, (F.col(f"c{j}") - seen * share) / F.sqrt(seen * (share * (1 - share)) + F.lit(1e-9)))
         words_ = rows.select("d", F.explode("b").alias("w")).groupBy("w").agg(*each).withColumn("seen", seen).where("seen >= 4").withColumn("score", score)
         top = words_.orderBy(F.desc("score"), "w").limit(MOST_WORDS)  # the model's size, not a cut of data
-        found = {r["w"]: [math.log((r[f"c{j}"] + 0.5) / (size.get(d, 0) + 1)) for j, d in enumerate(domains)] for r in top.collect()}
-        # Centred, as the absence of a word is not scored.
-        found = {w: [x - max(v) for x in v] for w, v in found.items()}
+        share = {r["w"]: [(r[f"c{j}"] + 0.5) / (size.get(d, 0) + 1) for j, d in enumerate(domains)] for r in top.collect()}
+        # Absent words count too: all are taken as absent, and a present one makes up for it.
+        prior = [prior[j] + sum(math.log(1 - v[j]) for v in share.values()) for j in range(k)]
+        found = {w: [math.log(x / (1 - x)) for x in v] for w, v in share.items()}
         return cls(domains, prior, stats, found)
 
     def posterior(self) -> Column:
@@ -139,47 +143,57 @@ class Classifier:
         return let(F.array_intersect(b, known), of)
 
 
-def _rate(steps: list[list[float]], start: float, k: int) -> Column:
-    """The rate after the given steps, from the posterior p."""
+def _rate(shift: list[float], start: float) -> Column:
+    """The rate of a posterior p: the starting rate less p times the sum of the steps so
+    far, projected on what is not negative."""
     p = F.col("__gr_p")
-    dot = lambda m: sum((F.get(p, F.lit(j)) * F.get(m, F.lit(j)) for j in range(1, k)), F.get(p, F.lit(0)) * F.get(m, F.lit(0)))
-    every = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
-    return F.aggregate(every, F.lit(float(start)), lambda r, m: F.greatest(F.lit(0.0), r - dot(m)))
+    moved = F.lit(float(start))
+    for j, m in enumerate(shift):
+        moved = moved - F.get(p, F.lit(j)) * F.lit(float(m))
+    return F.greatest(F.lit(0.0), moved)
 
 
-def solve(rows: DataFrame, targets: list[float]) -> tuple[list[list[float]], float, list[float]]:
-    """Steps, starting rate and token totals reached for rows of __gr_p and n_tokens."""
+def solve(rows: DataFrame, targets: list[float]) -> tuple[list[float], float, list[float]]:
+    """Sum of the steps, starting rate and token totals reached for rows of __gr_p and
+    n_tokens.
+
+    What is minimised is half the squared miss of the targets, and a small multiple of
+    the squared distance of the rates from the even one, each document weighing as
+    its tokens. A gradient step moves a document's rate by p times a vector that all
+    documents share, so the state is that vector. Steps are taken in the metric of the
+    active documents and are halved where they do not descend."""
     k = len(targets)
-    n, p = F.col("n_tokens"), F.col("__gr_p")
+    n, p, want = F.col("n_tokens"), F.col("__gr_p"), np.array(targets)
     part = lambda j: F.get(p, F.lit(j))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    start = sum(targets) / total if total else 0.0
-    steps: list[list[float]] = []
-    last = None
+    start = float(want.sum()) / total if total else 0.0
+    even = NEARNESS * max(float(total), 1.0) / k
+    shift, step, best = np.zeros(k), np.zeros(k), None
     for _ in range(PASSES):
-        r = rows.withColumn("r", _rate(steps, start, k))
+        r = rows.withColumn("r", _rate(list(shift + step), start))
         sums = [F.sum(F.col("r") * n * part(j)) for j in range(k)]
         gram = [F.sum(F.when(F.col("r") > 0, n * part(i) * part(j)).otherwise(0.0)) for i in range(k) for j in range(i, k)]
-        got = [float(x or 0.0) for x in r.agg(*sums, *gram).first()]
-        reached, upper = np.array(got[:k]), iter(got[k:])
-        miss = reached - np.array(targets)
-        size = float(np.abs(miss).max(initial=0.0))
-        if size <= PRECISION * max(1.0, sum(targets)):
-            break
-        if last is not None and size >= last * (1 - 1e-3):  # no progress: a shorter step, or the end
-            if len(steps) and max(map(abs, steps[-1])) < 1e-9:
+        got = [float(x or 0.0) for x in r.agg(*sums, *gram, F.sum(n * F.col("r") * F.col("r"))).first()]
+        reached, upper = np.array(got[:k]), iter(got[k:-1])
+        at = shift + step
+        height = 0.5 * got[-1] + float(want @ at) + 0.5 * even * float(at @ at)
+        if best is not None and height > best[0] + 1e-12 * abs(best[0]):
+            step = step / 2
+            if np.abs(step).max() < 1e-12:
                 break
-            steps[-1] = [x / 2 for x in steps[-1]]
-            last = max(last, size)
             continue
-        a = np.zeros((k, k))
+        a = np.eye(k) * even
         for i in range(k):
             for j in range(i, k):
-                a[i, j] = a[j, i] = next(upper)
-        a += np.eye(k) * (1e-9 * max(float(np.trace(a)), 1e-30))
-        steps.append([float(x) for x in np.linalg.solve(a, miss)])
-        last = size
-    return steps, start, [float(x) for x in reached]
+                x = next(upper)
+                a[i, j] += x
+                a[j, i] += x if i != j else 0.0
+        shift, best = at, (height, reached)
+        slope = reached - want - even * at
+        if np.abs(slope).max(initial=0.0) <= PRECISION * max(1.0, want.sum()):
+            break
+        step = np.linalg.solve(a, slope)
+    return [float(x) for x in shift], start, [float(x) for x in (best[1] if best else want * 0)]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, sample_rows: int = 20_000, carry: list[str] | None = None) -> DataFrame:
@@ -204,7 +218,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     rows = cut(_features(base).select(*[F.col(f"`{c}`") for c in (base.columns if carry is None else carry)], F.col("__gr.n").alias("n_tokens"), model.posterior().alias("__gr_p")))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     want = float(total if budget is None else budget)
-    steps, start, _ = solve(rows, [want * weights[d] / whole for d in domains])
+    shift, start, _ = solve(rows, [want * weights[d] / whole for d in domains])
     p = F.col("__gr_p")
     spread = F.pmod(F.xxhash64(F.lit(2), "doc_id", F.col("n_tokens")), F.lit(1 << 30)) / float(1 << 30)
     for j, d in enumerate(domains):
@@ -212,7 +226,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     names = F.array(*[F.lit(d) for d in domains])
     return (
         rows.withColumn("domain", F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int")))
-        .withColumn("rate", _rate(steps, start, len(domains)))
+        .withColumn("rate", _rate(shift, start))
         .withColumn("copies", (F.floor("rate") + F.when(spread < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
         .drop("__gr_p")
     )
