@@ -23,7 +23,9 @@ WIDTH, SHORT = 5, 12
 SHINGLES, STRIDE, BANDS = SHORT - WIDTH + 1, 4, 8
 THRESHOLD = 80
 #: The bit set of template values: so many bits for each, and never more than the second.
-BITS_EACH, MOST_BITS = 16, 1 << 21
+BITS_EACH, MOST_BITS = 256, 1 << 21
+#: Values of templates up to which the exact comparison is made as well.
+MOST_EXACT = 8192
 T1, T2 = "__gr_t1", "__gr_t2"
 
 #: Notices and first sentences of well-known licenses.
@@ -61,23 +63,17 @@ def _seed(band: int) -> int:
 SEEDS = [_seed(b) for b in range(BANDS)]
 
 
-def _bands(window: Column) -> Column:
-    """One MinHash value for each band: the least of the window's shingles under a
-    permutation (xor by the band's seed), hashed with the band's number."""
-    def band(b: int, seed: int) -> Column:
-        return F.xxhash64(F.lit(b), F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(seed).cast("bigint")))))
-
-    return F.array(*[band(b, seed) for b, seed in enumerate(SEEDS)])
-
-
-def _windows(sh: Column, stride: int) -> Column:
+def _bands(sh: Column, stride: int) -> Column:
+    """The MinHash values of all windows, bands after one another. Band b orders
+    shingles by xor with its seed, so its value tells the band as well; a window of one
+    shingle is named by the shingle itself."""
     starts = F.when(F.size(sh) >= SHINGLES, F.sequence(F.lit(0), F.size(sh) - SHINGLES, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: _bands(F.array(*[F.get(sh, i + j) for j in range(SHINGLES)])))
 
+    def band(seed: int) -> Column:
+        flip = F.lit(seed).cast("bigint")
+        return F.transform(starts, lambda i: F.least(*[F.get(sh, i + j).bitwiseXOR(flip) for j in range(SHINGLES)]))
 
-def _single(x: Column) -> Column:
-    """The value of a window of one shingle, apart from those of bands."""
-    return F.xxhash64(F.lit(-1), x)
+    return F.concat(*[band(seed) for seed in SEEDS])
 
 
 def _text_words(text: str = "text") -> Column:
@@ -85,8 +81,8 @@ def _text_words(text: str = "text") -> Column:
 
 
 def _test(values: DataFrame, bits: int) -> Column:
-    bit = F.pmod(F.col("v"), F.lit(bits)).cast("int")
-    got = values.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(v, {bits}L) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b")).collect()
+    bit = F.col("v").bitwiseAND(F.lit(bits - 1).cast("bigint")).cast("int")
+    got = values.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(v & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b")).collect()
     full = [0] * (bits // 64)
     for w, b in got:
         full[w] = b
@@ -105,24 +101,30 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: int = THRESHOLD) -> D
     t = cut(t.select("template_id", "license", F.size("ws").alias("n"), "sh"))
     short, long_ = t.where(F.col("n") <= SHORT), t.where(F.col("n") > SHORT)
     values = cut(
-        short.select("template_id", F.explode(F.transform("sh", _single)).alias("v"))
-        .union(long_.select("template_id", F.explode(F.flatten(_windows(F.col("sh"), 1))).alias("v")))
+        short.select("template_id", F.explode("sh").alias("v"))
+        .union(long_.select("template_id", F.explode(_bands(F.col("sh"), 1)).alias("v")))
         .distinct()
     )
+    n_values = values.count()
     bits = 1 << 12
-    while bits < min(MOST_BITS, values.count() * BITS_EACH):
+    while bits < min(MOST_BITS, n_values * BITS_EACH):
         bits *= 2
     test = _test(values, bits)
+    # Few values are also compared exactly before a row leaves its task.
+    exact = [r[0] for r in values.select("v").distinct().collect()] if n_values <= MOST_EXACT else None
 
     def known(v):
-        bit = F.pmod(v, F.lit(bits)).cast("int")
+        bit = v.bitwiseAND(F.lit(bits - 1).cast("bigint")).cast("int")
         return F.getbit(F.get(test, F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1
 
     def found(sh):
-        singles = F.filter(F.transform(sh, _single), known)
-        bands = F.filter(F.flatten(_windows(sh, STRIDE)), known)
-        hits = F.array_distinct(F.concat(singles, bands))
-        return F.struct(hits.alias("hits"), F.when(F.size(hits) > 0, F.array_distinct(sh)).alias("sh"))
+        def kept(hits):
+            if exact is not None:
+                every = F.split(F.lit(",".join(map(str, exact))), ",").cast("array<bigint>") if exact else F.array().cast("array<bigint>")
+                hits = F.when(F.size(hits) > 0, F.array_intersect(hits, every)).otherwise(hits)
+            return let(hits, lambda h: F.struct(h.alias("hits"), F.when(F.size(h) > 0, F.array_distinct(sh)).alias("sh")))
+
+        return let(F.concat(F.filter(sh, known), F.filter(_bands(sh, STRIDE), known)), kept)
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias(T1), F.xxhash64(F.lit(1), "text").alias(T2), let(_text_words(), lambda ws: let(_shingles(ws), found)).alias("x"))
     hit = cut(keyed.where(F.size("x.hits") > 0).select("doc_id", T1, T2, "x.hits", "x.sh"))
