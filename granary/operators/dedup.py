@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.shipping import ship
+
 
 def stored_chunks(chunks: DataFrame) -> DataFrame:
     """One row for each fingerprint: fp, seq of its first chunk, and size."""
@@ -43,15 +45,30 @@ def self_references(chunks: DataFrame) -> DataFrame:
     return chunks.join(own, ["segment_id", "fp"])
 
 
+def earlier_segments(features: DataFrame, n: int, span: int = 1024) -> DataFrame:
+    """(segment_id, feature, before): up to n earlier segments with the feature, the
+    newest first. Found inside spans of ids and carried over their seams, so that a
+    feature of all segments does not fall to one task.
+
+    features: (segment_id, feature), distinct."""
+    cut_ = features.withColumn("__r", F.floor(F.col("segment_id") / span))
+    inside = Window.partitionBy("feature", "__r").orderBy("segment_id").rowsBetween(-n, -1)
+    last = cut_.groupBy("feature", "__r").agg(F.slice(F.reverse(F.array_sort(F.collect_list("segment_id"))), 1, n).alias("last"))
+    spans = Window.partitionBy("feature").orderBy("__r").rowsBetween(-n, -1)
+    carried = last.select("feature", "__r", F.flatten(F.reverse(F.collect_list("last").over(spans))).alias("carried"))
+    own = F.reverse(F.array_sort(F.collect_list("segment_id").over(inside)))
+    joined = cut_.withColumn("own", own).join(carried, ["feature", "__r"])
+    return joined.select("segment_id", "feature", F.slice(F.concat("own", "carried"), 1, n).alias("before"))
+
+
 def similar_segments(features: DataFrame, value_length: int) -> DataFrame:
     """(segment_id, candidate, shared): earlier segments that the feature index names.
     The index keeps the last `value_length` segments of each feature, as a queue, so a
     segment finds at most so many for a feature, and pairs do not multiply.
 
     features: (segment_id, feature), distinct."""
-    by = Window.partitionBy("feature").orderBy("segment_id")
-    earlier = features.withColumn("__before", F.array(*[F.lag("segment_id", k).over(by) for k in range(1, value_length + 1)]))
-    return earlier.select("segment_id", F.explode("__before").alias("candidate")).where("candidate IS NOT NULL").groupBy("segment_id", "candidate").agg(F.count("*").alias("shared"))
+    pairs = earlier_segments(features, value_length).select("segment_id", F.explode("before").alias("candidate"))
+    return pairs.groupBy("segment_id", "candidate").agg(F.count("*").alias("shared"))
 
 
 def top_segment(candidates: DataFrame) -> DataFrame:
@@ -64,9 +81,9 @@ def top_k_segments(features: DataFrame, value_length: int, k: int) -> DataFrame:
     """(segment_id, rank, candidate, shared): k picks in turn; the features of a pick
     no longer count for the others. All candidates of a segment are few: at most
     value_length for each of its features."""
-    by = Window.partitionBy("feature").orderBy("segment_id")
-    earlier = features.withColumn("__before", F.array(*[F.lag("segment_id", j).over(by) for j in range(1, value_length + 1)]))
-    pairs = earlier.select("segment_id", "feature", F.explode("__before").alias("candidate")).where("candidate IS NOT NULL")
+    pairs = earlier_segments(features, value_length).select("segment_id", "feature", F.explode("before").alias("candidate"))
+
+    ship(features.sparkSession)
 
     def pick(part):
         import pandas as pd

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.shipping import ship
 from granary.config import CONTAINER_PAYLOAD
 from granary.operators.dedup import stored_chunks
 from granary.operators.ordering import dense_index
@@ -33,6 +34,8 @@ def pack_next_fit(uniques: DataFrame, entries: int, payload: int = CONTAINER_PAY
     streams are packed side by side."""
     keyed = uniques.withColumn("__s", F.col(stream) if stream else F.lit(0))
 
+    ship(uniques.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         cid, used, count, cids, places = 0, 0, 0, [], []
@@ -64,19 +67,29 @@ def file_recipes(recipe_: DataFrame) -> DataFrame:
     return recipe_.groupBy("version", "file_id").agg(F.count("*").alias("chunk_num"), F.sum("size").cast("bigint").alias("file_size"))
 
 
+def mark_runs(rows: DataFrame, column: str, span: int = 4096) -> DataFrame:
+    """Adds run_start: the seq at which the run of equal `column` that a row belongs to
+    begins, in each version. Runs are found inside spans of seq and carried over the
+    seams between them, so no version has to fit into one task."""
+    cut_ = rows.withColumn("__r", F.floor(F.col("seq") / span))
+    inside = Window.partitionBy("version", "__r").orderBy("seq")
+    spans = Window.partitionBy("version").orderBy("__r")
+    last = cut_.groupBy("version", "__r").agg(F.max_by(column, "seq").alias("__last"))
+    seams = last.select("version", "__r", F.lag("__last").over(spans).alias("__seam"), (F.row_number().over(spans) == 1).alias("__first"))
+    head = F.row_number().over(inside) == 1
+    before = F.when(head, F.col("__seam")).otherwise(F.lag(column).over(inside))
+    new = (head & F.col("__first")) | ~before.eqNullSafe(F.col(column))
+    marked = cut_.join(seams, ["version", "__r"]).withColumn("__head", F.when(new, F.col("seq")))
+    heads = marked.groupBy("version", "__r").agg(F.max("__head").alias("__h"))
+    carried = heads.select("version", "__r", F.max("__h").over(spans.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    own = F.max("__head").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("__own", own).join(carried, ["version", "__r"]).withColumn("run_start", F.coalesce("__own", "__carried")).drop("__r", "__seam", "__first", "__head", "__own", "__carried")
+
+
 def access_records(recipe_: DataFrame) -> DataFrame:
     """(version, seq, cid): chunks whose container differs from that of the chunk
-    before in the same version. Runs are found inside ranges of seq and then at their
-    seams, so no version has to fit into one task."""
-    n = 4096  # chunks of a range
-    part = F.floor(F.col("seq") / n)
-    inside = Window.partitionBy("version", "__r").orderBy("seq")
-    rows = recipe_.select("version", "seq", "cid").withColumn("__r", part)
-    edges = rows.groupBy("version", "__r").agg(F.max_by("cid", "seq").alias("last"))
-    before = edges.select("version", "__r", F.lag("last").over(Window.partitionBy("version").orderBy("__r")).alias("__seam"))
-    lagged = rows.withColumn("__lag", F.lag("cid").over(inside)).withColumn("__head", F.row_number().over(inside) == 1).join(before, ["version", "__r"])
-    previous = F.when(F.col("__head"), F.col("__seam")).otherwise(F.col("__lag"))
-    return lagged.where(~previous.eqNullSafe(F.col("cid"))).select("version", "seq", "cid")
+    before in the same version."""
+    return mark_runs(recipe_.select("version", "seq", "cid"), "cid").where("seq = run_start").select("version", "seq", "cid")
 
 
 def container_utilization(recipe_: DataFrame) -> DataFrame:

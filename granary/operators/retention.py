@@ -30,11 +30,14 @@ def retention_due(version: int, keep: int) -> bool:
     return keep >= 0 and version >= keep
 
 
-def feature_queue(features: DataFrame, length: int) -> DataFrame:
-    """(feature, ids): the last `length` segments with each feature, newest first."""
-    newest = Window.partitionBy("feature").orderBy(F.desc("segment_id"))
-    kept = features.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= length)
-    return kept.groupBy("feature").agg(F.reverse(F.array_sort(F.collect_list("segment_id"))).alias("ids"))
+def feature_queue(features: DataFrame, length: int, span: int = 1024) -> DataFrame:
+    """(feature, ids): the last `length` segments with each feature, newest first; the
+    newest of each span of ids are taken first, then the newest of those."""
+    cut_ = features.withColumn("__r", F.floor(F.col("segment_id") / span))
+    last = cut_.groupBy("feature", "__r").agg(F.slice(F.reverse(F.array_sort(F.collect_list("segment_id"))), 1, length).alias("last"))
+    newest = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("__r")))
+    kept = last.withColumn("__rn", newest).where(F.col("__rn") <= length)
+    return kept.groupBy("feature").agg(F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("last")))), 1, length).alias("ids"))
 
 
 def upsert(index: DataFrame, fresh: DataFrame, length: int) -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.shipping import ship
+from granary.operators.layout import mark_runs
+
 
 def capping(chunks: DataFrame, buffer: int, level: int) -> DataFrame:
     """Adds out_of_order: in each window of `buffer` chunks of a version, duplicates in
@@ -23,13 +26,10 @@ def capping(chunks: DataFrame, buffer: int, level: int) -> DataFrame:
 def cfl_selective(chunks: DataFrame, threshold: float, payload: int) -> DataFrame:
     """Adds run and out_of_order: duplicates in a run of chunks of one container whose
     bytes are below threshold * payload. Unique chunks form runs of their own."""
-    order = Window.partitionBy("version").orderBy("seq")
     where = F.when(F.col("is_dup"), F.col("cid")).otherwise(F.lit(-1))
-    marked = chunks.withColumn("__c", where)
-    change = F.when(F.lag("__c").over(order).eqNullSafe(F.col("__c")), 0).otherwise(1)
-    runs = marked.withColumn("__new", change).withColumn("run", F.sum("__new").over(order))
-    size = F.sum("size").over(Window.partitionBy("version", "run"))
-    return runs.withColumn("out_of_order", F.col("is_dup") & (size < F.lit(threshold * payload))).drop("__c", "__new")
+    runs = mark_runs(chunks.withColumn("__c", where), "__c").withColumnRenamed("run_start", "run")
+    size = runs.groupBy("version", "run").agg(F.sum("size").alias("__size"))
+    return runs.join(size, ["version", "run"]).withColumn("out_of_order", F.col("is_dup") & (F.col("__size") < F.lit(threshold * payload))).drop("__c", "__size")
 
 
 def har_sparse(utilization: DataFrame, threshold: float, limit: float, payload: int) -> DataFrame:
@@ -38,9 +38,17 @@ def har_sparse(utilization: DataFrame, threshold: float, limit: float, payload:
     version's (the largest are dropped)."""
     total = utilization.groupBy("version").agg(F.sum("size").alias("total"))
     sparse = utilization.where(F.col("size") / F.lit(float(payload)) < threshold)
-    upto = F.sum("size").over(Window.partitionBy("version").orderBy("size", "cid"))
-    held = sparse.withColumn("upto", upto).join(total, "version")
-    return held.where(F.lit(limit >= 1) | (F.col("upto") / F.col("total") <= limit)).select("version", "cid", "size")
+    # The running sum goes over distinct sizes first, of which there are few, and over
+    # containers only where the limit falls between some of equal size.
+    sizes = sparse.groupBy("version", "size").agg(F.count("*").alias("n"))
+    below = F.coalesce(F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("version").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = sizes.withColumn("below", below).join(total, "version").withColumn("fits", F.least(F.col("n"), F.floor((F.lit(limit) * F.col("total") - F.col("below")) / F.col("size"))))
+    if limit >= 1:
+        return sparse.select("version", "cid", "size")
+    held = sparse.join(room.where("fits > 0").select("version", "size", "n", "fits"), ["version", "size"])
+    whole = held.where("fits = n")
+    part = held.where("fits < n").withColumn("rank", F.row_number().over(Window.partitionBy("version", "size").orderBy("cid"))).where("rank <= fits")
+    return whole.select("version", "cid", "size").unionByName(part.select("version", "cid", "size"))
 
 
 def har_mark(chunks: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -72,6 +80,8 @@ def cbr(chunks: DataFrame, buffer: int, minimal_utility: float, limit: float, pa
     and its own once more) / payload, and a threshold that follows the utilities so
     far. The last buffer - 1 chunks of a version are not judged."""
 
+    ship(chunks.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         cids, sizes = part["cid"].to_numpy(), part["size"].to_numpy()
@@ -125,6 +135,8 @@ def cfl_switch(chunks: DataFrame, require: float, cache: int, container_bytes: i
     and off above."""
     from granary.operators.simulation import Lru
 
+    ship(chunks.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         lru, total, reads, enabled, levels, switch = Lru(cache), 0, 0, False, [], []

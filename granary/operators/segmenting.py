@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.shipping import ship
 from granary.functions.scalar import residue
 
 
@@ -25,6 +26,8 @@ def content_segments(chunks: DataFrame, avg: int, least: int, most: int, stream:
     the last, streams are scanned in order; only positions and one flag go through it."""
     marked = chunks.withColumn("__mark", residue(F.col("fp"), avg) == 0)
 
+    ship(chunks.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         number, count, out = 0, 0, []

@@ -10,6 +10,7 @@ from collections import OrderedDict, defaultdict, deque
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from granary.functions.shipping import ship
 from granary.config import CACHE_ENTRY_BYTES, CONTAINER_BYTES
 
 
@@ -125,6 +126,8 @@ def assembly_reads(cids, sizes, area: int) -> int:
 def restore_cost(recipe: DataFrame, policy: str, cache: int, window: int | None = None, container_bytes: int = CONTAINER_BYTES) -> DataFrame:
     """(version, chunks, bytes, container_reads, speed_factor): MiB per container read."""
 
+    ship(recipe.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         cids, sizes = part["cid"].tolist(), part["size"].tolist()
@@ -146,6 +149,8 @@ def cfl(recipe: DataFrame, cache: int, container_bytes: int = CONTAINER_BYTES, e
     """(version, ocf, ccf, cfl): containers that the bytes would fill, containers read
     under an LRU cache, and their ratio."""
 
+    ship(recipe.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         ccf = lru_reads(part["cid"].tolist(), cache)
@@ -162,6 +167,8 @@ def upgrade_lookups(ordered: DataFrame, sizes: DataFrame, cache_bytes: int, by:
     chunk_num). by='fp' caches single entries, by='cid' whole containers."""
     joined = ordered.join(sizes.select("cid", "chunk_num"), "cid")
 
+    ship(ordered.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
         lru, misses = ByteLru(cache_bytes), 0

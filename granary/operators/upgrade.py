@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.shipping import ship
 from granary.config import FEATURES_PER_RECIPE
 from granary.functions.scalar import lane, lane_constants
 
@@ -62,6 +63,8 @@ def split_recipe(recipe: DataFrame, least: int, expected: int, most: int, key: s
     ends at a container whose id is 0 modulo expected - least once it has `least`
     different ones, or at `most`; chunks of containers that it has already still join."""
 
+    ship(recipe.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("chunk_no")
         cids, out, i, sub = part["cid"].tolist(), [], 0, 0
@@ -91,6 +94,8 @@ def similarity_order(features: DataFrame, key: str = "file_id") -> DataFrame:
     wide = features.groupBy(F.lit(1).alias("one"), key).pivot("k", list(range(lanes))).agg(F.first("feature"))
     wide = wide.select("one", key, *[F.col(str(k)).cast("string").alias(f"f{k}") for k in range(lanes)])
 
+    ship(features.sparkSession)
+
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key).reset_index(drop=True)
         rows = part[[f"f{k}" for k in range(lanes)]].to_numpy()

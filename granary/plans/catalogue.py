@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.config import CONTAINER_PAYLOAD, PRESETS, StoreConfig
 from granary.functions import scalar
+from granary.functions.shipping import ship
 from granary.functions.compression import zstd_compress, zstd_decompress
 from granary.operators import chunking, dedup, layout, ordering, restore, retention, rewriting, segmenting, simulation, stats, upgrade
 from granary.plans import relations as rel
@@ -103,6 +104,7 @@ def segment_key_pack(spark, sf):
 
 @query("SELECT file_id, CAST(length(h) // 2 AS INTEGER) AS size, true AS same FROM stream")
 def compress_roundtrip(spark, sf):
+    ship(spark)
     packed = rel.stream(spark, sf).withColumn("z", zstd_compress("data"))
     return packed.select("file_id", F.length("data").alias("size"), (zstd_decompress("z", F.length("data")) == F.col("data")).alias("same"))
 

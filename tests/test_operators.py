@@ -249,3 +249,25 @@ def test_config():
             parse_config(bad)
     with pytest.raises(ValueError):
         yes("maybe")
+
+
+def test_earlier_segments_across_spans(spark):
+    r = random.Random(12)
+    rows = sorted({(r.randrange(4000), r.choice("abc")) for _ in range(900)})
+    df = spark.createDataFrame(rows, "segment_id long, feature string")
+    got = {(x.segment_id, x.feature): x.before for x in dedup.earlier_segments(df, 3, 64).collect()}
+    for s, f in rows:
+        assert got[s, f] == sorted((t for t, g in rows if g == f and t < s), reverse=True)[:3]
+    queue = {x.feature: x.ids for x in retention.feature_queue(df, 5, 64).collect()}
+    assert queue == {f: sorted((t for t, g in rows if g == f), reverse=True)[:5] for f in "abc"}
+
+
+def test_runs_across_spans(spark):
+    rows = [(v, s, c, z, d) for v, s, c, z, d in stream(900, 21)]
+    df = spark.createDataFrame(rows, "version long, seq long, cid long, size int, is_dup boolean")
+    got = {r.seq: r.run_start for r in layout.mark_runs(df, "cid", 16).collect()}
+    start = None
+    for k, (v, s, c, _, _) in enumerate(rows):
+        if not k or rows[k - 1][0] != v or rows[k - 1][2] != c:
+            start = s
+        assert got[s] == start
