@@ -99,6 +99,13 @@ class StoreConfig:
         return out
 
 
+def levels_agree(last: str, now: str) -> bool:
+    """Whether a store written at one simulation level can be used at another: whole
+    containers and those without data do not mix."""
+    whole = ("no", "restore")
+    return (last in whole) == (now in whole)
+
+
 #: Index designs, by the names that a configuration gives them.
 PRESETS: dict[str, dict] = {
     "ddfs": {"index_category": "exact", "index_locality": "physical", "segment_algorithm": "fixed"},

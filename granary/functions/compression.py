@@ -19,3 +19,9 @@ def zstd_compress(data: pd.Series) -> pd.Series:
 def zstd_decompress(data: pd.Series, size: pd.Series) -> pd.Series:
     codec = pa.Codec("zstd")
     return pd.Series([None if x is None else codec.decompress(bytes(x), int(n), asbytes=True) for x, n in zip(data, size, strict=True)], dtype=object)
+
+
+def compressed_fp(data):
+    """SHA-1 of the compressed bytes, for stores that hash after compression. It depends
+    on the version of the codec."""
+    return F.upper(F.sha1(zstd_compress(data)))

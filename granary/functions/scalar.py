@@ -64,6 +64,24 @@ def lane(x: Column, k: int) -> Column:
     return F.pmod(wide, F.lit(str(TWO_64)).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
+def fp_prefix(fp_hex: Column) -> Column:
+    """The first 8 bytes of a fingerprint as a signed little-endian number."""
+    pairs = [F.substring(fp_hex, 2 * k + 1, 2) for k in range(7, -1, -1)]
+    low = F.conv(F.concat(*pairs[1:]), 16, 10).cast("bigint")
+    high = F.conv(pairs[0], 16, 10).cast("int")
+    return F.shiftleft(F.when(high >= 128, high - 256).otherwise(high).cast("bigint"), 56).bitwiseOR(low)
+
+
+def container_overflow(used: Column, entries: Column, size: Column, most_entries: int, payload: int) -> Column:
+    """Whether a chunk does not fit into a container with so many bytes and entries."""
+    return (used + size > payload) | (entries >= most_entries)
+
+
+def simulated_fp(old_fp: Column) -> Column:
+    """The new fingerprint where hashing is only simulated: the old one."""
+    return old_fp
+
+
 def utilization(size: Column, payload: int) -> Column:
     return size / F.lit(float(payload))
 

@@ -114,6 +114,14 @@ def near_exact(chunks: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
+def near_exact_mix(chunks: DataFrame, chosen: DataFrame, features: DataFrame) -> DataFrame:
+    """near_exact, and a chunk that is itself a feature of an earlier segment is found in
+    the index too (the mixed selection)."""
+    first = features.groupBy(F.col("feature").alias("fp")).agg(F.min("segment_id").alias("__hook"))
+    found = near_exact(chunks, chosen).join(first, "fp", "left")
+    return found.withColumn("is_dup", F.col("is_dup") | F.coalesce(F.col("__hook") < F.col("segment_id"), F.lit(False))).drop("__hook")
+
+
 def sampled_index(chunks: DataFrame, containers: DataFrame, ratio: int) -> DataFrame:
     """Adds is_dup under a near-exact physical index: it knows every ratio-th chunk of a
     container, and a hit prefetches that container's whole list for the segment that

@@ -182,3 +182,25 @@ def upgrade_lookups(ordered: DataFrame, sizes: DataFrame, cache_bytes: int, by:
     from pyspark.sql import functions as F
 
     return joined.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(scan, "mode string, chunks long, external_lookups long")
+
+
+def index_overhead(recipe: DataFrame, cache: int) -> DataFrame:
+    """(version, lookups, cache_hits, kv_lookups, kv_hits, unique_lookups): what an exact
+    index does with a stream. A duplicate is found in the cached lists of containers, or
+    in the key-value store, whose hit brings its container's list into the cache; a
+    unique chunk misses both. recipe: version, seq, cid, is_dup."""
+    ship(recipe.sparkSession)
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("seq")
+        lru, hits, found, unique = Lru(cache), 0, 0, 0
+        for cid, dup in zip(part["cid"].tolist(), part["is_dup"].tolist(), strict=True):
+            if not dup:
+                unique += 1
+            elif lru.touch(cid):
+                hits += 1
+            else:
+                found += 1
+        return pd.DataFrame([(part["version"].iloc[0], len(part), hits, found + unique, found, unique)], columns=["version", "lookups", "cache_hits", "kv_lookups", "kv_hits", "unique_lookups"])
+
+    return recipe.select("version", "seq", "cid", "is_dup").groupBy("version").applyInPandas(scan, "version long, lookups long, cache_hits long, kv_lookups long, kv_hits long, unique_lookups long")

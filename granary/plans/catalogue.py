@@ -86,6 +86,11 @@ def sampling_residue(spark, sf):
     return rel.chunks(spark, sf).select("seq", (scalar.residue(F.col("fp"), 128) == 0).alias("hit"))
 
 
+@query("SELECT seq, CAST((CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END) AS BIGINT) AS prefix FROM (SELECT seq, CAST(('0x' || substr(fp, 15, 2) || substr(fp, 13, 2) || substr(fp, 11, 2) || substr(fp, 9, 2) || substr(fp, 7, 2) || substr(fp, 5, 2) || substr(fp, 3, 2) || substr(fp, 1, 2))::UBIGINT AS HUGEINT) AS v FROM chunk)")
+def fingerprint_prefix(spark, sf):
+    return rel.chunks(spark, sf).select("seq", scalar.fp_prefix(F.col("fp")).alias("prefix"))
+
+
 @query("SELECT seq, regexp_full_match(x, '(00)+') AS is_zero FROM chunk")
 def zero_chunks(spark, sf):
     return rel.chunks(spark, sf, data=True).select("seq", scalar.is_zero_chunk(F.col("data")).alias("is_zero"))
@@ -252,6 +257,13 @@ def near_exact_dedup_top1(spark, sf):
     return dedup.near_exact(chunks, chosen).select("seq", "segment_id", "is_dup")
 
 
+@query(_PAIRS + _NEAR + "SELECT near.seq, near.segment_id, is_dup OR coalesce(h.s < near.segment_id, false) AS is_dup FROM near JOIN chunk USING (seq) LEFT JOIN (SELECT feature, min(segment_id) AS s FROM feat GROUP BY 1) h ON h.feature = chunk.fp")
+def near_exact_dedup_mix(spark, sf):
+    chunks, features = _small(spark, sf)
+    chosen = dedup.top_segment(dedup.similar_segments(features, FEATURES))
+    return dedup.near_exact_mix(chunks, chosen, features).select("seq", "segment_id", "is_dup")
+
+
 _SAMPLED = """, con AS (SELECT cid, fp, seq, urank % 1169 AS pos FROM stored),
 hooked AS (SELECT DISTINCT seg.segment_id, con.cid FROM seg JOIN con USING (fp) WHERE con.pos % 16 = 0 AND con.seq < seg.seq),
 known AS (SELECT segment_id, fp, min(con.seq) AS s FROM hooked JOIN con USING (cid) GROUP BY 1, 2)
@@ -470,6 +482,11 @@ def cfl_switch(spark, sf):
     return rewriting.cfl_switch(rel.recipe(spark, sf)[0], 0.6, CACHE, rel.PAYLOAD)
 
 
+@query()
+def index_overhead(spark, sf):
+    return simulation.index_overhead(rel.recipe(spark, sf)[0], CACHE)
+
+
 # --- restore ----------------------------------------------------------------------
 
 

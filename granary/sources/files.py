@@ -84,3 +84,20 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["trace", "file_id", "file_name", "chunk_no", "fp", "size"])
 
     return texts.mapInArrow(run, "trace string, file_id long, file_name string, chunk_no long, fp string, size long")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes (file_name, data) as files below `folder`, a URI of a store that all
+    executors reach. A file that is there is replaced, so a task may run again."""
+
+    def save(rows):
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(folder)
+        for row in rows:
+            path = f"{base}/{row.file_name.lstrip('/')}"
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write(bytes(row.data))
+
+    files.select("file_name", "data").foreachPartition(save)

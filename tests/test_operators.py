@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from granary.config import CONTAINER_PAYLOAD, PRESETS, StoreConfig, apply_overrides, entries_per_container, parse_config, yes
+from granary.config import CONTAINER_PAYLOAD, PRESETS, StoreConfig, apply_overrides, entries_per_container, levels_agree, parse_config, yes
 from granary.functions import scalar
 from granary.operators import dedup, layout, ordering, restore, retention, rewriting, segmenting, simulation, upgrade
 
@@ -236,6 +236,29 @@ def test_bloom_filter():
     assert scalar.STRING_HASHES["djb"](b"a") == 5381 * 33 + 97
 
 
+def test_small_predicates(spark):
+    row = spark.range(1).select(
+        scalar.container_overflow(F.lit(10), F.lit(1), F.lit(5), 2, 15).alias("fits"),
+        scalar.container_overflow(F.lit(10), F.lit(2), F.lit(1), 2, 15).alias("full"),
+        scalar.container_overflow(F.lit(11), F.lit(1), F.lit(5), 2, 15).alias("over"),
+        scalar.simulated_fp(F.lit("x")).alias("same"),
+    ).first()
+    assert tuple(row) == (False, True, True, "x")
+    assert levels_agree("no", "restore")
+    assert not levels_agree("append", "no")
+
+
+def test_index_overhead(spark):
+    rows = stream(600, 13)
+    df = spark.createDataFrame(rows, "version long, seq long, cid long, size int, is_dup boolean")
+    for r in simulation.index_overhead(df, 3).collect():
+        mine = [x for x in rows if x[0] == r.version]
+        dups = [x[2] for x in mine if x[4]]
+        assert (r.lookups, r.unique_lookups) == (len(mine), len(mine) - len(dups))
+        assert r.kv_hits == simulation.lru_reads(dups, 3)
+        assert r.cache_hits + r.kv_lookups == r.lookups
+
+
 def test_config():
     c = parse_config('# comment\nchunk-algorithm "normalized rabin"\nchunk-avg-size 4096 # more\nrewrite-algorithm cap 512\nfingerprint-index near-exact logical silo\nrewrite-enable-har yes\n')
     assert (c.chunk_algorithm, c.chunk_avg_size, c.rewrite_algorithm, c.rewrite_buffer, c.har) == ("normalized rabin", 4096, "cap", 512, True)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.config import StoreConfig
-from granary.functions.compression import zstd_compress, zstd_decompress
+from granary.functions.compression import compressed_fp, zstd_compress, zstd_decompress
 from granary.sources import files, hashfile
 from granary.sources.store import Store
 from granary.streaming.incremental import first_chunks
@@ -86,6 +86,17 @@ def test_store_round_trip(spark, tmp_path):
         store.restore(0)
 
 
+def test_written_files(spark, tmp_path):
+    rows = [("a.txt", b"one"), ("sub/b.bin", bytes(range(256))), ("/c", b"")]
+    files.write_files(spark.createDataFrame(rows, "file_name string, data binary"), f"file://{tmp_path}/out")
+    assert [(tmp_path / "out" / n.lstrip("/")).read_bytes() for n, _ in rows] == [d for _, d in rows]
+
+
+def test_hash_after_compression(spark):
+    df = spark.createDataFrame([(b"x" * 99,), (b"x" * 99,), (b"y",)], "d binary").select(compressed_fp("d").alias("h"))
+    assert df.distinct().count() == 2
+
+
 def test_zstd(spark):
     df = spark.createDataFrame([(b"x" * 1000,), (None,), (b"",)], "d binary").withColumn("z", zstd_compress("d"))
     got = df.select("d", F.length("z").alias("n"), zstd_decompress("z", F.coalesce(F.length("d"), F.lit(0))).alias("back")).collect()
