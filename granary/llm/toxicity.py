@@ -26,6 +26,11 @@ BITS = 20
 #: Lengths in bytes of word beginnings that are features.
 BEGINNINGS = (5, 6, 7, 8)
 THRESHOLD = 0.7
+#: A feature is taken if so many texts have it, and toxic ones so many standard
+#: deviations more often than evenly.
+LEAST_TEXTS, LEAST_DEVIATIONS = 8, 6.0
+#: Thinned copies of each text in the fit, and the share of features that they keep.
+THINNED, KEPT = 1, 0.5
 #: Groups of identity terms; any may stand for any other of its group. A parameter of fit().
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "woman", "man"),
@@ -93,7 +98,7 @@ def _swaps(terms) -> dict[int, tuple[list[int], list[int]]]:
     return {of(a)[0]: (of(a), of(b)) for group in terms for a, b in zip(group, (*group[1:], group[0]), strict=True)}
 
 
-def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridge: float = 0.02, fairness: float = 1.0, most: int = 4096, steps: int = 400) -> Model:
+def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridge: float = 0.05, fairness: float = 1.0, most: int = 4096, steps: int = 400) -> Model:
     """Fits the model to distinct features and labels (0 or 1) of texts.
 
     ridge: weight of the squared weights; fairness: weight of the mean squared
@@ -114,7 +119,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridg
     z = (df1 - share * seen) / np.sqrt(np.maximum(share * (1 - share) * seen, 1e-9))
     swap = _swaps(terms)
     identity = np.array(sorted({f for pair in swap.values() for side in pair for f in side}), np.int64)
-    good = np.flatnonzero((seen >= 3) & (z >= 3.5))
+    good = np.flatnonzero((seen >= LEAST_TEXTS) & (z >= LEAST_DEVIATIONS))
     good = good[np.argsort(-z[good], kind="stable")[:most]]
     features = np.union1d(good, identity[seen[identity] > 0])
     where = np.full(1 << BITS, -1, np.int64)
@@ -130,6 +135,17 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridg
         if where[f] >= 0
     ]
     sr, sf, sign = (np.array(x) for x in zip(*changes, strict=True)) if changes else (np.empty(0, np.int64),) * 3
+    # Each text is also seen with most of its features left out, so that one that tells
+    # is enough. A toxic text that has lost all of them says nothing.
+    draw = np.random.default_rng(0)
+    rs, cs, weight, label = [r], [c], [np.ones(len(texts))], [toxic]
+    for k in range(1, THINNED + 1):
+        some = draw.random(len(r)) < KEPT
+        left = np.bincount(r[some], minlength=len(texts)) > 0
+        rs.append(r[some] + k * len(texts)), cs.append(c[some]), label.append(toxic)
+        weight.append(np.where((toxic > 0) & ~left, 0.0, 1.0))
+    r, c, weight, label = (np.concatenate(x) for x in (rs, cs, weight, label))
+    weight /= weight.sum()
     m = len(features)
     n_swapped = max(1, len(np.unique(sr)))
     n = len(texts)
@@ -137,8 +153,8 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, terms=IDENTITY_TERMS, ridg
     w[m] = np.log(n1 / n0)
     mean, square = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):  # Adam over the whole sample, with a falling rate
-        p = 1 / (1 + np.exp(-(np.bincount(r, w[c], n) + w[m])))
-        err = (p - toxic) / n
+        p = 1 / (1 + np.exp(-(np.bincount(r, w[c], len(weight)) + w[m])))
+        err = (p - label) * weight
         grad = np.append(np.bincount(c, err[r], m) + ridge / n * w[:m], err.sum())
         if len(sr):
             change = np.bincount(sr, sign * w[sf], n) * 2 * fairness / n_swapped
