@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import cut  # noqa: F401  used by the operators
+
 #: Word patterns of the contracts.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors
-    share; a temporary one where the setting is absent (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='granary-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: its lineage ends there,
-    so a lost executor costs a read and not a recomputation. The table goes
-    when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def rows_of(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small table of the driver's own rows, as a constant of the plan."""
     names = [part.split()[0] for part in schema.split(",")]

@@ -123,7 +123,7 @@ def parse(text: str | None) -> Node:
     return root
 
 
-def _find(node: Node, tags: set[str], inside: bool = False) -> list[Node]:
+def _find(node: Node, tags: set[str]) -> list[Node]:
     """The outermost nodes of these tags that are not set apart."""
     out = []
     for kid in node.kids:

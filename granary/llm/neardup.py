@@ -75,7 +75,7 @@ def _runs(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(keys).alias("key"), "rep")
 
 
-def _possible(sa: Column, na: Column, sb: Column, nb: Column, k: int, threshold: int) -> Column:
+def _possible(sa: Column, na: Column, sb: Column, nb: Column, threshold: int) -> Column:
     """Whether the sketches (sets of the k least values, whole if they are smaller)
     leave it possible that the sets reach the threshold; exact for whole sets.
 
@@ -104,11 +104,11 @@ def _possible(sa: Column, na: Column, sb: Column, nb: Column, k: int, threshold:
     return sized & F.when((F.size(sa) == na) & (F.size(sb) == nb), whole).otherwise(sampled())
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose sketches do not rule the threshold out."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_possible(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), k, threshold)).select("a", "b")
+    return both.where(_possible(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), threshold)).select("a", "b")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
     multi = cut(runs.join(lists, "key"))
 
     # Each list's members against its least one.
-    stars = cut(_estimated(multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), classes, k, threshold))
+    stars = cut(_estimated(multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), classes, threshold))
     ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
     edges = cut(_verified(stars, _sets(ends, docs, width), threshold))
     found = cut(components(edges))
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
     apart = (F.col("xc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("rep")))
     differ = sum((F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"x{j}"))) for j in range(1, PARITY_WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("x0"))))
     few = differ * (100 + threshold) <= (F.col("xn") + F.col("n")) * (100 - threshold)
-    test = apart & few & _possible(F.col("xs"), F.col("xn"), F.col("sk"), F.col("n"), WIDE, threshold)
+    test = apart & few & _possible(F.col("xs"), F.col("xn"), F.col("sk"), F.col("n"), threshold)
     met = cut(left.alias("l").join(right.alias("r"), (F.col("l.lead") == F.col("r.lead")) & test).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
     more = _verified(met, sets, threshold)
     final = cut(components(edges.union(more).union(member.where("doc_id <> rep").toDF("u", "v"))))

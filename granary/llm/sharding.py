@@ -208,6 +208,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.002) -> None:
-    """Writes the rows of each shard under its own folder, in slot order."""
+    """Writes the rows of each shard under its own folder. A shard has as many files as
+    tasks had rows of it, each in slot order."""
     placed = shard_documents(docs, shards, tolerance)
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
