@@ -111,12 +111,17 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFram
     return both.where(_possible(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb"), threshold)).select("a", "b")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, s): the full shingle sets of the documents in ids (doc_id, distinct)."""
+def _sets(ids: DataFrame, docs: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """(doc_id, s): the full shingle sets of the documents in ids (doc_id, distinct), one
+    row for each of a document's texts. repeated: whether rows repeat an id."""
     ids = cut(ids)
     few = ids.count() <= MOST_BROADCAST
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return cut(_shingled(wanted, width).select("doc_id", F.col("__gr_x.s").alias("s")))
+    found = _shingled(wanted, width)
+    if repeated:
+        key = ["doc_id", F.col("__gr_x.c1").alias("c1"), F.col("__gr_x.c2").alias("c2")]
+        return cut(found.groupBy(*key).agg(F.first("__gr_x.s").alias("s")).select("doc_id", "s"))
+    return cut(found.select("doc_id", F.col("__gr_x.s").alias("s")))
 
 
 def _parities(sets: DataFrame) -> DataFrame:
@@ -148,17 +153,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
     """
     all_ = cut(profiles(docs, width, k))
     linked = all_.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = linked.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    member = cut(linked.join(reps, ["c1", "c2"]).select("doc_id", "rep"))
-    classes = linked.select("doc_id", "n_shingles", "sketch").join(member.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+    repeated = not linked.groupBy("doc_id").count().where("count > 1").isEmpty()
+    # One row for each class of equal word sequences, whatever the number of its copies.
+    classes = cut(linked.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    member = cut(linked.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select("doc_id", "rep").distinct())
     runs = _runs(classes)
     lists = runs.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     multi = cut(runs.join(lists, "key"))
 
     # Each list's members against its least one.
-    stars = cut(_estimated(multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), classes, threshold))
+    pairs = cut(multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = cut(_estimated(pairs, classes, threshold).distinct())
     ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    edges = cut(_verified(stars, _sets(ends, docs, width), threshold))
+    edges = cut(_verified(stars, _sets(ends, docs, width, repeated), threshold))
     found = cut(components(edges))
 
     # Lists of one least member are one, so that a pair meets once. Where all members
@@ -167,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
     per = placed.groupBy("lead", "comp").count()
     main = per.groupBy("lead").agg(F.max_by("comp", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("lead", "main")
     rest = cut(placed.join(main, "lead"))
-    sets = _sets(rest.select(F.col("rep").alias("doc_id")).distinct(), docs, width)
+    sets = _sets(rest.select(F.col("rep").alias("doc_id")).distinct(), docs, width, repeated)
     wide = sets.select(F.col("doc_id").alias("rep"), F.size("s").cast("bigint").alias("n"), F.slice(F.sort_array("s"), 1, WIDE).alias("sk"))
     right = cut(rest.join(wide, "rep").join(_parities(sets), "rep"))
     left = right.where("comp <> main").select("lead", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("sk").alias("xs"), *[F.col(f"p{j}").alias(f"x{j}") for j in range(PARITY_WORDS)])

@@ -102,3 +102,12 @@ def test_components(spark):
     assert {got[n] for n in range(100, 141)} == {100}
     assert 5 not in got
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    """One row a thousand times over, and a near copy as often."""
+    text = prose(8, 120)
+    near = edited(text, 0.01, random.Random(0))
+    rows = [(1, text)] * 1000 + [(2, near)] * 1000 + [(3, prose(9, 120))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1000), (2, 1, 1000), (3, 3, 1)]
