@@ -22,6 +22,8 @@ from granary.functions.shipping import ship
 #: Fixed values of Rabin chunking.
 WINDOW, POLYNOMIAL, BREAK_MARK = 48, 0xBFE6B8A5BF378D83, 0x78
 E_ROUNDED = 2.718281828
+#: Bytes of a file whose fingerprints are in memory at once.
+BLOCK = 1 << 22
 
 
 def fixed_chunks(stream: DataFrame, size: int = 4096) -> DataFrame:
@@ -87,10 +89,17 @@ class _Rabin:
 
     def __init__(self, data: np.ndarray, least: int, most: int):
         self.data, self.least, self.most = data, least, most
-        self.full = rabin_fingerprints(data)
 
-    def hits(self, mask: int) -> np.ndarray:
-        return np.flatnonzero((self.full & np.uint64(mask)) == BREAK_MARK)
+    def hits(self, masks: dict[str, int]) -> dict[str, np.ndarray]:
+        """Positions at which the fingerprint of the last 48 bytes has the mark under each
+        mask; found block by block, so that memory does not follow the file."""
+        found: dict[str, list] = {name: [] for name in masks}
+        for at in range(0, len(self.data), BLOCK):
+            before = min(at, WINDOW - 1)
+            full = rabin_fingerprints(self.data[at - before : at + BLOCK])[before:]
+            for name, mask in masks.items():
+                found[name].append(np.flatnonzero((full & np.uint64(mask)) == BREAK_MARK) + at)
+        return {name: np.concatenate(parts) for name, parts in found.items()}
 
     def early(self, start: int, end: int) -> np.ndarray:
         """Fingerprints while the window fills: after byte start + least - 1, and on."""
@@ -145,20 +154,29 @@ def _tttd(r: _Rabin, start: int, end: int, avg: int, hits: dict) -> int:
     return limit if back is None else back
 
 
-def _ae_cut(keys: np.ndarray, start: int, n: int, window: int, most: int) -> int:
+def _keys(data: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The 8 bytes from each position in [first, end), as big-endian numbers."""
+    part = data[first : end + 7].astype(np.uint64)
+    out = np.zeros(end - first, np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | part[k : k + end - first]
+    return out
+
+
+def _ae_cut(data: np.ndarray, start: int, n: int, window: int, most: int) -> int:
     """Asymmetric extremum: the chunk ends `window` bytes after the last byte whose
     following 8 bytes, as a number, are at most all before in the chunk."""
     left = n - start
     if left <= window + 8:
         return left
     last = left - 8
-    low, at = keys[start], 0
+    low, at = _keys(data, start, start + 1)[0], 0
     pos = 0
     while True:  # blocks of positions, until a gap of `window` without a new least key
         lo, hi = pos + 1, min(last, pos + 4 * window + most)
         if lo > hi:
             return left
-        part = keys[start + lo : start + hi + 1]
+        part = _keys(data, start + lo, start + hi + 1)
         least = np.minimum.accumulate(np.minimum(part, low))
         before = np.concatenate(([low], least[:-1]))
         new = np.flatnonzero(part <= before) + lo
@@ -190,18 +208,16 @@ def cut_points(data: bytes, algorithm: str, avg: int, least: int, most: int) ->
     out, start = [], 0
     if algorithm == "ae":
         window = int(avg / (E_ROUNDED - 1))
-        padded = np.concatenate((raw, np.zeros(8, np.uint8))).astype(np.uint64)
-        keys = np.zeros(n, np.uint64)
-        for k in range(8):
-            keys = (keys << np.uint64(8)) | padded[k : k + n]
         while start < n:
-            start += _ae_cut(keys, start, n, window, most)
+            start += _ae_cut(raw, start, n, window, most)
             out.append(start)
         return out
     avg = floor_power_of_two(avg)
     method = {"rabin": _rabin, "normalized rabin": _normalized, "tttd": _tttd}[algorithm]
     r = _Rabin(raw, least, most)
-    hits = {"main": r.hits(avg - 1), "small": r.hits(2 * avg - 1), "large": r.hits(avg // 2 - 1)}
+    needed = {"rabin": ("main",), "normalized rabin": ("small", "large"), "tttd": ("main", "large")}[algorithm]
+    masks = {"main": avg - 1, "small": 2 * avg - 1, "large": avg // 2 - 1}
+    hits = r.hits({name: masks[name] for name in needed})
     while start < n:
         if n - start <= least:
             start = n

@@ -84,6 +84,13 @@ def test_rabin_methods(kind):
         assert chunking.cut_points(data, kind, AVG, LEAST, MOST) == slow_rabin(data, kind)
 
 
+def test_blocks_do_not_show(monkeypatch):
+    data = random.Random(8).randbytes(30_000)
+    whole = chunking.cut_points(data, "rabin", AVG, LEAST, MOST)
+    monkeypatch.setattr(chunking, "BLOCK", 1000)
+    assert chunking.cut_points(data, "rabin", AVG, LEAST, MOST) == whole
+
+
 def test_ae():
     for data in samples():
         assert chunking.cut_points(data, "ae", AVG, LEAST, MOST) == slow_ae(data)
