@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from granary.sources.store import Store
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:
@@ -15,3 +18,19 @@ def first_chunks(chunks: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, column: str, window: str, late: str) -> DataFrame:
     """Rows and bytes in windows of event time; rows later than `late` are left out."""
     return events.withWatermark(column, late).groupBy(F.window(column, window)).agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"))
+
+
+def backup_stream(files: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Backs up each micro-batch of a stream of files (file_id, file_name, data) as a
+    version of the store. The store notes the batches of a checkpoint that are in, and
+    passes over them; one that breaks off between its backup and the note is stored
+    again, which costs a recipe but no containers."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        mark = f"batch {number} of {checkpoint}"
+        if batch.isEmpty() or (store.exists("job_log") and not store.table("job_log").where(F.col("job") == mark).isEmpty()):
+            return
+        version = store.backup(batch)
+        store._log(mark, version, 0, 0, 0)
+
+    return files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from granary.config import StoreConfig
 from granary.functions.compression import compressed_fp, zstd_compress, zstd_decompress
 from granary.sources import files, hashfile
 from granary.sources.store import Store
-from granary.streaming.incremental import first_chunks
+from granary.streaming.incremental import backup_stream, first_chunks, windowed_counts
 
 
 def test_directory_and_list(spark, tmp_path):
@@ -113,6 +113,27 @@ def test_streaming_dedup(spark, tmp_path):
     assert os.path.isdir(f"{tmp_path}/ck")
 
 
+def test_streaming_backup(spark, tmp_path):
+    r = random.Random(6)
+    schema = "file_id long, file_name string, data binary"
+    a, b = r.randbytes(20_000), r.randbytes(20_000)
+    store = Store(spark, f"file://{tmp_path}/store", StoreConfig(chunk_algorithm="fixed", chunk_avg_size=1000))
+    for rows in ([(0, "a", a)], [(0, "b", b), (1, "a", a)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        backup_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/ck").awaitTermination(120)
+    assert store.versions() == [0, 1]
+    stats = store.stats().first()
+    assert (stats.bytes, stats.stored_bytes) == (60_000, 40_000)
+    assert {(x.file_id, bytes(x.data)) for x in store.restore(1).collect()} == {(0, b), (1, a)}
+
+
+def test_windowed_counts(spark, tmp_path):
+    spark.sql("SELECT timestamp'2024-01-01 00:00:10' AS ts, 5 AS size UNION ALL SELECT timestamp'2024-01-01 00:01:10', 7 UNION ALL SELECT timestamp'2024-01-01 00:00:50', 2").write.parquet(f"{tmp_path}/e")
+    found = windowed_counts(spark.readStream.schema("ts timestamp, size int").parquet(f"{tmp_path}/e"), "ts", "1 minute", "10 minutes")
+    found.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted((r.chunks, r.bytes) for r in spark.table("counts").collect()) == [(1, 7), (2, 7)]
+
+
 def test_command_line(capsys):
     from granary.__main__ import main
 
