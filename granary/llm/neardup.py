@@ -170,9 +170,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
 
     # Lists of one least member are one, so that a pair meets once. Where all members
     # are of one component, nothing is left to find.
-    placed = multi.select("lead", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = cut(multi.select("lead", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("component", "rep").alias("comp")))
     per = placed.groupBy("lead", "comp").count()
-    main = per.groupBy("lead").agg(F.max_by("comp", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("lead", "main")
+    main = cut(per.groupBy("lead").agg(F.max_by("comp", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("lead", "main"))
     rest = cut(placed.join(main, "lead"))
     sets = _sets(rest.select(F.col("rep").alias("doc_id")).distinct(), docs, width, repeated)
     wide = sets.select(F.col("doc_id").alias("rep"), F.size("s").cast("bigint").alias("n"), F.slice(F.sort_array("s"), 1, WIDE).alias("sk"))
@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
     differ = sum((F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"x{j}"))) for j in range(1, PARITY_WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("x0"))))
     few = differ * (100 + threshold) <= (F.col("xn") + F.col("n")) * (100 - threshold)
     test = apart & few & _possible(F.col("xs"), F.col("xn"), F.col("sk"), F.col("n"), threshold)
-    met = cut(left.alias("l").join(right.alias("r"), (F.col("l.lead") == F.col("r.lead")) & test).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
-    more = _verified(met, sets, threshold)
+    # Written before it is made distinct, so that nothing keeps the join from being split.
+    met = cut(left.alias("l").join(right.alias("r"), (F.col("l.lead") == F.col("r.lead")) & test).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")))
+    more = _verified(met.distinct(), sets, threshold)
     final = cut(components(edges.union(more).union(member.where("doc_id <> rep").toDF("u", "v"))))
 
     none = F.col("doc_id").isNull()
