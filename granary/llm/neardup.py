@@ -63,7 +63,8 @@ def profiles(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 def _runs(classes: DataFrame) -> DataFrame:
     """(key, rep): the inverted lists. Two sets of a union of U shingles share a run
     of 2 values if U < 10, of 3 if U < 16 and of 4 beyond, as long as they fit into
-    the sketch: at most U / 5 values part the others into U / 5 + 1 runs."""
+    the sketch: at most U / 5 values part the others into U / 5 + 1 runs. A set of 3
+    or less reaches 0.8 with its equals only, so its key is the whole set."""
     sk, n = F.col("sketch"), F.col("n_shingles")
 
     def of(r: int, low: int, high: int | None):
@@ -71,7 +72,8 @@ def _runs(classes: DataFrame) -> DataFrame:
         starts = F.when(wanted & (F.size(sk) >= r), F.sequence(F.lit(0), F.size(sk) - r)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(F.lit(r), *[F.get(sk, i + j) for j in range(r)]))
 
-    keys = F.concat(of(2, 4, 9), of(3, 8, 15), of(R, 13, None))
+    equal = F.when(n.between(1, 3), F.array(F.xxhash64(F.lit(1), sk))).otherwise(F.array().cast("array<bigint>"))
+    keys = F.concat(equal, of(2, 4, 9), of(3, 8, 15), of(R, 13, None))
     return classes.select(F.explode(keys).alias("key"), "rep")
 
 

@@ -111,3 +111,14 @@ def test_repeated_rows_do_not_multiply(spark):
     rows = [(1, text)] * 1000 + [(2, near)] * 1000 + [(3, prose(9, 120))]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "component_id").count().collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1000), (2, 1, 1000), (3, 3, 1)]
+
+
+def test_repeated_words_of_different_lengths(spark):
+    """Sets of one to three shingles, equal though the word sequences are not."""
+    texts = [" ".join(("ha", "la ba", "xa yo zu")[k] for _ in range(m)) for k in range(3) for m in range(2, 11)] + ["a b a b a b", "a b a b a b a b", "a b a b a c", "a b a b a c"]
+    docs = list(enumerate(texts, 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for width in (4, 5):
+        got = sorted(map(tuple, neardup.near_duplicates(df, width).collect()), key=str)
+        assert got == slow(docs, width)
+        assert {n for _, n, _, kept in got if not kept} == {1, 2, 3}
