@@ -32,6 +32,8 @@ ORDER = 4
 #: The most grams that a model holds; rarer 4-grams give way, and shorter ones score
 #: what is left. At 16 bytes a gram it bounds the broadcast to 32 MB.
 MOST_GRAMS = 1 << 21
+#: Robust deviations from a language's median that the bands reach, below and above.
+LOW, HIGH = 4.0, 4.0
 #: Steps of log2 perplexity in the histogram from which bands are read.
 STEP = 1 / 256
 
@@ -328,8 +330,9 @@ def _measure(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
 def bands(measured: DataFrame, low: float, high: float) -> dict[str | None, tuple[float, float]]:
     """For each language the least and the greatest bits that are let through: `low`
-    and `high` robust deviations (1.4826 times the median distance from the median)
-    around the median of documents that pass the base rules."""
+    robust deviations below and `high` above the median of documents that pass the base
+    rules. Each side has its own deviation (1.4826 times the median distance from the
+    median of the documents on that side), as the two tails differ."""
     step = F.floor(F.col("__gr_bits") / STEP).cast("bigint").alias("s")
     got = measured.where("NOT base_failed AND __gr_bits IS NOT NULL").groupBy("__gr_lang", step).count().collect()
     by: dict[str | None, list] = {}
@@ -348,12 +351,27 @@ def bands(measured: DataFrame, low: float, high: float) -> dict[str | None, tupl
     out = {}
     for lang, pairs in by.items():
         mid = median(pairs)
-        spread = max(1.4826 * median([(abs(x - mid), n) for x, n in pairs]), 4 * STEP)
-        out[lang] = (mid - low * spread, mid + high * spread)
+        below = max(1.4826 * median([(mid - x, n) for x, n in pairs if x <= mid]), 4 * STEP)
+        above = max(1.4826 * median([(x - mid, n) for x, n in pairs if x >= mid]), 4 * STEP)
+        out[lang] = (mid - low * below, mid + high * above)
     return out
 
 
-def assess(docs: DataFrame, low: float = 10.0, high: float = 10.0, carry: list[str] | None = None) -> DataFrame:
+def _banded(docs: DataFrame, low: float, high: float, carry: list[str] | None) -> DataFrame:
+    """The measured columns with __gr_side: -1 below the band of a document's language, 1 above it, else 0."""
+    ship(docs.sparkSession)
+    base = replacing(docs, *RESULTS)
+    model = estimate(count_grams(base))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    measured = cut(_measure(base.withColumn("__gr_lang", F.col("lang")), model, [*(base.columns if carry is None else carry), "__gr_lang"]).withColumn("base_failed", failed))
+    side = F.lit(0)
+    for lang, (least, most) in bands(measured, low, high).items():
+        mine = F.when(F.col("__gr_bits") < least, -1).when(F.col("__gr_bits") > most, 1).otherwise(0)
+        side = F.when(F.col("__gr_lang").eqNullSafe(F.lit(lang)), mine).otherwise(side)
+    return measured.withColumn("__gr_side", side)
+
+
+def assess(docs: DataFrame, low: float = LOW, high: float = HIGH, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` of `docs` (all, if None) with the base columns, base_failed, perplexity (for
     a byte; null below 4 bytes) and kept. The caller's columns of these names are
     replaced.
@@ -363,16 +381,17 @@ def assess(docs: DataFrame, low: float = 10.0, high: float = 10.0, carry: list[s
     text has no words. A null lang is a language of its own. Repeated rows count as
     often as they occur. An empty table gives no rows.
     """
-    ship(docs.sparkSession)
-    base = replacing(docs, *RESULTS)
-    model = estimate(count_grams(base))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = cut(_measure(base.withColumn("__gr_lang", F.col("lang")), model, [*(base.columns if carry is None else carry), "__gr_lang"]).withColumn("base_failed", failed))
-    inside = F.lit(True)
-    for lang, (least, most) in bands(measured, low, high).items():
-        inside = F.when(F.col("__gr_lang").eqNullSafe(F.lit(lang)), F.col("__gr_bits").between(least, most)).otherwise(inside)
     return (
-        measured.withColumn("perplexity", F.pow(F.lit(2.0), F.col("__gr_bits")))
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-        .drop("__gr_bits", "__gr_lang")
+        _banded(docs, low, high, carry)
+        .withColumn("perplexity", F.pow(F.lit(2.0), F.col("__gr_bits")))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("__gr_side") == 0))
+        .drop("__gr_bits", "__gr_lang", "__gr_side")
     )
+
+
+def rejections(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(lang, passed, below, above): of each language's documents that pass the base
+    rules how many there are, and how many each band rejects."""
+    side = F.col("__gr_side")
+    rows = _banded(docs, low, high, []).where("NOT base_failed")
+    return rows.groupBy(F.col("__gr_lang").alias("lang")).agg(F.count("*").alias("passed"), F.count_if(side < 0).alias("below"), F.count_if(side > 0).alias("above"))

@@ -142,6 +142,21 @@ def test_bands_reject_what_is_unlike(spark):
     assert all(got[i].kept for i in range(200))
 
 
+def test_each_band_rejects(spark):
+    """A text that is somewhat unlike the others; and a skewed tail that widens its own side only."""
+    mixed_ = lambda i: " ".join(w + random.Random(i).choice("qxzj") if k % 20 == 0 else w for k, w in enumerate(prose(i, 100).split()))
+    rows = [(i, prose(i, 100), "aa") for i in range(200)] + [(900, mixed_(900), "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.assess(df).collect()}
+    assert not got[900].base_failed
+    assert not got[900].kept
+    assert [tuple(r) for r in quality.rejections(df).collect()] == [("aa", 201, 0, 1)]
+    measured = spark.createDataFrame([(5.0 + k / 100, False, "aa") for k in range(-20, 21)] + [(5.0 + k / 10, False, "aa") for k in range(1, 21)], "__gr_bits double, base_failed boolean, __gr_lang string")
+    least, most = quality.bands(measured, 4, 4)["aa"]
+    mid = 5.10
+    assert mid - least < most - mid
+
+
 def test_quality_of_awkward_rows(spark):
     got = quality.assess(awkward(spark)).collect()
     assert len(got) == 12
