@@ -18,12 +18,13 @@ from granary.llm.common import NOT_WORD, ascii_lower, cut, let, replacing, words
 
 WINDOW, GRAM = 8, 4
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-#: Filter bits for each fingerprint, and the most bits that a filter ever has. A
-#: full filter lets more candidates through to the exact join; it drops none.
-BITS_EACH, MOST_BITS = 256, 1 << 21
-#: Rows of the result (one for each contaminated text) that are broadcast; more are shuffled.
-MOST_BROADCAST = 200_000
-W, T1, T2, AT, GRAM_TEXT, LENGTH = "__gr_words", "__gr_t1", "__gr_t2", "__gr_at", "__gr_gram", "__gr_length"
+#: Filter bits for each fingerprint, and the fingerprints up to which a filter is made
+#: (2**21 bits, a literal of 256 KB). Those of a larger benchmark are joined instead.
+BITS_EACH, MOST_FILTERED = 256, 1 << 13
+#: Rows of the result that are broadcast (one for each text that is hit, of 120 bytes,
+#: so 12 MB at most); more are shuffled.
+MOST_BROADCAST = 100_000
+W, T1, T2, AT, GRAM_TEXT, LENGTH, SET = "__gr_words", "__gr_t1", "__gr_t2", "__gr_at", "__gr_gram", "__gr_length", "__gr_set"
 
 
 def _gram(ws: Column, at: Column, n: int) -> Column:
@@ -84,72 +85,106 @@ def _in(filter_: Column, bits: int, f: Column) -> Column:
     return F.getbit(word, bit.bitwiseAND(F.lit(63))) == 1
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
-    """`docs` with n_words, n_hit (words inside an occurrence of an item's window),
-    n_items, items_sha256 and contaminated (n_items >= min_items).
-
-    A null or empty text has no words, and the digest of no items is that of the
-    empty string. Rows of equal text get equal results, so repeated rows and null
-    ids are harmless. The caller's columns of these names are replaced.
-
-    Each text is read once. Its windows are tested where they are against a bit
-    set of bounded size, and only windows that pass leave the row, once for each
-    distinct text, to be joined with the benchmark on their words.
-    """
-    windows = cut(benchmark_windows(benchmark))
-    n = windows.select("f").distinct().count()
-    bits = 1 << 12
-    while bits < min(MOST_BITS, n * BITS_EACH):
-        bits *= 2
-    short = [r[0] for r in windows.select(LENGTH).distinct().collect() if r[0] < WINDOW]
-    sets = _filter(windows, bits)
-    keyed = replacing(docs, *RESULTS).withColumn(T1, F.xxhash64("text")).withColumn(T2, F.xxhash64(F.lit(1), "text"))
+def _found(short: list[int], test) -> Column:
+    """The windows (place, length, words) of a text whose fingerprint passes `test`."""
 
     def short_windows(ws, length):
         return F.transform(
-            F.filter(_starts(ws, length), lambda i: _in(sets, bits, _hash(ws, i, length))),
+            F.filter(_starts(ws, length), lambda i: test(_hash(ws, i, length))),
             lambda i: F.struct(i.alias(AT), F.lit(length).alias(LENGTH), _gram(ws, i, length).alias(GRAM_TEXT)),
         )
 
     def windows_of(ws):
         def long_(grams):
             return F.transform(
-                F.filter(_starts(ws, WINDOW), lambda i: _in(sets, bits, _fingerprints(grams, i))),
+                F.filter(_starts(ws, WINDOW), lambda i: test(_fingerprints(grams, i))),
                 lambda i: F.struct(i.alias(AT), F.lit(WINDOW).alias(LENGTH), _gram(ws, i, WINDOW).alias(GRAM_TEXT)),
             )
 
         found = [let(F.transform(_starts(ws, GRAM), lambda i: _hash(ws, i, GRAM)), long_)]
-        for length in sorted(short):
-            found.append(short_windows(ws, length))
-        return F.concat(*found)
+        return F.concat(*found, *[short_windows(ws, length) for length in short])
 
-    found = let(words(ascii_lower(F.col("text")), NOT_WORD), windows_of)
-    candidates = cut(
-        keyed.select(T1, T2, found.alias("c")).where(F.size("c") > 0)
-    )
-    exploded = candidates.select(T1, T2, F.inline("c")).distinct()
-    hits = cut(exploded.join(windows.select(LENGTH, GRAM_TEXT).distinct(), [LENGTH, GRAM_TEXT], "left_semi"))
+    return let(words(ascii_lower(F.col("text")), NOT_WORD), windows_of)
+
+
+def _all_fingerprints(short: list[int]) -> Column:
+    """The distinct fingerprints of a text's windows."""
+
+    def grams_of(ws, n):
+        return F.transform(_starts(ws, n), lambda i: _hash(ws, i, n))
+
+    def of(ws):
+        long_ = let(grams_of(ws, GRAM), lambda grams: F.transform(_starts(ws, WINDOW), lambda i: _fingerprints(grams, i)))
+        return F.array_distinct(F.concat(long_, *[grams_of(ws, n) for n in short]))
+
+    return let(words(ascii_lower(F.col("text")), NOT_WORD), of)
+
+
+def _candidates(keyed: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
+    """(text, place, length, words) of windows that may be in the benchmark, written.
+
+    Up to `limit` fingerprints are a bit set that is tested where the text is. More are
+    joined: texts send their distinct fingerprints, and the windows of texts with a
+    match are looked at."""
+    prints = cut(windows.select("f").distinct())
+    n = prints.count()
+    short = sorted(r[0] for r in windows.select(LENGTH).distinct().collect() if r[0] < WINDOW)
+    if n <= limit:
+        bits = 1 << 12
+        while bits < n * BITS_EACH:
+            bits *= 2
+        sets = _filter(prints, bits)
+        rows = keyed.select(T1, T2, _found(short, lambda f: _in(sets, bits, f)).alias("c"))
+        return cut(rows.where(F.size("c") > 0)).select(T1, T2, F.inline("c")).distinct()
+    sent = keyed.select(T1, T2, F.explode(_all_fingerprints(short)).alias("f")).distinct()
+    held = cut(sent.join(prints, "f", "left_semi").select(T1, T2).distinct())
+    rows = keyed.join(held, [T1, T2], "left_semi").dropDuplicates([T1, T2])
+    return cut(rows.select(T1, T2, F.inline(_found(short, lambda f: F.lit(True)))))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, filtered: int = MOST_FILTERED) -> DataFrame:
+    """`docs` with n_words, n_hit (words inside an occurrence of an item's window),
+    n_items, items_sha256 and contaminated (n_items >= min_items).
+
+    A null or empty text has no words, and the digest of no items is that of the
+    empty string. Rows of equal text get equal results, so repeated rows and null
+    ids are harmless. The caller's columns of these names are replaced.
+
+    Each text is read once, and only windows with a fingerprint of the benchmark leave
+    the row, once for each distinct text, to be joined on their words. filtered: see
+    MOST_FILTERED; the results do not depend on it.
+
+    A passage may be in many texts and many items. So the items of a window are one set
+    with an identity of its own, a text has distinct sets, and items are listed once for
+    each combination of sets that occurs, whatever the number of texts that have it.
+    """
+    windows = cut(benchmark_windows(benchmark))
+    # A set of items is named by its size and two sums of hashes: none is gathered.
+    item = lambda seed: F.xxhash64(F.lit(seed), F.col("item_id").cast("string"))
+    name = F.struct(F.count("*").alias("n"), F.bit_xor(item(1)).alias("x"), F.bit_xor(item(2)).alias("y"))
+    sets = cut(windows.select(LENGTH, GRAM_TEXT, "item_id").distinct().groupBy(LENGTH, GRAM_TEXT).agg(name.alias(SET)))
+    members = cut(windows.join(sets, [LENGTH, GRAM_TEXT]).select(SET, "item_id").distinct())
+
+    keyed = replacing(docs, *RESULTS).withColumn(T1, F.xxhash64("text")).withColumn(T2, F.xxhash64(F.lit(1), "text"))
+    hits = cut(_candidates(keyed, windows, filtered).join(sets, [LENGTH, GRAM_TEXT]).select(T1, T2, AT, LENGTH, SET))
     by_text = Window.partitionBy(T1, T2).orderBy(AT, LENGTH)
     end = F.col(AT) + F.col(LENGTH)
     before = F.coalesce(F.max(end).over(by_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    covered = (
-        hits.select(T1, T2, F.greatest(F.lit(0), end - F.greatest(before, F.col(AT))).alias("new")).groupBy(T1, T2).agg(F.sum("new").alias("n_hit"))
-    )
-    items = (
-        hits.join(windows.select("item_id", LENGTH, GRAM_TEXT), [LENGTH, GRAM_TEXT])
-        .select(T1, T2, "item_id").distinct()
-        .groupBy(T1, T2)
-        .agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list(F.col("item_id").cast("string")))).alias("items"))
-    )
-    result = cut(covered.join(items, [T1, T2]))
+    new = F.greatest(F.lit(0), end - F.greatest(before, F.col(AT)))
+    # A text's sets, of which it has no more than windows; a combination is their digest.
+    per_text = hits.withColumn("new", new).groupBy(T1, T2).agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set(SET)).alias("sets"))
+    texts = cut(per_text.withColumn("combo", F.sha2(F.to_json("sets"), 256)))
+    combos = cut(texts.groupBy("combo").agg(F.first("sets").alias("sets")))
+    listed = combos.select("combo", F.explode("sets").alias(SET)).join(members, SET).select("combo", F.col("item_id").cast("string").alias("i"), "item_id").distinct()
+    items = listed.groupBy("combo").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("i"))), 256).alias("items_sha256"))
+    result = cut(texts.select(T1, T2, "n_hit", "combo").join(items, "combo").drop("combo"))
     few = result.count() <= MOST_BROADCAST
-    none = F.sha2(F.lit(""), 256)
     return (
         keyed.withColumn("n_words", F.size(words(ascii_lower(F.col("text")), NOT_WORD)).cast("bigint"))
         .join(F.broadcast(result) if few else result, [T1, T2], "left")
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("bigint"))
         .withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("bigint"))
-        .withColumn("items_sha256", F.when(F.col("n_items") > 0, F.sha2("items", 256)).otherwise(none))
+        .withColumn("items_sha256", F.coalesce("items_sha256", F.sha2(F.lit(""), 256)))
         .withColumn("contaminated", F.col("n_items") >= min_items)
-        .drop(T1, T2, "items")
+        .drop(T1, T2)
     )

@@ -256,3 +256,17 @@ def test_license_scan_of_awkward_rows(spark):
     assert licenses.scan(awkward(spark), templates).count() == 0
     assert licenses.scan(empty(spark), templates).count() == 0
     assert licenses.scan(awkward(spark), templates.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("filtered", [decontaminate.MOST_FILTERED, 0])
+def test_a_passage_in_many_texts_and_many_items(spark, filtered):
+    """One passage is in a third of the documents and in all items; both ways of
+    finding candidates agree with brute force."""
+    passage = prose(42, 30)
+    items = [(i, f"{prose(i, 5)} {passage} {prose(50 + i, 5)}") for i in range(60)] + [(90, "tiny item"), (91, None), (60, prose(60, 12)), (60, prose(60, 12))]
+    docs = [(i, f"{prose(i + 300, 20)} {passage if i % 3 == 0 else ''} {prose(i + 900, 20)} {'a tiny item' if i % 5 == 0 else ''}") for i in range(150)]
+    docs += [(500, f"{passage} {prose(60, 12)}"), (501, passage), (501, passage), (None, None), (502, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"), filtered=filtered)
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, slow_contamination(docs, items)))
