@@ -2,16 +2,19 @@
 
 The language model is a modified Kneser-Ney model over byte 4-grams (A-Z
 lower-cased), one for each value of `lang`. Every document is counted: tasks sort
-the grams of their texts, and Spark adds the counts up. The model is kept as
-sorted arrays of hashed grams with their probabilities. A document is rejected if
-its perplexity lies outside the band of its language, which reaches a stated number
-of robust standard deviations below and above the language's median.
+the grams of their texts, and Spark adds the counts up. Continuation counts,
+discounts and interpolated probabilities are joins and grouped sums over all counted
+grams. As the documents that are scored were counted, all their 4-grams have a
+probability of their own, so scoring is one lookup a byte: in sorted arrays of hashed
+grams where the model is small enough to be broadcast, else by a join.
+
+A document is rejected if its perplexity lies outside the band of its language, which
+reaches a stated number of robust standard deviations below and above the language's
+median.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -29,9 +32,11 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 LEAST_WORDS, MOST_REPEATED = 50, 50
 ORDER = 4
-#: The most grams that a model holds; rarer 4-grams give way, and shorter ones score
-#: what is left. At 16 bytes a gram it bounds the broadcast to 32 MB.
-MOST_GRAMS = 1 << 21
+#: Working columns: the language, and the two hashes of a text.
+LANG, T1, T2 = "__gr_lang", "__gr_t1", "__gr_t2"
+#: 4-grams up to which the model is broadcast (12 bytes each, so 48 MB at most); a
+#: larger one stays in Spark and is joined with the grams of the documents.
+MOST_BROADCAST = 1 << 22
 #: Robust deviations from a language's median that the bands reach, below and above.
 LOW, HIGH = 4.0, 4.0
 #: Steps of log2 perplexity in the histogram from which bands are read.
@@ -51,16 +56,15 @@ def _repeats(data, starts, ends, first, rows):
     h = span_hashes(data, starts, ends)
     key = h[:-2] * np.uint64(3) + scramble(h[1:-1] + np.uint64(1)) * np.uint64(5) + scramble(h[2:] ^ np.uint64(0x5555))
     key = scramble(key + row[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    own = row[:-2] == row[2:]
-    order = np.argsort(key)
-    # Windows that reach into the next row are put aside: their key is made unique by position.
-    key = np.where(own, key, np.uint64(0))[order]
-    same = (key[1:] == key[:-1]) & (key[1:] != 0)
-    again = np.zeros(len(key), bool)
+    own = np.flatnonzero(row[:-2] == row[2:])  # windows that reach into the next row are none
+    order = np.argsort(key[own])
+    sorted_ = key[own[order]]
+    same = sorted_[1:] == sorted_[:-1]
+    again = np.zeros(len(own), bool)
     again[1:] |= same
     again[:-1] |= same
     flag = np.zeros(n - 2, bool)
-    flag[order] = again
+    flag[own[order]] = again
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k : n - 2 + k] |= flag
@@ -146,64 +150,60 @@ def _counter(batches):
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(c)], names=["lang", "gram", "n"])
 
 
-@dataclass
-class Model:
-    """For each n-gram length a sorted array of hashed (language, gram) and, beside
-    it, log2 of the interpolated probability of its last byte; for each context
-    length a sorted array of contexts and log2 of the mass left to shorter ones."""
-
-    languages: list[str | None]
-    grams: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoffs: list[np.ndarray]
-
-
-def hashed(lang: np.ndarray | int, n: int, gram: np.ndarray) -> np.ndarray:
-    """64-bit hash of a language's number, a gram's length and the gram; one-to-one."""
-    return scramble((np.asarray(lang, np.uint64) << np.uint64(36)) | (np.uint64(n) << np.uint64(32)) | gram.astype(np.uint64))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0, 0.1, 0.1, 0.1], [0, 1, 2, 3])
-
-
-def estimate(counts: dict[str | None, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of each language from its (sorted 4-grams, counts)."""
-    languages = sorted(counts, key=lambda x: (x is None, x or ""))
-    grams, logs, contexts, backoffs = ([[] for _ in range(ORDER)] for _ in range(4))
-    for number, lang in enumerate(languages):
-        keys, n = counts[lang]
-        levels = {ORDER: (keys, n)}
-        for k in range(ORDER - 1, 0, -1):  # shorter grams count the distinct bytes before them
-            longer = levels[k + 1][0] & np.uint32((1 << 8 * k) - 1)
-            levels[k] = np.unique(longer, return_counts=True)
-        below = np.full(256, 1 / 256)  # before any context: even
-        shorter_keys, shorter_p = np.arange(256, dtype=np.uint32), below
-        for k in range(1, ORDER + 1):
-            gram, c = levels[k]
-            ctx, first, which = np.unique(gram >> np.uint32(8), return_index=True, return_inverse=True)
-            d = _discounts(c)[np.minimum(c, 3)]
-            total, taken = np.add.reduceat(c, first) if len(c) else c, np.add.reduceat(d, first) if len(c) else d
-            left = np.maximum(taken / np.maximum(total, 1), 1e-9)
-            at = np.searchsorted(shorter_keys, gram & np.uint32((1 << 8 * (k - 1)) - 1) if k > 1 else gram)
-            p = (c - d) / total[which] + left[which] * shorter_p[at]
-            grams[k - 1].append(hashed(number, k, gram)), logs[k - 1].append(np.log2(p).astype(np.float32))
-            contexts[k - 1].append(hashed(number, k, ctx)), backoffs[k - 1].append(np.log2(left).astype(np.float32))
-            shorter_keys, shorter_p = gram, p
-
-    def ordered(keys, values):
-        k, v = np.concatenate([*keys, np.empty(0, np.uint64)]), np.concatenate([*values, np.empty(0, np.float32)])
-        order = np.argsort(k)
-        return k[order], v[order]
-
-    g = [ordered(a, b) for a, b in zip(grams, logs, strict=True)]
-    c = [ordered(a, b) for a, b in zip(contexts, backoffs, strict=True)]
-    return Model(languages, [x[0] for x in g], [x[1] for x in g], [x[0] for x in c], [x[1] for x in c])
+def hashed(lang: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
+    """64-bit hash of a language's number and a 4-gram; one-to-one."""
+    return scramble((np.asarray(lang, np.uint64) << np.uint64(32)) | gram.astype(np.uint64))
+
+
+def _last(gram, k: int):
+    """The last k bytes of a gram."""
+    return gram.bitwiseAND(F.lit((1 << 8 * k) - 1).cast("bigint"))
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """(language, d1, d2, d3): the modified Kneser-Ney discounts of counts of 1, 2 and 3
+    or more, from the numbers of grams that were counted once to four times."""
+    n = [F.greatest(F.lit(1), F.count_if(F.col("n") == j)).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.least(F.lit(float(j)), F.greatest(F.lit(0.1), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}"))).alias(f"d{j}") for j in (1, 2, 3)]
+    return level.groupBy(LANG).agg(*n).select(LANG, *d)
+
+
+def _probabilities(level: DataFrame, k: int, shorter: DataFrame | None) -> DataFrame:
+    """(language, gram, p) of the counted grams (language, gram, n) of k bytes, from p of
+    the grams that are one byte shorter; before single bytes all bytes are even."""
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = level.join(_discounts(level), LANG).select(LANG, "gram", "n", d.alias("d"), F.shiftright("gram", 8).alias("ctx"))
+    contexts = rows.groupBy(LANG, "ctx").agg(F.sum("n").alias("total"), F.greatest(F.sum("d") / F.sum("n"), F.lit(1e-9)).alias("left"))
+    rows = rows.join(contexts, [LANG, "ctx"])
+    if shorter is None:
+        rows = rows.withColumn("below", F.lit(1 / 256))
+    else:
+        rows = rows.withColumn("suffix", _last(F.col("gram"), k - 1)).join(shorter.select(LANG, F.col("gram").alias("suffix"), F.col("p").alias("below")), [LANG, "suffix"])
+    return rows.select(LANG, "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")).alias("p"))
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(language, gram, n): the 4-grams of all documents."""
+    rows = docs.select("lang", "text").mapInArrow(_counter, "lang string, gram long, n long")
+    return rows.select(language().alias(LANG), "gram", "n").groupBy(LANG, "gram").agg(F.sum("n").alias("n"))
+
+
+def language(name: str = "lang"):
+    """A key of the language that is never null; a null lang is one of its own."""
+    return F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("="), F.col(name)))
+
+
+def estimate(counted: DataFrame) -> DataFrame:
+    """(language, gram, p): of each counted 4-gram the probability of its last byte after
+    the first three. Shorter grams count the distinct bytes before them."""
+    levels = [cut(counted)]
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(cut(levels[-1].groupBy(LANG, _last(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))))
+    p = None
+    for k, level in enumerate(reversed(levels), 1):
+        p = cut(_probabilities(level, k, p))
+    return p
 
 
 class Index:
@@ -234,108 +234,86 @@ class Index:
 
 
 class Scorer:
-    def __init__(self, model: Model):
-        self.numbers = {x: k for k, x in enumerate(model.languages)}
-        self.grams = [Index(*x) for x in zip(model.grams, model.logs, strict=True)]
-        self.contexts = [Index(*x) for x in zip(model.contexts, model.backoffs, strict=True)]
-
-    def gram_logs(self, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        """log2 of the probability of the last byte of each 4-gram after the first three."""
-        seen, out = self.grams[-1].find(hashed(lang, ORDER, gram))
-        out = out.astype(np.float64)
-        open_ = np.flatnonzero(~seen)
-        for k in range(ORDER, 0, -1):
-            if not len(open_):
-                return out
-            part = gram[open_] & np.uint32((1 << 8 * k) - 1)
-            if k < ORDER:
-                seen, log = self.grams[k - 1].find(hashed(lang[open_], k, part))
-                out[open_] += log
-                open_, part = open_[~seen], part[~seen]
-            _, mass = self.contexts[k - 1].find(hashed(lang[open_], k, part >> np.uint32(8)))
-            out[open_] += mass
-        out[open_] -= 8
-        return out
+    """The model as sorted arrays of hashed (language, gram) and log2 of p."""
+
+    def __init__(self, languages: list[str], keys: np.ndarray, logs: np.ndarray):
+        self.numbers = {x: k for k, x in enumerate(languages)}
+        self.index = Index(keys, logs)
+
+    @classmethod
+    def of(cls, model: DataFrame) -> Scorer:
+        found = model.select(LANG, "gram", F.log2("p").alias("log")).toArrow()
+        names = found.column(LANG).combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+        keys = hashed(np.asarray(names.indices).astype(np.uint64), np.asarray(found.column("gram")))
+        order = np.argsort(keys)
+        return cls(names.dictionary.to_pylist(), keys[order], np.asarray(found.column("log")).astype(np.float32)[order])
 
     def bits(self, texts, languages) -> np.ndarray:
-        """Mean bits for each byte of whole texts; NaN for those of fewer than 4 bytes
-        and in a language of which there is no model."""
+        """Mean bits for each byte of whole texts; NaN for those of fewer than 4 bytes."""
         names = languages.dictionary_encode()
-        known = np.array([*[self.numbers.get(x, -1) for x in names.dictionary.to_pylist()], self.numbers.get(None, -1)], np.int64)
+        known = np.array([*[self.numbers.get(x, -1) for x in names.dictionary.to_pylist()], -1], np.int64)
         codes = known[np.asarray(pa.compute.fill_null(names.indices, len(known) - 1))]
         out = np.full(len(texts), np.nan)
         for lo, hi, data, offsets in blocks(texts):
             keys, first = _grams(data, offsets)
             n = np.diff(first)
-            each = self.gram_logs(np.repeat(np.maximum(codes[lo:hi], 0), n), keys)
+            _, each = self.index.find(hashed(np.repeat(np.maximum(codes[lo:hi], 0), n), keys))
             with np.errstate(invalid="ignore", divide="ignore"):
-                out[lo:hi] = np.where(codes[lo:hi] >= 0, -per_row(each, first) / n, np.nan)
+                out[lo:hi] = np.where(codes[lo:hi] >= 0, -per_row(each.astype(np.float64), first) / n, np.nan)
         return out
 
 
-_scorers: dict = {}
-
-
-def _scorer(broadcast) -> Scorer:
-    """One scorer for each worker and model."""
-    key = broadcast._path or id(broadcast)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(broadcast.value)
-    return _scorers[key]
-
-
-def count_grams(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Counts of the 4-grams of all documents, by language. If there are more than
-    MOST_GRAMS, those below the least power of two that leaves so few are dropped."""
-    counted = cut(docs.select("lang", "text").mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    size = F.floor(F.log2("n")).cast("int").alias("b")
-    tally = dict(counted.groupBy(size).count().collect())
-    least, total = 0, sum(tally.values())
-    while total > MOST_GRAMS:
-        total -= tally.get(least, 0)
-        least += 1
-    found = counted.where(F.col("n") >= 1 << least).toArrow()
-    names = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
-    code = np.asarray(pa.compute.fill_null(names.indices, -1))
-    gram, n = np.asarray(found.column("gram")).astype(np.uint32), np.asarray(found.column("n"))
-    out = {}
-    for c in np.unique(code):
-        mine = code == c
-        order = np.argsort(gram[mine])
-        out[None if c < 0 else names.dictionary[int(c)].as_py()] = (gram[mine][order], n[mine][order])
-    return out
+def _sent_grams(batches):
+    """(language, text's hashes, gram, count) of the distinct grams of each text."""
+    for batch in batches:
+        column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+        for lo, hi, data, offsets in blocks(column("text")):
+            keys, first = _grams(data, offsets)
+            row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first))
+            found, n = np.unique((row << np.uint64(32)) | keys.astype(np.uint64), return_counts=True)
+            for at in range(0, len(found), 1 << 16):
+                part = found[at : at + (1 << 16)]
+                of = pa.array((part >> np.uint64(32)).astype(np.int64) + lo)
+                yield pa.RecordBatch.from_arrays([*[column(c).take(of) for c in (LANG, T1, T2)], pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n[at : at + (1 << 16)])], names=[LANG, T1, T2, "gram", "n"])
 
 
 # --- the operator -------------------------------------------------------------
 
 
-def _measure(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The carried columns, the base columns and __gr_bits; texts are read whole."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_GRAMS bounds it
+def _measure(docs: DataFrame, carry: list[str], scorer: Scorer | None) -> DataFrame:
+    """The carried columns, the base columns and __gr_bits (null without a scorer); texts
+    are read whole."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # MOST_BROADCAST bounds it
     added = {**dict.fromkeys(BASE[:-1], "bigint"), "__gr_bits": "double"}
     schema = docs.select(*[F.col(f"`{c}`") for c in carry], *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
 
     def run(batches):
-        scorer = _scorer(shared)
         for batch in batches:
             column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             stats = statistics(column("text"))
-            bits = scorer.bits(column("text"), column("lang"))
+            bits = shared.value.bits(column("text"), column(LANG)) if shared.value else np.full(batch.num_rows, np.nan)
             columns = [*[column(c) for c in carry], *[pa.array(stats[c]) for c in BASE[:-1]], pa.array(bits, from_pandas=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-def bands(measured: DataFrame, low: float, high: float) -> dict[str | None, tuple[float, float]]:
+def _joined_bits(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(language, text's hashes, bits): mean bits of each distinct text by a join of its
+    grams with the model."""
+    sent = docs.select("text", LANG, T1, T2).mapInArrow(_sent_grams, f"{LANG} string, {T1} long, {T2} long, gram long, n long").distinct()
+    each = sent.join(model.select(LANG, "gram", F.log2("p").alias("log")), [LANG, "gram"])
+    return each.groupBy(LANG, T1, T2).agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("__gr_joined"))
+
+
+def bands(measured: DataFrame, low: float, high: float) -> dict[str, tuple[float, float]]:
     """For each language the least and the greatest bits that are let through: `low`
     robust deviations below and `high` above the median of documents that pass the base
     rules. Each side has its own deviation (1.4826 times the median distance from the
     median of the documents on that side), as the two tails differ."""
     step = F.floor(F.col("__gr_bits") / STEP).cast("bigint").alias("s")
-    got = measured.where("NOT base_failed AND __gr_bits IS NOT NULL").groupBy("__gr_lang", step).count().collect()
-    by: dict[str | None, list] = {}
+    got = measured.where("NOT base_failed AND __gr_bits IS NOT NULL").groupBy(LANG, step).count().collect()
+    by: dict[str, list] = {}
     for lang, s, n in got:
         by.setdefault(lang, []).append(((s + 0.5) * STEP, n))
 
@@ -357,24 +335,33 @@ def bands(measured: DataFrame, low: float, high: float) -> dict[str | None, tupl
     return out
 
 
-def _banded(docs: DataFrame, low: float, high: float, carry: list[str] | None) -> DataFrame:
+def _banded(docs: DataFrame, low: float, high: float, carry: list[str] | None, most_broadcast: int) -> DataFrame:
     """The measured columns with __gr_side: -1 below the band of a document's language, 1 above it, else 0."""
     ship(docs.sparkSession)
     base = replacing(docs, *RESULTS)
+    kept = base.columns if carry is None else carry
     model = estimate(count_grams(base))
+    keyed = base.withColumn(LANG, language())
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = cut(_measure(base.withColumn("__gr_lang", F.col("lang")), model, [*(base.columns if carry is None else carry), "__gr_lang"]).withColumn("base_failed", failed))
+    if model.count() <= most_broadcast:
+        measured = _measure(keyed, [*kept, LANG], Scorer.of(model))
+    else:
+        keyed = keyed.withColumn(T1, F.xxhash64("text")).withColumn(T2, F.xxhash64(F.lit(1), "text"))
+        found = _joined_bits(keyed, model)
+        measured = _measure(keyed, [*kept, LANG, T1, T2], None).join(found, [LANG, T1, T2], "left").withColumn("__gr_bits", F.col("__gr_joined")).drop(T1, T2, "__gr_joined")
+    measured = cut(measured.withColumn("base_failed", failed))
     side = F.lit(0)
     for lang, (least, most) in bands(measured, low, high).items():
         mine = F.when(F.col("__gr_bits") < least, -1).when(F.col("__gr_bits") > most, 1).otherwise(0)
-        side = F.when(F.col("__gr_lang").eqNullSafe(F.lit(lang)), mine).otherwise(side)
+        side = F.when(F.col(LANG) == lang, mine).otherwise(side)
     return measured.withColumn("__gr_side", side)
 
 
-def assess(docs: DataFrame, low: float = LOW, high: float = HIGH, carry: list[str] | None = None) -> DataFrame:
+def assess(docs: DataFrame, low: float = LOW, high: float = HIGH, carry: list[str] | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The columns `carry` of `docs` (all, if None) with the base columns, base_failed, perplexity (for
     a byte; null below 4 bytes) and kept. The caller's columns of these names are
-    replaced.
+    replaced. most_broadcast: 4-grams up to which the model is broadcast; results do not
+    depend on it.
 
     base_failed: n_words < 50, or 100 * n_repeat_words > 50 * n_words. kept: false if
     base_failed, else whether the perplexity lies within its language's band. A null
@@ -382,10 +369,10 @@ def assess(docs: DataFrame, low: float = LOW, high: float = HIGH, carry: list[st
     often as they occur. An empty table gives no rows.
     """
     return (
-        _banded(docs, low, high, carry)
+        _banded(docs, low, high, carry, most_broadcast)
         .withColumn("perplexity", F.pow(F.lit(2.0), F.col("__gr_bits")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("__gr_side") == 0))
-        .drop("__gr_bits", "__gr_lang", "__gr_side")
+        .drop("__gr_bits", LANG, "__gr_side")
     )
 
 
@@ -393,5 +380,5 @@ def rejections(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFra
     """(lang, passed, below, above): of each language's documents that pass the base
     rules how many there are, and how many each band rejects."""
     side = F.col("__gr_side")
-    rows = _banded(docs, low, high, []).where("NOT base_failed")
-    return rows.groupBy(F.col("__gr_lang").alias("lang")).agg(F.count("*").alias("passed"), F.count_if(side < 0).alias("below"), F.count_if(side > 0).alias("above"))
+    rows = _banded(docs, low, high, ["lang"], MOST_BROADCAST).where("NOT base_failed")
+    return rows.groupBy("lang").agg(F.count("*").alias("passed"), F.count_if(side < 0).alias("below"), F.count_if(side > 0).alias("above"))

@@ -107,28 +107,40 @@ def slow_model(texts):
     return bits
 
 
-def test_language_model_against_dictionaries(spark):
-    rows = [(i, prose(i, 60), "aa" if i % 2 else "bb") for i in range(40)]
+def test_repeats_do_not_depend_on_neighbours(monkeypatch):
+    """A window that runs into the next row must not hide a repeat, however rows are batched."""
+    texts = ["a b c p q a b c z a b", "c p q a b c z a b"] * 5
+    r = random.Random(11)
+    texts += [" ".join(r.choice("abc") for _ in range(r.randrange(12))) for _ in range(800)]
+    want = [slow_statistics(t)[-1] for t in texts]
+    assert want[0] == 6
+    for size in (1, 64, 1 << 20):
+        monkeypatch.setattr(textscan, "BLOCK", size)
+        assert quality.statistics(pa.array(texts))["n_repeat_words"].tolist() == want
+
+
+@pytest.mark.parametrize("most_broadcast", [quality.MOST_BROADCAST, 0])
+def test_perplexity_against_dictionaries(spark, most_broadcast):
+    """With the model in arrays and with the model joined."""
+    rows = [(i, prose(i, 60), ("aa", "bb", None, "")[i % 4]) for i in range(40)]
+    rows += [(90, "Unseen QUEUE 0123456789 é", "aa"), (91, "abc", "aa"), (92, None, "bb"), (93, "lone text", "zz"), (94, prose(3, 60), "aa"), (94, prose(3, 60), "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = quality.estimate(quality.count_grams(df))
-    scorer = quality.Scorer(model)
-    for lang in ("aa", "bb"):
-        bits = slow_model([t for _, t, x in rows if x == lang])
-        texts = [prose(500, 30), "Unseen QUEUE 0123456789", "abc", prose(3, 60)]
-        got = scorer.bits(pa.array(texts), pa.array([lang] * len(texts)))
-        for text, g in zip(texts, got, strict=True):
-            want = bits(text)
-            assert (want is None and np.isnan(g)) or abs(want - g) < 1e-4
-    assert np.isnan(scorer.bits(pa.array(["some text"]), pa.array(["zz"]))[0])
-
-
-def test_model_is_a_distribution():
-    keys = np.sort(np.random.default_rng(0).choice(1 << 20, 500, replace=False)).astype(np.uint32) * np.uint32(257)
-    model = quality.estimate({"x": (np.unique(keys), np.ones(len(np.unique(keys)), np.int64))})
-    scorer = quality.Scorer(model)
-    context = np.uint32(keys[0] >> np.uint32(8))
-    every = (np.uint32(context) << np.uint32(8)) | np.arange(256, dtype=np.uint32)
-    assert abs(np.exp2(scorer.gram_logs(np.zeros(256, np.int64), every)).sum() - 1) < 1e-4
+    got = quality.assess(df, most_broadcast=most_broadcast).collect()
+    assert len(got) == len(rows)
+    models = {lang: slow_model([t or "" for _, t, x in rows if x == lang]) for lang in {x for _, _, x in rows}}
+    for r in got:
+        want = models[r.lang](r.text or "")
+        assert (want is None and r.perplexity is None) or abs(want - math.log2(r.perplexity)) < 1e-4
+
+
+def test_model_is_a_distribution(spark):
+    """The probabilities of the bytes seen after a context, and the mass left to shorter
+    contexts, make one: with each byte seen after it they sum up to one."""
+    rows = [(0, bytes([65 + k % 20, 97, 98, c]).decode(), "x") for k in range(40) for c in range(128)]
+    p = quality.estimate(quality.count_grams(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("text IS NOT NULL")))
+    sums = p.groupBy((F.shiftright("gram", 8)).alias("c")).agg(F.sum("p").alias("s"), F.count("*").alias("n")).collect()
+    assert sums
+    assert all(0 < r.s <= 1 + 1e-9 for r in sums)
 
 
 def test_bands_reject_what_is_unlike(spark):
@@ -151,8 +163,8 @@ def test_each_band_rejects(spark):
     assert not got[900].base_failed
     assert not got[900].kept
     assert [tuple(r) for r in quality.rejections(df).collect()] == [("aa", 201, 0, 1)]
-    measured = spark.createDataFrame([(5.0 + k / 100, False, "aa") for k in range(-20, 21)] + [(5.0 + k / 10, False, "aa") for k in range(1, 21)], "__gr_bits double, base_failed boolean, __gr_lang string")
-    least, most = quality.bands(measured, 4, 4)["aa"]
+    measured = spark.createDataFrame([(5.0 + k / 100, False, "=aa") for k in range(-20, 21)] + [(5.0 + k / 10, False, "=aa") for k in range(1, 21)], "__gr_bits double, base_failed boolean, __gr_lang string")
+    least, most = quality.bands(measured, 4, 4)["=aa"]
     mid = 5.10
     assert mid - least < most - mid
 
