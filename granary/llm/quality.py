@@ -37,6 +37,8 @@ LANG, T1, T2 = "__gr_lang", "__gr_t1", "__gr_t2"
 #: 4-grams up to which the model is broadcast (12 bytes each, so 48 MB at most); a
 #: larger one stays in Spark and is joined with the grams of the documents.
 MOST_BROADCAST = 1 << 22
+#: Languages whose discounts (some 50 bytes each) are broadcast.
+MOST_LANGUAGES = 100_000
 #: Robust deviations from a language's median that the bands reach, below and above.
 LOW, HIGH = 4.0, 4.0
 #: Steps of log2 perplexity in the histogram from which bands are read.
@@ -173,7 +175,8 @@ def _probabilities(level: DataFrame, k: int, shorter: DataFrame | None) -> DataF
     """(language, gram, p) of the counted grams (language, gram, n) of k bytes, from p of
     the grams that are one byte shorter; before single bytes all bytes are even."""
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = level.join(_discounts(level), LANG).select(LANG, "gram", "n", d.alias("d"), F.shiftright("gram", 8).alias("ctx"))
+    discounts = cut(_discounts(level))  # a row for each language
+    rows = level.join(F.broadcast(discounts) if discounts.count() <= MOST_LANGUAGES else discounts, LANG).select(LANG, "gram", "n", d.alias("d"), F.shiftright("gram", 8).alias("ctx"))
     contexts = rows.groupBy(LANG, "ctx").agg(F.sum("n").alias("total"), F.greatest(F.sum("d") / F.sum("n"), F.lit(1e-9)).alias("left"))
     rows = rows.join(contexts, [LANG, "ctx"])
     if shorter is None:
