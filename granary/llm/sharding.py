@@ -1,6 +1,6 @@
 """Sharding by histogram sort.
 
-Rows are ordered by (hash of text, hash of doc_id). The splitters between
+Rows are ordered by (hash of text, hash of doc_id and text). The splitters between
 shards are found without sorting: each round counts the exact bytes that lie
 below a grid of probe keys, across all partitions, and the grid of the next
 round refines only the cells in which a splitter lies. When every splitter
@@ -9,7 +9,9 @@ meets the tolerance, rows are exchanged once.
 The law is ``bytes``: sizes of shards are nearly equal. Equal texts are
 neighbours in the order, so a group of copies stays in one shard unless a
 splitter has to fall inside it; a group of any weight is split by the second
-part of the key, which spreads its documents evenly.
+part of the key, which spreads its documents evenly. Where even that is too heavy,
+because one row repeats very often, the rows are written once with a number of their
+own, and its hash is the third part of the key.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from granary.llm.common import cut, replacing, rows_of
 BITS = 12
 KEY_BITS = 64
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+#: Rows of one window, in multiples of an even part, from which repeated rows are numbered.
+MOST_EVEN = 8
 #: Names of working columns, unlikely in a caller's table.
-H1, H2, CELL, SUB, PARTS, START = "__gr_h1", "__gr_h2", "__gr_cell", "__gr_sub", "__gr_parts", "__gr_start"
+H1, H2, H3, CELL, SUB, PARTS, START = "__gr_h1", "__gr_h2", "__gr_h3", "__gr_cell", "__gr_sub", "__gr_parts", "__gr_start"
 
 
 def _digits(key, shift: int, bits: int):
@@ -46,7 +50,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """Adds size, text_crc32 and the two parts of the sort key."""
     text = F.col("text").cast("binary")
     return (
-        replacing(docs, *ADDED, H1, H2)
+        replacing(docs, *ADDED, H1, H2, H3)
         .withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint"))
         .withColumn("text_crc32", F.crc32(text))
         .withColumn(H1, F.xxhash64("text"))
@@ -125,66 +129,67 @@ def _refine(rows: DataFrame, key: str, targets: dict[int, tuple[int, int]], star
     return done
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int | None]]:
-    """Boundaries (first part, second part or None) between `shards` shards, in
-    order. `rows` has the key columns and size. A row lies below (a, None) if its
-    first part is below a, and below (a, b) also if that is a and its second part
-    is below b (unsigned)."""
+def splitters(rows: DataFrame, shards: int, tolerance: float, keys: list[str]) -> tuple[list[tuple[int, ...]], bool]:
+    """Boundaries between `shards` shards, in order, and whether rows of one whole key
+    would have to be parted. `rows` has the key columns and size. A boundary has a number
+    for the first key column or for more; rows lie below it if they do so in the order of
+    the (unsigned) key columns."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     allowed = tolerance * total / shards
-    targets = {k: total * k // shards for k in range(1, shards)}
-    first = _refine(rows, H1, targets, dict.fromkeys(targets, 0), allowed)
-    out = {k: (edge, None) for k, (edge, _, single) in first.items() if single is None}
-    for single in {s for _, _, s in first.values() if s is not None}:
-        inside = {k: targets[k] for k, v in first.items() if v[2] == single}
-        start = {k: first[k][1] for k in inside}
-        second = _refine(rows.where(F.col(H1) == F.lit(single).cast("bigint")), H2, inside, start, allowed)
-        for k, (edge, _, _) in second.items():
-            out[k] = (single % (1 << KEY_BITS), edge)
-    return [out[k] for k in sorted(out)]
-
-
-def _shard_of(edges: list[tuple[int, int | None]]):
+    out: dict[int, tuple[int, ...]] = {}
+    repeated = False
+
+    def find(part: DataFrame, depth: int, targets: dict[int, int], start: dict[int, int], prefix: tuple[int, ...]) -> None:
+        nonlocal repeated
+        found = _refine(part, keys[depth], targets, start, allowed)
+        last = depth + 1 == len(keys)
+        for k, (edge, _, single) in found.items():
+            if single is None or last:
+                out[k] = (*prefix, edge)
+                repeated |= single is not None
+        if not last:
+            for single in {x for _, _, x in found.values() if x is not None}:
+                inside = {k: targets[k] for k, v in found.items() if v[2] == single}
+                find(part.where(F.col(keys[depth]) == F.lit(single).cast("bigint")), depth + 1, inside, {k: found[k][1] for k in inside}, (*prefix, single % (1 << KEY_BITS)))
+
+    find(rows, 0, {k: total * k // shards for k in range(1, shards)}, dict.fromkeys(range(1, shards), 0), ())
+    return [out[k] for k in sorted(out)], repeated
+
+
+def _shard_of(edges: list[tuple[int, ...]], keys: list[str]):
     """The number of splitters at or below a row's key; 15 comparisons for 16 shards."""
+    def below(edge: tuple[int, ...], depth: int):
+        less = _unsigned_less(F.col(keys[depth]), edge[0]) if edge[0] < 1 << KEY_BITS else F.lit(True)
+        if len(edge) == 1:
+            return less
+        return less | ((F.col(keys[depth]) == F.lit(_signed(edge[0])).cast("bigint")) & below(edge[1:], depth + 1))
+
     shard = F.lit(0)
-    for a, b in edges:
-        below = _unsigned_less(F.col(H1), a) if a < 1 << KEY_BITS else F.lit(True)
-        if b is not None:
-            same = F.col(H1) == F.lit(_signed(a)).cast("bigint")
-            below = below | (same & (_unsigned_less(F.col(H2), b) if b < 1 << KEY_BITS else F.lit(True)))
-        shard = shard + F.when(below, 0).otherwise(1)
+    for edge in edges:
+        shard = shard + F.when(below(edge, 0), 0).otherwise(1)
     return shard.cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002) -> DataFrame:
-    """`docs` with size, text_crc32, law, shard, slot and grown_shard (null).
-
-    tolerance: how far, as a share of an even shard, a splitter may lie from its
-    place. Null texts have size 1; null doc_ids and repeated rows are rows like
-    any other. An empty table gives no rows. Columns of the caller with the names
-    of results give way to them.
-
-    slot numbers the rows of a shard from 0. The numbering takes no task over a
-    whole shard: rows are numbered in cells of about 1/4096 of the table, heavier
-    cells (copies of one text) in even parts by the second key, and the cells'
-    starts come from their exact counts.
-    """
-    full = keyed(docs)
-    narrow = cut(full.select("size", H1, H2))
+def _placement(full: DataFrame, keys: list[str], shards: int, tolerance: float):
+    """A function that adds shard, cell and part to rows with the key columns, the rows
+    before each (shard, cell, part), and whether one key has too many rows for a task."""
+    spark = full.sparkSession
+    narrow = cut(full.select("size", *keys))
     n = narrow.count()
-    edges = splitters(narrow, shards, tolerance) if n else []
+    edges, repeated = splitters(narrow, shards, tolerance, keys) if n else ([], False)
     cell = _digits(F.col(H1), KEY_BITS - BITS, BITS).cast("int").alias(CELL)
     # Cells of more than twice the mean, so at most half of them.
     even = max(1, n >> BITS)
     heavy = [(c, -(-m // even)) for c, m in narrow.groupBy(cell).count().where(F.col("count") > 2 * even).collect()]
-    parts = rows_of(docs.sparkSession, f"{CELL} int, {PARTS} bigint", heavy)
+    parts = rows_of(spark, f"{CELL} int, {PARTS} bigint", heavy)
+    spread = F.col(H2) if len(keys) == 2 else F.xxhash64(*keys[1:])
 
     def placed(df: DataFrame) -> DataFrame:
         return (
-            df.withColumn("shard", _shard_of(edges))
+            df.withColumn("shard", _shard_of(edges, keys))
             .withColumn(CELL, cell)
             .join(F.broadcast(parts), CELL, "left")
-            .withColumn(SUB, F.coalesce(F.pmod(F.col(H2), F.col(PARTS)), F.lit(0)).cast("int"))
+            .withColumn(SUB, F.coalesce(F.pmod(spread, F.col(PARTS)), F.lit(0)).cast("int"))
             .drop(PARTS)
         )
 
@@ -194,8 +199,30 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002)
         at = at if shard == shard_now else 0
         starts.append((shard, c, s, at))
         shard_now, at = shard, at + m
-    start = rows_of(docs.sparkSession, f"shard int, {CELL} int, {SUB} int, {START} bigint", starts)
-    own = Window.partitionBy("shard", CELL, SUB).orderBy(H1, H2, "doc_id")
+    most = max((m for *_, m in counts), default=0)
+    return placed, rows_of(spark, f"shard int, {CELL} int, {SUB} int, {START} bigint", starts), repeated or most > MOST_EVEN * max(even, 16)
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002) -> DataFrame:
+    """`docs` with size, text_crc32, law, shard, slot and grown_shard (null).
+
+    tolerance: how far, as a share of an even shard, a splitter may lie from its
+    place. Null texts have size 1; null doc_ids and repeated rows are rows like
+    any other, and copies of one row may go to several shards. An empty table gives
+    no rows. Columns of the caller with the names of results give way to them.
+
+    slot numbers the rows of a shard from 0. The numbering takes no task over a
+    whole shard: rows are numbered in cells of about 1/4096 of the table, heavier
+    cells (copies of one text) in even parts by the other keys, and the cells'
+    starts come from their exact counts.
+    """
+    full, keys = keyed(docs), [H1, H2]
+    columns = [F.col(f"`{c}`") for c in full.columns if c not in (H1, H2)]
+    placed, start, repeated = _placement(full, keys, shards, tolerance)
+    if repeated:  # written, so that a row's number is the same wherever it is read
+        full, keys = cut(full.withColumn(H3, F.xxhash64(F.monotonically_increasing_id()))), [H1, H2, H3]
+        placed, start, _ = _placement(full, keys, shards, tolerance)
+    own = Window.partitionBy("shard", CELL, SUB).orderBy(*keys, "doc_id")
     return (
         placed(full)
         .withColumn("slot", F.row_number().over(own).cast("bigint") - 1)
@@ -203,7 +230,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002)
         .withColumn("slot", F.col("slot") + F.col(START))
         .withColumn("law", F.lit("bytes"))
         .withColumn("grown_shard", F.lit(None).cast("int"))
-        .select(*[F.col(f"`{c}`") for c in full.columns if c not in (H1, H2)], "law", "shard", "slot", "grown_shard")
+        .select(*columns, "law", "shard", "slot", "grown_shard")
     )
 
 
