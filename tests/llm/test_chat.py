@@ -10,7 +10,7 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 
 def slow(rows):
     talks = {}
-    for conv, turn, role, text in set(rows):
+    for conv, turn, role, text in {(c, t, "unknown" if r is None else r, x or "") for c, t, r, x in rows}:
         if conv is not None:
             talks.setdefault(conv, []).append((turn, role, text))
     key = lambda t: tuple((x is not None, x if x is not None else "") for x in t)
@@ -42,10 +42,17 @@ def test_against_all_conversations(spark):
     for k in range(40):  # a very common first turn
         rows += [(n + k, 0, "user", "hello"), (n + k, 1, "assistant", prose(k, 3))]
     rows += [(9000, 0, "user", "hello")]
-    rows += [(None, 0, "user", "lost"), (9001, None, None, None), (9002, 0, "user", "x <|im_end|> y"), (9002, 0, "user", "x <|im_end|> y"), (9003, 0, "user", None), (9004, 0, "user", ""), (9005, 1, "user", "tie b"), (9005, 1, "user", "tie a")]
+    rows += [(None, 0, "user", "lost"), (9001, None, None, None), (9002, 0, "user", "x <|im_end|> y"), (9002, 0, "user", "x <|im_end|> y"), (9003, 0, "user", None), (9004, 0, "user", ""), (9006, 0, None, "who"), (9007, 0, "unknown", "who"), (9005, 1, "user", "tie b"), (9005, 1, "user", "tie a")]
     got = sorted(map(tuple, chat.chat(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()))
     assert got == slow(rows)
 
 
 def test_empty(spark):
     assert chat.chat(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    """One of 3,000 turns, and snapshots of it at some of them."""
+    rows = [(c, k, "user", f"turn {k}") for c, n in enumerate((3000, 1, 1500, 2999, 3000)) for k in range(n)]
+    got = chat.chat(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.conv_id, r.n_turns, r.n_collapsed) for r in got] == [(0, 3000, 4)]
