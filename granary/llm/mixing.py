@@ -2,15 +2,17 @@
 
 A naive Bayes classifier, fitted on the labelled table, gives each document a
 posterior over domains. Rates r >= 0 are then fitted to the documents by projected
-gradient steps (the sum of steps is kept and projected when it is used) on the least
-squares of
+gradient descent on the least squares of
 
     sum over documents of r * tokens * posterior[d]  -  target[d]
 
-over all domains d. The gradient of a document depends on its posterior alone, and
-steps are taken in the metric of the active documents' Gram matrix, so a pass over
-the data sums up a few numbers for each domain, and about five passes suffice.
-All of it is DataFrame work; the driver solves systems of one row a domain.
+over all domains d: r <- max(0, r - step * posterior . miss), each document weighing as
+its tokens. The miss is a number for each domain, so a pass over the data sums up a few
+numbers, and a document's rate follows from its posterior and the misses so far. Steps
+are the inverses of the eigenvalues of the documents' Gram matrix in turn, the shortest
+first, each of which removes the miss in one direction as long as no rate is cut off at
+0; a step that does not descend is taken back and the shortest one is made, which
+always does. All of it is DataFrame work; the driver sees one row a domain.
 """
 
 from __future__ import annotations
@@ -31,9 +33,7 @@ WORD_SPACE, MOST_WORDS = 1 << 24, 512
 #: Bins of each plain statistic.
 BINS = 12
 #: Passes over the data at most, and the miss (as a share of all target tokens) that ends them.
-PASSES, PRECISION = 40, 1e-9
-#: Weight of staying near even rates, as a share of all tokens.
-NEARNESS = 1e-9
+PASSES, PRECISION = 60, 1e-9
 RESULTS = ("n_tokens", "domain", "rate", "copies")
 
 
@@ -143,57 +143,72 @@ class Classifier:
         return let(F.array_intersect(b, known), of)
 
 
-def _rate(shift: list[float], start: float) -> Column:
-    """The rate of a posterior p: the starting rate less p times the sum of the steps so
-    far, projected on what is not negative."""
-    p = F.col("__gr_p")
-    moved = F.lit(float(start))
-    for j, m in enumerate(shift):
-        moved = moved - F.get(p, F.lit(j)) * F.lit(float(m))
-    return F.greatest(F.lit(0.0), moved)
+def _rate(steps: list[list[float]], start: float) -> Column:
+    """The rate of a posterior p: the starting rate, less p times each step and projected
+    on what is not negative after each."""
+    p, rate = F.col("__gr_p"), F.lit(float(start))
+    for step in steps:
+        moved = rate
+        for j, m in enumerate(step):
+            moved = moved - F.get(p, F.lit(j)) * F.lit(float(m))
+        rate = F.greatest(F.lit(0.0), moved)
+    return rate
 
 
-def solve(rows: DataFrame, targets: list[float]) -> tuple[list[float], float, list[float]]:
-    """Sum of the steps, starting rate and token totals reached for rows of __gr_p and
-    n_tokens.
+def solve(rows: DataFrame, targets: list[float]) -> tuple[list[list[float]], float, list[float]]:
+    """Steps, starting rate and token totals reached for rows of __gr_p and n_tokens.
 
-    What is minimised is half the squared miss of the targets, and a small multiple of
-    the squared distance of the rates from the even one, each document weighing as
-    its tokens. A gradient step moves a document's rate by p times a vector that all
-    documents share, so the state is that vector. Steps are taken in the metric of the
-    active documents and are halved where they do not descend."""
+    Projected gradient descent on half the squared miss; see the module. Two steps between
+    which no rate was cut off are one, so the list stays short."""
     k = len(targets)
-    n, p, want = F.col("n_tokens"), F.col("__gr_p"), np.array(targets)
+    n, p, want = F.col("n_tokens"), F.col("__gr_p"), np.array(targets, float)
     part = lambda j: F.get(p, F.lit(j))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     start = float(want.sum()) / total if total else 0.0
-    even = NEARNESS * max(float(total), 1.0) / k
-    shift, step, best = np.zeros(k), np.zeros(k), None
-    for _ in range(PASSES):
-        r = rows.withColumn("r", _rate(list(shift + step), start))
-        sums = [F.sum(F.col("r") * n * part(j)) for j in range(k)]
-        gram = [F.sum(F.when(F.col("r") > 0, n * part(i) * part(j)).otherwise(0.0)) for i in range(k) for j in range(i, k)]
-        got = [float(x or 0.0) for x in r.agg(*sums, *gram, F.sum(n * F.col("r") * F.col("r"))).first()]
-        reached, upper = np.array(got[:k]), iter(got[k:-1])
-        at = shift + step
-        height = 0.5 * got[-1] + float(want @ at) + 0.5 * even * float(at @ at)
-        if best is not None and height > best[0] + 1e-12 * abs(best[0]):
-            step = step / 2
-            if np.abs(step).max() < 1e-12:
-                break
-            continue
-        a = np.eye(k) * even
+
+    def gram(values) -> np.ndarray:
+        out = np.zeros((k, k))
         for i in range(k):
             for j in range(i, k):
-                x = next(upper)
-                a[i, j] += x
-                a[j, i] += x if i != j else 0.0
-        shift, best = at, (height, reached)
-        slope = reached - want - even * at
-        if np.abs(slope).max(initial=0.0) <= PRECISION * max(1.0, want.sum()):
+                out[i, j] = out[j, i] = next(values)
+        return out
+
+    def measured(steps):
+        """Token totals, the Gram matrices of documents with a rate above 0 and of all,
+        and how many documents have none."""
+        r = rows.withColumn("r", _rate(steps, start))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = [F.sum(F.col("r") * n * part(j)) for j in range(k)]
+        some = [F.sum(F.when(F.col("r") > 0, n * part(i) * part(j)).otherwise(0.0)) for i, j in pairs]
+        every = [F.sum(n * part(i) * part(j)) for i, j in pairs]
+        got = [float(x or 0.0) for x in r.agg(*sums, *some, *every, F.count_if((F.col("r") <= 0) & (n > 0))).first()]
+        rest = iter(got[k:])
+        return np.array(got[:k]), gram(rest), gram(rest), got[-1]
+
+    steps: list[list[float]] = []
+    reached, active, whole, cut_off = measured(steps)
+    shortest = 1 / max(np.linalg.eigvalsh(whole).max(initial=0.0), 1e-300)
+    lengths: list[float] = []
+    for _ in range(PASSES):
+        miss = reached - want
+        if not total or np.abs(miss).max(initial=0.0) <= PRECISION * max(1.0, want.sum()):
             break
-        step = np.linalg.solve(a, slope)
-    return [float(x) for x in shift], start, [float(x) for x in (best[1] if best else want * 0)]
+        if not lengths:
+            eigen = np.linalg.eigvalsh(active)[::-1]
+            lengths = [1 / x for x in eigen if x > 1e-9 * max(eigen[0], 1e-300)] or [shortest]
+        length = lengths.pop(0)
+        tried = measured([*steps, list(length * miss)])
+        if length > shortest and np.sum((tried[0] - want) ** 2) >= np.sum(miss**2):
+            length, lengths = shortest, []
+            tried = measured([*steps, list(length * miss)])
+        if np.sum((tried[0] - want) ** 2) >= np.sum(miss**2):
+            break  # as near as numbers go
+        step = list(length * miss)
+        if steps and not cut_off and not tried[3]:
+            step = [a + b for a, b in zip(steps.pop(), step, strict=True)]
+        steps.append(step)
+        reached, active, _, cut_off = tried
+    return steps, start, [float(x) for x in reached]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, sample_rows: int = 20_000, carry: list[str] | None = None) -> DataFrame:
@@ -204,7 +219,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     expected tokens of the mixture, by default those of `docs`. Domains without a
     labelled document keep their prior of one pseudo-document. copies rounds the rate
     up or down by a hash of the document, so that its mean is the rate. If no
-    rates reach the targets, the nearest in least squares are taken.
+    rates reach the targets, the nearest in least squares are taken. Rows of equal id and
+    text are rounded alike.
 
     A null or empty text has no tokens and any rate leaves the totals as they are; it
     gets one all the same. Rows of a null doc_id are never labelled. An empty table
@@ -215,20 +231,20 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     whole = sum(weights.values())
     base = replacing(docs, *RESULTS, *[f"p_{d}" for d in domains])
     model = Classifier.fit(base, labelled, domains, sample_rows)
-    rows = cut(_features(base).select(*[F.col(f"`{c}`") for c in (base.columns if carry is None else carry)], F.col("__gr.n").alias("n_tokens"), model.posterior().alias("__gr_p")))
+    spread = F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rows = cut(_features(base).select(*[F.col(f"`{c}`") for c in (base.columns if carry is None else carry)], F.col("__gr.n").alias("n_tokens"), model.posterior().alias("__gr_p"), spread.alias("__gr_h")))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     want = float(total if budget is None else budget)
-    shift, start, _ = solve(rows, [want * weights[d] / whole for d in domains])
+    steps, start, _ = solve(rows, [want * weights[d] / whole for d in domains])
     p = F.col("__gr_p")
-    spread = F.pmod(F.xxhash64(F.lit(2), "doc_id", F.col("n_tokens")), F.lit(1 << 30)) / float(1 << 30)
     for j, d in enumerate(domains):
         rows = rows.withColumn(f"p_{d}", F.get(p, F.lit(j)))
     names = F.array(*[F.lit(d) for d in domains])
     return (
         rows.withColumn("domain", F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int")))
-        .withColumn("rate", _rate(shift, start))
-        .withColumn("copies", (F.floor("rate") + F.when(spread < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
-        .drop("__gr_p")
+        .withColumn("rate", _rate(steps, start))
+        .withColumn("copies", (F.floor("rate") + F.when(F.col("__gr_h") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+        .drop("__gr_p", "__gr_h")
     )
 
 
