@@ -111,7 +111,7 @@ FROM longest JOIN held USING (conv_id)
 
 
 def _license_sql() -> str:
-    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licenses.TEMPLATES)
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licenses.pack())
     split = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
     cut = "unnest(range(1, greatest(len(w) - 3, 2))) AS i"
     return f"""

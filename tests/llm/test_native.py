@@ -65,6 +65,15 @@ def test_shards_of_awkward_rows(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_shards_part_a_row_that_repeats(spark, doc_id):
+    """Half of the rows are one row, with an id or without: shards and windows stay even."""
+    rows = [(doc_id, "the same row over and over")] * 2000 + [(i, prose(i, 6)) for i in range(1000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 16, 0.01).select(*DIGEST, "text").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    check_shards(got, 16, 0.03 * sum(r["size"] for r in got) / 16 + 60)
+
+
 def test_splitters_meet_the_tolerance(spark):
     docs = spark.createDataFrame([(i, prose(i, i % 40)) for i in range(4000)], "doc_id long, text string")
     rows = sharding.shard_documents(docs, 7, 0.02).collect()
@@ -248,7 +257,28 @@ def test_license_scan_against_brute_force(spark):
     docs += [(900, None), (901, ""), (902, "Released under the MIT License."), (902, "Released under the MIT License."), (None, "licensed under cc by 4.0")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = licenses.scan(df, licenses.default_templates(spark)).select("doc_id", "template_id", "n_shared", "n_template").collect()
-    assert sorted(map(tuple, got), key=str) == slow_scan(docs, licenses.TEMPLATES)
+    assert sorted(map(tuple, got), key=str) == slow_scan(docs, licenses.pack())
+
+
+@pytest.mark.parametrize("filtered", [licenses.MOST_FILTERED, 0])
+def test_edited_license_texts(spark, filtered):
+    """Whole texts, headers and tags with words changed, left out and put in, at random
+    and at the worst even spacing, up to and beyond what the threshold allows."""
+    r = random.Random(21)
+    pack = [p for p in licenses.pack() if len(p[2]) < 20_000]
+    docs = []
+    for k, (_, _, body) in enumerate(pack):
+        for every in (0, 14, 22, 26, 40, 90):
+            ws = body.split()
+            for i in range(len(ws) - 1, -1, -1) if every else ():
+                if i % every == every // 2 or (k % 2 and r.random() < 1 / every / 2):
+                    ws[i : i + 1] = r.choice([["other"], [], ["put", ws[i]]])
+            docs.append((len(docs), f"{prose(len(docs), r.randrange(9))} {' '.join(ws)}; {prose(len(docs) + 7, r.randrange(9))}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = licenses.scan(df, licenses.default_templates(spark), filtered=filtered).select("doc_id", "template_id", "n_shared", "n_template").collect()
+    want = slow_scan(docs, licenses.pack())
+    assert sorted(map(tuple, got), key=str) == want
+    assert 2 * len(pack) < len(want) < 6 * len(pack) + 200
 
 
 def test_license_scan_of_awkward_rows(spark):
