@@ -2,21 +2,23 @@
 
 Where only the entry limit of a container can bind (small fixed chunks), the container
 of a unique chunk is its rank divided by the limit. In general packing is next-fit: a
-container closes when the next chunk would overflow its bytes or its entries, which
-depends on all before, so one stream's sizes are scanned in order. Nothing but sizes
-goes through that scan.
+container closes when the next chunk would overflow its bytes or its entries. Where one
+container starts, sizes alone tell where the next one does, so the starts are a walk
+over the stream, which is taken in spans.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.shipping import ship
 from granary.config import CONTAINER_PAYLOAD
 from granary.operators.dedup import stored_chunks
 from granary.operators.ordering import dense_index
+from granary.operators.spans import carried, walk
+from granary.sources.scratch import cut
 
 
 def rank_uniques(chunks: DataFrame) -> DataFrame:
@@ -28,28 +30,30 @@ def pack_by_rank(ranked: DataFrame, entries: int, name: str = "cid") -> DataFram
     return ranked.withColumn(name, F.floor(F.col("urank") / entries).cast("bigint"))
 
 
-def pack_next_fit(uniques: DataFrame, entries: int, payload: int = CONTAINER_PAYLOAD, stream: str | None = None) -> DataFrame:
+def pack_next_fit(uniques: DataFrame, entries: int, payload: int = CONTAINER_PAYLOAD, stream: str | None = None, span: int | None = None) -> DataFrame:
     """(fp, seq, size, cid, pos) by next-fit over chunks in seq order. With `stream`,
-    each value of it fills containers of its own, which are numbered within it, and
-    streams are packed side by side."""
-    keyed = uniques.withColumn("__s", F.col(stream) if stream else F.lit(0))
-
-    ship(uniques.sparkSession)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        cid, used, count, cids, places = 0, 0, 0, [], []
-        for size in part["size"].to_numpy():
-            if count and (used + size > payload or count >= entries):
-                cid, used, count = cid + 1, 0, 0
-            cids.append(cid)
-            places.append(count)
-            used, count = used + int(size), count + 1
-        return pd.DataFrame({"__s": part["__s"], "__seq": part["seq"], "cid": cids, "pos": places})
-
-    kind = keyed.schema["__s"].dataType.simpleString()
-    placed = keyed.select("__s", "seq", "size").groupBy("__s").applyInPandas(scan, f"__s {kind}, __seq long, cid long, pos int")
-    return keyed.join(placed, (keyed["__s"].eqNullSafe(placed["__s"])) & (F.col("seq") == F.col("__seq"))).drop("__s", "__seq")
+    each value of it fills containers of its own, which are numbered within it. A chunk
+    of more than the payload has a container to itself."""
+    keyed = uniques.withColumn("__s", F.xxhash64(stream) if stream else F.lit(0).cast("bigint"))
+    # Places are counted from 0 in each stream.
+    numbered = cut(dense_index(keyed, ["__s", "seq"], "__at"))
+    first = numbered.groupBy("__s").agg(F.min("__at").alias("__first"))
+    numbered = cut(numbered.join(first, "__s").withColumn("__at", F.col("__at") - F.col("__first")).drop("__first"))
+
+    def following(part: pd.DataFrame) -> np.ndarray:
+        total = np.append(0, np.cumsum(part["size"].to_numpy(np.int64)))
+        at = np.arange(len(part))
+        full = np.searchsorted(total, total[:-1] + payload, "right") - 1
+        return np.maximum(at + 1, np.minimum(at + entries, full))
+
+    starts = walk(numbered, "__s", "__at", ["size"], following, entries, span)
+    ranked = dense_index(starts, ["__s", "__at"], "__n")
+    least = ranked.groupBy("__s").agg(F.min("__n").alias("__least"))
+    opened = ranked.join(least, "__s").select("__s", "__at", (F.col("__n") - F.col("__least")).alias("__cid"))
+    both = numbered.join(opened, ["__s", "__at"], "left").withColumn("__open", F.when(F.col("__cid").isNotNull(), F.struct("__cid", "__at")))
+    placed = carried(both.drop("__cid"), "__s", "__at", "__open", "__in")
+    kept = [F.col(f"`{c}`") for c in uniques.columns]
+    return placed.select(*kept, F.col("__in.__cid").alias("cid"), (F.col("__at") - F.col("__in.__at")).cast("int").alias("pos"))
 
 
 def containers(placed: DataFrame) -> DataFrame:

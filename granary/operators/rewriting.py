@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.shipping import ship
 from granary.operators.layout import mark_runs
+from granary.operators.spans import carried, running
 
 
 def capping(chunks: DataFrame, buffer: int, level: int) -> DataFrame:
@@ -74,82 +75,84 @@ def deny_repeats(chunks: DataFrame) -> DataFrame:
     return chunks.join(first, "fp", "left").withColumn("denied", F.coalesce(F.col("seq") > F.col("__first"), F.lit(False))).drop("__first")
 
 
+class _Threshold:
+    """The utility that the best `limit` of those seen so far reach, in steps of 1/10000
+    and not below `least`; it counts once 100 are seen. The number of utilities at or
+    above the threshold is kept, so that it moves by a few steps for each utility."""
+
+    STEPS, FROM = 10_000, 100
+
+    def __init__(self, least: float, limit: float):
+        self.limit, self.lowest, self.value = limit, min(int(least * self.STEPS), self.STEPS - 1), least
+        self.tally, self.seen = [0] * self.STEPS, 0
+        self.at, self.above = self.STEPS - 1, 0  # utilities in steps from `at` up
+
+    def add(self, utility: float, times: int = 1) -> None:
+        step = min(int(utility * self.STEPS), self.STEPS - 1)
+        self.tally[step] += times
+        self.seen += times
+        self.above += times * (step >= max(self.at, self.lowest))
+        wanted, own = int(self.seen * self.limit), lambda: self.tally[self.at] if self.at >= self.lowest else 0
+        while self.above < wanted and self.at >= self.lowest:
+            self.at -= 1
+            self.above += own()
+        while self.at < self.STEPS - 1 and self.above - own() >= wanted:
+            self.above -= own()
+            self.at += 1
+        if self.seen >= self.FROM:
+            self.value = (self.at + 1) / self.STEPS
+
+
 def cbr(chunks: DataFrame, buffer: int, minimal_utility: float, limit: float, payload: int) -> DataFrame:
     """(version, seq, out_of_order) by context-based rewriting: a look-ahead window of
     `buffer` chunks, a utility of 1 - (bytes of the chunk's container in the window,
     and its own once more) / payload, and a threshold that follows the utilities so
-    far. The last buffer - 1 chunks of a version are not judged."""
+    far. The last buffer - 1 chunks of a version are not judged.
 
+    A container that was found useful enough once stays so for as long as the window has
+    chunks of it; such a chunk has utility 0. What depends on the window alone (the
+    bytes, and whether the container was in it without a break) is found in Spark, span by
+    span; only the flags and the threshold are one pass in order over the duplicates."""
     ship(chunks.sparkSession)
+    rows = chunks.select("version", "seq", "cid", "size", "is_dup")
+    first = rows.groupBy("version").agg(F.min("seq").alias("__first"), F.max("seq").alias("__last"))
+    ahead = Window.partitionBy("version", "cid").orderBy("seq").rangeBetween(0, buffer - 1)
+    in_order = Window.partitionBy("version", "cid").orderBy("seq")
+    dups = rows.where("is_dup").withColumn("bytes", F.sum("size").over(ahead)).withColumn("before", F.lag("seq").over(in_order))
+    judged = dups.join(F.broadcast(first), "version").where(F.col("seq") + (buffer - 1) <= F.col("__last"))
+    utility = F.greatest(F.lit(0.0), 1 - (F.col("bytes") + F.col("size")) / payload)
+    # The chunk before keeps its container in the window if it leaves after this one came in.
+    held = F.coalesce(F.col("seq") - F.col("before") <= buffer - 1, F.lit(False))
+    known = judged.select("version", "seq", "cid", utility.alias("utility"), held.alias("held"), (F.col("seq") - F.col("__first")).alias("place"))
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
-        cids, sizes = part["cid"].to_numpy(), part["size"].to_numpy()
-        dups = part["is_dup"].to_numpy()
-        held: dict[int, list] = {}  # cid -> [bytes in the window, chunks in it, judged in order]
-        buckets, seen, threshold = [0] * 10000, 0, minimal_utility
-        lowest = 9999 if minimal_utility == 1 else int(minimal_utility * 10000)
-        out = [False] * len(cids)
-        for new in range(len(cids)):
-            if dups[new]:
-                record = held.setdefault(cids[new], [0, 0, False])
-                record[0] += int(sizes[new])
-                record[1] += 1
-            at = new - buffer + 1
-            if at < 0:
-                continue
-            utility = 0.0
-            if dups[at]:
-                record = held[cids[at]]
-                if not record[2]:
-                    coverage = (record[0] + int(sizes[at])) / payload
-                    utility = 0.0 if coverage >= 1 else 1 - coverage
-                    if utility < minimal_utility or utility < threshold:
-                        record[2] = True
-                    else:
-                        out[at] = True
-            seen += 1
-            buckets[9999 if utility >= 1 else int(utility * 10000)] += 1
-            if seen >= 100:
-                best, count, index = int(seen * limit), 0, 9999
-                while index >= lowest:
-                    count += buckets[index]
-                    if count >= best:
-                        break
-                    index -= 1
-                threshold = (index + 1) / 10000
-            if dups[at]:
-                record = held[cids[at]]
-                record[0] -= int(sizes[at])
-                record[1] -= 1
-                if not record[1]:
-                    del held[cids[at]]
-        return pd.DataFrame({"version": part["version"], "seq": part["seq"], "out_of_order": out})
-
-    return chunks.select("version", "seq", "cid", "size", "is_dup").groupBy("version").applyInPandas(scan, "version long, seq long, out_of_order boolean")
+        threshold, useful, out, place = _Threshold(minimal_utility, limit), {}, [], 0
+        for cid, u, held_, at in zip(part["cid"].tolist(), part["utility"].tolist(), part["held"].tolist(), part["place"].tolist(), strict=True):
+            threshold.add(0.0, at - place)  # unique chunks between have utility 0
+            place = at + 1
+            flagged = held_ and useful.get(cid, False)
+            now = 0.0 if flagged else u
+            rewritten = not flagged and now >= minimal_utility and now >= threshold.value
+            useful[cid] = flagged or not rewritten
+            out.append(rewritten)
+            threshold.add(now)
+        return pd.DataFrame({"version": part["version"], "seq": part["seq"], "out": out})
+
+    found = known.groupBy("version").applyInPandas(scan, "version long, seq long, out boolean")
+    return rows.select("version", "seq").join(found, ["version", "seq"], "left").select("version", "seq", F.coalesce("out", F.lit(False)).alias("out_of_order"))
 
 
 def cfl_switch(chunks: DataFrame, require: float, cache: int, container_bytes: int, entry: int = 28) -> DataFrame:
     """(version, seq, cfl, enabled): the restore-cost level along the stream, under an
     LRU cache of containers, and the rewrite switch that it turns on below `require`
-    and off above."""
-    from granary.operators.simulation import Lru
-
-    ship(chunks.sparkSession)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        lru, total, reads, enabled, levels, switch = Lru(cache), 0, 0, False, [], []
-        for cid, size in zip(part["cid"].to_numpy(), part["size"].to_numpy(), strict=True):
-            level = -(-total // container_bytes) / reads if reads else 0.0
-            if enabled and level > require:
-                enabled = False
-            elif not enabled and level < require:
-                enabled = True
-            levels.append(level)
-            switch.append(enabled)
-            total += int(size) + entry
-            reads += not lru.touch(int(cid))
-        return pd.DataFrame({"version": part["version"], "seq": part["seq"], "cfl": levels, "enabled": switch})
-
-    return chunks.select("version", "seq", "cid", "size").groupBy("version").applyInPandas(scan, "version long, seq long, cfl double, enabled boolean")
+    and off above. The level is that of the chunks before, 0 before the first; at
+    `require` the switch stays as it is, and it is off at first."""
+    from granary.operators.simulation import lru_hits
+
+    hits = lru_hits(chunks.select("version", "seq", "cid", "size"), cache)
+    counted = hits.select("version", "seq", (F.col("size") + entry).alias("__size"), F.when(F.col("hit"), 0).otherwise(1).alias("__read"))
+    so_far = running(counted, "version", "seq", {"__total": "__size", "__reads": "__read"})
+    level = F.when(F.col("__reads") > 0, F.ceil(F.col("__total") / container_bytes) / F.col("__reads")).otherwise(F.lit(0.0))
+    turned = so_far.withColumn("cfl", level).withColumn("__turn", F.when(F.col("cfl") < require, True).when(F.col("cfl") > require, False))
+    return carried(turned, "version", "seq", "__turn", "__on").select("version", "seq", "cfl", F.coalesce("__on", F.lit(False)).alias("enabled"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.shipping import ship
 from granary.functions.scalar import residue
+from granary.operators.ordering import dense_index
+from granary.operators.spans import carried, walk
+from granary.sources.scratch import cut
 
 
 def fixed_segments(chunks: DataFrame, n: int) -> DataFrame:
@@ -20,29 +23,25 @@ def file_segments(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("segment_id", F.col("file_id"))
 
 
-def content_segments(chunks: DataFrame, avg: int, least: int, most: int, stream: str = "version") -> DataFrame:
+def content_segments(chunks: DataFrame, avg: int, least: int, most: int, stream: str = "version", span: int | None = None) -> DataFrame:
     """Adds segment_no within each stream: a chunk whose residue is 0 begins a segment
-    once the last has `least` chunks, and `most` chunks end one. As a cut depends on
-    the last, streams are scanned in order; only positions and one flag go through it."""
-    marked = chunks.withColumn("__mark", residue(F.col("fp"), avg) == 0)
-
-    ship(chunks.sparkSession)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        number, count, out = 0, 0, []
-        for mark in part["__mark"].to_numpy():
-            if count >= least and mark:
-                number, count = number + 1, 0
-            out.append(number)
-            count += 1
-            # Below the least size a segment does not end, whatever the most says.
-            if count > least and count >= most:
-                number, count = number + 1, 0
-        return pd.DataFrame({"__seq": part["seq"], "segment_no": out})
-
-    numbers = marked.select(stream, "seq", "__mark").groupBy(stream).applyInPandas(scan, "__seq long, segment_no long")
-    return chunks.join(numbers, F.col("seq") == F.col("__seq")).drop("__seq")
+    once the last has `least` chunks (1 at least), and `most` chunks end one (but not
+    before there are more than `least`). seq must have no gap within a stream."""
+    keyed = chunks.withColumn("__s", F.xxhash64(stream))
+    first = keyed.groupBy("__s").agg(F.min("seq").alias("__first"))
+    marked = cut(keyed.join(first, "__s").withColumn("__at", F.col("seq") - F.col("__first")).withColumn("__mark", residue(F.col("fp"), avg) == 0).drop("__first"))
+    reach = max(most, least + 1)
+
+    def following(part: pd.DataFrame) -> np.ndarray:
+        at = np.arange(len(part))
+        marks = np.append(np.flatnonzero(part["__mark"].to_numpy(bool)), len(part) + reach)
+        return np.minimum(marks[np.searchsorted(marks, at + max(least, 1))], at + reach)
+
+    starts = walk(marked, "__s", "__at", ["__mark"], following, reach, span)
+    ranked = dense_index(starts, ["__s", "__at"], "__n")
+    lowest = ranked.groupBy("__s").agg(F.min("__n").alias("__least"))
+    begun = ranked.join(lowest, "__s").select("__s", "__at", (F.col("__n") - F.col("__least")).alias("__no"))
+    return carried(marked.join(begun, ["__s", "__at"], "left"), "__s", "__at", "__no", "segment_no").drop("__s", "__at", "__mark", "__no")
 
 
 def _rows(chunks: DataFrame):

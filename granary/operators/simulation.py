@@ -1,17 +1,21 @@
 """Cache policies of restore and upgrade. They never change what is restored; they
-count how often containers are read. Each version is one ordered scan over container
-ids, run-length collapsed where a policy allows it."""
+count how often containers are read. LRU is played in spans; the others are one ordered
+pass over a version's container ids, as their state depends on all before."""
 
 from __future__ import annotations
 
 import heapq
 from collections import OrderedDict, defaultdict, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from granary.functions.shipping import ship
 from granary.config import CACHE_ENTRY_BYTES, CONTAINER_BYTES
+from granary.operators.spans import SPAN
+from granary.sources.scratch import cut
 
 
 class Lru:
@@ -123,41 +127,72 @@ def assembly_reads(cids, sizes, area: int) -> int:
     return reads
 
 
-def restore_cost(recipe: DataFrame, policy: str, cache: int, window: int | None = None, container_bytes: int = CONTAINER_BYTES) -> DataFrame:
-    """(version, chunks, bytes, container_reads, speed_factor): MiB per container read."""
+def lru_hits(accesses: DataFrame, size: int, span: int = SPAN) -> DataFrame:
+    """`accesses` (version, seq, cid, ...) with hit: whether an LRU cache of `size`
+    containers (no bound if it is not positive) holds the container. What the cache holds
+    at the start of a span are the last `size` different containers before it, so each
+    span lists its own last ones, the lists are handed on, and spans are played alone."""
+    if size <= 0:
+        first = accesses.groupBy("version", "cid").agg(F.min("seq").alias("__first"))
+        return accesses.join(first, ["version", "cid"]).withColumn("hit", F.col("seq") > F.col("__first")).drop("__first")
+    ship(accesses.sparkSession)
+    part_of = accesses.select("version", "seq", "cid").withColumn("__r", F.floor(F.col("seq") / span).cast("bigint"))
+
+    def recent(part: pd.DataFrame) -> pd.DataFrame:
+        cids = part.sort_values("seq")["cid"].to_numpy()[::-1]
+        _, at = np.unique(cids, return_index=True)
+        return pd.DataFrame({"version": [part["version"].iloc[0]], "__r": [part["__r"].iloc[0]], "last": [cids[np.sort(at)[:size]]]})
+
+    def hand_on(part: pd.DataFrame) -> pd.DataFrame:
+        held, out = [], []
+        for last in part.sort_values("__r")["last"]:
+            out.append(held)
+            own = [int(x) for x in last]
+            held = own + [x for x in held if x not in set(own)][: size - len(own)]
+        return pd.DataFrame({"version": part["version"], "__r": part.sort_values("__r")["__r"].to_numpy(), "held": out})
+
+    lists = cut(part_of.groupBy("version", "__r").applyInPandas(recent, "version long, __r long, last array<long>"))
+    # A row of `size` ids for each span goes through this.
+    starts = cut(lists.groupBy("version").applyInPandas(hand_on, "version long, __r long, held array<long>"))
+
+    def play(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("seq")
+        lru = Lru(size)
+        for cid in reversed(list(start["held"].iloc[0])):
+            lru.touch(int(cid))
+        return pd.DataFrame({"version": part["version"], "seq": part["seq"], "hit": [lru.touch(c) for c in part["cid"].tolist()]})
+
+    hits = part_of.groupBy("version", "__r").cogroup(starts.groupBy("version", "__r")).applyInPandas(play, "version long, seq long, hit boolean")
+    return accesses.join(hits, ["version", "seq"])
+
 
+def restore_cost(recipe: DataFrame, policy: str, cache: int, window: int | None = None, container_bytes: int = CONTAINER_BYTES) -> DataFrame:
+    """(version, chunks, bytes, container_reads, speed_factor): MiB per container read.
+    Policies `opt` and `asm` are one ordered pass over a version's container ids."""
+    rows = recipe.select("version", "seq", "cid", "size")
+    factor = F.round(F.col("bytes") / (1 << 20) / F.greatest(F.col("container_reads"), F.lit(1)), 6).alias("speed_factor")
+    if policy == "lru":
+        out = lru_hits(rows, cache).groupBy("version").agg(F.count("*").alias("chunks"), F.sum("size").cast("bigint").alias("bytes"), F.count_if(~F.col("hit")).alias("container_reads"))
+        return out.select("*", factor)
+    if policy not in ("opt", "asm"):
+        raise ValueError(f"no restore cache policy {policy}")
     ship(recipe.sparkSession)
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         cids, sizes = part["cid"].tolist(), part["size"].tolist()
-        if policy == "lru":
-            reads = lru_reads(cids, cache)
-        elif policy == "opt":
-            reads = opt_reads(cids, cache, window)
-        elif policy == "asm":
-            reads = assembly_reads(cids, sizes, max(1, (cache - 1) * container_bytes))
-        else:
-            raise ValueError(f"no restore cache policy {policy}")
-        total = sum(sizes)
-        return pd.DataFrame([(part["version"].iloc[0], len(cids), total, reads, round(total / (1 << 20) / max(reads, 1), 6))], columns=["version", "chunks", "bytes", "container_reads", "speed_factor"])
+        reads = opt_reads(cids, cache, window) if policy == "opt" else assembly_reads(cids, sizes, max(1, (cache - 1) * container_bytes))
+        return pd.DataFrame([(part["version"].iloc[0], len(cids), sum(sizes), reads)], columns=["version", "chunks", "bytes", "container_reads"])
 
-    return recipe.select("version", "seq", "cid", "size").groupBy("version").applyInPandas(scan, "version long, chunks long, bytes long, container_reads long, speed_factor double")
+    return rows.groupBy("version").applyInPandas(scan, "version long, chunks long, bytes long, container_reads long").select("*", factor)
 
 
 def cfl(recipe: DataFrame, cache: int, container_bytes: int = CONTAINER_BYTES, entry: int = 28) -> DataFrame:
     """(version, ocf, ccf, cfl): containers that the bytes would fill, containers read
     under an LRU cache, and their ratio."""
-
-    ship(recipe.sparkSession)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        ccf = lru_reads(part["cid"].tolist(), cache)
-        ocf = -(-int(part["size"].sum() + entry * len(part)) // container_bytes)
-        return pd.DataFrame([(part["version"].iloc[0], ocf, ccf, round(ocf / ccf, 6))], columns=["version", "ocf", "ccf", "cfl"])
-
-    return recipe.select("version", "seq", "cid", "size").groupBy("version").applyInPandas(scan, "version long, ocf long, ccf long, cfl double")
+    hits = lru_hits(recipe.select("version", "seq", "cid", "size"), cache)
+    out = hits.groupBy("version").agg(F.ceil(F.sum(F.col("size") + entry) / container_bytes).cast("bigint").alias("ocf"), F.count_if(~F.col("hit")).alias("ccf"))
+    return out.select("*", F.round(F.col("ocf") / F.col("ccf"), 6).alias("cfl"))
 
 
 def upgrade_lookups(ordered: DataFrame, sizes: DataFrame, cache_bytes: int, by: str) -> DataFrame:
@@ -179,8 +214,6 @@ def upgrade_lookups(ordered: DataFrame, sizes: DataFrame, cache_bytes: int, by:
                 lru.put(key, 1 if by == "fp" else int(entries))
         return pd.DataFrame([(by, len(part), misses)], columns=["mode", "chunks", "external_lookups"])
 
-    from pyspark.sql import functions as F
-
     return joined.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(scan, "mode string, chunks long, external_lookups long")
 
 
@@ -189,18 +222,9 @@ def index_overhead(recipe: DataFrame, cache: int) -> DataFrame:
     index does with a stream. A duplicate is found in the cached lists of containers, or
     in the key-value store, whose hit brings its container's list into the cache; a
     unique chunk misses both. recipe: version, seq, cid, is_dup."""
-    ship(recipe.sparkSession)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        lru, hits, found, unique = Lru(cache), 0, 0, 0
-        for cid, dup in zip(part["cid"].tolist(), part["is_dup"].tolist(), strict=True):
-            if not dup:
-                unique += 1
-            elif lru.touch(cid):
-                hits += 1
-            else:
-                found += 1
-        return pd.DataFrame([(part["version"].iloc[0], len(part), hits, found + unique, found, unique)], columns=["version", "lookups", "cache_hits", "kv_lookups", "kv_hits", "unique_lookups"])
-
-    return recipe.select("version", "seq", "cid", "is_dup").groupBy("version").applyInPandas(scan, "version long, lookups long, cache_hits long, kv_lookups long, kv_hits long, unique_lookups long")
+    rows = recipe.select("version", "seq", "cid", "is_dup")
+    found = lru_hits(rows.where("is_dup"), cache).groupBy("version").agg(F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("kv_hits"))
+    every = rows.groupBy("version").agg(F.count("*").alias("lookups"), F.count_if(~F.col("is_dup")).alias("unique_lookups"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    both = every.join(found, "version", "left").select("version", "lookups", none("cache_hits"), none("kv_hits"), "unique_lookups")
+    return both.select("version", "lookups", "cache_hits", (F.col("kv_hits") + F.col("unique_lookups")).alias("kv_lookups"), "kv_hits", "unique_lookups")

@@ -8,6 +8,7 @@ same plan; the order in which recipes are handled matters to caches only.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from granary.functions.shipping import ship
 from granary.config import FEATURES_PER_RECIPE
 from granary.functions.scalar import lane, lane_constants
+from granary.operators.ordering import dense_index
+from granary.sources.scratch import cut
 
 
 def fingerprint_map(entries: DataFrame, new_entries: int) -> DataFrame:
@@ -39,14 +42,23 @@ def recipe_features(recipe: DataFrame, key: str = "file_id", lanes: int = FEATUR
     return minima.select(key, F.posexplode(F.array(*[f"f{k}" for k in range(lanes)])).alias("k", "feature"))
 
 
-def similar_recipes(features: DataFrame, key: str = "file_id") -> DataFrame:
-    """(feature groups' pairs with their least member): (a, b, shared), a < b.
+def feature_classes(features: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, rep): recipes of equal features are one class, named by its least member."""
+    vectors = features.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "feature"))).alias("v")).select(key, F.sha2(F.to_json("v"), 256).alias("v"))
+    return vectors.join(vectors.groupBy("v").agg(F.min(key).alias("rep")), "v").select(key, "rep")
 
-    All recipes with one feature are each paired with the least of them, not with one
-    another, so a feature that a third of recipes have makes as many rows as it has
-    recipes."""
-    least = features.groupBy("k", "feature").agg(F.min(key).alias("a"))
-    return features.join(least, ["k", "feature"]).where(F.col(key) > F.col("a")).groupBy("a", F.col(key).alias("b")).agg(F.count("*").alias("shared"))
+
+def similar_recipes(features: DataFrame, key: str = "file_id", block: int = 4096) -> DataFrame:
+    """(a, b, shared), a < b: how many features any two class representatives share, for
+    all that share one. Which class a recipe belongs to is in feature_classes. The members of a
+    feature that many have are met in blocks of about `block`, so no task has all of them."""
+    reps = features.join(feature_classes(features, key).where(F.col(key) == F.col("rep")).select(key), key, "left_semi")
+    rows = cut(reps.select("k", "feature", F.col(key).alias("a")))
+    blocks = rows.groupBy("k", "feature").agg(F.count("*").alias("n")).where("n > 1").select("k", "feature", F.ceil(F.col("n") / block).cast("int").alias("s"))
+    held = rows.join(blocks, ["k", "feature"])
+    left = held.select("k", "feature", "a", F.pmod(F.xxhash64("a"), F.col("s")).cast("int").alias("block"))
+    right = held.select("k", "feature", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("block"))
+    return left.join(right, ["k", "feature", "block"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def inverted_features(features: DataFrame, key: str = "file_id") -> DataFrame:
@@ -87,47 +99,43 @@ def split_recipe(recipe: DataFrame, least: int, expected: int, most: int, key: s
 
 
 def similarity_order(features: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, pos): recipes in the order in which each is the most similar to the last:
-    most shared features, the first to reach the count winning; else the least id
-    left. One ordered pass over 8 numbers a recipe; the result only steers caches."""
+    """(key, pos): recipes in the order in which each is the most similar to the last: the
+    one with most shared features, of those the one whose last shared lane comes first, then
+    the least id; the least id left where none shares any. Recipes of equal features follow
+    each other, so the ordered pass sees one row of 8 numbers for each class of them."""
     lanes = len(lane_constants())
-    wide = features.groupBy(F.lit(1).alias("one"), key).pivot("k", list(range(lanes))).agg(F.first("feature"))
-    wide = wide.select("one", key, *[F.col(str(k)).cast("string").alias(f"f{k}") for k in range(lanes)])
+    classes = cut(feature_classes(features, key))
+    wide = features.join(classes.where(F.col(key) == F.col("rep")).select("rep"), F.col(key) == F.col("rep"))
+    rows = wide.groupBy("rep").pivot("k", list(range(lanes))).agg(F.first("feature")).select(F.lit(1).alias("one"), "rep", F.array(*[F.col(str(k)).cast("string") for k in range(lanes)]).alias("f"))
 
     ship(features.sparkSession)
 
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key).reset_index(drop=True)
-        rows = part[[f"f{k}" for k in range(lanes)]].to_numpy()
-        lists: list[dict] = [{} for _ in range(lanes)]
-        for i, row in enumerate(rows):
-            for k, f in enumerate(row):
-                lists[k].setdefault(f, []).append(i)
-        sent, order, low = [False] * len(rows), [], 0
+    def order(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rep", ignore_index=True)
+        codes = np.stack([pd.factorize(part["f"].str[k])[0] for k in range(lanes)], axis=1)
+        by_lane = [pd.Series(np.arange(len(part))).groupby(codes[:, k]).indices for k in range(lanes)]
+        left, taken = np.ones(len(part), bool), []
+        lows = iter(range(len(part)))
         now = None
-        for _ in range(len(rows)):
-            best, most = -1, 0
+        while len(taken) < len(part):
+            near = np.empty(0, np.int64)
             if now is not None:
-                counts: dict[int, int] = {}
                 for k in range(lanes):
-                    if most == lanes:
-                        break
-                    alive = [i for i in lists[k][rows[now][k]] if not sent[i]]
-                    lists[k][rows[now][k]] = alive
-                    for i in alive:
-                        counts[i] = counts.get(i, 0) + 1
-                        if counts[i] > most:
-                            best, most = i, counts[i]
-            if best < 0:
-                while sent[low]:
-                    low += 1
-                best = low
-            sent[best] = True
-            order.append(best)
-            now = best
-        return pd.DataFrame({key: part[key].to_numpy()[order], "pos": range(len(order))})
-
-    return wide.groupBy("one").applyInPandas(scan, f"{key} long, pos long")
+                    mine = by_lane[k][codes[now, k]]
+                    by_lane[k][codes[now, k]] = mine[left[mine]]
+                near = np.unique(np.concatenate([by_lane[k][codes[now, k]] for k in range(lanes)]))
+            if len(near):
+                same = codes[near] == codes[now]
+                last = lanes - 1 - np.argmax(same[:, ::-1], axis=1)
+                now = int(near[np.lexsort((near, last, -same.sum(axis=1)))[0]])
+            else:
+                now = next(i for i in lows if left[i])
+            left[now] = False
+            taken.append(now)
+        return pd.DataFrame({"rep": part["rep"].to_numpy()[taken], "rank": range(len(taken))})
+
+    ranked = rows.groupBy("one").applyInPandas(order, "rep long, rank long")
+    return dense_index(classes.join(ranked, "rep").select(key, "rank"), ["rank", key], "pos").select(key, "pos")
 
 
 def upgrade_counters(recipe: DataFrame, entries: DataFrame) -> DataFrame:

@@ -321,18 +321,15 @@ def index_upsert(spark, sf):
     return retention.upsert(old, features.where(F.col("segment_id") >= half), FEATURES).select("feature", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query(_SEG16 + f"SELECT feature, array_to_string(list_filter(list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}], lambda x: x % 2 = 1), ',') AS ids FROM feat GROUP BY feature HAVING len(list_filter(list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}], lambda x: x % 2 = 1)) > 0")
-def index_delete_id(spark, sf):
-    features = _small(spark, sf)[1]
-    gone = features.where("segment_id % 2 = 0").select("segment_id")
-    return retention.delete_id(retention.feature_queue(features, FEATURES), gone).select("feature", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+_GONE = f", gone AS (SELECT segment_id FROM seg16 GROUP BY 1 HAVING max(version) < {KEEP_FROM})"
 
 
-@query(", f AS (SELECT fp FROM seg WHERE seq % 7 = 0 UNION SELECT fp FROM stored WHERE urank % 5 = 0) SELECT fp FROM f")
-def index_update_union(spark, sf):
-    """Features, unique and rewritten fingerprints together, once each."""
-    rows, stored = rel.placed(spark, sf)
-    return rows.where("seq % 7 = 0").select("fp").unionByName(stored.where("urank % 5 = 0").select("fp")).distinct()
+@query(_SEG16 + _GONE + f", q AS (SELECT feature, list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}] AS ids FROM feat GROUP BY feature), k AS (SELECT feature, list_filter(ids, lambda x: x NOT IN (SELECT segment_id FROM gone)) AS ids FROM q) SELECT feature, array_to_string(ids, ',') AS ids FROM k WHERE len(ids) > 0")
+def index_delete_id(spark, sf):
+    """The index without the segments of expired versions."""
+    chunks, features = _small(spark, sf)
+    gone = chunks.groupBy("segment_id").agg(F.max("version").alias("v")).where(F.col("v") < KEEP_FROM).select("segment_id")
+    return retention.delete_id(retention.feature_queue(features, FEATURES), gone).select("feature", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 # --- containers and recipes -------------------------------------------------------
@@ -472,6 +469,27 @@ def write_decision(spark, sf):
     return _decided(spark, sf).select("version", "seq", "denied", "written")
 
 
+_UNION = _DECIDED + _SEG16 + """SELECT feature AS fp FROM feat UNION SELECT fp FROM decided WHERE NOT is_dup UNION SELECT fp FROM decided WHERE is_dup AND written"""
+
+
+@query(_UNION)
+def index_update_union(spark, sf):
+    """What an update adds to the index: the sampled features of all segments, all unique
+    fingerprints and those of all rewritten chunks, once each."""
+    decided = _decided(spark, sf)
+    written = decided.where("written").select("fp")  # unique or rewritten
+    return _small(spark, sf)[1].select(F.col("feature").alias("fp")).unionByName(written).distinct()
+
+
+@query(_DECIDED + _SEG16 + "SELECT kind, count(DISTINCT fp) AS fps FROM (SELECT 'feature' AS kind, feature AS fp FROM feat UNION ALL SELECT 'unique', fp FROM decided WHERE NOT is_dup UNION ALL SELECT 'rewritten', fp FROM decided WHERE is_dup AND written) GROUP BY 1")
+def index_update_parts(spark, sf):
+    """How many fingerprints each part of the update has."""
+    decided = _decided(spark, sf)
+    parts = decided.where("written").select(F.when(F.col("is_dup"), "rewritten").otherwise("unique").alias("kind"), "fp")
+    every = parts.unionByName(_small(spark, sf)[1].select(F.lit("feature").alias("kind"), F.col("feature").alias("fp")))
+    return every.groupBy("kind").agg(F.count_distinct("fp").alias("fps"))
+
+
 @query()
 def cbr_rewrite(spark, sf):
     return rewriting.cbr(rel.recipe(spark, sf)[0], CAP_BUFFER, 0.7, 0.05, rel.PAYLOAD)
@@ -602,8 +620,20 @@ def recipe_minhash(spark, sf):
     return _recipe_features(spark, sf).select("file_id", "k", F.col("feature").cast("string").alias("feature"))
 
 
-@query(_FEATURE + " SELECT a, file_id AS b, count(*) AS shared FROM feature JOIN (SELECT k, feature, min(file_id) AS a FROM feature GROUP BY 1, 2) USING (k, feature) WHERE file_id > a GROUP BY 1, 2")
+_CLASSES = _FEATURE + """, vec AS (SELECT file_id, list(feature ORDER BY k) AS v FROM feature GROUP BY 1),
+class AS (SELECT file_id, min(file_id) OVER (PARTITION BY v) AS rep FROM vec)
+"""
+
+
+@query(_CLASSES + "SELECT file_id, rep FROM class")
+def recipe_classes(spark, sf):
+    """Recipes of equal features, by their least member."""
+    return upgrade.feature_classes(_recipe_features(spark, sf))
+
+
+@query(_CLASSES + "SELECT x.file_id AS a, y.file_id AS b, count(*) AS shared FROM feature x JOIN feature y USING (k, feature) WHERE x.file_id < y.file_id AND x.file_id IN (SELECT rep FROM class) AND y.file_id IN (SELECT rep FROM class) GROUP BY 1, 2")
 def recipe_similarity_pairs(spark, sf):
+    """Shared features of all pairs of class representatives (see recipe_classes)."""
     return upgrade.similar_recipes(_recipe_features(spark, sf))
 
 

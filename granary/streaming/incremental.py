@@ -22,15 +22,12 @@ def windowed_counts(events: DataFrame, column: str, window: str, late: str) -> D
 
 def backup_stream(files: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Backs up each micro-batch of a stream of files (file_id, file_name, data) as a
-    version of the store. The store notes the batches of a checkpoint that are in, and
-    passes over them; one that breaks off between its backup and the note is stored
-    again, which costs a recipe but no containers."""
+    version of the store. A version's log entry names its batch, so a batch that is run
+    again after a failure is stored once."""
 
     def save(batch: DataFrame, number: int) -> None:
-        mark = f"batch {number} of {checkpoint}"
-        if batch.isEmpty() or (store.exists("job_log") and not store.table("job_log").where(F.col("job") == mark).isEmpty()):
-            return
-        version = store.backup(batch)
-        store._log(mark, version, 0, 0, 0)
+        note = f"batch {number} of {checkpoint}"
+        if not batch.isEmpty() and all(e.get("note") != note for e in store.entries()):
+            store.backup(batch, note)
 
     return files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

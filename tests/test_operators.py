@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.config import CONTAINER_PAYLOAD, PRESETS, StoreConfig, apply_overrides, entries_per_container, levels_agree, parse_config, yes
 from granary.functions import scalar
-from granary.operators import dedup, layout, ordering, restore, retention, rewriting, segmenting, simulation, upgrade
+from granary.operators import dedup, layout, ordering, restore, retention, rewriting, segmenting, simulation, spans, upgrade
 
 
 def test_capacity():
@@ -32,6 +32,30 @@ def test_next_fit(spark, sizes, entries, containers):
     assert layout.pack_next_fit(df, entries).agg(F.count_distinct("cid")).first()[0] == containers
 
 
+def plain_next_fit(sizes, entries, payload):
+    cid, used, count, out = 0, 0, 0, []
+    for size in sizes:
+        if count and (used + size > payload or count >= entries):
+            cid, used, count = cid + 1, 0, 0
+        out.append((cid, count))
+        used, count = used + size, count + 1
+    return out
+
+
+@pytest.mark.parametrize("fan", [spans.FAN, 2])
+def test_next_fit_over_spans(spark, monkeypatch, fan):
+    """Containers go over the seams of spans, and of groups of spans."""
+    monkeypatch.setattr(spans, "FAN", fan)
+    r = random.Random(12)
+    sizes = {s: [r.choice([1, 5, 30, 80, 200]) for _ in range(n)] for s, n in (("x", 700), ("y", 1), ("z", 130))}
+    rows = [(f"{s}{i}", 3 * i + 1, size, s) for s, all_ in sizes.items() for i, size in enumerate(all_)]
+    df = spark.createDataFrame(rows, "fp string, seq long, size int, s string").repartition(5)
+    for entries, payload in ((9, 150), (3, 10_000), (50, 90)):
+        got = {(x.s, x.seq): (x.cid, x.pos) for x in layout.pack_next_fit(df, entries, payload, "s", span=16).collect()}
+        want = {(s, 3 * i + 1): place for s, all_ in sizes.items() for i, place in enumerate(plain_next_fit(all_, entries, payload))}
+        assert got == want
+
+
 def test_next_fit_keeps_streams_apart(spark):
     df = spark.createDataFrame([(f"{i}", i, 60, i % 2) for i in range(8)], "fp string, seq long, size int, s long")
     got = layout.pack_next_fit(df, 9, 100, "s").groupBy("s").agg(F.count_distinct("cid").alias("n")).collect()
@@ -129,11 +153,74 @@ def test_cache_policies():
     assert lru.get("c")
 
 
+@pytest.mark.parametrize("size", [0, 1, 3, 40])
+def test_lru_over_spans(spark, size):
+    rows = stream(900, 5)
+    df = spark.createDataFrame(rows, "version long, seq long, cid long, size int, is_dup boolean").repartition(4)
+    got = {r.seq: r.hit for r in simulation.lru_hits(df, size, span=7).collect()}
+    want, caches = {}, {}
+    for v, seq, cid, _, _ in rows:
+        want[seq] = caches.setdefault(v, simulation.Lru(size)).touch(cid)
+    assert got == want
+
+
+def test_switch_follows_the_level(spark):
+    rows = stream(900, 6)
+    df = spark.createDataFrame(rows, "version long, seq long, cid long, size int, is_dup boolean")
+    got = {r.seq: (round(r.cfl, 9), r.enabled) for r in rewriting.cfl_switch(df, 0.5, 3, 1000).collect()}
+    state = {}
+    for v, seq, cid, size, _ in rows:
+        lru, total, reads, on = state.get(v, (simulation.Lru(3), 0, 0, False))
+        level = -(-total // 1000) / reads if reads else 0.0
+        on = False if on and level > 0.5 else True if not on and level < 0.5 else on
+        assert got[seq] == (round(level, 9), on)
+        state[v] = (lru, total + size + 28, reads + (not lru.touch(cid)), on)
+
+
+def test_carried_and_running_over_spans(spark):
+    r = random.Random(8)
+    rows = [(k, i, r.randrange(9), r.choice([None, None, None, i])) for k in range(3) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, i long, n long, mark long").repartition(3)
+    got = spans.running(spans.carried(df, "k", "i", "mark", "last", 16), "k", "i", {"before": "n"}, 16).collect()
+    by = {(x.k, x.i): (x.before, x["last"]) for x in got}
+    for k in range(3):
+        before, last = 0, None
+        for _, i, n, mark in rows[200 * k : 200 * k + 200]:
+            last = last if mark is None else mark
+            assert by[k, i] == (before, last)
+            before += n
+
+
+def test_pairs_of_recipes(spark):
+    """All pairs of representatives that share a feature, met in small blocks; the order
+    is that of the plain greedy walk over all recipes."""
+    r = random.Random(5)
+    vectors = [[r.randrange(4) for _ in range(8)] for _ in range(25)]
+    recipes = {i: vectors[r.randrange(25)] for i in range(60)}
+    df = spark.createDataFrame([(i, k, f) for i, v in recipes.items() for k, f in enumerate(v)], "file_id long, k int, feature long")
+    rep = {i: min(j for j, w in recipes.items() if w == v) for i, v in recipes.items()}
+    assert {x.file_id: x.rep for x in upgrade.feature_classes(df).collect()} == rep
+    reps = sorted(set(rep.values()))
+    want = {(a, b): sum(x == y for x, y in zip(recipes[a], recipes[b], strict=True)) for a in reps for b in reps if a < b}
+    for block in (3, 4096):
+        assert {(x.a, x.b): x.shared for x in upgrade.similar_recipes(df, block=block).collect()} == {k: n for k, n in want.items() if n}
+    left, order, now = set(recipes), [], None
+    while left:
+        score = lambda i: sum(x == y for x, y in zip(recipes[i], recipes[now], strict=True))
+        near = [i for i in left if now is not None and score(i)]
+        last = lambda i: max(k for k in range(8) if recipes[i][k] == recipes[now][k])
+        now = min(near, key=lambda i: (-score(i), last(i), i)) if near else min(left)
+        left.discard(now)
+        order.append(now)
+    assert [x.file_id for x in upgrade.similarity_order(df).orderBy("pos").collect()] == order
+
+
 def test_segments_by_content(spark):
     r = random.Random(7)
     rows = [(0, i, f"{r.getrandbits(160):040X}") for i in range(400)]
     df = spark.createDataFrame(rows, "version long, seq long, fp string")
     got = [x.segment_no for x in segmenting.content_segments(df, 8, 5, 20).orderBy("seq").collect()]
+    assert got == [x.segment_no for x in segmenting.content_segments(df, 8, 5, 20, span=32).orderBy("seq").collect()]
     number, count, want = 0, 0, []
     for _, _, fp in rows:
         mark = int.from_bytes(bytes.fromhex(fp[32:40]), "little", signed=True) % 8 == 0

@@ -86,6 +86,55 @@ def test_store_round_trip(spark, tmp_path):
         store.restore(0)
 
 
+def _contents(store):
+    return {v: sorted((x.file_id, bytes(x.data)) for x in store.restore(v).collect()) for v in store.versions()}
+
+
+def test_a_job_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    """Each job fails before, between and after its writes; it can then be run again, what
+    is stored is stored once, and vacuum leaves what is in use."""
+    r = random.Random(3)
+    schema = "file_id long, file_name string, data binary"
+    a, b = r.randbytes(6_000), r.randbytes(9_000)
+    store = Store(spark, f"file://{tmp_path}/store", StoreConfig(chunk_algorithm="fixed", chunk_avg_size=1000))
+    first, second = (spark.createDataFrame(x, schema) for x in ([(0, "a", a), (1, "b", b)], [(0, "a", a + b"more")]))
+    store.backup(first)
+
+    def broken(job, steps):
+        """Runs the job once for each step, failing there."""
+        before = _contents(store)
+        for step in range(steps):
+            left = [step]
+            write, publish = Store._write, Store._publish
+
+            def check():
+                if left[0] == 0:
+                    raise OSError("gone")
+                left[0] -= 1
+
+            with monkeypatch.context() as m:
+                m.setattr(Store, "_write", lambda self, name, df: (check(), write(self, name, df))[1])
+                m.setattr(Store, "_publish", lambda self, n, e: (check(), publish(self, n, e))[1])
+                with pytest.raises(OSError, match="gone"):
+                    job()
+            assert _contents(store) == before
+
+    broken(lambda: store.backup(second), 4)
+    assert store.backup(second) == 1
+    assert _contents(store) == {0: [(0, a), (1, b)], 1: [(0, a + b"more")]}
+    assert store.table("container_entry").count() == store.table("container_entry").select("cid", "fp").distinct().count() == 16
+    broken(lambda: store.expire(1), 4)
+    store.expire(1)
+    assert _contents(store) == {1: [(0, a + b"more")]}
+    assert store.vacuum() >= 6
+    assert store.vacuum() == 0
+    assert _contents(store) == {1: [(0, a + b"more")]}
+    assert store.backup(first) == 2
+    assert _contents(store)[2] == [(0, a), (1, b)]
+    with pytest.raises(Exception, match="(?i)exists"):  # two jobs of one number
+        store._publish(0, {"job": "backup"})
+
+
 def test_written_files(spark, tmp_path):
     rows = [("a.txt", b"one"), ("sub/b.bin", bytes(range(256))), ("/c", b"")]
     files.write_files(spark.createDataFrame(rows, "file_name string, data binary"), f"file://{tmp_path}/out")
