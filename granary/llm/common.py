@@ -59,17 +59,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(remainder(doc_id) == 1, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, rows: int, per: str, keep: list[str], limit_bytes: int, text: str = "text") -> DataFrame:
-    """About `rows` rows for each value of `per`, of texts up to `limit_bytes`,
-    chosen by a hash of doc_id alone, so it is the same on every run. Used to fit
-    classifiers; the bound is the caller's documented parameter."""
-    usable = df.where(F.octet_length(text) <= limit_bytes)
-    counts = usable.groupBy(per).count().collect()
+def bounded_sample(df: DataFrame, rows: int, per: str, keep: list[str]) -> DataFrame:
+    """About `rows` rows for each value of `per`, chosen by a hash of doc_id alone, so it
+    is the same on every run. Used to fit classifiers; the bound is the caller's
+    documented parameter."""
     share = F.lit(0.0)
-    for value, n in counts:
+    for value, n in df.groupBy(per).count().collect():
         share = F.when(F.col(per).eqNullSafe(F.lit(value)), F.lit(min(1.0, rows / n))).otherwise(share)
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.where(spread < share).select(*keep)
+    return df.where(spread < share).select(*keep)
+
+
+def robust_bands(df: DataFrame, group: str, value: str, low: float, high: float, step: float = 1 / 256) -> dict[str, tuple[float, float]]:
+    """For each value of `group` a least and a greatest value: `low` robust deviations
+    below and `high` above the median of all its rows (nulls aside). Each side has its
+    own deviation (1.4826 times the median distance from the median of the rows on that
+    side), as tails differ. Medians are read from a histogram of steps of `step`, which
+    is all that comes to the driver."""
+    at = F.floor(F.col(value) / step).cast("bigint").alias("s")
+    by: dict[str, list] = {}
+    for name, s, n in df.where(F.col(value).isNotNull()).groupBy(group, at).count().collect():
+        by.setdefault(name, []).append(((s + 0.5) * step, n))
+
+    def median(pairs):
+        pairs = sorted(pairs)
+        half, so_far = sum(n for _, n in pairs) / 2, 0
+        for x, n in pairs:
+            so_far += n
+            if so_far >= half:
+                return x
+        return 0.0
+
+    out = {}
+    for name, pairs in by.items():
+        mid = median(pairs)
+        below = max(1.4826 * median([(mid - x, n) for x, n in pairs if x <= mid]), 4 * step)
+        above = max(1.4826 * median([(x - mid, n) for x, n in pairs if x >= mid]), 4 * step)
+        out[name] = (mid - low * below, mid + high * above)
+    return out
 
 
 def let(value: Column, body) -> Column:

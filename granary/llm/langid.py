@@ -5,10 +5,12 @@ probability; a byte unseen in a context escapes to the next shorter one (method
 C: escape mass D / (T + D) for D distinct bytes after T occurrences, without
 exclusion), down to 1/256 for each byte. The statistics are frozen after fitting,
 so the code length of a byte depends on it and the three bytes before it alone,
-and whole batches are scored by table lookups that give the exact lengths.
+and whole batches are scored by table lookups that give the exact lengths. Contexts are
+counted in Spark and all of them are kept.
 
 The prediction is the language of the shortest code; the score is its posterior
-under equal priors.
+under equal priors. As that compares learned languages only, the mean code length of a
+byte is given too: it tells texts that are like none of them.
 """
 
 from __future__ import annotations
@@ -17,19 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.shipping import ship
-from granary.llm.common import bounded_sample, held_out, remainder, replacing
-from granary.llm.textscan import LOWER, blocks
+from granary.llm.common import bounded_sample, held_out, remainder, replacing, robust_bands
+from granary.llm.textscan import LOWER, Index, blocks, scramble
 
-RESULTS = ("held_out", "lang_pred", "score")
+RESULTS = ("held_out", "lang_pred", "score", "byte_bits")
 UNKNOWN = "und"
 #: Bytes that stand before each text.
 PAD = 10
-#: The most contexts of three bytes that a model keeps (the most frequent).
-MOST_CONTEXTS = 1 << 15
+#: Robust deviations above its language's median from which a text is like no language.
+DEVIATIONS = 12.0
 
 
 @dataclass
@@ -40,9 +42,8 @@ class Model:
     grams3: np.ndarray  # distinct 3-byte grams
     bits3: np.ndarray  # code length of the last byte of each after the first two
     escape3: np.ndarray  # bits to escape from each, taken as a context
-    grams4: np.ndarray  # (index into contexts3 + 1) * 256 + byte
+    grams4: np.ndarray  # distinct 4-byte grams
     bits4: np.ndarray
-    contexts3: np.ndarray  # indices into grams3 that are kept as contexts
     bits2: np.ndarray  # [first * 256 + second, language]
     escape2: np.ndarray  # bits to escape from a context of two bytes
 
@@ -97,30 +98,50 @@ def _escapes(wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.nda
     return np.where(seen, -np.log2(distinct[at] / (total + distinct)[at]), 0.0)
 
 
-def train(texts: dict[str, list[str]]) -> Model:
-    """Fits a model to the texts of each language."""
-    languages = sorted(texts)
-    counted = {}
-    for lang in languages:
-        raw = [t.encode() for t in texts[lang]]
-        offsets = np.cumsum([0, *map(len, raw)])
-        padded, starts = _padded(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        counted[lang] = {n: np.unique(_grams(padded, starts, n), return_counts=True) for n in (1, 2, 3, 4)}
+def _counter(batches):
+    """(language, length, gram, count) of the grams of one partition's texts."""
+    for batch in batches:
+        lang = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+        text = batch.column(batch.schema.get_field_index("text"))
+        for lo, hi, data, offsets in blocks(text):
+            names = np.array(lang[lo:hi])
+            padded, starts = _padded(data, offsets)
+            of = np.repeat(np.arange(hi - lo), np.diff(offsets))
+            for n in (1, 2, 3, 4):
+                grams = _grams(padded, starts, n)
+                for name in np.unique(names):
+                    keys, counts = np.unique(grams[(names == name)[of]], return_counts=True)
+                    for at in range(0, len(keys), 1 << 16):
+                        k, c = keys[at : at + (1 << 16)], counts[at : at + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(k), pa.string()), pa.array([n] * len(k), pa.int32()), pa.array(k.astype(np.int64)), pa.array(c)], names=["lang", "k", "gram", "n"])
+
+
+Counts = dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]
+
+
+def collected(found: pa.Table) -> Counts:
+    """Of each language and length the sorted grams and their counts."""
+    out: Counts = {}
+    if not found.num_rows:
+        return out
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    code, k = np.asarray(names.indices), np.asarray(found.column("k"))
+    gram, n = np.asarray(found.column("gram")).astype(np.uint32), np.asarray(found.column("n"))
+    for c, name in enumerate(names.dictionary.to_pylist()):
+        for length in (1, 2, 3, 4):
+            mine = (code == c) & (k == length)
+            order = np.argsort(gram[mine])
+            out.setdefault(name, {})[length] = (gram[mine][order], n[mine][order])
+    return out
+
+
+def train(counted: Counts) -> Model:
+    """The model of counted grams."""
+    languages = sorted(counted)
     two = np.arange(1 << 16, dtype=np.uint32)
     union = lambda n: np.unique(np.concatenate([counted[x][n][0] for x in languages] + [np.empty(0, np.uint32)]))
     g4 = union(4)
     g3 = np.union1d(union(3), np.unique(g4 >> np.uint32(8)))  # with the pads, which no text has as a gram
-    weight = np.zeros(len(g3), np.int64)
-    for lang in languages:
-        keys, counts = counted[lang][4]
-        at, ok = _lookup(g3, keys >> np.uint32(8))
-        np.add.at(weight, at[ok], counts[ok])
-    kept = np.sort(np.argsort(-weight, kind="stable")[: min(MOST_CONTEXTS, int((weight > 0).sum()))])
-    place = np.zeros(len(g3) + 1, np.int64)
-    place[kept] = np.arange(1, len(kept) + 1)
-    at, ok = _lookup(g3, g4 >> np.uint32(8))
-    ok &= place[at] > 0
-    g4, row4 = g4[ok], place[at[ok]]
     b2, b3, b4, e2, e3 = [], [], [], [], []
     for lang in languages:
         c = counted[lang]
@@ -130,33 +151,27 @@ def train(texts: dict[str, list[str]]) -> Model:
         order0 = np.where(zero > 0, -np.log2(np.maximum(zero, 1) / (total + distinct)), -np.log2(distinct / (total + distinct)) + 8)
         order1 = _lengths(two, *c[2], order0[two & 255])
         order2 = _lengths(g3, *c[3], order1[g3 & 0xFFFF])
-        l3, ok3 = _lookup(g3, g4 & np.uint32(0xFFFFFF))
-        # A 4-gram's last three bytes are a gram of the same text, so ok3 holds throughout.
+        # A 4-gram's last three bytes are a gram of the same text, so all are found.
+        l3, _ = _lookup(g3, g4 & np.uint32(0xFFFFFF))
         order3 = _lengths(g4, *c[4], order2[l3])
         b2.append(order1), b3.append(order2), b4.append(order3)
         e2.append(_escapes(two, *c[3])), e3.append(_escapes(g3, *c[4]))
     pack = lambda x: np.stack(x, 1).astype(np.float32)
-    return Model(languages, g3, pack(b3), pack(e3), row4 * 256 + (g4 & 255), pack(b4), kept, pack(b2), pack(e2))
+    return Model(languages, g3, pack(b3), pack(e3), g4, pack(b4), pack(b2), pack(e2))
 
 
 class Scorer:
-    """The model as tables that are addressed directly."""
+    """The model as tables: 3-byte grams are addressed directly, 4-byte grams by hash."""
 
     def __init__(self, model: Model):
         self.languages = model.languages
-        n = len(model.languages)
-        none = np.zeros((1, n), np.float32)
+        none = np.zeros((1, len(model.languages)), np.float32)
         self.t3 = np.zeros(1 << 24, np.int32)
         self.t3[model.grams3] = np.arange(1, len(model.grams3) + 1)
-        place = np.zeros(len(model.grams3) + 1, np.int32)
-        place[model.contexts3 + 1] = np.arange(1, len(model.contexts3) + 1)
-        self.place = place
-        self.t4 = np.zeros((len(model.contexts3) + 1) * 256, np.int32)
-        self.t4[model.grams4] = np.arange(1, len(model.grams4) + 1)
+        hashes = scramble(model.grams4.astype(np.uint64))
+        order = np.argsort(hashes)
+        self.grams4, self.bits4 = Index(hashes[order]), np.vstack([model.bits4[order], none])
         self.bits3, self.escape3 = np.vstack([none, model.bits3]), np.vstack([none, model.escape3])
-        # A context beyond MOST_CONTEXTS is left without its own bytes, and so without escape.
-        self.escape3[1:][place[1:] == 0] = 0
-        self.bits4 = np.vstack([none, model.bits4])
         self.bits2, self.escape2 = model.bits2, model.escape2
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -168,31 +183,33 @@ class Scorer:
         k2 = k3 & 0xFFFF
         k3[2:] |= keys[:-2] << 16
         id3 = self.t3[k3]
-        context = np.zeros_like(id3)
-        context[1:] = id3[:-1]
-        id4 = self.t4[self.place[context] * 256 + keys]
-        bits = self.bits4[id4]
-        for_pads = (starts[:-1, None] + np.arange(3)).ravel()
-        id4[for_pads] = -1
-        bits[for_pads] = 0
-        new = np.flatnonzero(id4 == 0)
+        k4 = keys.astype(np.uint64)
+        k4[1:] |= k3[:-1].astype(np.uint64) << np.uint64(8)
+        real = np.ones(len(keys), bool)
+        real[(starts[:-1, None] + np.arange(3)).ravel()] = False
+        seen, at4 = self.grams4.find(scramble(k4))
+        bits = self.bits4[at4]
+        bits[~real] = 0
+        new = np.flatnonzero(real & ~seen)
         if len(new):
             shorter = self.bits3[id3[new]]
             newer = np.flatnonzero(id3[new] == 0)
             at = new[newer]
             shorter[newer] = self.escape2[k2[at - 1]] + self.bits2[k2[at]]
-            bits[new] = shorter + self.escape3[context[new]]
+            bits[new] = shorter + self.escape3[id3[new - 1]]
         return np.add.reduceat(bits, starts[:-1], axis=0, dtype=np.float64)
 
-    def predict(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and its posterior, for each text."""
-        best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
+    def predict(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the index of the language, its posterior, and the mean bits of a
+        byte under it."""
+        best, score, mean = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column))
         for lo, hi, data, offsets in blocks(column):
             bits = self.code_lengths(data, offsets)
             least = bits.min(axis=1, keepdims=True)
             best[lo:hi] = bits.argmin(axis=1)
             score[lo:hi] = 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=1)
-        return best, score
+            mean[lo:hi] = least[:, 0] / np.maximum(np.diff(offsets), 1)
+        return best, score, mean
 
 
 _scorers: dict = {}
@@ -207,25 +224,26 @@ def _scorer(broadcast) -> Scorer:
     return _scorers[key]
 
 
-def fit(docs: DataFrame, sample_rows: int = 1000, sample_bytes: int = 1 << 15) -> Model | None:
-    """A model from labelled documents: for each lang, `sample_rows` documents or so
-    that are not held out, whole texts of up to `sample_bytes` bytes. None if there
-    is no labelled document. The training set has at most 8 * sample_rows rows in
-    all, however many languages there are."""
+def fit(docs: DataFrame, sample_rows: int = 1000) -> Model | None:
+    """A model from labelled documents: for each lang, whole texts of `sample_rows`
+    documents or so that are not held out. None if there is no labelled document. The
+    training set has at most 8 * sample_rows rows in all, however many languages there
+    are; their grams are counted in Spark, and the counts come to the driver."""
+    ship(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id")) != 1))
     n = max(1, rows.select("lang").distinct().count())
-    sample = bounded_sample(rows, min(sample_rows, max(1, 8 * sample_rows // n)), "lang", ["lang", "text"], sample_bytes)
-    texts: dict[str, list[str]] = {}
-    for lang, text in sample.collect():
-        texts.setdefault(lang, []).append(text)
-    return train(texts) if texts else None
+    sample = bounded_sample(rows, min(sample_rows, max(1, 8 * sample_rows // n)), "lang", ["lang", "text"])
+    grams = sample.mapInArrow(_counter, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    counted = collected(grams.toArrow())
+    return train(counted) if counted else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with held_out, lang_pred and score; the caller's columns of these names
-    are replaced. A text that is null or has no letter is `und` with score 0, as is
-    every text if there is no model. Equal code lengths go to the language that
-    comes first in alphabetical order. An empty table gives no rows.
+    """`docs` with held_out, lang_pred, score and byte_bits (mean code length of a byte
+    under that language, in bits); the caller's columns of these names are replaced. A
+    text that is null or has no letter is `und` with score 0 and null bits, as is every
+    text if there is no model. Equal code lengths go to the language that comes first in
+    alphabetical order. An empty table gives no rows.
 
     Texts are read whole. Only the text enters a prediction.
     """
@@ -233,19 +251,29 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     base = replacing(docs, *RESULTS).withColumn("held_out", held_out(F.col("doc_id")))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return base.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return base.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0)).withColumn("byte_bits", F.lit(None).cast("double"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     marked = base.withColumn("__gr_letters", letters)
-    out = base.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    out = base.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("byte_bits", F.lit(None).cast("double")).schema
 
     def run(batches):
         scorer = _scorer(shared)
         names = np.array([*scorer.languages, UNKNOWN], dtype=object)
         for batch in batches:
             has = np.asarray(batch.column(batch.num_columns - 1))
-            best, score = scorer.predict(batch.column(batch.schema.get_field_index("text")))
+            best, score, mean = scorer.predict(batch.column(batch.schema.get_field_index("text")))
             pred = pa.array(names[np.where(has, best, len(names) - 1)], pa.string())
-            columns = [*batch.columns[:-1], pred, pa.array(np.where(has, score, 0.0))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            columns = [*batch.columns[:-1], pred, pa.array(np.where(has, score, 0.0)), pa.array(mean, mask=~has)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score", "byte_bits"])
 
     return marked.mapInArrow(run, out)
+
+
+def unlike(identified: DataFrame, deviations: float = DEVIATIONS) -> Column:
+    """Whether an identified text is like no learned language: its bytes cost more bits
+    than `deviations` robust deviations above the median of all texts of the language
+    that was predicted. Texts without a prediction are unlike any."""
+    limit = F.lit(None).cast("double")
+    for lang, (_, most) in robust_bands(identified, "lang_pred", "byte_bits", deviations, deviations).items():
+        limit = F.when(F.col("lang_pred") == lang, most).otherwise(limit)
+    return F.coalesce(F.col("byte_bits") > limit, F.lit(True))

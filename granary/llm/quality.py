@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.shipping import ship
-from granary.llm.common import cut, replacing
-from granary.llm.textscan import BLOCK, CONTINUES, LOWER, SPACES, blocks, per_row, scramble, span_hashes, spans
+from granary.llm.common import cut, replacing, robust_bands
+from granary.llm.textscan import BLOCK, CONTINUES, LOWER, SPACES, Index, blocks, per_row, scramble, span_hashes, spans
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 RESULTS = (*BASE, "perplexity", "kept")
@@ -41,8 +41,6 @@ MOST_BROADCAST = 1 << 22
 MOST_LANGUAGES = 100_000
 #: Robust deviations from a language's median that the bands reach, below and above.
 LOW, HIGH = 4.0, 4.0
-#: Steps of log2 perplexity in the histogram from which bands are read.
-STEP = 1 / 256
 
 
 # --- statistics ---------------------------------------------------------------
@@ -209,39 +207,12 @@ def estimate(counted: DataFrame) -> DataFrame:
     return p
 
 
-class Index:
-    """Lookups in a sorted array of hashes: as hashes are spread evenly, their leading
-    bits tell where to begin, and few steps are left."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(1, min(22, len(keys).bit_length()))
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.values = np.append(values, np.float32(0))
-        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        ends = np.append(self.start[1:], len(keys))
-        self.steps = int((ends - self.start).max(initial=0))
-        self.size = len(keys)
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is there, and its value (or 0)."""
-        at = self.start[(wanted >> self.shift).astype(np.int64)]
-        short = np.flatnonzero(self.keys[at] < wanted)
-        for _ in range(self.steps):
-            if not len(short):
-                break
-            at[short] += 1
-            short = short[self.keys[at[short]] < wanted[short]]
-        seen = (self.keys[at] == wanted) & (at < self.size)
-        return seen, np.where(seen, self.values[at], np.float32(0))
-
-
 class Scorer:
     """The model as sorted arrays of hashed (language, gram) and log2 of p."""
 
     def __init__(self, languages: list[str], keys: np.ndarray, logs: np.ndarray):
         self.numbers = {x: k for k, x in enumerate(languages)}
-        self.index = Index(keys, logs)
+        self.index, self.logs = Index(keys), np.append(logs, np.float32(0))
 
     @classmethod
     def of(cls, model: DataFrame) -> Scorer:
@@ -260,7 +231,8 @@ class Scorer:
         for lo, hi, data, offsets in blocks(texts):
             keys, first = _grams(data, offsets)
             n = np.diff(first)
-            _, each = self.index.find(hashed(np.repeat(np.maximum(codes[lo:hi], 0), n), keys))
+            seen, at = self.index.find(hashed(np.repeat(np.maximum(codes[lo:hi], 0), n), keys))
+            each = np.where(seen, self.logs[at], np.float32(0))
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[lo:hi] = np.where(codes[lo:hi] >= 0, -per_row(each.astype(np.float64), first) / n, np.nan)
         return out
@@ -310,32 +282,9 @@ def _joined_bits(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def bands(measured: DataFrame, low: float, high: float) -> dict[str, tuple[float, float]]:
-    """For each language the least and the greatest bits that are let through: `low`
-    robust deviations below and `high` above the median of documents that pass the base
-    rules. Each side has its own deviation (1.4826 times the median distance from the
-    median of the documents on that side), as the two tails differ."""
-    step = F.floor(F.col("__gr_bits") / STEP).cast("bigint").alias("s")
-    got = measured.where("NOT base_failed AND __gr_bits IS NOT NULL").groupBy(LANG, step).count().collect()
-    by: dict[str, list] = {}
-    for lang, s, n in got:
-        by.setdefault(lang, []).append(((s + 0.5) * STEP, n))
-
-    def median(pairs):
-        pairs = sorted(pairs)
-        half, at = sum(n for _, n in pairs) / 2, 0
-        for x, n in pairs:
-            at += n
-            if at >= half:
-                return x
-        return 0.0
-
-    out = {}
-    for lang, pairs in by.items():
-        mid = median(pairs)
-        below = max(1.4826 * median([(mid - x, n) for x, n in pairs if x <= mid]), 4 * STEP)
-        above = max(1.4826 * median([(x - mid, n) for x, n in pairs if x >= mid]), 4 * STEP)
-        out[lang] = (mid - low * below, mid + high * above)
-    return out
+    """For each language the least and the greatest bits that are let through: those of
+    robust_bands over the documents that pass the base rules."""
+    return robust_bands(measured.where("NOT base_failed"), LANG, "__gr_bits", low, high)
 
 
 def _banded(docs: DataFrame, low: float, high: float, carry: list[str] | None, most_broadcast: int) -> DataFrame:

@@ -111,3 +111,29 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+class Index:
+    """Positions in a sorted array of hashes: as hashes are spread evenly, their leading
+    bits tell where to begin, and few steps are left."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, min(22, len(keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        ends = np.append(self.start[1:], len(keys))
+        self.steps = int((ends - self.start).max(initial=0))
+        self.size = len(keys)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is there, and its position (if it is not, some position up to
+        the size)."""
+        at = self.start[(wanted >> self.shift).astype(np.int64)]
+        short = np.flatnonzero(self.keys[at] < wanted)
+        for _ in range(self.steps):
+            if not len(short):
+                break
+            at[short] += 1
+            short = short[self.keys[at[short]] < wanted[short]]
+        return (self.keys[at] == wanted) & (at < self.size), at

@@ -212,7 +212,9 @@ def slow_lengths(texts, probe):
 
 def test_code_lengths_against_dictionaries():
     texts = {"a": [prose(i, 30) for i in range(5)], "b": ["der die das und " * 5, "ein haus"], "c": ["été où ça"]}
-    scorer = langid.Scorer(langid.train(texts))
+    counts = langid._counter([pa.RecordBatch.from_pylist([{"lang": x, "text": t} for x, ts in texts.items() for t in ts])])
+    together = pa.Table.from_batches(list(counts)).group_by(["lang", "k", "gram"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+    scorer = langid.Scorer(langid.train(langid.collected(together)))
     probes = [prose(9, 20), "und ein QUARK", "é", "x", "", "ça où haus 12"]
     joined = pa.array(probes)
     for lo, hi, data, offsets in textscan.blocks(joined):
@@ -236,11 +238,21 @@ def test_language_of_held_out_documents(spark):
 def test_prediction_does_not_read_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.fit(docs)
-    a = langid.identify(docs, model).select("text", "lang_pred", "score").collect()
-    b = langid.identify(docs.withColumn("lang", F.lit("xx")).withColumn("doc_id", F.col("doc_id") + 1), model).select("text", "lang_pred", "score").collect()
+    a = langid.identify(docs, model).select("text", "lang_pred", "score", "byte_bits").collect()
+    b = langid.identify(docs.withColumn("lang", F.lit("xx")).withColumn("doc_id", F.col("doc_id") + 1), model).select("text", "lang_pred", "score", "byte_bits").collect()
     assert a == b
 
 
+def test_texts_like_no_language(spark):
+    rows = [(i, prose(i, 80), "aa") for i in range(200)]
+    odd = ["".join(random.Random(k).choice("qxzjvwkyQXZ0123456789{}[]();=<>/+") for _ in range(400)) for k in range(20)]
+    odd += ["これは日本語の文章です。" * 20, None, "", "12345 !!"]
+    docs = spark.createDataFrame(rows + [(1000 + k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs))
+    gone = {r.doc_id for r in found.where(langid.unlike(found)).collect()}
+    assert gone == set(range(1000, 1000 + len(odd)))
+
+
 def test_language_of_awkward_rows(spark):
     df = awkward(spark)
     out = langid.identify(df, langid.fit(df)).collect()
