@@ -30,8 +30,9 @@ RESULTS = ("held_out", "lang_pred", "score", "byte_bits")
 UNKNOWN = "und"
 #: Bytes that stand before each text.
 PAD = 10
-#: Robust deviations above its language's median from which a text is like no language.
-DEVIATIONS = 12.0
+#: Times the median bits of a byte of its language from which a text is like no language,
+#: and the bytes that it takes to say so.
+FACTOR, LEAST_BYTES = 2.0, 64
 
 
 @dataclass
@@ -269,11 +270,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return marked.mapInArrow(run, out)
 
 
-def unlike(identified: DataFrame, deviations: float = DEVIATIONS) -> Column:
-    """Whether an identified text is like no learned language: its bytes cost more bits
-    than `deviations` robust deviations above the median of all texts of the language
-    that was predicted. Texts without a prediction are unlike any."""
+def unlike(identified: DataFrame, factor: float = FACTOR, least_bytes: int = LEAST_BYTES) -> Column:
+    """Whether an identified text (with its text column) is like no learned language: its
+    bytes cost more than `factor` times the median of all texts of the language that was
+    predicted. That can be said of texts of `least_bytes` or more; texts without a
+    prediction are unlike any."""
     limit = F.lit(None).cast("double")
-    for lang, (_, most) in robust_bands(identified, "lang_pred", "byte_bits", deviations, deviations).items():
-        limit = F.when(F.col("lang_pred") == lang, most).otherwise(limit)
-    return F.coalesce(F.col("byte_bits") > limit, F.lit(True))
+    for lang, (median, _) in robust_bands(identified, "lang_pred", "byte_bits", 0, 0).items():
+        limit = F.when(F.col("lang_pred") == lang, factor * median).otherwise(limit)
+    return F.col("byte_bits").isNull() | ((F.col("byte_bits") > limit) & (F.octet_length("text") >= least_bytes))

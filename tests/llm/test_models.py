@@ -313,6 +313,25 @@ def test_counterfactual_penalty(fairness):
         assert (a < 0.5).all()
 
 
+def test_penalty_covers_every_term_of_a_group():
+    """No term of the group scores unlike another after the fit, also those never seen."""
+    rows = sentences()
+    model = toxicity.train([toxicity.features_of(t) for t, _ in rows], np.array([y for _, y in rows]), fairness=5.0)
+    free = toxicity.train([toxicity.features_of(t) for t, _ in rows], np.array([y for _, y in rows]), fairness=0.0)
+    terms = toxicity.IDENTITY_TERMS[1]
+    odds = lambda m: np.array([toxicity.log_odds(m, [toxicity.features_of(f"{prose(9000 + i, 15)} {t}") for i in range(20)]).mean() for t in terms])
+    assert np.ptp(odds(model)) < 0.4
+    assert np.ptp(odds(free)) > 1.5 * np.ptp(odds(model))
+
+
+def test_cross_validation_tells_settings_apart():
+    rows = sentences(7, 300)
+    texts, toxic = [toxicity.features_of(t) for t, _ in rows], np.array([y for _, y in rows])
+    good, blind = toxicity.cross_validate(texts, toxic, [{"least_deviations": 3.0}, {"least_deviations": 99.0}], folds=3)
+    assert good[0] < blind[0]
+    assert good[2] > 0.9 > blind[2]
+
+
 def test_toxicity_of_awkward_rows(spark):
     labels = rows_of(spark, "doc_id bigint, toxic int", [(4, 1), (5, 0), (6, None), (None, 1), (9, 1), (4, 0)])
     model = toxicity.fit(awkward(spark), labels)
