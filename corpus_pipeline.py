@@ -8,18 +8,20 @@ the columns of `documents`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, langid, mixing, neardup, sharding
 from granary.llm.common import cut, table
 
-#: A prediction of less than this posterior is no language that the corpus knows.
+#: A prediction of less than this posterior leaves the language in doubt.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those whose language is in doubt."""
-    model = langid.fit(docs.select("doc_id", "text", "lang"))
-    known = langid.identify(docs, model).where((f"lang_pred <> '{langid.UNKNOWN}' AND score >= {LEAST_SCORE}"))
+    """Drops texts without a letter, those whose language is in doubt, and longer ones that
+    cost far more bits than texts of the nearest language, so are in none that was learned."""
+    found = cut(langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang"))))
+    known = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & ~langid.unlike(found))
     return known.select(*docs.columns)
 
 
