@@ -1,8 +1,9 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 A document is the set of its distinct shingles; its sketch keeps the k least
-hashes. Inverted lists are kept for runs of neighbouring retained values: two
-sets that overlap by 0.8 or more share most of their least values, hence some
+hashes. Inverted lists are kept for runs of neighbouring retained values, not for
+single ones (a passage that many documents share would put them all into one list,
+and all their pairs would have to be counted): two sets that overlap by 0.8 or more share most of their least values, hence some
 run, while a passage that unrelated documents share is interleaved with their own
 values and rarely fills a run. A candidate pair must pass the estimate that the
 sketch of the union gives, and then the exact Jaccard measure of the full sets.
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD,
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """`docs` without the near-duplicates of others: of each component the document
     with the least id stays. Rows with a null doc_id stay. If ids repeat, one row
-    of each kept id stays."""
+    of each kept id stays: that of the least text, and of the least values as JSON."""
     dropped = cut(near_duplicates(docs, width, threshold).where("kept = false").select(F.col("doc_id").alias("__gr_gone")).distinct())
     few = dropped.count() <= MOST_BROADCAST
     left = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("__gr_gone"), "left_anti")
@@ -211,6 +212,6 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Dat
     if repeated.isEmpty():
         return left
     again = F.col("doc_id") == F.col("__gr_again")
-    return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
-
-
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = left.join(repeated, again, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("__gr_row")).select("__gr_row.*")
+    return left.join(repeated, again, "left_anti").unionByName(first)
