@@ -98,6 +98,13 @@ def split_recipe(recipe: DataFrame, least: int, expected: int, most: int, key: s
     return recipe.select(key, "chunk_no", "cid").groupBy(key).applyInPandas(scan, f"{key} long, sub_id long, first_chunk long, chunks long, containers long")
 
 
+def sub_recipes(recipe: DataFrame, parts: DataFrame, key: str = "file_id", most: int = 1 << 20) -> DataFrame:
+    """`recipe` with sub, which names the part (of split_recipe) that a chunk is in: the
+    recipe's key times `most` plus the part's number. Parts can be used as recipes."""
+    numbers = F.explode(F.sequence(F.col("first_chunk"), F.col("first_chunk") + F.col("chunks") - 1)).alias("chunk_no")
+    return recipe.join(parts.select(key, (F.col(key) * most + F.col("sub_id")).alias("sub"), numbers), [key, "chunk_no"])
+
+
 def similarity_order(features: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, pos): recipes in the order in which each is the most similar to the last: the
     one with most shared features, of those the one whose last shared lane comes first, then

@@ -3,16 +3,20 @@ give the same rows. Relations are those of granary.plans.relations."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from granary.config import CONTAINER_PAYLOAD, PRESETS, StoreConfig
 from granary.functions import scalar
 from granary.functions.shipping import ship
-from granary.functions.compression import zstd_compress, zstd_decompress
+from granary.functions.compression import compressed_fp, zstd_compress, zstd_decompress
 from granary.operators import chunking, dedup, layout, ordering, restore, retention, rewriting, segmenting, simulation, stats, upgrade
 from granary.plans import relations as rel
 from granary.plans.sql import base
-from granary.sources.files import trace_lines
+from granary.sources import hashfile
+from granary.sources.files import read_directory, read_file_list, read_trace, trace_lines, write_files, write_trace
+from granary.sources.scratch import folder
+from granary.sources.store import Store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,8 +65,56 @@ def _cdc(name, algorithm):
     QUERIES[name] = run
 
 
+def _rabin_sql(algorithm: str) -> str:
+    """The content-defined cuts, file by file and cut by cut. What byte b adds to the low
+    bits of the fingerprint k bytes later is entry 256 * k + b of a list."""
+    least, most, avg, window = CDC.chunk_min_size, CDC.chunk_max_size, CDC.chunk_avg_size, chunking.WINDOW
+    table = (chunking.rabin_tables() & np.uint64(2 * avg - 1)).ravel().tolist()
+    # Lengths at which the window fills, and at which it is full, under a mask.
+    filling = lambda mask: f"list_filter(list_transform(early, lambda f, j: CASE WHEN (f & {mask}) = {chunking.BREAK_MARK} AND {least} + j - 1 < stop - start THEN {least} + j - 1 ELSE -1 END), lambda x: x >= 0)"
+    full = lambda mask: f"list_transform(list_filter(hits, lambda x: x[2] & {mask} = {chunking.BREAK_MARK} AND x[1] >= start + {least + window - 2} AND x[1] + 1 < stop), lambda x: x[1] + 1 - start)"
+    found = lambda mask, low=0: f"list_filter(list_concat({filling(mask)}, {full(mask)}), lambda x: x >= {low})"
+    main, small, large = avg - 1, 2 * avg - 1, avg // 2 - 1
+    length = {
+        "rabin": f"coalesce({found(main)}[1], stop - start)",
+        "normalized rabin": f"CASE WHEN {found(small)}[1] < {avg} THEN {found(small)}[1] ELSE coalesce({found(large, max(avg, least))}[1], stop - start) END",
+        "tttd": f"coalesce({found(main)}[1], {found(large)}[-1], stop - start)",
+    }[algorithm]
+    return f""", tab AS (SELECT {table} AS t),
+byte AS (SELECT file_id, i - 1 AS p, CAST(('0x' || substr(h, 2 * i - 1, 2)) AS INTEGER) AS b FROM (SELECT file_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM stream)),
+mark AS (SELECT file_id, p + k AS p, bit_xor(t[256 * k + b + 1]) AS f FROM byte, tab, (SELECT unnest(range({window})) AS k) GROUP BY 1, 2),
+held AS (SELECT file_id, list([p, f] ORDER BY p) AS hits FROM mark WHERE f & {large} = {chunking.BREAK_MARK} GROUP BY 1),
+file AS (SELECT file_id, version, h, length(h) // 2 AS n, coalesce(hits, []) AS hits FROM stream LEFT JOIN held USING (file_id) WHERE length(h) > 0),
+cutting AS (SELECT file_id, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, 0 AS chunk_no FROM file
+  UNION ALL SELECT file_id, start + size, start + size, chunk_no + 1 FROM (
+    SELECT file_id, start, chunk_no, CASE WHEN n - start <= {least} THEN n - start ELSE {length} END AS size FROM (
+      SELECT c.file_id, c.start, c.chunk_no, f.n, f.hits, least(f.n, c.start + {most}) AS stop,
+        list_transform(range(1, least({window - 1}, least(f.n, c.start + {most}) - c.start - {least - 1}) + 1), lambda j: list_reduce(list_transform(range(j), lambda k: tab.t[256 * k + CAST(('0x' || substr(f.h, 2 * (c.start + {least - 1} + j - 1 - k) + 1, 2)) AS INTEGER) + 1]), lambda x, y: xor(x, y))) AS early
+      FROM cutting c JOIN file f USING (file_id), tab WHERE c.start < f.n))),
+cdc AS (SELECT file_id, chunk_no - 1 AS chunk_no, lag(start) OVER (PARTITION BY file_id ORDER BY chunk_no) AS first, start AS past FROM cutting QUALIFY chunk_no > 0)
+"""
+
+
+def _ae_sql() -> str:
+    """Asymmetric extremum: the place of the least key so far (the last of equal ones) is
+    handed on from place to place until a cut is found."""
+    window, most = int(CDC.chunk_avg_size / (chunking.E_ROUNDED - 1)), CDC.chunk_max_size
+    key = "CAST(('0x' || substr(f.h, 2 * (c.start + i) + 1, 16)) AS UBIGINT)"
+    step = f"CASE WHEN a.cut >= 0 THEN a WHEN x.low <= a.low THEN x WHEN x.place >= a.place + {window} OR x.place = {most} THEN {{'place': a.place, 'low': a.low, 'cut': x.place}} ELSE a END"
+    scan = lambda n: f"list_reduce(list_transform(range(0, least(f.n - c.start - 8, {n}) + 1), lambda i: {{'place': i, 'low': {key}, 'cut': CAST(-1 AS BIGINT)}}), lambda a, x: {step})"
+    return f""", file AS (SELECT file_id, version, h, length(h) // 2 AS n FROM stream WHERE length(h) > 0),
+cutting AS (SELECT file_id, CAST(0 AS BIGINT) AS start, 0 AS chunk_no FROM file
+  UNION ALL SELECT file_id, start + CASE WHEN n - start <= {window + 8} OR last.cut < 0 THEN n - start ELSE last.cut END, chunk_no + 1 FROM (
+    SELECT c.file_id, c.start, c.chunk_no, f.n, CASE WHEN f.n - c.start <= {window + 8} THEN NULL WHEN near.cut >= 0 THEN near ELSE {scan(2 * most)} END AS last
+    FROM (SELECT c.*, CASE WHEN f.n - c.start > {window + 8} THEN {scan(2 * window)} END AS near FROM cutting c JOIN file f USING (file_id) WHERE c.start < f.n) c JOIN file f USING (file_id)))
+, cdc AS (SELECT file_id, chunk_no - 1 AS chunk_no, lag(start) OVER (PARTITION BY file_id ORDER BY chunk_no) AS first, start AS past FROM cutting QUALIFY chunk_no > 0)
+"""
+
+
+_CDC_ROWS = "SELECT file_id, version, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(past - first AS INTEGER) AS size, upper(sha1(unhex(substr(h, 2 * first + 1, 2 * (past - first))))) AS fp FROM cdc JOIN file USING (file_id)"
 for _name, _algorithm in (("chunk_rabin", "rabin"), ("chunk_normalized", "normalized rabin"), ("chunk_tttd", "tttd"), ("chunk_ae", "ae")):
     _cdc(_name, _algorithm)
+    ORACLES[_name] = base() + (_ae_sql() if _algorithm == "ae" else _rabin_sql(_algorithm)) + _CDC_ROWS
 
 
 @query("SELECT file_id, upper(sha1(unhex(h))) AS fp FROM stream")
@@ -75,6 +127,14 @@ def fingerprint_sha256(spark, sf):
     return rel.stream(spark, sf).select("file_id", scalar.sha256_fp(F.col("data")).alias("fp"))
 
 
+@query("SELECT file_id, min(file_id) OVER (PARTITION BY h) AS same_as FROM stream")
+def fingerprint_compressed(spark, sf):
+    """Fingerprints of compressed bytes tell the same files apart as the bytes do."""
+    ship(spark)
+    named = rel.stream(spark, sf).select("file_id", compressed_fp("data").alias("fp"))
+    return named.join(named.groupBy("fp").agg(F.min("file_id").alias("same_as")), "fp").select("file_id", "same_as")
+
+
 @query("SELECT file_id, h AS hex, true AS same FROM stream")
 def hex_roundtrip(spark, sf):
     h = scalar.to_hex(F.col("data"))
@@ -170,7 +230,16 @@ def segment_file(spark, sf):
     return segmenting.file_segments(rel.chunks(spark, sf)).select("seq", "segment_id")
 
 
-@query()
+_HIT = "('0x' || substr(fp, 39, 2) || substr(fp, 37, 2) || substr(fp, 35, 2) || substr(fp, 33, 2))::UBIGINT"
+#: A walk: `step` has (version, at, following), `walk` the places that are reached from 0.
+_WALK = """, walk AS (SELECT DISTINCT version, CAST(0 AS BIGINT) AS place FROM step UNION ALL SELECT walk.version, step.following FROM walk JOIN step ON step.version = walk.version AND step.place = walk.place WHERE step.following <= step.top)
+"""
+_CUTS = f""", marked AS (SELECT version, seq, seq - min(seq) OVER (PARTITION BY version) AS place, {_HIT} % 64 = 0 AS mark FROM chunk),
+step AS (SELECT version, place, max(place) OVER (PARTITION BY version) AS top, least(place + 256, coalesce(min(CASE WHEN mark THEN place END) OVER (PARTITION BY version ORDER BY place ROWS BETWEEN 16 FOLLOWING AND UNBOUNDED FOLLOWING), place + 256)) AS following FROM marked)
+{_WALK}"""
+
+
+@query(_CUTS + "SELECT m.version, m.seq, count(walk.place) OVER (PARTITION BY m.version ORDER BY m.seq) - 1 AS segment_no FROM marked m LEFT JOIN walk USING (version, place)")
 def segment_content_defined(spark, sf):
     return segmenting.content_segments(rel.chunks(spark, sf), 64, 16, 256).select("version", "seq", "segment_no")
 
@@ -184,9 +253,6 @@ def sample_uniform(spark, sf):
     return segmenting.sample_uniform(_segments(spark, sf), RATIO)
 
 
-_HIT = "('0x' || substr(fp, 39, 2) || substr(fp, 37, 2) || substr(fp, 35, 2) || substr(fp, 33, 2))::UBIGINT"
-
-
 @query(f"SELECT DISTINCT segment_id, fp AS feature FROM seg WHERE {_HIT} % 128 = 0 UNION ALL SELECT segment_id, repeat('0', 40) FROM seg GROUP BY 1 HAVING count(*) FILTER ({_HIT} % 128 = 0) = 0")
 def sample_random(spark, sf):
     return segmenting.sample_random(_segments(spark, sf), 128)
@@ -240,7 +306,19 @@ def similar_segments_top1(spark, sf):
     return dedup.top_segment(dedup.similar_segments(_small(spark, sf)[1], FEATURES))
 
 
-@query()
+def _topk_sql(k: int) -> str:
+    """Picks in turn: in each round the candidates left, by their features that no pick has."""
+    parts, gone = [", taken0 AS (SELECT segment_id, candidate, feature FROM pairs WHERE false)"], "taken0"
+    for r in range(1, k + 1):
+        parts.append(f"""round{r} AS (SELECT segment_id, candidate, count(*) FILTER (feature NOT IN (SELECT t.feature FROM {gone} t WHERE t.segment_id = p.segment_id)) AS shared FROM pairs p
+  WHERE candidate NOT IN (SELECT t.candidate FROM {gone} t WHERE t.segment_id = p.segment_id) GROUP BY 1, 2),
+pick{r} AS (SELECT segment_id, {r} AS rank, candidate, shared FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY shared DESC, candidate DESC) AS n FROM round{r}) WHERE n = 1),
+taken{r} AS (SELECT * FROM {gone} UNION ALL SELECT p.segment_id, p.candidate, p.feature FROM pairs p JOIN pick{r} USING (segment_id, candidate))""")
+        gone = f"taken{r}"
+    return ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT segment_id, rank, candidate, CAST(shared AS INTEGER) AS shared FROM pick{r}" for r in range(1, k + 1))
+
+
+@query(_PAIRS + _topk_sql(3))
 def similar_segments_topk(spark, sf):
     return dedup.top_k_segments(_small(spark, sf)[1], FEATURES, 3)
 
@@ -324,7 +402,7 @@ def index_upsert(spark, sf):
 _GONE = f", gone AS (SELECT segment_id FROM seg16 GROUP BY 1 HAVING max(version) < {KEEP_FROM})"
 
 
-@query(_SEG16 + _GONE + f", q AS (SELECT feature, list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}] AS ids FROM feat GROUP BY feature), k AS (SELECT feature, list_filter(ids, lambda x: x NOT IN (SELECT segment_id FROM gone)) AS ids FROM q) SELECT feature, array_to_string(ids, ',') AS ids FROM k WHERE len(ids) > 0")
+@query(_SEG16 + _GONE + f", q AS (SELECT feature, unnest(list(segment_id ORDER BY segment_id DESC)[1:{FEATURES}]) AS id FROM feat GROUP BY feature) SELECT feature, array_to_string(list(id ORDER BY id DESC), ',') AS ids FROM q WHERE id NOT IN (SELECT segment_id FROM gone) GROUP BY feature")
 def index_delete_id(spark, sf):
     """The index without the segments of expired versions."""
     chunks, features = _small(spark, sf)
@@ -352,7 +430,26 @@ def pack_next_fit(spark, sf):
     return layout.pack_next_fit(ranked, rel.OLD_ENTRIES).select("fp", "cid", "pos")
 
 
-@query()
+_PACKED = """, ranked AS (SELECT fp, size, urank AS place, sum(size) OVER (ORDER BY urank) - size AS before FROM stored),
+ends AS (SELECT place, before FROM ranked UNION ALL SELECT max(place) + 1, max(before + size) FROM ranked),
+step AS (SELECT 0 AS version, place, (SELECT max(place) FROM ranked) AS top, greatest(place + 1, least(place + 1169, max(place) OVER (ORDER BY before RANGE BETWEEN UNBOUNDED PRECEDING AND 65536 FOLLOWING))) AS following FROM ends)
+""" + _WALK
+
+
+@query(_PACKED + "SELECT r.fp, CAST(r.size AS INTEGER) AS size, count(walk.place) OVER (ORDER BY r.place) - 1 AS cid, CAST(r.place - max(walk.place) OVER (ORDER BY r.place) AS INTEGER) AS pos FROM ranked r LEFT JOIN walk USING (place)", size=CONTAINER_PAYLOAD)
+def pack_whole_files(spark, sf):
+    """Next-fit where bytes bind: each distinct file is one chunk."""
+    files = chunking.file_chunks(rel.stream(spark, sf)).withColumn("fp", scalar.sha1_fp(F.col("data"))).drop("data")
+    numbered = ordering.dense_index(files, ["version", "file_id", "chunk_no"], "seq")
+    return layout.pack_next_fit(dedup.stored_chunks(numbered), rel.OLD_ENTRIES, 65536).select("fp", "size", "cid", "pos")
+
+
+_VARIABLE = """, parts AS (SELECT fp, size, row_number() OVER (ORDER BY version, file_id, chunk_no) AS seq FROM (""" + _CDC_ROWS + """)),
+vstored AS (SELECT fp, size, row_number() OVER (ORDER BY seq) - 1 AS urank FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY seq) AS k FROM parts) WHERE k = 1)
+""" + _PACKED.replace("FROM stored", "FROM vstored")
+
+
+@query(_rabin_sql("rabin") + _VARIABLE + "SELECT r.fp, CAST(r.size AS INTEGER) AS size, count(walk.place) OVER (ORDER BY r.place) - 1 AS cid, CAST(r.place - max(walk.place) OVER (ORDER BY r.place) AS INTEGER) AS pos FROM ranked r LEFT JOIN walk USING (place)")
 def pack_variable_chunks(spark, sf):
     chunks = chunking.content_chunks(rel.stream(spark, sf), CDC)
     numbered = ordering.dense_index(chunks, ["version", "file_id", "chunk_no"], "seq")
@@ -395,7 +492,7 @@ def container_utilization(spark, sf):
     return layout.container_utilization(rel.recipe(spark, sf)[0])
 
 
-@query()
+@query("SELECT file_id AS line_no, 'file start ' || length('/doc' || file_id) || chr(10) || '/doc' || file_id || chr(10) || string_agg(fp || ' ' || size, chr(10) ORDER BY chunk_no) || chr(10) || 'file end' AS value FROM chunk GROUP BY file_id UNION ALL SELECT 9223372036854775807, 'stream end'", size=1024)
 def trace_text(spark, sf):
     """The text trace of the documents."""
     c = rel.chunks(spark, sf, 1024).withColumn("file_name", F.concat(F.lit("/doc"), F.col("file_id").cast("string")))
@@ -495,12 +592,27 @@ def cbr_rewrite(spark, sf):
     return rewriting.cbr(rel.recipe(spark, sf)[0], CAP_BUFFER, 0.7, 0.05, rel.PAYLOAD)
 
 
-@query()
+def _lru_sql(rows: str) -> str:
+    """lru has, for each access of `rows` (version, seq, cid), whether an LRU cache of
+    CACHE containers holds it: fewer others were used since it was last."""
+    return f""", acc AS (SELECT *, lag(seq) OVER (PARTITION BY version, cid ORDER BY seq) AS prev FROM {rows}),
+others AS (SELECT a.version, a.seq, a.prev, c.cid FROM acc a JOIN (SELECT DISTINCT version, cid FROM acc) c ON c.version = a.version AND c.cid <> a.cid WHERE a.prev IS NOT NULL),
+since AS (SELECT o.version, o.seq, count(*) FILTER (b.seq > o.prev) AS n FROM others o ASOF LEFT JOIN acc b ON b.version = o.version AND b.cid = o.cid AND o.seq > b.seq GROUP BY 1, 2),
+lru AS (SELECT acc.*, acc.prev IS NOT NULL AND coalesce(since.n, 0) < {CACHE} AS hit FROM acc LEFT JOIN since USING (version, seq))
+"""
+
+
+_LRU = _lru_sql("recipe")
+_LEVEL = _LRU + f""", level AS (SELECT version, seq, coalesce(ceil(sum(size + 28) OVER w / {1169 * 256}.0) / nullif(sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER w, 0), 0.0) AS cfl FROM lru WINDOW w AS (PARTITION BY version ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+"""
+
+
+@query(_LEVEL + "SELECT version, seq, CAST(cfl AS DOUBLE) AS cfl, coalesce(last_value(CASE WHEN cfl < 0.6 THEN true WHEN cfl > 0.6 THEN false END IGNORE NULLS) OVER (PARTITION BY version ORDER BY seq), false) AS enabled FROM level")
 def cfl_switch(spark, sf):
     return rewriting.cfl_switch(rel.recipe(spark, sf)[0], 0.6, CACHE, rel.PAYLOAD)
 
 
-@query()
+@query(_lru_sql("(SELECT * FROM recipe WHERE is_dup)") + "SELECT r.version, count(*) AS lookups, count(*) FILTER (hit) AS cache_hits, count(*) FILTER (NOT coalesce(hit, false)) AS kv_lookups, count(*) FILTER (r.is_dup AND NOT hit) AS kv_hits, count(*) FILTER (NOT r.is_dup) AS unique_lookups FROM recipe r LEFT JOIN lru ON lru.version = r.version AND lru.seq = r.seq GROUP BY 1")
 def index_overhead(spark, sf):
     return simulation.index_overhead(rel.recipe(spark, sf)[0], CACHE)
 
@@ -536,9 +648,10 @@ def _restore(name, policy):
 
 for _name, _policy in (("restore_lru", "lru"), ("restore_opt", "opt"), ("restore_asm", "asm")):
     _restore(_name, _policy)
+ORACLES["restore_lru"] = base() + _LRU + "SELECT version, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (NOT hit) AS container_reads, round(sum(size) / 1048576.0 / count(*) FILTER (NOT hit), 6) AS speed_factor FROM lru GROUP BY 1"
 
 
-@query()
+@query(_LRU + f"SELECT version, CAST(ceil(sum(size + 28) / {1169 * 256}.0) AS BIGINT) AS ocf, count(*) FILTER (NOT hit) AS ccf, round(ceil(sum(size + 28) / {1169 * 256}.0) / count(*) FILTER (NOT hit), 6) AS cfl FROM lru GROUP BY 1")
 def cfl_monitor(spark, sf):
     return simulation.cfl(rel.recipe(spark, sf)[0], CACHE, rel.PAYLOAD)
 
@@ -647,12 +760,46 @@ def unique_containers_per_recipe(spark, sf):
     return upgrade.unique_containers(rel.recipe(spark, sf)[0])
 
 
-@query()
+def _parts_sql(least: int, expected: int, most: int) -> str:
+    """part: the parts of each recipe, one after another. On the way the different
+    containers are gathered; once they suffice, the next one that is new ends the part."""
+    step = f"""CASE WHEN a.stop >= 0 OR list_contains(a.seen, x.seen[1]) THEN a
+      WHEN a.closed THEN {{'seen': a.seen, 'closed': true, 'stop': x.place, 'place': x.place}}
+      ELSE {{'seen': list_append(a.seen, x.seen[1]), 'closed': len(a.seen) + 1 >= {most} OR (len(a.seen) + 1 >= {least} AND x.seen[1] % {expected - least} = 0), 'stop': CAST(-1 AS BIGINT), 'place': x.place}} END"""
+    return f""", held AS (SELECT file_id, list(cid ORDER BY chunk_no) AS cids FROM recipe GROUP BY 1),
+parting AS (SELECT file_id, CAST(0 AS BIGINT) AS start, 0 AS n, CAST(0 AS BIGINT) AS first, 0 AS containers FROM held
+  UNION ALL SELECT file_id, CASE WHEN r.stop >= 0 THEN r.stop ELSE len(cids) END, n + 1, start, CAST(len(r.seen) AS INTEGER) FROM (
+    SELECT p.file_id, p.start, p.n, h.cids, list_reduce(list_transform(range(p.start, len(h.cids)), lambda i: {{'seen': [h.cids[i + 1]], 'closed': false, 'stop': CAST(-1 AS BIGINT), 'place': i}}), lambda a, x: {step}) AS r
+    FROM parting p JOIN held h USING (file_id) WHERE p.start < len(h.cids))),
+part AS (SELECT file_id, CAST(n - 1 AS BIGINT) AS sub_id, first AS first_chunk, start - first AS chunks, CAST(containers AS BIGINT) AS containers FROM parting WHERE n > 0)
+"""
+
+
+_PARTS = _parts_sql(2, 4, 6)
+
+
+@query(_PARTS + "SELECT * FROM part")
 def recipe_cdc(spark, sf):
     return upgrade.split_recipe(rel.recipe(spark, sf)[0], 2, 4, 6)
 
 
-@query()
+@query(_PARTS + ", sub AS (SELECT r.file_id * 1048576 + p.sub_id AS sub, r.cid FROM recipe r JOIN part p ON p.file_id = r.file_id AND r.chunk_no >= p.first_chunk AND r.chunk_no < p.first_chunk + p.chunks)" + _lanes_sql().replace("file_id", "sub").replace("FROM recipe", "FROM sub") + " SELECT sub, k, CAST(feature AS VARCHAR) AS feature FROM feature")
+def sub_recipe_minhash(spark, sf):
+    """Features of the parts of recipes, which stand for recipes of their own."""
+    recipe = rel.recipe(spark, sf)[0]
+    parts = upgrade.sub_recipes(recipe, upgrade.split_recipe(recipe, 2, 4, 6))
+    return upgrade.recipe_features(parts, "sub").select("sub", "k", F.col("feature").cast("string").alias("feature"))
+
+
+_ORDER = _CLASSES + """, kind AS (SELECT rep, any_value(v) AS v FROM vec JOIN class USING (file_id) GROUP BY 1),
+going AS (SELECT 0 AS n, (SELECT min(rep) FROM kind) AS now, [(SELECT min(rep) FROM kind)] AS gone
+  UNION ALL SELECT n + 1, best[3], list_append(gone, best[3]) FROM (
+    SELECT g.n, g.gone, min([-list_sum(list_transform(range(1, 9), lambda i: CASE WHEN c.v[i] = o.v[i] THEN 1 ELSE 0 END)), list_max(list_transform(range(1, 9), lambda i: CASE WHEN c.v[i] = o.v[i] THEN i ELSE 0 END)), c.rep]) AS best
+    FROM going g JOIN kind o ON o.rep = g.now JOIN kind c ON NOT list_contains(g.gone, c.rep) GROUP BY 1, 2))
+"""
+
+
+@query(_ORDER + "SELECT file_id, row_number() OVER (ORDER BY n, file_id) - 1 AS pos FROM class JOIN going ON going.now = class.rep")
 def sim_order(spark, sf):
     return upgrade.similarity_order(_recipe_features(spark, sf))
 
@@ -748,3 +895,120 @@ def evaluation_cache_sizes(spark, sf):
     total = rel.placed(spark, sf)[1].agg(F.sum("size").alias("s"))
     ratios = F.explode(F.array(*[F.lit(r) for r in (10, 20, 40, 50, 60, 80, 100, 200)]))
     return total.select("s", ratios.alias("ratio")).select("ratio", F.floor(F.col("s") * 0.0025 * F.col("ratio") / 100).alias("cache_bytes"))
+
+
+# --- the store, and files ---------------------------------------------------------
+
+_DIGESTS = "SELECT version, file_id, upper(sha256(unhex(h))) AS digest FROM stream WHERE length(h) > 0"
+
+
+def _named(spark, sf):
+    return rel.stream(spark, sf).withColumn("file_name", F.concat(F.lit("/doc"), F.col("file_id").cast("string")))
+
+
+def _store(spark, sf, config: StoreConfig) -> Store:
+    """A store with the three versions backed up one after another."""
+    store, files = Store(spark, folder(spark), config), _named(spark, sf)
+    for v in range(3):
+        store.backup(files.where(F.col("version") == v).select("file_id", "file_name", "data"))
+    return store
+
+
+def _restored(store: Store):
+    out = None
+    for v in store.versions():
+        one = store.restore(v).select("version", "file_id", scalar.sha256_fp(F.col("data")).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_DIGESTS)
+def store_restore(spark, sf):
+    """The whole way: content-defined chunks, exact index, next-fit containers, recipes
+    and restore, for three backups."""
+    return _restored(_store(spark, sf, CDC))
+
+
+@query(_DIGESTS)
+def store_upgrade_restore(spark, sf):
+    """The same after the fingerprint function was changed."""
+    return _restored(_store(spark, sf, CDC).upgrade(folder(spark)))
+
+
+_FIXED = StoreConfig(chunk_algorithm="fixed", chunk_avg_size=1024)
+
+
+@query("SELECT version, count(*) AS chunks, CAST(sum(c.size) AS BIGINT) AS bytes, CAST(coalesce(sum(s.size), 0) AS BIGINT) AS stored_bytes FROM chunk c LEFT JOIN (SELECT seq, size FROM stored) s USING (seq) GROUP BY 1", size=1024)
+def store_job_log(spark, sf):
+    return _store(spark, sf, _FIXED).table("job_log").select("version", "chunks", "bytes", "stored_bytes")
+
+
+@query(f""", u AS (SELECT s.fp, c.version AS v0, (row_number() OVER (PARTITION BY c.version ORDER BY s.seq) - 1) // 1169 AS k FROM stored s JOIN chunk c USING (seq)),
+used AS (SELECT u.v0, u.k, max(c.version) AS last FROM chunk c JOIN u USING (fp) GROUP BY 1, 2)
+SELECT count(DISTINCT (v0, k)) AS containers, count(*) AS chunks FROM u JOIN used USING (v0, k) WHERE last >= {KEEP_FROM}""", size=1024)
+def store_expire(spark, sf):
+    """What is left in containers when old versions are gone."""
+    store = _store(spark, sf, _FIXED)
+    store.expire(KEEP_FROM)
+    return store.table("container_entry").agg(F.count_distinct("cid").alias("containers"), F.count("*").alias("chunks"))
+
+
+def _traced(spark, sf):
+    return rel.chunks(spark, sf, 1024).withColumn("file_name", F.concat(F.lit("/doc"), F.col("file_id").cast("string")))
+
+
+@query("SELECT '/doc' || file_id AS file_name, chunk_no, fp, CAST(size AS BIGINT) AS size FROM chunk", size=1024)
+def trace_roundtrip(spark, sf):
+    path = folder(spark)
+    write_trace(_traced(spark, sf).select("file_id", "file_name", "chunk_no", "fp", "size"), path)
+    return read_trace(spark, path).select("file_name", "chunk_no", "fp", "size")
+
+
+def _hash_files(spark, sf) -> str:
+    """A snapshot of each version, in a folder."""
+    ship(spark)
+
+    def made(part):
+        import pandas as pd
+
+        files = []
+        for name, rows in part.sort_values(["file_id", "chunk_no"]).groupby("file_name", sort=False):
+            files.append(({"path": name, "file_size": int(rows["size"].sum())}, [(bytes.fromhex(fp), int(size), 0) for fp, size in zip(rows["fp"], rows["size"], strict=True)]))
+        return pd.DataFrame({"file_name": [f"v{part['version'].iloc[0]}.hash"], "data": [hashfile.build(files, hash_bytes=20, hashing=6)]})
+
+    path = folder(spark)
+    write_files(_traced(spark, sf).groupBy("version").applyInPandas(made, "file_name string, data binary"), path if "://" in path else f"file://{path}")
+    return path
+
+
+@query("SELECT 'v' || version || '.hash' AS trace, '/doc' || file_id AS path, chunk_no, fp || repeat('0', 24) AS fp, CAST(size AS BIGINT) AS size FROM chunk", size=1024)
+def hash_file_roundtrip(spark, sf):
+    return hashfile.read_hash_files(spark, _hash_files(spark, sf)).select("trace", "path", "chunk_no", "fp", "size")
+
+
+@query("SELECT 'v' || version || '.hash' AS trace, seq - min(seq) OVER (PARTITION BY version) AS chunk_no, fp || repeat('0', 24) AS fp, CAST(size AS BIGINT) AS size FROM chunk", size=1024)
+def hash_file_list_mode(spark, sf):
+    """All chunks of a snapshot as one file."""
+    return hashfile.read_hash_files(spark, _hash_files(spark, sf), one_file_per_trace=True).select("trace", "chunk_no", "fp", "size")
+
+
+def _folder_of_files(spark, sf) -> str:
+    path = folder(spark)
+    path = path if "://" in path else f"file://{path}"
+    write_files(rel.stream(spark, sf).select(F.concat(F.lit("v"), F.col("version").cast("string"), F.lit("/doc"), F.col("file_id").cast("string")).alias("file_name"), "data"), path)
+    return path
+
+
+@query("SELECT row_number() OVER (ORDER BY 'v' || version || '/doc' || file_id) - 1 AS file_id, 'v' || version || '/doc' || file_id AS file_name, upper(sha256(unhex(h))) AS digest FROM stream")
+def directory_scan(spark, sf):
+    """Files that were written are read back from their folder."""
+    return read_directory(spark, _folder_of_files(spark, sf)).select("file_id", "file_name", scalar.sha256_fp(F.col("data")).alias("digest"))
+
+
+@query("SELECT file_id, '/doc' || file_id AS file_name, upper(sha256(unhex(h))) AS digest FROM stream")
+def file_list_scan(spark, sf):
+    """The same files by a list of their paths, in the order of their numbers."""
+    path, listed = _folder_of_files(spark, sf), folder(spark)
+    lines = rel.stream(spark, sf).orderBy("file_id").select(F.concat(F.lit(f"{path}/v"), F.col("version").cast("string"), F.lit("/doc"), F.col("file_id").cast("string")).alias("value"))
+    lines.coalesce(1).write.text(listed)
+    return read_file_list(spark, listed).select("file_id", "file_name", scalar.sha256_fp(F.col("data")).alias("digest"))

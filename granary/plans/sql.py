@@ -4,7 +4,7 @@ from __future__ import annotations
 
 LANES = 8
 BASE = """
-WITH stream AS (SELECT doc_id AS file_id, doc_id % 3 AS version, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH RECURSIVE stream AS (SELECT doc_id AS file_id, doc_id % 3 AS version, hex(encode(coalesce(text, ''))) AS h FROM documents),
 pieces AS (SELECT file_id, version, h, unnest(range(0, CAST(ceil(length(h) / (2.0 * {size})) AS BIGINT))) AS chunk_no FROM stream),
 cut AS (SELECT file_id, version, chunk_no, substr(h, 2 * {size} * chunk_no + 1, 2 * {size}) AS x FROM pieces),
 chunk AS (SELECT version, file_id, chunk_no, row_number() OVER (ORDER BY version, file_id, chunk_no) - 1 AS seq,

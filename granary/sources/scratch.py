@@ -25,12 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path below the shared folder. What is there goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes `df` and reads it back, which ends its lineage. The table goes when the
     driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

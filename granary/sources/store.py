@@ -9,6 +9,7 @@ one fails. Tables are what the entries say, in order."""
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,22 +137,31 @@ class Store:
         """Stores files (file_id, file_name, data) as the next version; returns its number.
         note: kept with the log entry."""
         number, log = len(self._entry_names()), self.entries()
+        seconds, began = {}, time.monotonic()
+
+        def phase(name: str) -> None:
+            nonlocal began
+            seconds[name], began = round(time.monotonic() - began, 3), time.monotonic()
+
         version = max((e["version"] for e in log if e["job"] == "backup"), default=-1) + 1
         pieces = cut(self._chunks(files))
+        phase("chunk")
         numbered = cut(ordering.dense_index(pieces.select("file_id", "file_name", "chunk_no", "size", "fp"), ["file_id", "chunk_no"], "seq"))
         known = self.table("fp_index").select("fp", F.col("cid").alias("known"))
         new = mark_duplicates(numbered).where("NOT is_dup").join(known, "fp", "left_anti")
         start = max((e["next_cid"] for e in log if "next_cid" in e), default=0)  # ids of expired containers do not come again
         packed = layout.pack_next_fit(new.select("fp", "seq", "size", "file_id", "chunk_no"), entries_per_container(20), self.config.container_payload)
         placed = cut(packed.withColumn("cid", F.col("cid") + start))
+        phase("dedup")
         data = placed.join(pieces.select("file_id", "chunk_no", "data"), ["file_id", "chunk_no"]).select("cid", "fp", "size", "data")
         fresh = placed.select("fp", "cid")
         where = fresh.unionByName(known.withColumnRenamed("known", "cid"))
         recipe = numbered.join(where, "fp").select(F.lit(version).cast("bigint").alias("version"), "file_id", "file_name", "chunk_no", "seq", "fp", "cid", "size")
         add = {"container_entry": [self._write("container_entry", data)], "fp_index": [self._write("fp_index", fresh)], "recipe": [self._write("recipe", recipe)]}
+        phase("write")
         n, size = numbered.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         stored, last = placed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.max("cid")).first()
-        self._publish(number, {"job": "backup", "version": version, "chunks": n, "bytes": size, "stored_bytes": stored, "next_cid": start if last is None else last + 1, "note": note, "add": add})
+        self._publish(number, {"job": "backup", "version": version, "chunks": n, "bytes": size, "stored_bytes": stored, "next_cid": start if last is None else last + 1, "note": note, "seconds": seconds, "add": add})
         return version
 
     def restore(self, version: int) -> DataFrame:
@@ -194,6 +204,12 @@ class Store:
         self._publish(number, {"job": "expire", "version": oldest_kept, "chunks": 0, "bytes": 0, "stored_bytes": 0, "replace": replace})
         return gone
 
+    def throughput(self) -> DataFrame:
+        """(version, phase, seconds, mb_per_s) of the backups: chunking and hashing;
+        finding what is new and where it goes; writing."""
+        rows = [(e["version"], p, float(t), e["bytes"] / 1e6 / max(t, 1e-3)) for e in self.entries() for p, t in e.get("seconds", {}).items()]
+        return self.spark.createDataFrame(rows, "version long, phase string, seconds double, mb_per_s double")
+
     def stats(self) -> DataFrame:
         """(versions, chunks, bytes, stored_bytes) over the backups that are not expired."""
         kept = self.versions()

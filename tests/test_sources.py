@@ -73,6 +73,7 @@ def test_store_round_trip(spark, tmp_path):
     assert store.backup(made) == 0
     stats = store.stats().first()
     assert round(1 - stats.stored_bytes / stats.bytes, 4) == 0.3333
+    assert {(x.version, x.phase) for x in store.throughput().where("seconds >= 0 AND mb_per_s > 0").collect()} == {(0, "chunk"), (0, "dedup"), (0, "write")}
     assert {(x.file_id, bytes(x.data)) for x in store.restore(0).collect()} == {(i, d) for i, _, d in data}
     d = r.randbytes(50_000)
     assert store.backup(spark.createDataFrame([(0, "b", b), (1, "d", d)], made.schema)) == 1
