@@ -15,9 +15,8 @@ def restore_chunks(recipe: DataFrame, entries: DataFrame) -> DataFrame:
 def restore_files(recipe: DataFrame, entries: DataFrame) -> DataFrame:
     """(version, file_id, data): the chunks of each file in order. A file is one row, as
     it was when it was read."""
-    chunks = restore_chunks(recipe, entries).select("version", "file_id", F.struct("chunk_no", F.hex("data").alias("hex")).alias("c"))
-    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["hex"]), ""))
-    return chunks.groupBy("version", "file_id").agg(whole.alias("data"))
+    whole = F.expr("listagg(data) WITHIN GROUP (ORDER BY chunk_no)")
+    return restore_chunks(recipe, entries).groupBy("version", "file_id").agg(whole.alias("data"))
 
 
 def round_trip_difference(original: DataFrame, restored: DataFrame) -> DataFrame:

@@ -622,19 +622,18 @@ def index_overhead(spark, sf):
 
 @query("SELECT r.version, r.file_id, r.chunk_no, s.x AS data FROM recipe r JOIN stored s ON r.cid = s.cid AND r.fp = s.fp")
 def restore_join(spark, sf):
-    recipe = rel.recipe(spark, sf)[0]
-    return restore.restore_chunks(recipe, rel.entries(spark, sf)).select("version", "file_id", "chunk_no", F.hex("data").alias("data"))
+    return restore.restore_chunks(*rel.whole(spark, sf)).select("version", "file_id", "chunk_no", F.hex("data").alias("data"))
 
 
 @query("SELECT version, file_id, upper(sha256(unhex(h))) AS digest FROM stream WHERE length(h) > 0")
 def restore_files(spark, sf):
-    whole = restore.restore_files(rel.recipe(spark, sf)[0], rel.entries(spark, sf))
+    whole = restore.restore_files(*rel.whole(spark, sf))
     return whole.select("version", "file_id", scalar.sha256_fp(F.col("data")).alias("digest"))
 
 
 @query("SELECT 'lost' AS side, CAST(0 AS BIGINT) AS files WHERE false")
 def restore_roundtrip_diff(spark, sf):
-    whole = restore.restore_files(rel.recipe(spark, sf)[0], rel.entries(spark, sf))
+    whole = restore.restore_files(*rel.whole(spark, sf))
     return restore.round_trip_difference(rel.stream(spark, sf).where(F.length("data") > 0), whole)
 
 
@@ -662,30 +661,31 @@ _MAP = ", fp_map AS (SELECT cid AS old_cid, fp AS old_fp, upper(sha256(unhex(x))
 _UPGRADED = _MAP + " SELECT r.version, r.file_id, r.chunk_no, m.new_fp, m.new_cid FROM recipe r JOIN fp_map m ON m.old_cid = r.cid AND m.old_fp = r.fp"
 
 
-def _map(spark, sf):
-    return upgrade.fingerprint_map(rel.entries(spark, sf), rel.NEW_ENTRIES)
+def _map(entries):
+    return upgrade.fingerprint_map(entries, rel.NEW_ENTRIES)
 
 
 @query(_MAP + " SELECT old_cid, old_fp, new_fp, new_cid FROM fp_map")
 def fp_map(spark, sf):
-    return _map(spark, sf)
+    return _map(rel.entries(spark, sf))
 
 
 @query(_UPGRADED)
 def upgrade_pfu(spark, sf):
-    return upgrade.upgrade_by_fingerprint(rel.recipe(spark, sf)[0], _map(spark, sf)).select("version", "file_id", "chunk_no", "new_fp", "new_cid")
+    recipe, entries = rel.whole(spark, sf)
+    return upgrade.upgrade_by_fingerprint(recipe, _map(entries)).select("version", "file_id", "chunk_no", "new_fp", "new_cid")
 
 
 @query(_UPGRADED)
 def upgrade_conpfu(spark, sf):
-    return upgrade.upgrade_by_container(rel.recipe(spark, sf)[0], _map(spark, sf)).select("version", "file_id", "chunk_no", "new_fp", "new_cid")
+    recipe, entries = rel.whole(spark, sf)
+    return upgrade.upgrade_by_container(recipe, _map(entries)).select("version", "file_id", "chunk_no", "new_fp", "new_cid")
 
 
 @query(_UPGRADED)
 def upgrade_lfu(spark, sf):
     """Every logical chunk is fetched, hashed anew and deduplicated again."""
-    recipe, _ = rel.recipe(spark, sf)
-    data = restore.restore_chunks(recipe, rel.entries(spark, sf)).withColumn("new_fp", scalar.sha256_fp(F.col("data"))).drop("data")
+    data = restore.restore_chunks(*rel.whole(spark, sf)).withColumn("new_fp", scalar.sha256_fp(F.col("data"))).drop("data")
     again = data.select("version", "file_id", "chunk_no", "seq", "size", F.col("new_fp").alias("fp"))
     where = layout.pack_by_rank(layout.rank_uniques(again), rel.NEW_ENTRIES, "new_cid").select("fp", "new_cid")
     return again.join(where, "fp").select("version", "file_id", "chunk_no", F.col("fp").alias("new_fp"), "new_cid")

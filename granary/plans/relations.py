@@ -41,16 +41,32 @@ def placed(spark: SparkSession, sf: str, per_container: int = OLD_ENTRIES) -> tu
     return rows, cut(layout.pack_by_rank(layout.rank_uniques(rows), per_container))
 
 
+def _recipe(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    first = rows.groupBy("version").agg(F.min("seq").alias("__start"))
+    full = rows.join(stored.select("fp", "cid", F.col("seq").alias("__first")), "fp").join(F.broadcast(first), "version")
+    return cut(full.withColumn("is_dup", F.col("seq") > F.col("__first")).withColumn("pos", F.col("seq") - F.col("__start")).drop("__first", "__start"))
+
+
 def recipe(spark: SparkSession, sf: str, per_container: int = OLD_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """Recipe rows (with is_dup, and pos, the place in the version) and stored chunks."""
     rows, stored = placed(spark, sf, per_container)
-    first = rows.groupBy("version").agg(F.min("seq").alias("__start"))
-    full = rows.join(stored.select("fp", "cid", F.col("seq").alias("__first")), "fp").join(F.broadcast(first), "version")
-    return cut(full.withColumn("is_dup", F.col("seq") > F.col("__first")).withColumn("pos", F.col("seq") - F.col("__start")).drop("__first", "__start")), stored
+    return _recipe(rows, stored), stored
+
+
+def _entries(spark: SparkSession, sf: str, rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """The bytes are read from the files again for the chunks that are stored, not carried
+    through the steps that find out which those are."""
+    where = stored.join(rows.select("seq", "file_id", "chunk_no"), "seq")
+    pieces = fixed_chunks(stream(spark, sf), CHUNK).select("file_id", "chunk_no", "data")
+    return where.join(pieces, ["file_id", "chunk_no"]).drop("file_id", "chunk_no").withColumn("new_fp", sha256_fp(F.col("data")))
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     """(cid, fp, urank, size, new_fp, data) of stored chunks."""
-    rows = cut(chunks(spark, sf, data=True))
-    stored = layout.pack_by_rank(layout.rank_uniques(rows), OLD_ENTRIES)
-    return stored.join(rows.select("seq", "data"), "seq").withColumn("new_fp", sha256_fp(F.col("data")))
+    return _entries(spark, sf, *placed(spark, sf))
+
+
+def whole(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Recipe rows and stored chunks with their bytes, from one pass of chunking."""
+    rows, stored = placed(spark, sf)
+    return _recipe(rows, stored), _entries(spark, sf, rows, stored)
