@@ -81,8 +81,9 @@ class Classifier:
         self.domains, self.prior, self.stats, self.found = domains, prior, stats, found
 
     @classmethod
-    def fit(cls, docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 20_000) -> Classifier:
-        """Fits to about `sample_rows` labelled documents, chosen by a hash of doc_id."""
+    def fit(cls, docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 20_000, most_words: int = MOST_WORDS) -> Classifier:
+        """Fits to about `sample_rows` labelled documents, chosen by a hash of doc_id. The
+        model keeps the `most_words` most telling words."""
         n = labelled.count()
         spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
         chosen = labelled.where(spread < min(1.0, sample_rows / max(n, 1))).where(F.col("domain").isin(domains))
@@ -105,7 +106,7 @@ class Classifier:
             share = size.get(d, 0) / max(total, 1)
             score = F.greatest(score, (F.col(f"c{j}") - seen * share) / F.sqrt(seen * (share * (1 - share)) + F.lit(1e-9)))
         words_ = rows.select("d", F.explode("b").alias("w")).groupBy("w").agg(*each).withColumn("seen", seen).where("seen >= 4").withColumn("score", score)
-        top = words_.orderBy(F.desc("score"), "w").limit(MOST_WORDS)  # the model's size, not a cut of data
+        top = words_.orderBy(F.desc("score"), "w").limit(most_words)  # the model's size, not a cut of data
         share = {r["w"]: [(r[f"c{j}"] + 0.5) / (size.get(d, 0) + 1) for j, d in enumerate(domains)] for r in top.collect()}
         # Absent words count too: all are taken as absent, and a present one makes up for it.
         prior = [prior[j] + sum(math.log(1 - v[j]) for v in share.values()) for j in range(k)]
@@ -211,7 +212,7 @@ def solve(rows: DataFrame, targets: list[float]) -> tuple[list[list[float]], flo
     return steps, start, [float(x) for x in reached]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, sample_rows: int = 20_000, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, sample_rows: int = 20_000, most_words: int = MOST_WORDS, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` of `docs` (all, if None) with n_tokens (words), p_<domain> for each domain of `weights`, domain (the
     likeliest), rate and copies. The caller's columns of these names are replaced.
 
@@ -230,7 +231,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     domains = sorted(weights)
     whole = sum(weights.values())
     base = replacing(docs, *RESULTS, *[f"p_{d}" for d in domains])
-    model = Classifier.fit(base, labelled, domains, sample_rows)
+    model = Classifier.fit(base, labelled, domains, sample_rows, most_words)
     spread = F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     rows = cut(_features(base).select(*[F.col(f"`{c}`") for c in (base.columns if carry is None else carry)], F.col("__gr.n").alias("n_tokens"), model.posterior().alias("__gr_p"), spread.alias("__gr_h")))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0

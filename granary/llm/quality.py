@@ -6,7 +6,7 @@ the grams of their texts, and Spark adds the counts up. Continuation counts,
 discounts and interpolated probabilities are joins and grouped sums over all counted
 grams. As the documents that are scored were counted, all their 4-grams have a
 probability of their own, so scoring is one lookup a byte: in sorted arrays of hashed
-grams where the model is small enough to be broadcast, else by a join.
+grams that are broadcast, and for rare grams beyond a bound by a join.
 
 A document is rejected if its perplexity lies outside the band of its language, which
 reaches a stated number of robust standard deviations below and above the language's
@@ -30,12 +30,13 @@ RESULTS = (*BASE, "perplexity", "kept")
 #: Fixed values of the contract.
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-LEAST_WORDS, MOST_REPEATED = 50, 50
+FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 ORDER = 4
 #: Working columns: the language, and the two hashes of a text.
 LANG, T1, T2 = "__gr_lang", "__gr_t1", "__gr_t2"
-#: 4-grams up to which the model is broadcast (12 bytes each, so 48 MB at most); a
-#: larger one stays in Spark and is joined with the grams of the documents.
+#: 4-grams of the model that are broadcast (12 bytes each, so 48 MB at most): all, or the
+#: most frequent of them. The rare ones then stay in Spark, and those of the documents'
+#: grams that are among them, which are few, are joined with them.
 MOST_BROADCAST = 1 << 22
 #: Languages whose discounts (some 50 bytes each) are broadcast.
 MOST_LANGUAGES = 100_000
@@ -181,7 +182,7 @@ def _probabilities(level: DataFrame, k: int, shorter: DataFrame | None) -> DataF
         rows = rows.withColumn("below", F.lit(1 / 256))
     else:
         rows = rows.withColumn("suffix", _last(F.col("gram"), k - 1)).join(shorter.select(LANG, F.col("gram").alias("suffix"), F.col("p").alias("below")), [LANG, "suffix"])
-    return rows.select(LANG, "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")).alias("p"))
+    return rows.select(LANG, "gram", "n", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")).alias("p"))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def language(name: str = "lang"):
 
 
 def estimate(counted: DataFrame) -> DataFrame:
-    """(language, gram, p): of each counted 4-gram the probability of its last byte after
+    """(language, gram, n, p): of each counted 4-gram the probability of its last byte after
     the first three. Shorter grams count the distinct bytes before them."""
     levels = [cut(counted)]
     for k in range(ORDER - 1, 0, -1):
@@ -208,7 +209,7 @@ def estimate(counted: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """The model as sorted arrays of hashed (language, gram) and log2 of p."""
+    """Grams of the model as sorted arrays of hashed (language, gram) and log2 of p."""
 
     def __init__(self, languages: list[str], keys: np.ndarray, logs: np.ndarray):
         self.numbers = {x: k for k, x in enumerate(languages)}
@@ -222,63 +223,85 @@ class Scorer:
         order = np.argsort(keys)
         return cls(names.dictionary.to_pylist(), keys[order], np.asarray(found.column("log")).astype(np.float32)[order])
 
-    def bits(self, texts, languages) -> np.ndarray:
-        """Mean bits for each byte of whole texts; NaN for those of fewer than 4 bytes."""
+    def grams(self, texts, languages):
+        """Of runs of rows: (first row, end row, grams, first gram of each row, whether the
+        model has each, its log2 of p or 0)."""
         names = languages.dictionary_encode()
-        known = np.array([*[self.numbers.get(x, -1) for x in names.dictionary.to_pylist()], -1], np.int64)
-        codes = known[np.asarray(pa.compute.fill_null(names.indices, len(known) - 1))]
-        out = np.full(len(texts), np.nan)
+        numbers = np.array([self.numbers.get(x, len(self.numbers)) for x in names.dictionary.to_pylist()], np.int64)
+        codes = numbers[np.asarray(names.indices)]
         for lo, hi, data, offsets in blocks(texts):
             keys, first = _grams(data, offsets)
-            n = np.diff(first)
-            seen, at = self.index.find(hashed(np.repeat(np.maximum(codes[lo:hi], 0), n), keys))
-            each = np.where(seen, self.logs[at], np.float32(0))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[lo:hi] = np.where(codes[lo:hi] >= 0, -per_row(each.astype(np.float64), first) / n, np.nan)
-        return out
-
+            seen, at = self.index.find(hashed(np.repeat(codes[lo:hi], np.diff(first)), keys))
+            yield lo, hi, keys, first, seen, np.where(seen, self.logs[at], np.float32(0))
 
-def _sent_grams(batches):
-    """(language, text's hashes, gram, count) of the distinct grams of each text."""
-    for batch in batches:
-        column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
-        for lo, hi, data, offsets in blocks(column("text")):
-            keys, first = _grams(data, offsets)
-            row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first))
-            found, n = np.unique((row << np.uint64(32)) | keys.astype(np.uint64), return_counts=True)
-            for at in range(0, len(found), 1 << 16):
-                part = found[at : at + (1 << 16)]
-                of = pa.array((part >> np.uint64(32)).astype(np.int64) + lo)
-                yield pa.RecordBatch.from_arrays([*[column(c).take(of) for c in (LANG, T1, T2)], pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n[at : at + (1 << 16)])], names=[LANG, T1, T2, "gram", "n"])
+    def sums(self, texts, languages) -> tuple[np.ndarray, np.ndarray]:
+        """Of whole texts the sum of log2 of p over the grams that are here, and the number
+        of all grams."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for lo, hi, _, first, _, logs in self.grams(texts, languages):
+            total[lo:hi], n[lo:hi] = per_row(logs.astype(np.float64), first), np.diff(first)
+        return total, n
 
 
 # --- the operator -------------------------------------------------------------
 
 
 def _measure(docs: DataFrame, carry: list[str], scorer: Scorer | None) -> DataFrame:
-    """The carried columns, the base columns and __gr_bits (null without a scorer); texts
-    are read whole."""
+    """The carried columns and the base columns; with a scorer also __gr_sum and __gr_n,
+    its sums. Texts are read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # MOST_BROADCAST bounds it
-    added = {**dict.fromkeys(BASE[:-1], "bigint"), "__gr_bits": "double"}
+    added = {**dict.fromkeys(BASE[:-1], "bigint"), **({"__gr_sum": "double", "__gr_n": "bigint"} if scorer else {})}
     schema = docs.select(*[F.col(f"`{c}`") for c in carry], *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
 
     def run(batches):
         for batch in batches:
             column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             stats = statistics(column("text"))
-            bits = shared.value.bits(column("text"), column(LANG)) if shared.value else np.full(batch.num_rows, np.nan)
-            columns = [*[column(c) for c in carry], *[pa.array(stats[c]) for c in BASE[:-1]], pa.array(bits, from_pandas=True)]
+            sums = shared.value.sums(column("text"), column(LANG)) if shared.value else ()
+            columns = [*[column(c) for c in carry], *[pa.array(stats[c]) for c in BASE[:-1]], *map(pa.array, sums)]
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-def _joined_bits(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(language, text's hashes, bits): mean bits of each distinct text by a join of its
-    grams with the model."""
-    sent = docs.select("text", LANG, T1, T2).mapInArrow(_sent_grams, f"{LANG} string, {T1} long, {T2} long, gram long, n long").distinct()
+def base_statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of `docs` (all, if None) with the base columns, without the
+    language model; as in assess()."""
+    ship(docs.sparkSession)
+    base = replacing(docs, *BASE)
+    return _measure(base, base.columns if carry is None else carry, None).withColumn("base_failed", F.expr(FAILED))
+
+
+def _joined_sums(docs: DataFrame, model: DataFrame, scorer: Scorer) -> DataFrame:
+    """(language, text's hashes, sum): of each distinct text the sum of log2 of p over the
+    grams that the scorer does not have, which are the rare ones, by a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        for batch in batches:
+            column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            for lo, hi, keys, first, seen, _ in shared.value.grams(column("text"), column(LANG)):
+                row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first))[~seen]
+                found, n = np.unique((row << np.uint64(32)) | keys[~seen].astype(np.uint64), return_counts=True)
+                for at in range(0, len(found), 1 << 16):
+                    part = found[at : at + (1 << 16)]
+                    of = pa.array((part >> np.uint64(32)).astype(np.int64) + lo)
+                    yield pa.RecordBatch.from_arrays([*[column(c).take(of) for c in (LANG, T1, T2)], pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n[at : at + (1 << 16)])], names=[LANG, T1, T2, "gram", "times"])
+
+    sent = docs.select("text", LANG, T1, T2).mapInArrow(run, f"{LANG} string, {T1} long, {T2} long, gram long, times long").distinct()
     each = sent.join(model.select(LANG, "gram", F.log2("p").alias("log")), [LANG, "gram"])
-    return each.groupBy(LANG, T1, T2).agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("__gr_joined"))
+    return each.groupBy(LANG, T1, T2).agg(F.sum(F.col("times") * F.col("log")).alias("__gr_rare"))
+
+
+def _frequent(model: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The grams that were counted most often, `most` of them or fewer, and whether they
+    are all: those below the least power of two that leaves so few are left out."""
+    tally = dict(model.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect())
+    least, left = 0, sum(tally.values())
+    while left > most:
+        left -= tally.get(least, 0)
+        least += 1
+    return model.where(F.col("n") >= 1 << least), not least
 
 
 def bands(measured: DataFrame, low: float, high: float) -> dict[str, tuple[float, float]]:
@@ -294,14 +317,17 @@ def _banded(docs: DataFrame, low: float, high: float, carry: list[str] | None, m
     kept = base.columns if carry is None else carry
     model = estimate(count_grams(base))
     keyed = base.withColumn(LANG, language())
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    if model.count() <= most_broadcast:
-        measured = _measure(keyed, [*kept, LANG], Scorer.of(model))
+    frequent, every = _frequent(model, most_broadcast)
+    scorer = Scorer.of(frequent)
+    if every:
+        measured = _measure(keyed, [*kept, LANG], scorer)
     else:
         keyed = keyed.withColumn(T1, F.xxhash64("text")).withColumn(T2, F.xxhash64(F.lit(1), "text"))
-        found = _joined_bits(keyed, model)
-        measured = _measure(keyed, [*kept, LANG, T1, T2], None).join(found, [LANG, T1, T2], "left").withColumn("__gr_bits", F.col("__gr_joined")).drop(T1, T2, "__gr_joined")
-    measured = cut(measured.withColumn("base_failed", failed))
+        rare = _joined_sums(keyed, model, scorer)
+        measured = _measure(keyed, [*kept, LANG, T1, T2], scorer).join(rare, [LANG, T1, T2], "left")
+        measured = measured.withColumn("__gr_sum", F.col("__gr_sum") + F.coalesce("__gr_rare", F.lit(0.0))).drop(T1, T2, "__gr_rare")
+    measured = measured.withColumn("__gr_bits", F.when(F.col("__gr_n") > 0, -F.col("__gr_sum") / F.col("__gr_n"))).drop("__gr_sum", "__gr_n")
+    measured = cut(measured.withColumn("base_failed", F.expr(FAILED)))
     side = F.lit(0)
     for lang, (least, most) in bands(measured, low, high).items():
         mine = F.when(F.col("__gr_bits") < least, -1).when(F.col("__gr_bits") > most, 1).otherwise(0)
@@ -312,8 +338,7 @@ def _banded(docs: DataFrame, low: float, high: float, carry: list[str] | None, m
 def assess(docs: DataFrame, low: float = LOW, high: float = HIGH, carry: list[str] | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The columns `carry` of `docs` (all, if None) with the base columns, base_failed, perplexity (for
     a byte; null below 4 bytes) and kept. The caller's columns of these names are
-    replaced. most_broadcast: 4-grams up to which the model is broadcast; results do not
-    depend on it.
+    replaced. most_broadcast: see MOST_BROADCAST; results do not depend on it.
 
     base_failed: n_words < 50, or 100 * n_repeat_words > 50 * n_words. kept: false if
     base_failed, else whether the perplexity lies within its language's band. A null

@@ -32,6 +32,11 @@ def op5_quality(spark, sf_dir):
     return quality.assess(docs, carry=["doc_id"]).select("doc_id", *quality.BASE, "kept", "perplexity")
 
 
+def quality_base(spark, sf_dir):
+    """The columns of op5_quality that SQL can say."""
+    return quality.base_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *quality.BASE)
+
+
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -58,7 +63,7 @@ def op9_near_duplicates(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_shard, op2_mix, op3_decontaminate, op4_chat, op5_quality, op6_language, op7_html, op8_licenses, op9_near_duplicates, op10_toxicity)
+    for f in (op1_shard, op2_mix, op3_decontaminate, op4_chat, op5_quality, quality_base, op6_language, op7_html, op8_licenses, op9_near_duplicates, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
 
@@ -109,6 +114,18 @@ SELECT conv_id, CAST(n AS INTEGER) AS n_turns, CAST(n_collapsed AS BIGINT) AS n_
 FROM longest JOIN held USING (conv_id)
 """
 
+ORACLES["quality_base"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+again AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM again GROUP BY 1),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+"""
+
 
 def _license_sql() -> str:
     quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licenses.pack())

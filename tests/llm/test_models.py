@@ -119,9 +119,9 @@ def test_repeats_do_not_depend_on_neighbours(monkeypatch):
         assert quality.statistics(pa.array(texts))["n_repeat_words"].tolist() == want
 
 
-@pytest.mark.parametrize("most_broadcast", [quality.MOST_BROADCAST, 0])
+@pytest.mark.parametrize("most_broadcast", [quality.MOST_BROADCAST, 120, 0])
 def test_perplexity_against_dictionaries(spark, most_broadcast):
-    """With the model in arrays and with the model joined."""
+    """With the model in arrays, with its rare grams joined, and with all of it joined."""
     rows = [(i, prose(i, 60), ("aa", "bb", None, "")[i % 4]) for i in range(40)]
     rows += [(90, "Unseen QUEUE 0123456789 é", "aa"), (91, "abc", "aa"), (92, None, "bb"), (93, "lone text", "zz"), (94, prose(3, 60), "aa"), (94, prose(3, 60), "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
