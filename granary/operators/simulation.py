@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.shipping import ship
 from granary.config import CACHE_ENTRY_BYTES, CONTAINER_BYTES
+from granary.operators.layout import access_records
 from granary.operators.spans import SPAN
 from granary.sources.scratch import cut
 
@@ -136,6 +137,7 @@ def lru_hits(accesses: DataFrame, size: int, span: int = SPAN) -> DataFrame:
         first = accesses.groupBy("version", "cid").agg(F.min("seq").alias("__first"))
         return accesses.join(first, ["version", "cid"]).withColumn("hit", F.col("seq") > F.col("__first")).drop("__first")
     ship(accesses.sparkSession)
+    kind = accesses.schema["cid"].dataType.simpleString()
     part_of = accesses.select("version", "seq", "cid").withColumn("__r", F.floor(F.col("seq") / span).cast("bigint"))
 
     def recent(part: pd.DataFrame) -> pd.DataFrame:
@@ -147,19 +149,19 @@ def lru_hits(accesses: DataFrame, size: int, span: int = SPAN) -> DataFrame:
         held, out = [], []
         for last in part.sort_values("__r")["last"]:
             out.append(held)
-            own = [int(x) for x in last]
-            held = own + [x for x in held if x not in set(own)][: size - len(own)]
+            own, known = last.tolist(), set(last.tolist())
+            held = own + [x for x in held if x not in known][: size - len(own)]
         return pd.DataFrame({"version": part["version"], "__r": part.sort_values("__r")["__r"].to_numpy(), "held": out})
 
-    lists = cut(part_of.groupBy("version", "__r").applyInPandas(recent, "version long, __r long, last array<long>"))
+    lists = cut(part_of.groupBy("version", "__r").applyInPandas(recent, f"version long, __r long, last array<{kind}>"))
     # A row of `size` ids for each span goes through this.
-    starts = cut(lists.groupBy("version").applyInPandas(hand_on, "version long, __r long, held array<long>"))
+    starts = cut(lists.groupBy("version").applyInPandas(hand_on, f"version long, __r long, held array<{kind}>"))
 
     def play(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         lru = Lru(size)
-        for cid in reversed(list(start["held"].iloc[0])):
-            lru.touch(int(cid))
+        for cid in reversed(start["held"].iloc[0].tolist()):
+            lru.touch(cid)
         return pd.DataFrame({"version": part["version"], "seq": part["seq"], "hit": [lru.touch(c) for c in part["cid"].tolist()]})
 
     hits = part_of.groupBy("version", "__r").cogroup(starts.groupBy("version", "__r")).applyInPandas(play, "version long, seq long, hit boolean")
@@ -180,11 +182,13 @@ def restore_cost(recipe: DataFrame, policy: str, cache: int, window: int | None
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
-        cids, sizes = part["cid"].tolist(), part["size"].tolist()
-        reads = opt_reads(cids, cache, window) if policy == "opt" else assembly_reads(cids, sizes, max(1, (cache - 1) * container_bytes))
-        return pd.DataFrame([(part["version"].iloc[0], len(cids), sum(sizes), reads)], columns=["version", "chunks", "bytes", "container_reads"])
+        reads = opt_reads(part["cid"].tolist(), cache, window) if policy == "opt" else assembly_reads(part["cid"].tolist(), part["size"].tolist(), max(1, (cache - 1) * container_bytes))
+        return pd.DataFrame([(part["version"].iloc[0], reads)], columns=["version", "container_reads"])
 
-    return rows.groupBy("version").applyInPandas(scan, "version long, chunks long, bytes long, container_reads long").select("*", factor)
+    seen = access_records(rows) if policy == "opt" else rows  # Belady sees runs of one container as one use
+    reads = seen.groupBy("version").applyInPandas(scan, "version long, container_reads long")
+    total = rows.groupBy("version").agg(F.count("*").alias("chunks"), F.sum("size").cast("bigint").alias("bytes"))
+    return total.join(reads, "version").select("version", "chunks", "bytes", "container_reads", factor)
 
 
 def cfl(recipe: DataFrame, cache: int, container_bytes: int = CONTAINER_BYTES, entry: int = 28) -> DataFrame:
@@ -199,22 +203,28 @@ def upgrade_lookups(ordered: DataFrame, sizes: DataFrame, cache_bytes: int, by:
     """(mode, chunks, external_lookups) of the map from old to new fingerprints.
 
     ordered: (pos, cid, fp) in the order in which recipes are sent; sizes: (cid,
-    chunk_num). by='fp' caches single entries, by='cid' whole containers."""
-    joined = ordered.join(sizes.select("cid", "chunk_num"), "cid")
-
+    chunk_num). by='fp' caches single entries, which are of one size, so that the cache is
+    an LRU of so many; by='cid' whole containers. As containers differ in size, that is one
+    pass in order over the runs of equal containers."""
+    if by == "fp":
+        most = max(1, -(-cache_bytes // CACHE_ENTRY_BYTES) - 1) if cache_bytes > 0 else 0
+        hits = lru_hits(ordered.select(F.lit(0).cast("bigint").alias("version"), F.col("pos").alias("seq"), F.col("fp").alias("cid")), most)
+        return hits.agg(F.count("*").alias("chunks"), F.count_if(~F.col("hit")).alias("external_lookups")).select(F.lit(by).alias("mode"), "chunks", "external_lookups")
+    runs = access_records(ordered.select(F.lit(0).cast("bigint").alias("version"), F.col("pos").alias("seq"), "cid"))
     ship(ordered.sparkSession)
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
+        part = part.sort_values("seq")
         lru, misses = ByteLru(cache_bytes), 0
-        for cid, fp, entries in zip(part["cid"], part["fp"], part["chunk_num"], strict=True):
-            key = fp if by == "fp" else cid
-            if not lru.get(key):
+        for cid, entries in zip(part["cid"].tolist(), part["chunk_num"].tolist(), strict=True):
+            if not lru.get(cid):
                 misses += 1
-                lru.put(key, 1 if by == "fp" else int(entries))
-        return pd.DataFrame([(by, len(part), misses)], columns=["mode", "chunks", "external_lookups"])
+                lru.put(cid, entries)
+        return pd.DataFrame([(by, misses)], columns=["mode", "external_lookups"])
 
-    return joined.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(scan, "mode string, chunks long, external_lookups long")
+    found = runs.join(sizes.select("cid", "chunk_num"), "cid").groupBy("version").applyInPandas(scan, "mode string, external_lookups long")
+    chunks = ordered.agg(F.count("*").alias("chunks")).select(F.lit(by).alias("mode"), "chunks")
+    return found.join(chunks, "mode").select("mode", "chunks", "external_lookups")
 
 
 def index_overhead(recipe: DataFrame, cache: int) -> DataFrame:

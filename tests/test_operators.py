@@ -164,6 +164,22 @@ def test_lru_over_spans(spark, size):
     assert got == want
 
 
+@pytest.mark.parametrize("cache", [0, 61, 60 * 7, 60 * 40])
+def test_upgrade_caches(spark, cache):
+    r = random.Random(2)
+    rows = [(5 * i, c := r.choice([r.randrange(12), 3]), f"{c}-{r.randrange(6)}") for i in range(500)]
+    sizes = {c: r.randrange(1, 9) for c in range(12)}
+    df, of = spark.createDataFrame(rows, "pos long, cid long, fp string"), spark.createDataFrame(sizes.items(), "cid long, chunk_num long")
+    for by in ("fp", "cid"):
+        lru, misses = simulation.ByteLru(cache), 0
+        for _, cid, fp in rows:
+            key = fp if by == "fp" else cid
+            if not lru.get(key):
+                misses += 1
+                lru.put(key, 1 if by == "fp" else sizes[cid])
+        assert [tuple(x) for x in simulation.upgrade_lookups(df, of, cache, by).collect()] == [(by, 500, misses)]
+
+
 def test_switch_follows_the_level(spark):
     rows = stream(900, 6)
     df = spark.createDataFrame(rows, "version long, seq long, cid long, size int, is_dup boolean")
