@@ -7,11 +7,14 @@ the columns of `documents`.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, langid, mixing, neardup, sharding
 from granary.llm.common import cut, table
+from granary.sources.scratch import made, release
 
 #: A prediction of less than this posterior leaves the language in doubt.
 LEAST_SCORE = 0.5
@@ -47,12 +50,31 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
+#: Intermediate tables of the last stage that was called.
+_left: list[str] = []
+
+
+def _alone(stage):
+    """`stage`, which first deletes the intermediate tables of the stage called before it:
+    its result is written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        before = set(made())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [p for p in made() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontaminated", decontaminated),
-    ("mixed", mixed),
-    ("sharded", sharded),
+    ("language", _alone(language)),
+    ("near_duplicates", _alone(near_duplicates)),
+    ("decontaminated", _alone(decontaminated)),
+    ("mixed", _alone(mixed)),
+    ("sharded", _alone(sharded)),
 ]
 
 #: Code lengths, hashes and fitted rates are beyond SQL; tests hold the stages
@@ -61,8 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written before the next stage reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; each result is written before the next stage reads it,
+    and goes once that one's result is written."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        result = stage(spark, docs, sf_dir)
+        before = set(made())
+        docs = cut(result)
+        release(spark, read)
+        read = [p for p in made() if p not in before]
     return STAGES[-1][1](spark, docs, sf_dir)

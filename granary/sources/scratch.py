@@ -25,11 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+#: Paths of the tables that were made and not released, in order.
+_made: list[str] = []
+
+
+def made() -> list[str]:
+    """The intermediate tables so far."""
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables that nothing will read again."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _made:
+            _made.remove(path)
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path below the shared folder. What is there goes when the driver ends."""
+    """A new path below the shared folder. What is there goes when the driver ends, or when
+    it is released."""
     path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _made.append(path)
     return path
 
 
