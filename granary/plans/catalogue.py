@@ -357,7 +357,32 @@ def sampled_index_dedup(spark, sf):
     return dedup.sampled_index(segmenting.fixed_segments(rows, rel.SEGMENT), held, RATIO).select("seq", "segment_id", "is_dup")
 
 
-@query()
+def _preset_sql(x: str, chunks: str, features: str, top: bool) -> str:
+    """near_{x}: chunks and unique chunks of a similarity index over segments of its own."""
+    chosen = f"(SELECT segment_id, candidate FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY shared DESC, candidate DESC) AS r FROM cand_{x}) WHERE r = 1)" if top else f"cand_{x}"
+    return f""", seg_{x} AS ({chunks}), feat_{x} AS ({features}),
+turn_{x} AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY segment_id) AS k FROM feat_{x}),
+cand_{x} AS (SELECT a.segment_id, b.segment_id AS candidate, count(*) AS shared FROM turn_{x} a JOIN turn_{x} b ON a.feature = b.feature AND b.k < a.k AND b.k >= a.k - {FEATURES} GROUP BY 1, 2),
+near_{x} AS (SELECT count(*) AS chunks, count(*) FILTER (c.seq = c.f AND h.fp IS NULL) AS unique_chunks FROM (SELECT *, min(seq) OVER (PARTITION BY segment_id, fp) AS f FROM seg_{x}) c
+  LEFT JOIN (SELECT DISTINCT p.segment_id, s.fp FROM {chosen} p JOIN seg_{x} s ON s.segment_id = p.candidate) h ON h.segment_id = c.segment_id AND h.fp = c.fp)
+"""
+
+
+_PRESETS = (
+    _CUTS
+    + _preset_sql("sparse", "SELECT m.seq, m.version * 1099511627776 + count(walk.place) OVER (PARTITION BY m.version ORDER BY m.seq) - 1 AS segment_id, chunk.fp FROM marked m JOIN chunk USING (seq) LEFT JOIN walk ON walk.version = m.version AND walk.place = m.place", f"SELECT DISTINCT segment_id, fp AS feature FROM seg_sparse WHERE {_HIT} % 8 = 0 UNION ALL SELECT segment_id, repeat('0', 40) FROM seg_sparse GROUP BY 1 HAVING count(*) FILTER ({_HIT} % 8 = 0) = 0", True)
+    + _preset_sql("silo", "SELECT seq, seq // 16 AS segment_id, fp FROM chunk", "SELECT segment_id, min(fp) AS feature FROM seg_silo GROUP BY 1", True)
+    + _preset_sql("bins", "SELECT seq, version * 1099511627776 + file_id AS segment_id, fp FROM chunk", "SELECT segment_id, min(fp) AS feature FROM seg_bins GROUP BY 1", False)
+    + _SAMPLED.replace("\nSELECT seg.seq", "\n, sampled AS (SELECT seg.seq").rstrip() + ")"
+    + """
+SELECT unnest(['ddfs', 'block locality caching']) AS preset, count(*) AS chunks, count(DISTINCT fp) AS unique_chunks FROM chunk
+UNION ALL SELECT 'sampled index', count(*), count(*) FILTER (NOT is_dup) FROM sampled
+UNION ALL SELECT 'sparse index', * FROM near_sparse UNION ALL SELECT 'silo', * FROM near_silo UNION ALL SELECT 'extreme binning', * FROM near_bins
+"""
+)
+
+
+@query(_PRESETS)
 def index_presets(spark, sf):
     """What each index design finds on the same stream: (preset, chunks, unique_chunks)."""
     rows, stored = rel.placed(spark, sf)
@@ -587,7 +612,23 @@ def index_update_parts(spark, sf):
     return every.groupBy("kind").agg(F.count_distinct("fp").alias("fps"))
 
 
-@query()
+#: Duplicates one after another: `useful` are containers that were found useful enough, `steps`
+#: the utilities so far that the threshold can be about.
+_CONTEXT = f""", judged AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY seq) AS i FROM (
+  SELECT version, seq, cid, pos, greatest(0.0, 1 - (sum(size) OVER (PARTITION BY version, cid ORDER BY seq RANGE BETWEEN CURRENT ROW AND {CAP_BUFFER - 1} FOLLOWING) + size) / {1169 * 256}.0) AS u,
+    coalesce(seq - lag(seq) OVER (PARTITION BY version, cid ORDER BY seq) < {CAP_BUFFER}, false) AS held FROM recipe WHERE is_dup)
+  JOIN (SELECT version, max(seq) AS last FROM recipe GROUP BY 1) USING (version) WHERE seq + {CAP_BUFFER - 1} <= last),
+cbr AS (SELECT DISTINCT version, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, false AS rewritten, CAST([] AS INTEGER[]) AS steps, CAST([] AS BIGINT[]) AS useful FROM judged
+  UNION ALL SELECT version, i, seq, rewritten, CASE WHEN NOT flagged AND floor(u * 10000) >= 7000 THEN list_append(steps, CAST(least(floor(u * 10000), 9999) AS INTEGER)) ELSE steps END,
+    CASE WHEN rewritten THEN list_filter(useful, lambda x: x <> cid) ELSE list_append(list_filter(useful, lambda x: x <> cid), cid) END FROM (
+    SELECT *, NOT flagged AND u >= 0.7 AND u >= threshold AS rewritten FROM (
+      SELECT c.version, j.i, j.seq, j.cid, j.u, c.steps, c.useful, j.held AND list_contains(c.useful, j.cid) AS flagged,
+        CASE WHEN j.pos < 100 THEN 0.7 ELSE (coalesce(list_reverse_sort(c.steps)[CAST(floor(j.pos * 0.05) AS BIGINT)], 6999) + 1) / 10000 END AS threshold
+      FROM cbr c JOIN judged j ON j.version = c.version AND j.i = c.i + 1)))
+"""
+
+
+@query(_CONTEXT + "SELECT r.version, r.seq, coalesce(c.rewritten, false) AS out_of_order FROM recipe r LEFT JOIN cbr c ON c.version = r.version AND c.seq = r.seq")
 def cbr_rewrite(spark, sf):
     return rewriting.cbr(rel.recipe(spark, sf)[0], CAP_BUFFER, 0.7, 0.05, rel.PAYLOAD)
 
@@ -647,6 +688,28 @@ def _restore(name, policy):
 
 for _name, _policy in (("restore_lru", "lru"), ("restore_opt", "opt"), ("restore_asm", "asm")):
     _restore(_name, _policy)
+_REPLAYED = "SELECT version, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, any_value(n) AS container_reads, round(sum(size) / 1048576.0 / any_value(n), 6) AS speed_factor FROM recipe JOIN (SELECT version, max(reads) AS n FROM {0} GROUP BY 1) USING (version) GROUP BY 1"
+#: Forward assembly, read by read: the queue goes from the front f to e; a chunk is ready if
+#: its container was read while it was in the queue.
+_ASSEMBLED = f""", all_ AS (SELECT version, list(cid ORDER BY seq) AS cids, list(upto ORDER BY seq) AS upto FROM (SELECT *, sum(size) OVER (PARTITION BY version ORDER BY seq) AS upto FROM recipe) GROUP BY 1),
+asm AS (SELECT version, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS e, CAST([] AS STRUCT(cid BIGINT, e BIGINT)[]) AS done, 0 AS reads FROM all_
+  UNION ALL SELECT version, coalesce(list_filter(range(f, e2), lambda j: len(list_filter(done2, lambda r: r.cid = cids[j + 1] AND r.e > j)) = 0)[1], e2), e2, done2, reads + 1 FROM (
+    SELECT version, f, e2, cids, reads, list_append(done, {{'cid': cids[f + 1], 'e': e2}}) AS done2 FROM (
+      SELECT q.*, a.cids, least(len(a.cids), greatest(q.e + 1, coalesce(list_filter(range(q.f, len(a.cids)), lambda i: a.upto[i + 1] - CASE WHEN q.f = 0 THEN 0 ELSE a.upto[q.f] END >= {(CACHE - 1) * 1169 * 256})[1] + 1, len(a.cids)))) AS e2
+      FROM asm q JOIN all_ a USING (version) WHERE q.f < len(a.cids))))
+"""
+#: Belady, use by use: the container whose next known use is farthest goes, of several the one
+#: used longest ago. Uses up to `known` are seen; half a window before that, it moves on.
+_BELADY = f""", used AS (SELECT version, list(cid ORDER BY seq) AS cids FROM (SELECT *, lag(cid) OVER (PARTITION BY version ORDER BY seq) AS l FROM recipe) WHERE cid IS DISTINCT FROM l GROUP BY 1),
+opt AS (SELECT version, CAST(-1 AS BIGINT) AS i, CAST([] AS STRUCT(cid BIGINT, age BIGINT)[]) AS held, CAST(least({WINDOW}, len(cids)) AS BIGINT) AS known, 0 AS reads FROM used
+  UNION ALL SELECT version, i, list_append(list_filter(held, lambda h: h.cid <> c AND (hit OR len(held) < {CACHE} OR h.cid <> gone)), {{'cid': c, 'age': i}}), known, reads + CASE WHEN hit THEN 0 ELSE 1 END FROM (
+    SELECT version, i, held, known, reads, c, len(list_filter(held, lambda h: h.cid = c)) > 0 AS hit,
+      list_sort(list_transform(held, lambda h: [-coalesce(list_filter(range(i + 1, known), lambda p: cids[p + 1] = h.cid)[1], 1000000000), h.age, h.cid]))[1][3] AS gone FROM (
+      SELECT o.version, o.i + 1 AS i, o.held, o.reads, u.cids, u.cids[o.i + 2] AS c, CAST(CASE WHEN (o.known - o.i - 1) * 2 <= {WINDOW} THEN least(len(u.cids), o.i + 1 + {WINDOW}) ELSE o.known END AS BIGINT) AS known
+      FROM opt o JOIN used u USING (version) WHERE o.i + 1 < len(u.cids))))
+"""
+ORACLES["restore_asm"] = base() + _ASSEMBLED + _REPLAYED.format("asm")
+ORACLES["restore_opt"] = base() + _BELADY + _REPLAYED.format("opt")
 ORACLES["restore_lru"] = base() + _LRU + "SELECT version, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (NOT hit) AS container_reads, round(sum(size) / 1048576.0 / count(*) FILTER (NOT hit), 6) AS speed_factor FROM lru GROUP BY 1"
 
 
@@ -810,7 +873,23 @@ def upgrade_hash_counts(spark, sf):
     return upgrade.upgrade_counters(recipe, stored)
 
 
-@query()
+_LOOKUP_CACHE = 4 * 1169 * 60
+#: The cache by container holds the last used ones, of which the oldest go until the next
+#: one leaves it short of full; the one by fingerprint is an LRU of entries.
+_LOOKUPS = _ORDER + f""", place AS (SELECT file_id, row_number() OVER (ORDER BY n, file_id) - 1 AS rank FROM class JOIN going ON going.now = class.rep),
+asked AS (SELECT 'con-pfu' AS mode, seq AS pos, cid FROM recipe UNION ALL SELECT 'sim-pfu', rank * 16777216 + chunk_no, cid FROM recipe JOIN place USING (file_id)),
+turns AS (SELECT mode, cid, bytes, row_number() OVER (PARTITION BY mode ORDER BY pos) AS i FROM (SELECT *, lag(cid) OVER (PARTITION BY mode ORDER BY pos) AS l FROM asked) JOIN (SELECT cid, count(*) * 60 AS bytes FROM stored GROUP BY 1) USING (cid) WHERE cid IS DISTINCT FROM l),
+kept AS (SELECT DISTINCT mode, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(cid BIGINT, bytes BIGINT)[]) AS held, 0 AS misses FROM turns
+  UNION ALL SELECT mode, i, list_append(CASE WHEN hit THEN list_filter(held, lambda h: h.cid <> c) ELSE held[coalesce(list_filter(range(0, len(held)), lambda k: list_sum(list_transform(held[k + 1:], lambda h: h.bytes)) + b < {_LOOKUP_CACHE})[1], len(held)) + 1:] END, {{'cid': c, 'bytes': b}}), misses + CASE WHEN hit THEN 0 ELSE 1 END FROM (
+    SELECT k.mode, t.i, k.held, k.misses, t.cid AS c, t.bytes AS b, len(list_filter(k.held, lambda h: h.cid = t.cid)) > 0 AS hit FROM kept k JOIN turns t ON t.mode = k.mode AND t.i = k.i + 1)),
+again AS (SELECT seq, prev FROM (SELECT seq, lag(seq) OVER (PARTITION BY fp ORDER BY seq) AS prev FROM recipe) WHERE prev IS NOT NULL),
+near AS (SELECT a.seq FROM again a LEFT JOIN recipe r ON r.seq > a.prev AND r.seq < a.seq GROUP BY 1 HAVING count(DISTINCT r.fp) < {_LOOKUP_CACHE // 60 - 1})
+SELECT mode, (SELECT count(*) FROM recipe) AS chunks, CAST(max(misses) AS BIGINT) AS external_lookups FROM kept GROUP BY 1
+UNION ALL SELECT 'pfu', count(*), count(*) - (SELECT count(*) FROM near) FROM recipe
+"""
+
+
+@query(_LOOKUPS)
 def upgrade_cache_lookups(spark, sf):
     """External lookups at equal cache: by fingerprint, by container, and by container
     in similarity order."""
