@@ -42,7 +42,7 @@ CONSTANT, COPY = 50, 50
 DEPTH = 64
 #: Pairs of neighbours that are compared in full; longer lists are matched in order.
 MOST_PAIRS = 1 << 14
-#: Texts of templates that are broadcast (8 bytes each, so 32 MB at most), and bytes of
+#: Texts of templates that are broadcast (16 bytes each, so 64 MB at most), and bytes of
 #: reference trees that are; more are joined.
 MOST_CONSTANTS, MOST_REFERENCE_BYTES = 1 << 22, 1 << 25
 
@@ -416,24 +416,39 @@ def keys(slot: np.ndarray, text: np.ndarray) -> np.ndarray:
     return slot.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ text.view(np.uint64)
 
 
-def found(page: Page, host: str, reference: Shape, marks: bool = True) -> tuple[list[tuple[str, int, bool]], np.ndarray, np.ndarray]:
+def found(page: Page, host: str, reference: Shape) -> tuple[list[tuple[str, int, bool]], np.ndarray, np.ndarray]:
     """The page's blocks, and for each its slot and the hash of its text."""
-    texts, where = blocks(page, marks), slots(page, host, reference)
+    texts, where = blocks(page), slots(page, host, reference)
     return texts, np.array([where[n] for _, n, _ in texts], np.int64), np.array([_hash(t) for t, _, _ in texts], np.int64)
 
 
-def extract(html: str | None, constant: np.ndarray | None = None, host: str = "", reference: Shape | None = None, marks: bool = True) -> str:
-    """The article's text. constant: sorted keys of the constant texts."""
+class Constants:
+    """The constant texts: keys of slot and text, and the texts alone, both sorted."""
+
+    def __init__(self, slot: np.ndarray, text: np.ndarray):
+        self.keys, self.texts = np.sort(keys(slot, text)), np.unique(text)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
+def _among(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)] == wanted
+
+
+def extract(html: str | None, constant: Constants | None = None, host: str = "", reference: Shape | None = None, marks: bool = True) -> str:
+    """The article's text, without the constant texts of its host."""
     if not html:
         return ""
     page = parse(html)
-    if reference is None or constant is None or not len(constant):
-        return "\n".join(t for t, _, mine in blocks(page, marks) if mine)
-    texts, slot, text = found(page, host, reference, marks)
-    key = keys(slot, text)
-    at = np.minimum(np.searchsorted(constant, key), len(constant) - 1)
-    again = constant[at] == key
-    return "\n".join(t for (t, _, mine), out in zip(texts, again, strict=True) if mine and not out)
+    left = [(t, n) for t, n, mine in blocks(page, marks) if mine]
+    if reference is not None and constant is not None and len(constant) and left:
+        text = np.array([_hash(t) for t, _ in left], np.int64)
+        if _among(constant.texts, text).any():  # trees are aligned only where it can matter
+            where = slots(page, host, reference)
+            again = _among(constant.keys, keys(np.array([where[n] for _, n in left], np.int64), text))
+            left = [x for x, out in zip(left, again, strict=True) if not out]
+    return "\n".join(t for t, _ in left)
 
 
 # --- the operator -------------------------------------------------------------
@@ -538,7 +553,7 @@ def extract_articles(pages: DataFrame, marks: bool = True, most_constants: int =
     joined = keyed.join(trees, HOST, "left")
     if template.count() <= most_constants:
         got = template.toArrow()
-        table = np.sort(keys(np.asarray(got.column("slot")).astype(np.int64), np.asarray(got.column("t")).astype(np.int64)))
+        table = Constants(np.asarray(got.column("slot")).astype(np.int64), np.asarray(got.column("t")).astype(np.int64))
         shared = pages.sparkSession.sparkContext.broadcast(table)
         joined = joined.withColumn(CONSTANTS, F.lit(None).cast("array<struct<slot:bigint,t:bigint>>"))
     else:
@@ -559,7 +574,7 @@ def extract_articles(pages: DataFrame, marks: bool = True, most_constants: int =
                     constant = shared.value
                 else:
                     pairs = np.array([(x["slot"], x["t"]) for x in mine or ()], np.int64).reshape(-1, 2)
-                    constant = np.sort(keys(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])))
+                    constant = Constants(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
                 texts.append(extract(html, constant, host_ or "", references_[reference] if reference else None, marks))
             columns = [*[column(c) for c in names], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "n_chars"])
