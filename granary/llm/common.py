@@ -70,6 +70,35 @@ def bounded_sample(df: DataFrame, rows: int, per: str, keep: list[str]) -> DataF
     return df.where(spread < share).select(*keep)
 
 
+#: Where the three bits of a value in a bit set are read from the value.
+SHIFTS = (0, 20, 40)
+
+
+def _bit(value: Column, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit(bits - 1).cast("bigint")).cast("int")
+
+
+def bit_set(values: DataFrame, name: str, bits: int) -> Column:
+    """A set of hashes as an array of longs, three bits for each; `bits` is a power of two,
+    and bits / 64 longs at most come to the driver."""
+    each = values.select(F.explode(F.array(*[_bit(F.col(name), shift, bits) for shift in SHIFTS])).alias("b"))
+    got = each.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, b & 63)").alias("m")).groupBy("w").agg(F.bit_or("m")).collect()
+    full = [0] * (bits // 64)
+    for w, m in got:
+        full[w] = m
+    return F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
+
+
+def in_bit_set(set_: Column, bits: int, value: Column) -> Column:
+    """Whether a hash may be in the set; those that are in it always pass."""
+    found = None
+    for shift in SHIFTS:
+        at = _bit(value, shift, bits)
+        one = F.getbit(F.get(set_, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))) == 1
+        found = one if found is None else found & one
+    return found
+
+
 def robust_bands(df: DataFrame, group: str, value: str, low: float, high: float, step: float = 1 / 256) -> dict[str, tuple[float, float]]:
     """For each value of `group` a least and a greatest value: `low` robust deviations
     below and `high` above the median of all its rows (nulls aside). Each side has its

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import NOT_WORD, ascii_lower, cut, let, replacing, words
+from granary.llm.common import NOT_WORD, ascii_lower, bit_set, cut, in_bit_set, let, replacing, words
 
 WINDOW, GRAM = 8, 4
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -68,23 +68,6 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return long_.unionByName(short).distinct()
 
 
-def _filter(windows: DataFrame, bits: int) -> Column:
-    """A bit set over the fingerprints, as an array of longs: bits / 64 words at
-    most come to the driver."""
-    bit = F.pmod(F.col("f"), F.lit(bits)).cast("int")
-    got = windows.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(f, {bits}L) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    full = [0] * (bits // 64)
-    for w, b in got:
-        full[w] = b
-    return F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
-
-
-def _in(filter_: Column, bits: int, f: Column) -> Column:
-    bit = F.pmod(f, F.lit(bits)).cast("int")
-    word = F.get(filter_, F.shiftright(bit, 6))
-    return F.getbit(word, bit.bitwiseAND(F.lit(63))) == 1
-
-
 def _found(short: list[int], test) -> Column:
     """The windows (place, length, words) of a text whose fingerprint passes `test`."""
 
@@ -133,8 +116,8 @@ def _candidates(keyed: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
         bits = 1 << 12
         while bits < n * BITS_EACH:
             bits *= 2
-        sets = _filter(prints, bits)
-        rows = keyed.select(T1, T2, _found(short, lambda f: _in(sets, bits, f)).alias("c"))
+        set_ = bit_set(prints, "f", bits)
+        rows = keyed.select(T1, T2, _found(short, lambda f: in_bit_set(set_, bits, f)).alias("c"))
         return cut(rows.where(F.size("c") > 0)).select(T1, T2, F.inline("c")).distinct()
     sent = keyed.select(T1, T2, F.explode(_all_fingerprints(short)).alias("f")).distinct()
     held = cut(sent.join(prints, "f", "left_semi").select(T1, T2).distinct())

@@ -27,14 +27,14 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import NOT_WORD, ascii_lower, cut, let, rows_of, words
+from granary.llm.common import NOT_WORD, ascii_lower, bit_set, cut, in_bit_set, let, rows_of, words
 
 WIDTH, THRESHOLD = 5, 80
 #: Templates of up to so many shingles are looked up by pairs, and of up to so many words by all bands.
 SHORT, LONG = 8, 100
 #: Shingles of a window, words between the windows of a document, bands.
 SHINGLES, STRIDE, BANDS = 8, 4, 8
-#: The bit set of template values: so many bits for each, of which two are set, and
+#: The bit set of template values: so many bits for each, of which three are set, and
 #: values up to which there is one (2**21 bits). Those of larger packs are joined.
 BITS_EACH, MOST_FILTERED = 256, 1 << 13
 T1, T2 = "__gr_t1", "__gr_t2"
@@ -103,26 +103,6 @@ def _text_words(text: str = "text") -> Column:
     return words(ascii_lower(F.col(text)), NOT_WORD)
 
 
-def _bit_set(values: DataFrame, bits: int) -> Column:
-    """Two bits of each value, as an array of longs: bits / 64 of them at most come to
-    the driver."""
-    bit = lambda shift: F.shiftrightunsigned(F.col("v"), shift).bitwiseAND(F.lit(bits - 1).cast("bigint")).cast("int")
-    both = values.select(F.explode(F.array(bit(0), bit(32))).alias("b"))
-    got = both.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, b & 63)").alias("m")).groupBy("w").agg(F.bit_or("m")).collect()
-    full = [0] * (bits // 64)
-    for w, b in got:
-        full[w] = b
-    return F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
-
-
-def _in(set_: Column, bits: int, v: Column) -> Column:
-    def one(shift: int) -> Column:
-        bit = F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(bits - 1).cast("bigint")).cast("int")
-        return F.getbit(F.get(set_, F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1
-
-    return one(0) & one(32)
-
-
 def _values(sh: Column, test) -> Column:
     """A document's values that pass the test."""
     return F.concat(F.filter(sh, test), F.filter(_windows(sh, 2, 1, [PAIR_SEED]), test), F.filter(_windows(sh, SHINGLES, STRIDE, SEEDS), test))
@@ -139,8 +119,8 @@ def _retrieved(keyed: DataFrame, values: DataFrame, limit: int) -> DataFrame:
         bits = 1 << 12
         while bits < n * BITS_EACH:
             bits *= 2
-        set_ = _bit_set(distinct, bits)
-        found = of(lambda sh: let(_values(sh, lambda v: _in(set_, bits, v)), lambda h: F.struct(h.alias("hits"), F.when(F.size(h) > 0, F.array_distinct(sh)).alias("sh"))))
+        set_ = bit_set(distinct, "v", bits)
+        found = of(lambda sh: let(_values(sh, lambda v: in_bit_set(set_, bits, v)), lambda h: F.struct(h.alias("hits"), F.when(F.size(h) > 0, F.array_distinct(sh)).alias("sh"))))
         return cut(keyed.select("doc_id", T1, T2, found.alias("x")).where(F.size("x.hits") > 0).select("doc_id", T1, T2, "x.hits", "x.sh"))
     sent = keyed.select(T1, T2, F.explode(F.array_distinct(of(lambda sh: _values(sh, lambda v: F.lit(True))))).alias("v")).distinct()
     held = cut(sent.join(distinct, "v", "left_semi").groupBy(T1, T2).agg(F.collect_list("v").alias("hits")))
