@@ -161,9 +161,58 @@ def _dek(data: bytes) -> int:
 STRING_HASHES = {"rs": _rs, "djb": _times(33, 5381), "fnv": _fnv, "js": _js, "pjw": _pjw, "sdbm": _times(65599, 0), "dek": _dek}
 
 
+WORD = 0xFFFFFFFF
+
+
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(WORD).cast("bigint"))
+
+
+def _product(a: Column, b: Column) -> Column:
+    """a * b modulo 2**32 of numbers below 2**32, without leaving 64 bits."""
+    half = F.lit(0xFFFF).cast("bigint")
+    return _low(F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(half), 16) + a * b.bitwiseAND(half))
+
+
+def string_hash(name: str, data_hex: Column) -> Column:
+    """One of STRING_HASHES of bytes given in hex, as a bigint."""
+    n = (F.length(data_hex) / 2).cast("int")
+    byte = lambda i: F.conv(F.substring(data_hex, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
+    data = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), byte)).otherwise(F.array().cast("array<bigint>"))
+    long_ = lambda x: F.lit(x).cast("bigint")
+    if name == "rs":
+        pair = lambda h, a: F.struct(h.alias("h"), a.alias("a"))
+        return F.aggregate(data, pair(long_(0), long_(63689)), lambda s, b: pair(_low(_product(s["h"], s["a"]) + b), _product(s["a"], long_(378551))), lambda s: s["h"])
+    if name in ("djb", "sdbm"):
+        factor, start = (33, 5381) if name == "djb" else (65599, 0)
+        return F.aggregate(data, long_(start), lambda h, b: _low(h * factor + b))
+    if name == "fnv":
+        return F.aggregate(data, long_(0), lambda h, b: _product(h, long_(0x811C9DC5)).bitwiseXOR(b))
+    if name == "js":
+        return F.aggregate(data, long_(1315423911), lambda h, b: _low(h.bitwiseXOR(F.shiftleft(h, 5) + b + F.shiftright(h, 2))))
+    if name == "pjw":
+        def step(h, b):
+            moved = _low(F.shiftleft(h, 4) + b)
+            high = moved.bitwiseAND(long_(0xF0000000))
+            return F.when(high != 0, moved.bitwiseXOR(F.shiftright(high, 24)).bitwiseAND(long_(0x0FFFFFFF))).otherwise(moved)
+
+        return F.aggregate(data, long_(0), step)
+    if name == "dek":
+        return F.aggregate(data, n.cast("bigint"), lambda h, b: _low(F.shiftleft(h, 5).bitwiseOR(F.shiftright(h, 27))).bitwiseXOR(b))
+    raise ValueError(f"no string hash {name}")
+
+
+def bloom_words(keys_hex: Column, rows, bits: int = 1 << 20, hashes: tuple[str, ...] = ("rs", "djb", "fnv", "js")):
+    """(word, mask): the bit set of a Bloom filter over `rows`, as the words that are not 0;
+    bits / 64 rows at most, whatever the number of keys."""
+    at = F.explode(F.array(*[F.pmod(string_hash(h, keys_hex), F.lit(bits)).cast("int") for h in hashes])).alias("at")
+    each = rows.select(at).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("mask"))
+    return each.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
 class BloomFilter:
-    """A bit set under several string hashes; used for driver-side key lists. Joins use
-    Spark's own runtime filters."""
+    """A bit set under several string hashes for short lists of keys on the driver; tables
+    have bloom_words(), and joins use Spark's own runtime filters."""
 
     def __init__(self, bits: int = 1 << 20, hashes: tuple[str, ...] = ("rs", "djb", "fnv", "js")):
         self.bits, self.hashes = bits, [STRING_HASHES[h] for h in hashes]

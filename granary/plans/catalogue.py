@@ -4,6 +4,7 @@ give the same rows. Relations are those of granary.plans.relations."""
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.config import CONTAINER_PAYLOAD, PRESETS, StoreConfig
@@ -156,6 +157,40 @@ def zero_chunks(spark, sf):
     return rel.chunks(spark, sf, data=True).select("seq", scalar.is_zero_chunk(F.col("data")).alias("is_zero"))
 
 
+_BYTES = "list_transform(range(1, len(fp) // 2 + 1), lambda i: CAST(('0x' || substr(fp, 2 * i - 1, 2)) AS UBIGINT))"
+_HASHES = {
+    "rs": "list_reduce(list_prepend({'h': 0::UHUGEINT, 'a': 63689::UHUGEINT}, list_transform(b, lambda x: {'h': x::UHUGEINT, 'a': 0::UHUGEINT})), lambda s, x: {'h': (s.h * s.a + x.h) % 4294967296, 'a': s.a * 378551 % 4294967296}).h",
+    "djb": "list_reduce(list_prepend(5381::UBIGINT, b), lambda h, x: (h * 33 + x) % 4294967296)",
+    "fnv": "list_reduce(list_prepend(0::UBIGINT, b), lambda h, x: xor(CAST(h::UHUGEINT * 2166136261 % 4294967296 AS UBIGINT), x))",
+    "js": "list_reduce(list_prepend(1315423911::UBIGINT, b), lambda h, x: xor(h, h * 32 + x + h // 4) % 4294967296)",
+    "pjw": "list_reduce(list_prepend(0::UBIGINT, b), lambda h, x: CASE WHEN (h * 16 + x) % 4294967296 >= 268435456 THEN xor((h * 16 + x) % 4294967296, ((h * 16 + x) % 4294967296 // 268435456) * 16) % 268435456 ELSE (h * 16 + x) % 4294967296 END)",
+    "sdbm": "list_reduce(list_prepend(0::UBIGINT, b), lambda h, x: (h * 65599 + x) % 4294967296)",
+    "dek": "list_reduce(list_prepend(len(b)::UBIGINT, b), lambda h, x: xor((h * 32) % 4294967296 | (h // 134217728), x))",
+}
+
+
+@query(f", k AS (SELECT DISTINCT fp, {_BYTES} AS b FROM chunk) SELECT fp, " + ", ".join(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in _HASHES.items()) + " FROM k")
+def string_hashes(spark, sf):
+    """The seven string hashes of a Bloom filter, of fingerprints."""
+    return rel.chunks(spark, sf).select("fp").distinct().select("fp", *[scalar.string_hash(h, F.col("fp")).alias(h) for h in scalar.STRING_HASHES])
+
+
+@query(f", k AS (SELECT DISTINCT fp, {_BYTES} AS b FROM chunk WHERE version < {KEEP_FROM}), bit AS (SELECT DISTINCT unnest([" + ", ".join(f"CAST({_HASHES[h]} AS BIGINT) % 65536" for h in ("rs", "djb", "fnv", "js")) + "]) AS place FROM k) SELECT CAST(place // 64 AS INTEGER) AS word, CAST(bit_count(bit_or(CAST(1 AS UBIGINT) << CAST(place % 64 AS UBIGINT))) AS INTEGER) AS bits FROM bit GROUP BY 1")
+def bloom_filter(spark, sf):
+    """The bits that the fingerprints of old versions set in a Bloom filter, by word."""
+    old = rel.chunks(spark, sf).where(F.col("version") < KEEP_FROM).select("fp").distinct()
+    return scalar.bloom_words(F.col("fp"), old, 1 << 16).select("word", F.bit_count("mask").alias("bits"))
+
+
+@query("SELECT seq, used + size > 65536 OR entries >= 100 AS overflows, fp AS simulated FROM (SELECT seq, size, fp, CAST(coalesce(sum(size) OVER w, 0) AS BIGINT) AS used, count(*) OVER w AS entries FROM stored WINDOW w AS (PARTITION BY urank // 128 ORDER BY urank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+def overflow_and_simulated(spark, sf):
+    """Whether a chunk would still fit behind those before it in a block of 128; and the
+    fingerprint that a simulated upgrade gives it."""
+    w = Window.partitionBy(F.floor(F.col("urank") / 128)).orderBy("urank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rel.placed(spark, sf)[1].withColumn("used", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("entries", F.count("*").over(w))
+    return rows.select("seq", scalar.container_overflow(F.col("used"), F.col("entries"), F.col("size"), 100, 65536).alias("overflows"), scalar.simulated_fp(F.col("fp")).alias("simulated"))
+
+
 @query("SELECT substr(fp, 1, 4) AS key, count(DISTINCT fp) AS fps FROM chunk GROUP BY 1 HAVING count(DISTINCT fp) > 1")
 def truncated_keys(spark, sf):
     return rel.chunks(spark, sf).groupBy(scalar.truncated_key(F.col("fp"), 2).alias("key")).agg(F.count_distinct("fp").alias("fps")).where("fps > 1")
