@@ -170,12 +170,13 @@ def _discounts(level: DataFrame) -> DataFrame:
     return level.groupBy(LANG).agg(*n).select(LANG, *d)
 
 
-def _probabilities(level: DataFrame, k: int, shorter: DataFrame | None) -> DataFrame:
-    """(language, gram, p) of the counted grams (language, gram, n) of k bytes, from p of
-    the grams that are one byte shorter; before single bytes all bytes are even."""
+def _probabilities(level: DataFrame, k: int, shorter: DataFrame | None, few: bool) -> DataFrame:
+    """(language, gram, n, p) of the counted grams (language, gram, n) of k bytes, from p of
+    the grams that are one byte shorter; before single bytes all bytes are even. few:
+    whether a row for each language may be broadcast."""
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    discounts = cut(_discounts(level))  # a row for each language
-    rows = level.join(F.broadcast(discounts) if discounts.count() <= MOST_LANGUAGES else discounts, LANG).select(LANG, "gram", "n", d.alias("d"), F.shiftright("gram", 8).alias("ctx"))
+    discounts = _discounts(level)
+    rows = level.join(F.broadcast(discounts) if few else discounts, LANG).select(LANG, "gram", "n", d.alias("d"), F.shiftright("gram", 8).alias("ctx"))
     contexts = rows.groupBy(LANG, "ctx").agg(F.sum("n").alias("total"), F.greatest(F.sum("d") / F.sum("n"), F.lit(1e-9)).alias("left"))
     rows = rows.join(contexts, [LANG, "ctx"])
     if shorter is None:
@@ -197,14 +198,14 @@ def language(name: str = "lang"):
 
 
 def estimate(counted: DataFrame) -> DataFrame:
-    """(language, gram, n, p): of each counted 4-gram the probability of its last byte after
-    the first three. Shorter grams count the distinct bytes before them."""
-    levels = [cut(counted)]
+    """(language, gram, n, p): of each counted 4-gram (a written table) the probability of
+    its last byte after the first three. Shorter grams count the distinct bytes before them."""
+    levels = [counted]
     for k in range(ORDER - 1, 0, -1):
-        levels.append(cut(levels[-1].groupBy(LANG, _last(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))))
-    p = None
+        levels.append(levels[-1].groupBy(LANG, _last(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")))
+    few, p = counted.select(LANG).distinct().count() <= MOST_LANGUAGES, None
     for k, level in enumerate(reversed(levels), 1):
-        p = cut(_probabilities(level, k, p))
+        p = _probabilities(level, k, p, few)
     return p
 
 
@@ -293,15 +294,15 @@ def _joined_sums(docs: DataFrame, model: DataFrame, scorer: Scorer) -> DataFrame
     return each.groupBy(LANG, T1, T2).agg(F.sum(F.col("times") * F.col("log")).alias("__gr_rare"))
 
 
-def _frequent(model: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """The grams that were counted most often, `most` of them or fewer, and whether they
-    are all: those below the least power of two that leaves so few are left out."""
-    tally = dict(model.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect())
+def _least_frequent(counted: DataFrame, most: int) -> int:
+    """The least power of two so that `most` grams or fewer were counted as often or more;
+    1 if there are no more in all."""
+    tally = dict(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect())
     least, left = 0, sum(tally.values())
     while left > most:
         left -= tally.get(least, 0)
         least += 1
-    return model.where(F.col("n") >= 1 << least), not least
+    return 1 << least
 
 
 def bands(measured: DataFrame, low: float, high: float) -> dict[str, tuple[float, float]]:
@@ -315,11 +316,13 @@ def _banded(docs: DataFrame, low: float, high: float, carry: list[str] | None, m
     ship(docs.sparkSession)
     base = replacing(docs, *RESULTS)
     kept = base.columns if carry is None else carry
-    model = estimate(count_grams(base))
+    counted = cut(count_grams(base))
+    model, least = estimate(counted), _least_frequent(counted, most_broadcast)
     keyed = base.withColumn(LANG, language())
-    frequent, every = _frequent(model, most_broadcast)
-    scorer = Scorer.of(frequent)
-    if every:
+    if least > 1:
+        model = cut(model)
+    scorer = Scorer.of(model.where(F.col("n") >= least))
+    if least == 1:
         measured = _measure(keyed, [*kept, LANG], scorer)
     else:
         keyed = keyed.withColumn(T1, F.xxhash64("text")).withColumn(T2, F.xxhash64(F.lit(1), "text"))
