@@ -109,7 +109,7 @@ def _candidates(keyed: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
     Up to `limit` fingerprints are a bit set that is tested where the text is. More are
     joined: texts send their distinct fingerprints, and the windows of texts with a
     match are looked at."""
-    prints = cut(windows.select("f").distinct())
+    prints = windows.select("f").distinct()
     n = prints.count()
     short = sorted(r[0] for r in windows.select(LENGTH).distinct().collect() if r[0] < WINDOW)
     if n <= limit:
@@ -145,11 +145,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, fil
     # A set of items is named by its size and two sums of hashes: none is gathered.
     item = lambda seed: F.xxhash64(F.lit(seed), F.col("item_id").cast("string"))
     name = F.struct(F.count("*").alias("n"), F.bit_xor(item(1)).alias("x"), F.bit_xor(item(2)).alias("y"))
-    sets = cut(windows.select(LENGTH, GRAM_TEXT, "item_id").distinct().groupBy(LENGTH, GRAM_TEXT).agg(name.alias(SET)))
-    members = cut(windows.join(sets, [LENGTH, GRAM_TEXT]).select(SET, "item_id").distinct())
+    sets = windows.select(LENGTH, GRAM_TEXT, "item_id").distinct().groupBy(LENGTH, GRAM_TEXT).agg(name.alias(SET))
+    members = windows.join(sets, [LENGTH, GRAM_TEXT]).select(SET, "item_id").distinct()
 
     keyed = replacing(docs, *RESULTS).withColumn(T1, F.xxhash64("text")).withColumn(T2, F.xxhash64(F.lit(1), "text"))
-    hits = cut(_candidates(keyed, windows, filtered).join(sets, [LENGTH, GRAM_TEXT]).select(T1, T2, AT, LENGTH, SET))
+    hits = _candidates(keyed, windows, filtered).join(sets, [LENGTH, GRAM_TEXT]).select(T1, T2, AT, LENGTH, SET)
     by_text = Window.partitionBy(T1, T2).orderBy(AT, LENGTH)
     end = F.col(AT) + F.col(LENGTH)
     before = F.coalesce(F.max(end).over(by_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -157,11 +157,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, fil
     # A text's sets, of which it has no more than windows; a combination is their digest.
     per_text = hits.withColumn("new", new).groupBy(T1, T2).agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set(SET)).alias("sets"))
     texts = cut(per_text.withColumn("combo", F.sha2(F.to_json("sets"), 256)))
-    combos = cut(texts.groupBy("combo").agg(F.first("sets").alias("sets")))
+    combos = texts.groupBy("combo").agg(F.first("sets").alias("sets"))
     listed = combos.select("combo", F.explode("sets").alias(SET)).join(members, SET).select("combo", F.col("item_id").cast("string").alias("i"), "item_id").distinct()
     items = listed.groupBy("combo").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("i"))), 256).alias("items_sha256"))
-    result = cut(texts.select(T1, T2, "n_hit", "combo").join(items, "combo").drop("combo"))
-    few = result.count() <= MOST_BROADCAST
+    result = texts.select(T1, T2, "n_hit", "combo").join(items, "combo").drop("combo")
+    few = texts.count() <= MOST_BROADCAST  # a row for each of them
     return (
         keyed.withColumn("n_words", F.size(words(ascii_lower(F.col("text")), NOT_WORD)).cast("bigint"))
         .join(F.broadcast(result) if few else result, [T1, T2], "left")
