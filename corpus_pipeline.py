@@ -50,20 +50,21 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
-#: Intermediate tables of the last stage that was called.
-_left: list[str] = []
+#: Intermediate tables of the last stages that were called, in order.
+_left: list[list[str]] = []
 
 
 def _alone(stage):
-    """`stage`, which first deletes the intermediate tables of the stage called before it:
-    its result is written by then."""
+    """`stage`, which first deletes the intermediate tables of the stage before the last:
+    what that returned is written by then, as is what the last one returned."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left)
+        while len(_left) > 1:
+            release(spark, _left.pop(0))
         before = set(made())
         out = stage(spark, docs, sf_dir)
-        _left[:] = [p for p in made() if p not in before]
+        _left.append([p for p in made() if p not in before])
         return out
 
     return run_stage
