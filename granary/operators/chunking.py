@@ -22,8 +22,8 @@ from granary.functions.shipping import ship
 #: Fixed values of Rabin chunking.
 WINDOW, POLYNOMIAL, BREAK_MARK = 48, 0xBFE6B8A5BF378D83, 0x78
 E_ROUNDED = 2.718281828
-#: Bytes of a file whose fingerprints are in memory at once.
-BLOCK = 1 << 22
+#: Bytes of a file whose fingerprints are in memory at once, and of one run of lookups.
+BLOCK, LOOKUPS = 1 << 22, 1 << 15
 
 
 def fixed_chunks(stream: DataFrame, size: int = 4096) -> DataFrame:
@@ -74,12 +74,29 @@ def rabin_tables() -> np.ndarray:
     return out
 
 
-def rabin_fingerprints(data: np.ndarray) -> np.ndarray:
-    """The fingerprint of the 48 bytes that end at each position; of fewer at the start."""
-    tables = rabin_tables()
-    out = tables[0][data]
-    for k in range(1, min(WINDOW, len(data))):
-        out[k:] ^= tables[k][data[:-k]]
+@cache
+def _pair_tables(bits: int) -> list[np.ndarray]:
+    """For every second step back the low bits that a pair of bytes adds."""
+    tables, pair = rabin_tables(), np.arange(1 << 16)
+    kind = np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
+    return [(tables[k + 1][pair >> 8] ^ tables[k][pair & 255]).astype(kind) for k in range(0, WINDOW, 2)]
+
+
+def rabin_fingerprints(data: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The fingerprint of the 48 bytes that end at each position (of fewer at the start); its
+    low bits, `bits` of them or more."""
+    tables = _pair_tables(bits)
+    out, held = np.empty(len(data), tables[0].dtype), np.empty(LOOKUPS + WINDOW, tables[0].dtype)
+    for at in range(0, len(data), LOOKUPS):
+        lo = max(0, at - WINDOW + 1)
+        pairs = data[lo : at + LOOKUPS].astype(np.intp)
+        pairs[1:] |= pairs[:-1] << 8  # the right side is evaluated first
+        part = tables[0].take(pairs)
+        for j in range(1, min(WINDOW // 2, (len(pairs) + 1) // 2)):
+            added = held[: len(pairs) - 2 * j]
+            tables[j].take(pairs[: -2 * j], out=added, mode="clip")
+            part[2 * j :] ^= added
+        out[at : at + LOOKUPS] = part[at - lo :]
     return out
 
 
@@ -94,11 +111,12 @@ class _Rabin:
         """Positions at which the fingerprint of the last 48 bytes has the mark under each
         mask; found block by block, so that memory does not follow the file."""
         found: dict[str, list] = {name: [] for name in masks}
+        bits = max(masks.values()).bit_length()
         for at in range(0, len(self.data), BLOCK):
             before = min(at, WINDOW - 1)
-            full = rabin_fingerprints(self.data[at - before : at + BLOCK])[before:]
+            full = rabin_fingerprints(self.data[at - before : at + BLOCK], bits)[before:]
             for name, mask in masks.items():
-                found[name].append(np.flatnonzero((full & np.uint64(mask)) == BREAK_MARK) + at)
+                found[name].append(np.flatnonzero((full & full.dtype.type(mask)) == BREAK_MARK) + at)
         return {name: np.concatenate(parts) for name, parts in found.items()}
 
     def early(self, start: int, end: int) -> np.ndarray:
