@@ -16,7 +16,7 @@ from granary.operators.ordering import dense_index
 from granary.plans import relations as rel
 from granary.plans.sql import base
 from granary.sources import hashfile
-from granary.sources.files import read_directory, read_file_list, read_trace, trace_lines, write_files, write_trace
+from granary.sources.files import read_directory, read_file_list, read_trace, trace_lines, write_files, write_joined, write_trace
 from granary.sources.scratch import cut, folder
 from granary.sources.store import Store
 
@@ -1083,16 +1083,23 @@ def _hash_files(spark, sf) -> str:
     """A snapshot of each version, in a folder."""
     ship(spark)
 
-    def made(part):
-        import pandas as pd
-
-        files = []
-        for name, rows in part.sort_values(["file_id", "chunk_no"]).groupby("file_name", sort=False):
-            files.append(({"path": name, "file_size": int(rows["size"].sum())}, [(bytes.fromhex(fp), int(size), 0) for fp, size in zip(rows["fp"], rows["size"], strict=True)]))
-        return pd.DataFrame({"file_name": [f"v{part['version'].iloc[0]}.hash"], "data": [hashfile.build(files, hash_bytes=20, hashing=6)]})
-
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bodies = []
+            for name, parts in zip(batch.column("name").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                bodies.append(hashfile.build_file({"path": name, "file_size": sum(c["size"] for c in parts)}, [(c["digest"], c["size"], 0) for c in parts]))
+            yield pa.RecordBatch.from_arrays([batch.column("file_name"), batch.column("at"), pa.array(bodies, pa.binary())], names=["file_name", "at", "data"])
+
+    pieces = chunking.fixed_chunks(rel.stream(spark, sf), 1024).select("version", "file_id", "chunk_no", "size", F.unhex(F.sha1("data")).alias("digest"))
+    held = pieces.groupBy("version", "file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "size", "digest"))).alias("parts"))
+    snapshot = F.concat(F.lit("v"), F.col("version").cast("string"), F.lit(".hash")).alias("file_name")
+    bodies = held.select(snapshot, F.col("file_id").alias("at"), F.concat(F.lit("/doc"), F.col("file_id").cast("string")).alias("name"), "parts").mapInArrow(made, "file_name string, at long, data binary")
+    totals = pieces.groupBy("version").agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("chunks"), F.sum("size").alias("bytes")).select(snapshot, "files", "chunks", "bytes")
+    heads = [(r.file_name, bytearray(hashfile.build_header(r.files, r.chunks, r.bytes, hash_bytes=20, hashing=6))) for r in totals.collect()]
     path = folder(spark)
-    write_files(_traced(spark, sf).groupBy("version").applyInPandas(made, "file_name string, data binary"), path if "://" in path else f"file://{path}")
+    write_joined(bodies, heads, path if "://" in path else f"file://{path}")
     return path
 
 

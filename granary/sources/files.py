@@ -126,3 +126,28 @@ def write_files(files: DataFrame, folder: str) -> None:
                 out.write(bytes(row.data))
 
     files.select("file_name", "data").foreachPartition(save)
+
+
+def write_joined(parts: DataFrame, heads: list[tuple[str, bytes]], folder: str) -> None:
+    """Writes files below `folder`: for each (file_name, head) the head, and the data of
+    its rows (file_name, at, data) one after another in the order of `at`. A file has one
+    writer, which holds a row at a time."""
+    begin = dict(heads)
+
+    def save(rows):
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(folder)
+        out = now = None
+        for row in rows:
+            if row.file_name != now:
+                if out is not None:
+                    out.close()
+                store.create_dir(base, recursive=True)
+                now, out = row.file_name, store.open_output_stream(f"{base}/{row.file_name}")
+                out.write(bytes(begin[now]))
+            out.write(bytes(row.data))
+        if out is not None:
+            out.close()
+
+    parts.repartition("file_name").sortWithinPartitions("file_name", "at").select("file_name", "data").foreachPartition(save)

@@ -89,6 +89,46 @@ def test_hash_files(spark, tmp_path, version, chunking):
         hashfile.read_header(b"\0" * 20)
 
 
+def test_versions_are_restored_together(spark, tmp_path):
+    """All versions, or some, from one pass over the containers."""
+    schema, config = "file_id long, file_name string, data binary", StoreConfig(chunk_algorithm="fixed", chunk_avg_size=1024)
+    store, r = Store(spark, f"file://{tmp_path}/store", config), random.Random(5)
+    made = [r.randbytes(3000) for _ in range(3)]
+    for v in range(3):
+        store.backup(spark.createDataFrame([(0, "a", made[0]), (v, f"f{v}", made[v])][: 2 if v else 1], schema))
+    got = lambda *versions: {(x.version, x.file_id, bytes(x.data)) for x in store.restore(*versions).collect()}
+    want = {(0, 0, made[0]), (1, 0, made[0]), (1, 1, made[1]), (2, 0, made[0]), (2, 2, made[2])}
+    assert got(0, 1, 2) == want
+    assert got(0, 2) == {w for w in want if w[0] != 1}
+    plan = store.restore(0, 1, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("data#") and plan.count("Relation") == 2
+    for wrong in ((), (0, 3)):
+        with pytest.raises(ValueError):
+            store.restore(*wrong)
+
+
+@pytest.mark.parametrize("chunking", [hashfile.FIXED, hashfile.VARIABLE])
+def test_hash_files_of_many_files(spark, tmp_path, chunking, monkeypatch):
+    """Rows of many files are made at once, and a file may fall into several batches."""
+    monkeypatch.setattr(hashfile, "ROWS", 4)
+    r = random.Random(3)
+    written = [({"path": f"/f{i}", "file_size": 10 * n - 3 if n else 0, "uid": i}, [(r.randbytes(20), 10 - 3 * (j == n - 1), j) for j in range(n)]) for i, n in enumerate([1, 0, 2, 11, 0, 3])]
+    raw = hashfile.build(written, 7, chunking, 10, 20, 6)
+    want = [(i, f["path"], j, c[0].ljust(32, b"\0").hex().upper(), c[1], c[2], f["uid"]) for i, (f, chunks) in enumerate(written) for j, c in enumerate(chunks)]
+    tables = [list(zip(*(c.to_pylist() for c in columns), strict=True)) for columns in hashfile._tables(raw, False)]
+    assert len(tables) > 2 and max(map(len, tables)) < 9
+    assert [(*row[:6], row[6 + hashfile.FILE_FIELDS.index("uid")]) for t in tables for row in t] == want
+    assert [row[:3:2] for columns in hashfile._tables(raw, True) for row in zip(*(c.to_pylist() for c in columns), strict=True)] == [(0, i) for i in range(17)]
+    with pytest.raises(ValueError):
+        list(hashfile._tables(raw[:-1], False))
+
+
+def test_files_are_joined_from_rows(spark, tmp_path):
+    parts = spark.createDataFrame([("b", 2, b"2"), ("a", 1, b"x"), ("b", 10, b"3"), ("b", 1, b"1")], "file_name string, at long, data binary").repartition(3)
+    files.write_joined(parts, [("a", b"<"), ("b", b">")], f"file://{tmp_path}/joined")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "joined").iterdir()} == {"a": b"<x", "b": b">123"}
+
+
 def test_store_round_trip(spark, tmp_path):
     """a and b are random, c is a copy of a: a third of the bytes is saved, all comes
     back, before and after an upgrade, and expiring gives containers free."""
