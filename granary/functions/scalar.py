@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.config import FEATURES_PER_RECIPE
+from granary.functions.shipping import ship
 
 TWO_64 = 1 << 64
 
@@ -161,52 +163,56 @@ def _dek(data: bytes) -> int:
 STRING_HASHES = {"rs": _rs, "djb": _times(33, 5381), "fnv": _fnv, "js": _js, "pjw": _pjw, "sdbm": _times(65599, 0), "dek": _dek}
 
 
-WORD = 0xFFFFFFFF
-
-
-def _low(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(WORD).cast("bigint"))
-
-
-def _product(a: Column, b: Column) -> Column:
-    """a * b modulo 2**32 of numbers below 2**32, without leaving 64 bits."""
-    half = F.lit(0xFFFF).cast("bigint")
-    return _low(F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(half), 16) + a * b.bitwiseAND(half))
-
-
-def string_hash(name: str, data_hex: Column) -> Column:
-    """One of STRING_HASHES of bytes given in hex, as a bigint."""
-    n = (F.length(data_hex) / 2).cast("int")
-    byte = lambda i: F.conv(F.substring(data_hex, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
-    data = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), byte)).otherwise(F.array().cast("array<bigint>"))
-    long_ = lambda x: F.lit(x).cast("bigint")
-    if name == "rs":
-        pair = lambda h, a: F.struct(h.alias("h"), a.alias("a"))
-        return F.aggregate(data, pair(long_(0), long_(63689)), lambda s, b: pair(_low(_product(s["h"], s["a"]) + b), _product(s["a"], long_(378551))), lambda s: s["h"])
-    if name in ("djb", "sdbm"):
-        factor, start = (33, 5381) if name == "djb" else (65599, 0)
-        return F.aggregate(data, long_(start), lambda h, b: _low(h * factor + b))
-    if name == "fnv":
-        return F.aggregate(data, long_(0), lambda h, b: _product(h, long_(0x811C9DC5)).bitwiseXOR(b))
-    if name == "js":
-        return F.aggregate(data, long_(1315423911), lambda h, b: _low(h.bitwiseXOR(F.shiftleft(h, 5) + b + F.shiftright(h, 2))))
-    if name == "pjw":
-        def step(h, b):
-            moved = _low(F.shiftleft(h, 4) + b)
-            high = moved.bitwiseAND(long_(0xF0000000))
-            return F.when(high != 0, moved.bitwiseXOR(F.shiftright(high, 24)).bitwiseAND(long_(0x0FFFFFFF))).otherwise(moved)
-
-        return F.aggregate(data, long_(0), step)
-    if name == "dek":
-        return F.aggregate(data, n.cast("bigint"), lambda h, b: _low(F.shiftleft(h, 5).bitwiseOR(F.shiftright(h, 27))).bitwiseXOR(b))
-    raise ValueError(f"no string hash {name}")
+def _hash_all(names: tuple[str, ...], data: np.ndarray) -> list[np.ndarray]:
+    """STRING_HASHES of the rows of a matrix of bytes, which are of one length."""
+    out = []
+    for name in names:
+        h = np.full(len(data), {"djb": 5381, "js": 1315423911, "dek": data.shape[1]}.get(name, 0), np.uint32)
+        a = 63689
+        for b in data.T.astype(np.uint32):
+            if name == "rs":
+                h, a = h * np.uint32(a) + b, a * 378551 & 0xFFFFFFFF
+            elif name in ("djb", "sdbm"):
+                h = h * np.uint32(33 if name == "djb" else 65599) + b
+            elif name == "fnv":
+                h = h * np.uint32(0x811C9DC5) ^ b
+            elif name == "js":
+                h = h ^ ((h << np.uint32(5)) + b + (h >> np.uint32(2)))
+            elif name == "pjw":
+                h = (h << np.uint32(4)) + b
+                h = (h ^ ((h & np.uint32(0xF0000000)) >> np.uint32(24))) & np.uint32(0x0FFFFFFF)
+            elif name == "dek":
+                h = (h << np.uint32(5) | h >> np.uint32(27)) ^ b
+            else:
+                raise ValueError(f"no string hash {name}")
+        out.append(h)
+    return out
+
+
+def string_hashes(names: tuple[str, ...], data_hex: Column) -> Column:
+    """A struct of bigints: STRING_HASHES of bytes given in hex, by arrays of whole batches.
+    Null is null."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(names), len(texts)), np.int64)
+        known = texts.notna().to_numpy()
+        lengths = np.where(known, texts.str.len().fillna(0), -1).astype(np.int64)
+        for n in np.unique(lengths[known]):
+            at = np.flatnonzero(lengths == n)
+            raw = np.frombuffer(bytes.fromhex("".join(t[: n - n % 2] for t in texts.iloc[at])), np.uint8).reshape(len(at), int(n) // 2)
+            out[:, at] = _hash_all(names, raw)
+        return pd.DataFrame({name: pd.Series(column, dtype="Int64").where(known) for name, column in zip(names, out, strict=True)})
+
+    return F.pandas_udf(run, ", ".join(f"{name} long" for name in names))(data_hex)
 
 
 def bloom_words(keys_hex: Column, rows, bits: int = 1 << 20, hashes: tuple[str, ...] = ("rs", "djb", "fnv", "js")):
     """(word, mask): the bit set of a Bloom filter over `rows`, as the words that are not 0;
     bits / 64 rows at most, whatever the number of keys."""
-    at = F.explode(F.array(*[F.pmod(string_hash(h, keys_hex), F.lit(bits)).cast("int") for h in hashes])).alias("at")
-    each = rows.select(at).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("mask"))
+    ship(rows.sparkSession)
+    found = rows.select(string_hashes(hashes, keys_hex).alias("h"))
+    at = F.explode(F.array(*[F.pmod(F.col(f"h.{h}"), F.lit(bits)).cast("int") for h in hashes])).alias("at")
+    each = found.select(at).where("at IS NOT NULL").select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("mask"))
     return each.groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
 

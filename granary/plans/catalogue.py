@@ -173,7 +173,8 @@ _HASHES = {
 @query(f", k AS (SELECT DISTINCT fp, {_BYTES} AS b FROM chunk) SELECT fp, " + ", ".join(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in _HASHES.items()) + " FROM k")
 def string_hashes(spark, sf):
     """The seven string hashes of a Bloom filter, of fingerprints."""
-    return rel.chunks(spark, sf).select("fp").distinct().select("fp", *[scalar.string_hash(h, F.col("fp")).alias(h) for h in scalar.STRING_HASHES])
+    ship(spark)
+    return rel.chunks(spark, sf).select("fp").distinct().select("fp", scalar.string_hashes(tuple(scalar.STRING_HASHES), F.col("fp")).alias("h")).select("fp", "h.*")
 
 
 @query(f", k AS (SELECT DISTINCT fp, {_BYTES} AS b FROM chunk WHERE version < {KEEP_FROM}), bit AS (SELECT DISTINCT unnest([" + ", ".join(f"CAST({_HASHES[h]} AS BIGINT) % 65536" for h in ("rs", "djb", "fnv", "js")) + "]) AS place FROM k) SELECT CAST(place // 64 AS INTEGER) AS word, CAST(bit_count(bit_or(CAST(1 AS UBIGINT) << CAST(place % 64 AS UBIGINT))) AS INTEGER) AS bits FROM bit GROUP BY 1")

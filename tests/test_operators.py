@@ -397,3 +397,22 @@ def test_runs_across_spans(spark):
         if not k or rows[k - 1][0] != v or rows[k - 1][2] != c:
             start = s
         assert got[s] == start
+
+
+def test_string_hashes_of_batches(spark):
+    """Hex of any length and case, and null, as the functions of bytes have them."""
+    texts = ["", "00", "FF", "deadBEEF", "0123456789ABCDEF" * 5, None]
+    names = tuple(scalar.STRING_HASHES)
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", scalar.string_hashes(names, F.col("x")).alias("h")).collect()
+    for r in got:
+        assert [r.h[n] for n in names] == [None if r.x is None else scalar.STRING_HASHES[n](bytes.fromhex(r.x)) for n in names]
+
+
+def test_places_within_a_key(spark):
+    """Keys of one row, and one that goes on over several ranges, have no gap."""
+    from granary.operators.ordering import dense_index_within
+
+    rows = [(7, i) for i in range(0, 600, 3)] + [(k, -k) for k in range(5)] + [(9, 5), (9, 2)]
+    got = dense_index_within(spark.createDataFrame(rows, "k long, x long").repartition(5), "k", ["x"], "n", 8)
+    want = {(k, x, sorted(b for a, b in rows if a == k).index(x)) for k, x in rows}
+    assert {(r.k, r.x, r.n) for r in got.collect()} == want
