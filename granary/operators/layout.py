@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.config import CONTAINER_PAYLOAD
 from granary.operators.dedup import stored_chunks
-from granary.operators.ordering import dense_index
+from granary.operators.ordering import dense_index, dense_index_within
 from granary.operators.spans import carried, walk
 from granary.sources.scratch import cut
 
@@ -36,9 +36,7 @@ def pack_next_fit(uniques: DataFrame, entries: int, payload: int = CONTAINER_PAY
     of more than the payload has a container to itself."""
     keyed = uniques.withColumn("__s", F.xxhash64(stream) if stream else F.lit(0).cast("bigint"))
     # Places are counted from 0 in each stream.
-    numbered = cut(dense_index(keyed, ["__s", "seq"], "__at"))
-    first = numbered.groupBy("__s").agg(F.min("__at").alias("__first"))
-    numbered = cut(numbered.join(first, "__s").withColumn("__at", F.col("__at") - F.col("__first")).drop("__first"))
+    numbered = cut(dense_index_within(keyed, "__s", ["seq"], "__at"))
 
     def following(part: pd.DataFrame) -> np.ndarray:
         total = np.append(0, np.cumsum(part["size"].to_numpy(np.int64)))
@@ -47,9 +45,7 @@ def pack_next_fit(uniques: DataFrame, entries: int, payload: int = CONTAINER_PAY
         return np.maximum(at + 1, np.minimum(at + entries, full))
 
     starts = walk(numbered, "__s", "__at", ["size"], following, entries, span)
-    ranked = dense_index(starts, ["__s", "__at"], "__n")
-    least = ranked.groupBy("__s").agg(F.min("__n").alias("__least"))
-    opened = ranked.join(least, "__s").select("__s", "__at", (F.col("__n") - F.col("__least")).alias("__cid"))
+    opened = dense_index_within(starts, "__s", ["__at"], "__cid")
     both = numbered.join(opened, ["__s", "__at"], "left").withColumn("__open", F.when(F.col("__cid").isNotNull(), F.struct("__cid", "__at")))
     placed = carried(both.drop("__cid"), "__s", "__at", "__open", "__in")
     kept = [F.col(f"`{c}`") for c in uniques.columns]

@@ -31,3 +31,16 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str, partit
 def dense_index(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
     """Adds `name`, the position of each row in `order`, from 0."""
     return running_total(df.withColumn("__one", F.lit(1)), order, "__one", name, partitions).drop("__one")
+
+
+def dense_index_within(df: DataFrame, key: str, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """Adds `name`, the position of each row in `order` among those of its `key`, from 0. No
+    key is null. A range of rows goes on with at most one key from the range before, so what
+    is joined has a row for each range at most, and a key of all rows is not met in one task."""
+    rows = _ranged(df, [key, *order], partitions)
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__part", key).agg(F.count("*").alias("__n"))  # of a key a row for each range
+    starts = totals.select("__part", key, F.sum("__n").over(before).alias("__start")).where("__start > 0")
+    inside = Window.partitionBy("__part", key).orderBy(*order)
+    numbered = rows.withColumn("__in", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["__part", key], "left")
+    return numbered.withColumn(name, (F.coalesce("__start", F.lit(0)) + F.col("__in")).cast("bigint")).drop("__part", "__in", "__start")
