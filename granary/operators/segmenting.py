@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalar import residue
-from granary.operators.ordering import dense_index
+from granary.operators.ordering import dense_index_within
 from granary.operators.spans import carried, walk
 from granary.sources.scratch import cut
 
@@ -28,8 +28,7 @@ def content_segments(chunks: DataFrame, avg: int, least: int, most: int, stream:
     once the last has `least` chunks (1 at least), and `most` chunks end one (but not
     before there are more than `least`). seq must have no gap within a stream."""
     keyed = chunks.withColumn("__s", F.xxhash64(stream))
-    first = keyed.groupBy("__s").agg(F.min("seq").alias("__first"))
-    marked = cut(keyed.join(first, "__s").withColumn("__at", F.col("seq") - F.col("__first")).withColumn("__mark", residue(F.col("fp"), avg) == 0).drop("__first"))
+    marked = cut(dense_index_within(keyed, "__s", ["seq"], "__at").withColumn("__mark", residue(F.col("fp"), avg) == 0))
     reach = max(most, least + 1)
 
     def following(part: pd.DataFrame) -> np.ndarray:
@@ -38,9 +37,7 @@ def content_segments(chunks: DataFrame, avg: int, least: int, most: int, stream:
         return np.minimum(marks[np.searchsorted(marks, at + max(least, 1))], at + reach)
 
     starts = walk(marked, "__s", "__at", ["__mark"], following, reach, span)
-    ranked = dense_index(starts, ["__s", "__at"], "__n")
-    lowest = ranked.groupBy("__s").agg(F.min("__n").alias("__least"))
-    begun = ranked.join(lowest, "__s").select("__s", "__at", (F.col("__n") - F.col("__least")).alias("__no"))
+    begun = dense_index_within(starts, "__s", ["__at"], "__no")
     return carried(marked.join(begun, ["__s", "__at"], "left"), "__s", "__at", "__no", "segment_no").drop("__s", "__at", "__mark", "__no")
 
 
