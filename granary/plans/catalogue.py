@@ -1031,11 +1031,7 @@ def _store(spark, sf, config: StoreConfig) -> Store:
 
 
 def _restored(store: Store):
-    out = None
-    for v in store.versions():
-        one = store.restore(v).select("version", "file_id", scalar.sha256_fp(F.col("data")).alias("digest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return store.restore(*store.versions()).select("version", "file_id", scalar.sha256_fp(F.col("data")).alias("digest"))
 
 
 @query(_DIGESTS)

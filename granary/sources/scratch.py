@@ -54,9 +54,9 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Writes `df` and reads it back, which ends its lineage. The table goes when the
-    driver ends."""
+    driver ends. codec: of the files, where it is not that of the session."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

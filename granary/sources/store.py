@@ -27,6 +27,8 @@ TABLES = {
     "recipe": "version long, file_id long, file_name string, chunk_no long, seq long, fp string, cid long, size int",
     "fp_index": "fp string, cid long",
 }
+#: Codec of tables with bytes of chunks.
+CODEC = "zstd"
 
 
 class Store:
@@ -76,7 +78,7 @@ class Store:
     def _write(self, name: str, df: DataFrame) -> str:
         """Writes a part of a table, for an entry to publish; returns its folder."""
         part = f"{name}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{part}")
+        df.write.option("compression", CODEC).parquet(f"{self.path}/{part}")
         return part
 
     def parts(self) -> dict[str, list[str]]:
@@ -144,7 +146,7 @@ class Store:
             seconds[name], began = round(time.monotonic() - began, 3), time.monotonic()
 
         version = max((e["version"] for e in log if e["job"] == "backup"), default=-1) + 1
-        pieces = cut(self._chunks(files))
+        pieces = cut(self._chunks(files), CODEC)
         phase("chunk")
         numbered = cut(ordering.dense_index(pieces.select("file_id", "file_name", "chunk_no", "size", "fp"), ["file_id", "chunk_no"], "seq"))
         known = self.table("fp_index").select("fp", F.col("cid").alias("known"))
@@ -164,11 +166,16 @@ class Store:
         self._publish(number, {"job": "backup", "version": version, "chunks": n, "bytes": size, "stored_bytes": stored, "next_cid": start if last is None else last + 1, "note": note, "seconds": seconds, "add": add})
         return version
 
-    def restore(self, version: int) -> DataFrame:
-        """(version, file_id, data) of a version that is not expired."""
-        if version not in self.versions():
-            raise ValueError(f"no version {version}")
-        return restore.restore_files(self.table("recipe").where(F.col("version") == version), self.table("container_entry"))
+    def restore(self, *versions: int) -> DataFrame:
+        """(version, file_id, data) of versions that are not expired, in one pass over the
+        containers that they refer to."""
+        if not versions or (unknown := set(versions) - set(self.versions())):
+            raise ValueError(f"no version {min(unknown)}" if versions else "no version is named")
+        recipe = self.table("recipe").where(F.col("version").isin(*versions))
+        entries = self.table("container_entry")
+        if set(versions) != set(self.versions()):
+            entries = entries.join(recipe.select("cid").distinct(), "cid", "left_semi")
+        return restore.restore_files(recipe, entries)
 
     def upgrade(self, target: str) -> Store:
         """A store at `target` with SHA-256 fingerprints: stored chunks are hashed once,
