@@ -786,7 +786,7 @@ def upgrade_conpfu(spark, sf):
 def upgrade_lfu(spark, sf):
     """Every logical chunk is fetched, hashed anew and deduplicated again."""
     data = restore.restore_chunks(*rel.whole(spark, sf)).withColumn("new_fp", scalar.sha256_fp(F.col("data"))).drop("data")
-    again = data.select("version", "file_id", "chunk_no", "seq", "size", F.col("new_fp").alias("fp"))
+    again = cut(data.select("version", "file_id", "chunk_no", "seq", "size", F.col("new_fp").alias("fp")))  # else the bytes are fetched for each use
     where = layout.pack_by_rank(layout.rank_uniques(again), rel.NEW_ENTRIES, "new_cid").select("fp", "new_cid")
     return again.join(where, "fp").select("version", "file_id", "chunk_no", F.col("fp").alias("new_fp"), "new_cid")
 
@@ -1077,7 +1077,8 @@ def trace_roundtrip(spark, sf):
 
 
 def _hash_files(spark, sf) -> str:
-    """A snapshot of each version, in a folder."""
+    """A snapshot of each version, in a folder. What a file adds to it is made file by file;
+    one task writes a snapshot, and only passes bytes on."""
     ship(spark)
 
     def made(batches):
