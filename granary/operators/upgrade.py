@@ -8,8 +8,11 @@ same plan; the order in which recipes are handled matters to caches only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,8 @@ def upgrade_by_container(recipe: DataFrame, fp_map: DataFrame) -> DataFrame:
 
 def recipe_features(recipe: DataFrame, key: str = "file_id", lanes: int = FEATURES_PER_RECIPE) -> DataFrame:
     """(key, k, feature): MinHash lanes over the container ids of a recipe."""
-    minima = recipe.groupBy(key).agg(*[F.min(lane(F.col("cid"), k)).alias(f"f{k}") for k in range(lanes)])
+    # A container counts once; its lanes are wide numbers, and dear.
+    minima = recipe.select(key, "cid").distinct().groupBy(key).agg(*[F.min(lane(F.col("cid"), k)).alias(f"f{k}") for k in range(lanes)])
     return minima.select(key, F.posexplode(F.array(*[f"f{k}" for k in range(lanes)])).alias("k", "feature"))
 
 
@@ -77,9 +81,8 @@ def split_recipe(recipe: DataFrame, least: int, expected: int, most: int, key: s
 
     ship(recipe.sparkSession)
 
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk_no")
-        cids, out, i, sub = part["cid"].tolist(), [], 0, 0
+    def parts_of(cids: list[int]) -> Iterator[tuple[int, int, int]]:
+        i = 0
         while i < len(cids):
             start, seen = i, set()
             while i < len(cids) and len(seen) < most:
@@ -91,11 +94,21 @@ def split_recipe(recipe: DataFrame, least: int, expected: int, most: int, key: s
                 i += 1
             while i < len(cids) and cids[i] in seen:
                 i += 1
-            out.append((part[key].iloc[0], sub, start, i - start, len(seen)))
-            sub += 1
-        return pd.DataFrame(out, columns=[key, "sub_id", "first_chunk", "chunks", "containers"])
-
-    return recipe.select(key, "chunk_no", "cid").groupBy(key).applyInPandas(scan, f"{key} long, sub_id long, first_chunk long, chunks long, containers long")
+            yield start, i - start, len(seen)
+
+    def scan(batches):
+        for batch in batches:
+            keys, out = [], []
+            for name, cids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [(sub, *part) for sub, part in enumerate(parts_of(cids.values.to_pylist()))]
+                keys += [name] * len(found)
+                out += found
+            columns = [keys, *(zip(*out, strict=True) if out else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[key, "sub_id", "first_chunk", "chunks", "containers"])
+
+    # A row for each recipe: grouped rows in Python would cost a frame for each.
+    held = recipe.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "cid"))).alias("c")).select(key, F.col("c.cid").alias("cids"))
+    return held.mapInArrow(scan, f"{key} long, sub_id long, first_chunk long, chunks long, containers long")
 
 
 def sub_recipes(recipe: DataFrame, parts: DataFrame, key: str = "file_id", most: int = 1 << 20) -> DataFrame:
