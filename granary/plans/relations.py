@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.config import entries_per_container
-from granary.functions.scalar import sha1_fp, sha256_fp
+from granary.functions.scalar import sha1_fp
 from granary.operators import layout
 from granary.operators.chunking import fixed_chunks
 from granary.operators.ordering import running_total
@@ -55,10 +55,11 @@ def recipe(spark: SparkSession, sf: str, per_container: int = OLD_ENTRIES) -> tu
 
 def _entries(spark: SparkSession, sf: str, rows: DataFrame, stored: DataFrame) -> DataFrame:
     """The bytes are read from the files again for the chunks that are stored, not carried
-    through the steps that find out which those are."""
+    through the steps that find out which those are. Hashes are taken where the bytes are
+    read, so that only what is asked for is shuffled."""
     where = stored.join(rows.select("seq", "file_id", "chunk_no"), "seq")
-    pieces = fixed_chunks(stream(spark, sf), CHUNK).select("file_id", "chunk_no", "data")
-    return where.join(pieces, ["file_id", "chunk_no"]).drop("file_id", "chunk_no").withColumn("new_fp", sha256_fp(F.col("data")))
+    pieces = fixed_chunks(stream(spark, sf), CHUNK).select("file_id", "chunk_no", "data", F.unhex(F.sha2("data", 256)).alias("__new"))
+    return where.join(pieces, ["file_id", "chunk_no"]).withColumn("new_fp", F.hex("__new")).drop("file_id", "chunk_no", "__new")
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
